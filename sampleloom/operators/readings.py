@@ -46,7 +46,7 @@ def scatter(res: np.ndarray) -> float:
 
 
 def period(x: np.ndarray, least: float = 0.3) -> int:
-    """The dominating period of ``x``, 0 if none recurs four times or more."""
+    """The dominating period of ``x``, 0 if none recurs about three times or more."""
     n = len(x)
     if n < 24:
         return 0
@@ -54,7 +54,7 @@ def period(x: np.ndarray, least: float = 0.3) -> int:
     y = np.clip(x, -25 * s, 25 * s) if s else x
     y = y - y.mean()
     f = np.fft.rfft(y, 1 << (2 * n - 1).bit_length())
-    acf = np.fft.irfft(f * np.conj(f))[: n // 4 + 1]
+    acf = np.fft.irfft(f * np.conj(f))[: n // 3 + 1]
     if acf[0] <= 0:
         return 0
     acf = acf / acf[0] * n / (n - np.arange(len(acf)))

@@ -42,7 +42,7 @@ WITH e AS (
   SELECT run_id, lower(regexp_replace(trial_type, '^\s+|\s+$', '', 'g')) AS trial_type,
          CAST(round(onset * 1000) AS BIGINT) AS s, CAST(round(onset * 1000) AS BIGINT) + CAST(round(duration * 1000) AS BIGINT) AS e
   FROM bold_events WHERE isfinite(onset) AND isfinite(duration) AND duration > 0 AND run_id IS NOT NULL),
-f AS (SELECT * FROM e WHERE trial_type NOT IN ('', 'n/a') AND s < e),
+f AS (SELECT DISTINCT * FROM e WHERE trial_type NOT IN ('', 'n/a') AND s < e),
 m AS (SELECT *, max(e) OVER (PARTITION BY run_id, trial_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f),
 i AS (SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, trial_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m),
 p AS (SELECT run_id, trial_type, min(s) AS start_ms, max(e) AS end_ms FROM i GROUP BY run_id, trial_type, g),
