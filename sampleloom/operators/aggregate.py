@@ -94,9 +94,9 @@ def circular_autocorrelation(df: DataFrame, value: str, order: list[str], by: li
     """Correlation of each sequence with itself turned by 1 to ``shifts`` places."""
     w = W.partitionBy(*by).orderBy(*order)
     at = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(*by)).alias("n"))
-    turned = at.select(*by, F.col("v").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(shifts))).alias("shift"), "i", "n")
+    turned = at.select(*by, F.col("v").alias("_turned"), F.explode(F.sequence(F.lit(1), F.lit(shifts))).alias("shift"), "i", "n")
     turned = turned.withColumn("i", F.pmod(F.col("i") - F.col("shift"), "n")).drop("n").where("shift > 0")
-    return at.join(turned, [*by, "i"]).where("shift < n").groupBy(*by, "shift").agg(correlation("v", "u").alias("r"))
+    return at.join(turned, [*by, "i"]).where("shift < n").groupBy(*by, "shift").agg(correlation("v", "_turned").alias("r"))
 
 
 def correlation(x: str | Column, y: str | Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sampleloom.functions.distance import pairwise
 from sampleloom.functions.distributions import f_sf, t_sf
@@ -31,12 +32,12 @@ def anova(long: DataFrame, target: str, by: str = "feature_id", value: str = "va
     return part.select(by, f.alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_probability(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_sf(f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided."""
     return pd.Series(np.minimum(1.0, 2 * t_sf(np.abs(t.to_numpy(float)), df.to_numpy(float))))
