@@ -130,6 +130,7 @@ class Lattice:
         lo, hi, sure, loose = boundaries(text)
         must = {*sure}
         self.nodes = [lo - 1, *sorted({*sure, *loose}), hi]
+        self.branches = bool(loose)
         self.edges: list[tuple[int, int, str, bool]] = []
         for i in range(len(self.nodes) - 1):
             for j in range(i + 1, min(i + longest, len(self.nodes) - 1) + 1):
@@ -219,12 +220,12 @@ def split_packed(df: DataFrame, key: list[str], fields: list[str], rounds: int =
             for *k, name, text in pdf[[*key, "field_name", "text"]].itertuples(index=False):
                 if not text.strip():
                     continue
-                lo, hi, sure, loose = boundaries(text)
-                if loose:
+                lattice = Lattice(text)
+                if lattice.branches:
                     rows.append((*k, name, -1, text))
                     continue
-                cut = [lo - 1, *sure, hi]
-                rows += [(*k, name, p, v) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if (v := value_of(text[a + 1 : b]))]
+                # one path only: no weights can change it
+                rows += [(*k, name, p, v) for p, v in enumerate(lattice.viterbi({})) if v]
             yield pd.DataFrame(rows, columns=[*key, "field_name", "pos", "value"])
 
     schema = f"{parts}, field_name string, pos int, value string"

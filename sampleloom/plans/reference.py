@@ -394,11 +394,11 @@ def autocorrelation(spark, d):
 
 @query("""WITH b AS (SELECT recording_id, channel_id, avg(data) AS m, stddev_pop(data) AS s FROM meg_data WHERE isfinite(data) AND abs(data) < 9e7 GROUP BY ALL),
  k AS (SELECT * FROM meg_data JOIN b USING (recording_id, channel_id) WHERE isfinite(data) AND abs(data) < 9e7 AND NOT abs(data - m) > 3 * s)
- SELECT recording_id, channel_id, round(avg(data), 4) AS mean, round(quantile_cont(data, 0.5), 4) AS median, round(stddev_pop(data), 4) AS std, round(min(data), 4) AS min, round(max(data), 4) AS max, round(quantile_cont(data, 0.25), 4) AS p25, round(quantile_cont(data, 0.75), 4) AS p75, count(*) AS n
+ SELECT recording_id, channel_id, round(avg(data), 7) AS mean, round(quantile_cont(data, 0.5), 7) AS median, round(stddev_pop(data), 7) AS std, round(min(data), 7) AS min, round(max(data), 7) AS max, round(quantile_cont(data, 0.25), 7) AS p25, round(quantile_cont(data, 0.75), 7) AS p75, count(*) AS n
  FROM k GROUP BY ALL""")
 def boxplot_stats(spark, d):
     x = table(spark, d, "meg_data").where("abs(data) < 9e7 and not isnan(data)")
-    return rounded(ag.boxplot_stats(x, ["recording_id", "channel_id"], "data"), 4)
+    return rounded(ag.boxplot_stats(x, ["recording_id", "channel_id"], "data"), 7)
 
 
 @query("SELECT o_orderkey % 7 AS g, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY 1")
