@@ -461,7 +461,7 @@ class Multiclass(Model):
 
 
 class Binary(Model):
-    """Two sets of labels as +1 and -1; predictions are the sets' label tuples joined by ``+``."""
+    """Two sets of labels as +1 and -1; predictions are the sets' labels as text, joined by ``+``."""
 
     def __init__(self, model: Model, positive: list, negative: list):
         self.model, self.positive, self.negative = model, positive, negative
@@ -472,7 +472,7 @@ class Binary(Model):
         return self
 
     def predict(self, x):
-        name = lambda s: s[0] if len(s) == 1 else "+".join(map(str, sorted(s)))
+        name = lambda s: "+".join(map(str, sorted(s)))
         return np.where(self.model.predict(x) > 0, name(self.positive), name(self.negative))
 
 

@@ -148,15 +148,16 @@ def haar_packet(x: np.ndarray, level: int) -> np.ndarray:
 
 # --- runs and chunks -------------------------------------------------------
 def find_events(df: DataFrame, attrs: list[str], order: list[str], by: list[str]) -> DataFrame:
-    """Runs of equal attribute values as events: onset (place from 0), duration, and the values."""
+    """Runs of equal attribute values as events: run (``run_no`` if that name is taken), onset (place from 0), duration, and the values."""
+    name = "run_no" if "run" in (*by, *attrs) else "run"
     w = W.partitionBy(*by).orderBy(*order)
     pos = F.row_number().over(w) - 1
     change = F.lit(False)
     for a in attrs:
         change = change | ~F.col(a).eqNullSafe(F.lag(a).over(w))
     marked = df.withColumn("_pos", pos).withColumn("_new", F.when(F.col("_pos") == 0, 1).otherwise(F.coalesce(change.cast("int"), F.lit(1))))
-    runs = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    return runs.groupBy(*by, "run", *attrs).agg(F.min("_pos").cast("long").alias("onset"), F.count("*").alias("duration"))
+    runs = marked.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return runs.groupBy(*by, name, *attrs).agg(F.min("_pos").cast("long").alias("onset"), F.count("*").alias("duration"))
 
 
 def break_points(df: DataFrame, attr: str, order: list[str], by: list[str], contiguous: bool = False) -> DataFrame:
