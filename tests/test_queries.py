@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; the others run and give their columns."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -22,7 +23,7 @@ def con():
 
 def canon(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "None" if v is None or v != v else f"{float(v):.8g}" if isinstance(v, float) else str(v)
+    text = lambda v: "None" if v is None or pd.isna(v) else f"{float(v):.8g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(text, row)) for row in df.astype(object).itertuples(index=False))
 
 
