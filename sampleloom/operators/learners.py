@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.functions.models import Model
+from sampleloom.operators.generators import uniques
 from sampleloom.operators.measures import gram, symmetric
 
 LOG_2PI = float(np.log(2 * np.pi))
@@ -22,55 +23,93 @@ def fold_roles(df: DataFrame, chunk: str, folds: list) -> DataFrame:
     return df.select("*", F.explode(F.array(*map(F.lit, folds))).alias("fold")).withColumn("test", F.col(chunk) == F.col("fold"))
 
 
-def gnb_folds(long: DataFrame, target: str, chunk: str, prior: str = "laplacian_smoothing", keep: list[str] | None = None) -> DataFrame:
-    """Gaussian naive Bayes, leaving out one chunk at a time: (fold, sample_id, target, prediction).
+def gnb_model(long: DataFrame, target: str, chunk: str, labels: list, prior: str = "laplacian_smoothing") -> tuple[DataFrame, DataFrame]:
+    """Models of naive Bayes for each held-out chunk: (fold, feature_id, m0, v0, m1, v1, ...) and (fold, lp0, lp1, ...).
 
-    ``long`` has sample_id, target, chunk, feature_id, value. Sums per (chunk,
-    class, feature) are taken once; a fold's training statistics are the total
-    less the held-out chunk, so the data are not fanned out by fold. Each sample
-    meets only its own fold's model. Population variances; a feature without
-    variance has probability 1 where the value is met exactly, else the class
-    is ruled out.
+    Sums per (chunk, class, feature) are taken once; a fold's statistics are
+    those of the other chunks merged, so the data are not fanned out by fold.
+    Classes are columns, in order of ``labels``.
     """
-    keep = keep or []
     cells = long.groupBy(chunk, target, "feature_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    # merged from means and deviations, not raw squares: no cancellation
-    other = cells.select(F.col(chunk).alias("_c"), F.col(target).alias("label"), "feature_id", "n", "m", "v")
     chunks = cells.select(F.col(chunk).alias("fold")).distinct()
-    train = other.join(F.broadcast(chunks), F.col("_c") != F.col("fold"))
-    model = train.groupBy("fold", "label", "feature_id").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))).alias("_q"))
-    model = model.withColumn("var", F.greatest(F.col("_q") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0))).drop("_q")
-    sizes = model.groupBy("fold", "label").agg(F.max("n").alias("n")).groupBy("fold").agg(F.sum("n").alias("_t"), F.count("*").alias("_k"))
-    p = {"laplacian_smoothing": (1 + F.col("n")) / (F.col("_t") + F.col("_k")), "uniform": 1 / F.col("_k"), "ratio": F.col("n") / F.col("_t")}[prior]
-    model = model.join(F.broadcast(sizes), "fold").withColumn("lp", F.ln(p)).drop("_t", "_k", "n")
-    hit = long.select("sample_id", *keep, F.col(target).alias("target"), F.col(chunk).alias("fold"), "feature_id", "value").join(model, ["fold", "feature_id"])
-    d = F.col("value") - F.col("mean")
-    logp = F.when(F.col("var") == 0, F.when(d == 0, 0.0).otherwise(float("-inf"))).otherwise(-0.5 * (LOG_2PI + F.ln("var") + d * d / F.col("var")))
-    score = hit.groupBy("fold", "sample_id", "target", "label").agg((F.sum(logp) + F.max("lp")).alias("score"))
-    return score.groupBy("fold", "sample_id", "target").agg(F.max_by("label", F.struct("score", F.col("label"))).alias("prediction"))
-
-
-def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, chunk: str, labels: list, folds: list) -> DataFrame:
-    """The same on a wide table: the models, a row per fold, meet each row by one broadcast join and the scores are one projection."""
+    train = cells.join(F.broadcast(chunks), F.col(chunk) != F.col("fold"))
+
+    def of(i: int, x) -> object:
+        return F.sum(F.when(F.col(target) == F.lit(labels[i]), x))
+
+    n, m, v = F.col("n"), F.col("m"), F.col("v")
+    parts = [c for i in range(len(labels)) for c in (of(i, n).alias(f"n{i}"), (of(i, n * m) / of(i, n)).alias(f"m{i}"), (of(i, n * (v + m * m)) / of(i, n)).alias(f"q{i}"))]
+    wide = train.groupBy("fold", "feature_id").agg(*parts)
+    model = wide.select("fold", "feature_id", *(c for i in range(len(labels)) for c in (F.col(f"m{i}"), F.greatest(F.col(f"q{i}") - F.col(f"m{i}") * F.col(f"m{i}"), F.lit(0.0)).alias(f"v{i}"))))
+    sizes = wide.groupBy("fold").agg(*(F.max(f"n{i}").alias(f"n{i}") for i in range(len(labels))))
+    have = [F.coalesce(F.col(f"n{i}"), F.lit(0.0)) for i in range(len(labels))]
+    total = sum(have[1:], have[0])
+    k = sum(((h > 0).cast("double") for h in have[1:]), (have[0] > 0).cast("double"))
+    p = {"laplacian_smoothing": lambda h: (1 + h) / (total + k), "uniform": lambda h: 1 / k, "ratio": lambda h: h / total}[prior]
+    return model, sizes.select("fold", *(F.when(h > 0, F.ln(p(h))).alias(f"lp{i}") for i, h in enumerate(have)))
+
+
+def gnb_terms(labels: list) -> list:
+    """Log probability of ``value`` for each class; without variance it is 0 where the mean is met exactly, else minus infinity."""
+    out = []
+    for i in range(len(labels)):
+        d, v = F.col("value") - F.col(f"m{i}"), F.col(f"v{i}")
+        out.append(F.when(v == 0, F.when(d == 0, 0.0).otherwise(float("-inf"))).otherwise(-0.5 * (LOG_2PI + F.ln(v) + d * d / v)).alias(f"s{i}"))
+    return out
+
+
+def best_label(labels: list) -> object:
+    """The label with the highest score s + lp, of equals the larger."""
+    each = [F.struct((F.col(f"s{i}") + F.col(f"lp{i}")).alias("s"), F.lit(x).alias("label")) for i, x in enumerate(labels)]
+    return (F.greatest(*each) if len(each) > 1 else each[0])["label"]
+
+
+def gnb_folds(long: DataFrame, target: str, chunk: str, prior: str = "laplacian_smoothing", labels: list | None = None) -> DataFrame:
+    """Gaussian naive Bayes, leaving out one chunk at a time: (fold, sample_id, target, prediction).
+
+    ``long`` has sample_id, target, chunk, feature_id, value. Each sample meets
+    only its own fold's model. Population variances.
+    """
+    labels = labels or uniques(long, target)
+    model, priors = gnb_model(long, target, chunk, labels, prior)
+    hit = long.select("sample_id", F.col(target).alias("target"), F.col(chunk).alias("fold"), "feature_id", "value").join(model, ["fold", "feature_id"])
+    terms = hit.select("fold", "sample_id", "target", *gnb_terms(labels))
+    scores = terms.groupBy("fold", "sample_id", "target").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(labels))))
+    return scores.join(F.broadcast(priors), "fold").select("fold", "sample_id", "target", best_label(labels).alias("prediction"))
+
+
+def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, chunk: str, labels: list | None = None) -> DataFrame:
+    """The same on a wide table: the models, one row a fold, meet each row by one broadcast join and the scores are one compiled projection."""
+    labels = labels or uniques(df, target)
     stats = [f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("v", F.var_pop))]
     cells = df.groupBy(chunk, target).agg(F.count("*").cast("double").alias("n"), *stats)
     train = cells.join(F.broadcast(cells.select(F.col(chunk).alias("fold")).distinct()), F.col(chunk) != F.col("fold"))
-    merged = [((F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"m{i}"), (F.sum(F.col("n") * (F.col(f"v{i}") + F.col(f"m{i}") * F.col(f"m{i}"))) / F.sum("n")).alias(f"q{i}")) for i in range(len(features))]
-    model = train.groupBy("fold", target).agg(F.sum("n").alias("n"), *(c for pair in merged for c in pair))
-    model = model.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct(F.col(target).alias("label"), "n", *(F.struct(F.col(f"m{i}").alias("m"), (F.col(f"q{i}") - F.col(f"m{i}") * F.col(f"m{i}")).alias("v")).alias(f"f{i}") for i in range(len(features)))))).alias("classes"))
-    # folds x classes x features numbers
-    j = df.join(F.broadcast(model), F.col(chunk) == F.col("fold"))
-    total = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["n"])
-
-    def score(c):
-        lp = F.ln((1 + c["n"]) / (total + F.size("classes")))
+    merged = []
+    for j, x in enumerate(labels):
+        of = lambda c, x=x: F.sum(F.when(F.col(target) == F.lit(x), c))
+        merged.append(of(F.col("n")).alias(f"n{j}"))
+        for i in range(len(features)):
+            m, v = F.col(f"m{i}"), F.col(f"v{i}")
+            merged += [(of(F.col("n") * m) / of(F.col("n"))).alias(f"m{i}_{j}"), (of(F.col("n") * (v + m * m)) / of(F.col("n"))).alias(f"q{i}_{j}")]
+    model = train.groupBy("fold").agg(*merged)
+    have = [F.coalesce(F.col(f"n{j}"), F.lit(0.0)) for j in range(len(labels))]
+    total, k = sum(have[1:], have[0]), sum(((h > 0).cast("double") for h in have[1:]), (have[0] > 0).cast("double"))
+    out = []
+    for j in range(len(labels)):
+        var = [F.col(f"q{i}_{j}") - F.col(f"m{i}_{j}") * F.col(f"m{i}_{j}") for i in range(len(features))]
+        const = F.ln((1 + have[j]) / (total + k)) - 0.5 * sum((LOG_2PI + F.ln(v) for v in var[1:]), LOG_2PI + F.ln(var[0]))
+        out += [F.when(have[j] > 0, const).alias(f"c{j}"), *((-0.5 / v).alias(f"w{i}_{j}") for i, v in enumerate(var)), *(F.col(f"m{i}_{j}") for i in range(len(features)))]
+    j_ = df.join(F.broadcast(model.select("fold", *out)), F.col(chunk) == F.col("fold"))
+
+    def score(j: int):
+        s = F.col(f"c{j}")
         for i, f in enumerate(features):
-            d, v = F.col(f) - c[f"f{i}"]["m"], c[f"f{i}"]["v"]
-            lp = lp - 0.5 * (LOG_2PI + F.ln(v) + d * d / v)
-        return F.struct(lp.alias("s"), c["label"].alias("label"))
+            d = F.col(f) - F.col(f"m{i}_{j}")
+            s = s + F.col(f"w{i}_{j}") * d * d
+        return F.struct(s.alias("s"), F.lit(labels[j]).alias("label"))
 
-    best = F.array_max(F.transform("classes", score))
-    return j.select("fold", F.col(key).alias("sample_id"), F.col(target).alias("target"), best["label"].alias("prediction"))
+    best = F.greatest(*(score(j) for j in range(len(labels)))) if len(labels) > 1 else score(0)
+    return j_.select("fold", F.col(key).alias("sample_id"), F.col(target).alias("target"), best["label"].alias("prediction"))
 
 
 def nearest_mean(df: DataFrame, means: DataFrame, label: str, values: str = "features") -> DataFrame:

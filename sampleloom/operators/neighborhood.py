@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOG_2PI = math.log(2 * math.pi)
+from sampleloom.operators.generators import uniques
+from sampleloom.operators.learners import best_label, gnb_model, gnb_terms
 
 
 def sphere_offsets(radius: float, dims: int, sizes: list[float] | None = None, distance: Callable | None = None, inner: float | None = None, centre: bool = True) -> list[tuple[int, ...]]:
@@ -94,24 +95,15 @@ def mean_searchlight(long: DataFrame, near: DataFrame) -> DataFrame:
 def gnb_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str) -> DataFrame:
     """Error of naive Bayes around each centre, leaving out one chunk at a time: (center_id, fold, error).
 
-    Statistics per (chunk, class, feature) once; log probabilities per sample,
-    class and feature once; neighbourhoods only sum them.
+    Statistics per (chunk, class, feature) once, log probabilities per sample
+    and feature once, with a column a class; neighbourhoods only sum them.
     """
-    cells = long.groupBy(chunk, target, "feature_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    folds = cells.select(F.col(chunk).alias("fold")).distinct()
-    train = cells.withColumnRenamed(target, "label").join(F.broadcast(folds), F.col(chunk) != F.col("fold"))
-    model = train.groupBy("fold", "label", "feature_id").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / F.sum("n")).alias("_q"))
-    model = model.withColumn("var", F.col("_q") - F.col("mean") * F.col("mean"))
-    prior = model.groupBy("fold", "label").agg(F.max("n").alias("n"))
-    total = prior.groupBy("fold").agg(F.sum("n").alias("_t"), F.count("*").alias("_k"))
-    prior = prior.join(F.broadcast(total), "fold").select("fold", "label", F.ln((1 + F.col("n")) / (F.col("_t") + F.col("_k"))).alias("lp"))
-    d = F.col("value") - F.col("mean")
-    logp = -0.5 * (LOG_2PI + F.ln("var") + d * d / F.col("var"))
-    scores = long.select("sample_id", F.col(target).alias("target"), F.col(chunk).alias("fold"), "feature_id", "value").join(model.drop("n", "_q"), ["fold", "feature_id"])
-    scores = scores.select("fold", "sample_id", "target", "label", "feature_id", logp.alias("logp"))
-    around = scores.join(F.broadcast(near), "feature_id").groupBy("center_id", "fold", "sample_id", "target", "label").agg(F.sum("logp").alias("s"))
-    around = around.join(F.broadcast(prior), ["fold", "label"]).withColumn("s", F.col("s") + F.col("lp"))
-    best = around.groupBy("center_id", "fold", "sample_id", "target").agg(F.max_by("label", F.struct("s", "label")).alias("prediction"))
+    labels = uniques(long, target)
+    model, priors = gnb_model(long, target, chunk, labels)
+    hit = long.select("sample_id", F.col(target).alias("target"), F.col(chunk).alias("fold"), "feature_id", "value").join(model, ["fold", "feature_id"])
+    scores = hit.select("fold", "sample_id", "target", "feature_id", *gnb_terms(labels))
+    around = scores.join(near, "feature_id").groupBy("center_id", "fold", "sample_id", "target").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(labels))))
+    best = around.join(F.broadcast(priors), "fold").select("center_id", "fold", "target", best_label(labels).alias("prediction"))
     return best.groupBy("center_id", "fold").agg(F.avg((F.col("prediction") != F.col("target")).cast("double")).alias("error"))
 
 
@@ -122,7 +114,7 @@ def m1nn_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str)
     train = cells.withColumnRenamed(target, "label").join(F.broadcast(folds), F.col(chunk) != F.col("fold")).groupBy("fold", "label", "feature_id").agg((F.sum("s") / F.sum("n")).alias("mean"))
     test = cells.select(F.col(chunk).alias("fold"), F.col(target).alias("target"), "feature_id", (F.col("s") / F.col("n")).alias("value"))
     sq = test.join(train, ["fold", "feature_id"]).withColumn("d", F.pow(F.col("value") - F.col("mean"), 2))
-    around = sq.join(F.broadcast(near), "feature_id").groupBy("center_id", "fold", "target", "label").agg(F.sum("d").alias("d"))
+    around = sq.join(near, "feature_id").groupBy("center_id", "fold", "target", "label").agg(F.sum("d").alias("d"))
     best = around.groupBy("center_id", "fold", "target").agg(F.min_by("label", F.struct("d", "label")).alias("prediction"))
     return best.groupBy("center_id", "fold").agg(F.avg((F.col("prediction") != F.col("target")).cast("double")).alias("error"))
 

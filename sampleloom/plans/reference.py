@@ -698,7 +698,7 @@ _P = " + ".join(f"-0.5 * (ln(2 * pi()) + ln(v{i}) + pow({c} - m{i}, 2) / v{i})"
 def gnb_cv_error(spark, d):
     """Leave-one-chunk-out error of naive Bayes on the line items: the flagship."""
     x = table(spark, d, "lineitem")
-    p = le.wide_gnb_folds(x, "l_orderkey", LINE, "l_returnflag", "l_linestatus", [], [])
+    p = le.wide_gnb_folds(x, "l_orderkey", LINE, "l_returnflag", "l_linestatus")
     return p.groupBy("fold").agg(F.round(er.mean_mismatch("prediction", "target"), 8).alias("error"), F.count("*").alias("n"))
 
 

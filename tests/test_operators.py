@@ -258,7 +258,7 @@ def test_learners(spark):
         want |= dict(zip(rows.sample_id[c == fold], m.predict(x[c == fold]), strict=True))
     assert {r.sample_id: r.prediction for r in p.collect()} == want
     wide = ds.wide(6).withColumnRenamed("sample_id", "k")
-    q = le.wide_gnb_folds(wide, "k", [f"f{i}" for i in range(6)], "target", "chunk", [], [])
+    q = le.wide_gnb_folds(wide, "k", [f"f{i}" for i in range(6)], "target", "chunk")
     assert {r.sample_id: r.prediction for r in q.collect()} == want
     for name in ("lda", "qda", "svm", "smlr", "knn"):
         e = le.cross_validate(df, mo.REGISTRY[name][1], "target", "chunk", {"error": er.mean_mismatch})
