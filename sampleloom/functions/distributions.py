@@ -78,7 +78,7 @@ def norm_ppf(p):
 
 def t_sf(t, df):
     """Right tail of Student's t."""
-    t = np.asarray(t, float)
+    t = np.clip(np.asarray(t, float), -1e150, 1e150)
     tail = 0.5 * betainc(np.asarray(df, float) / 2, 0.5, df / (df + t * t))
     return np.where(t >= 0, tail, 1 - tail)
 

@@ -78,11 +78,16 @@ def gnb_folds(long: DataFrame, target: str, chunk: str, prior: str = "laplacian_
     return scores.join(F.broadcast(priors), "fold").select("fold", "sample_id", "target", best_label(labels).alias("prediction"))
 
 
-def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, chunk: str, labels: list | None = None) -> DataFrame:
-    """The same on a wide table: the models, one row a fold, meet each row by one broadcast join and the scores are one compiled projection."""
+def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, chunk: str, labels: list | None = None, by: list[str] | None = None) -> DataFrame:
+    """The same on a wide table: the models, one row a fold, meet each row by one join and the scores are one compiled projection.
+
+    ``by`` names further keys, such as the repetition of a permutation: models
+    and predictions are then made for each, in the same plan.
+    """
+    by = by or []
     labels = labels or uniques(df, target)
     stats = [f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("v", F.var_pop))]
-    cells = df.groupBy(chunk, target).agg(F.count("*").cast("double").alias("n"), *stats)
+    cells = df.groupBy(*by, chunk, target).agg(F.count("*").cast("double").alias("n"), *stats)
     train = cells.join(F.broadcast(cells.select(F.col(chunk).alias("fold")).distinct()), F.col(chunk) != F.col("fold"))
     merged = []
     for j, x in enumerate(labels):
@@ -91,7 +96,7 @@ def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, ch
         for i in range(len(features)):
             m, v = F.col(f"m{i}"), F.col(f"v{i}")
             merged += [(of(F.col("n") * m) / of(F.col("n"))).alias(f"m{i}_{j}"), (of(F.col("n") * (v + m * m)) / of(F.col("n"))).alias(f"q{i}_{j}")]
-    model = train.groupBy("fold").agg(*merged)
+    model = train.groupBy(*by, "fold").agg(*merged)
     have = [F.coalesce(F.col(f"n{j}"), F.lit(0.0)) for j in range(len(labels))]
     total, k = sum(have[1:], have[0]), sum(((h > 0).cast("double") for h in have[1:]), (have[0] > 0).cast("double"))
     out = []
@@ -99,7 +104,7 @@ def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, ch
         var = [F.col(f"q{i}_{j}") - F.col(f"m{i}_{j}") * F.col(f"m{i}_{j}") for i in range(len(features))]
         const = F.ln((1 + have[j]) / (total + k)) - 0.5 * sum((LOG_2PI + F.ln(v) for v in var[1:]), LOG_2PI + F.ln(var[0]))
         out += [F.when(have[j] > 0, const).alias(f"c{j}"), *((-0.5 / v).alias(f"w{i}_{j}") for i, v in enumerate(var)), *(F.col(f"m{i}_{j}") for i in range(len(features)))]
-    j_ = df.join(F.broadcast(model.select("fold", *out)), F.col(chunk) == F.col("fold"))
+    j_ = df.withColumn("fold", F.col(chunk)).join(F.broadcast(model.select(*by, "fold", *out)), [*by, "fold"])
 
     def score(j: int):
         s = F.col(f"c{j}")
@@ -109,7 +114,7 @@ def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, ch
         return F.struct(s.alias("s"), F.lit(labels[j]).alias("label"))
 
     best = F.greatest(*(score(j) for j in range(len(labels)))) if len(labels) > 1 else score(0)
-    return j_.select("fold", F.col(key).alias("sample_id"), F.col(target).alias("target"), best["label"].alias("prediction"))
+    return j_.select(*by, "fold", F.col(key).alias("sample_id"), F.col(target).alias("target"), best["label"].alias("prediction"))
 
 
 def nearest_mean(df: DataFrame, means: DataFrame, label: str, values: str = "features") -> DataFrame:

@@ -21,6 +21,7 @@ from sampleloom.operators import neighborhood as ne
 from sampleloom.operators import ordered as od
 from sampleloom.operators import select as se
 from sampleloom.operators import stack as st
+from sampleloom.plans import pipelines as pl
 from sampleloom.session import table
 from sampleloom.streaming import live
 
@@ -1034,3 +1035,65 @@ def condition_names(spark, d):
     key = table(spark, d, "condition_key").groupBy(F.col("cond_name").alias("name")).agg(F.min("cond_id").alias("cond_id"))
     return s.join(key, "name", "left").groupBy("name", "cond_id").agg(F.count("*").alias("n"))
 
+
+
+# --- whole analyses -----------------------------------------------------------
+@query()
+def permutation_test(spark, d):
+    """Cross-validated error of the line items' flags and its probability under permuted flags."""
+    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
+    return pl.permutation_test(x, "o_orderkey", ["o_totalprice", "t"], "o_orderstatus", "chunk", 10)
+
+
+@query()
+def balanced_cv(spark, d):
+    """Error on balanced draws, five repetitions."""
+    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
+    return rounded(pl.balanced_cv(x, "o_orderkey", ["o_totalprice", "t"], "o_orderstatus", "chunk"), 6)
+
+
+@query()
+def cluster_threshold(spark, d):
+    """Clusters of one label's mean map on the grid above thresholds bootstrapped from all, with corrected probabilities."""
+    c = cells(spark, d)
+    observed = c.where("target = 3").groupBy("feature_id").agg(F.avg("value").alias("value"))
+    return rounded(pl.cluster_threshold(observed, c, "chunk", feature_grid(spark), ["x", "y"], 40, 0.2))
+
+
+@query()
+def event_amplitudes(spark, d):
+    """Response amplitudes of each trial type in a signal made from the events themselves."""
+    from sampleloom.operators.intervals import trimmed
+
+    b = table(spark, d, "bold_events").where("not isnan(onset) and not isnan(duration) and duration > 0 and onset is not null").withColumn("condition", F.lower(trimmed(F.col("trial_type"))))
+    b = b.where("condition not in ('', 'n/a')").select("event_id", "run_id", "onset", "duration", "condition").distinct()
+    times = b.groupBy("run_id").agg(F.max("onset").alias("m")).select("run_id", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("m"), F.lit(0)).cast("int"), F.lit(2))).alias("k")).select("run_id", F.col("k").cast("double").alias("t"))
+    x = od.hrf_design(times, b, ["run_id"], "t", "condition").groupBy("run_id", "t").agg((F.sum("x") * 2 + 5).alias("signal"))
+    signal = times.join(x, ["run_id", "t"], "left").na.fill(5.0, ["signal"])
+    return rounded(pl.event_model(signal, b, ["run_id"], "t", "signal", "condition"), 4)
+
+
+@query()
+def dsm_regression(spark, d):
+    """Dissimilarity of class means explained by label distance and by an earlier half of the data."""
+    v = vectors(spark, d)
+    dsm = me.pdist(me.group_means(v, ["target"]), "target", dist.squared_euclidean)
+    labels = dsm.select("id_a", "id_b", F.abs(F.col("id_a") - F.col("id_b")).cast("double").alias("value"))
+    half = me.pdist(me.group_means(v.where("chunk < 2"), ["target"]), "target", dist.squared_euclidean)
+    return rounded(pl.dsm_regression(dsm, {"label": labels, "half": half}), 5)
+
+
+@query()
+def searchlight_alignment(spark, d):
+    """Chunks as subjects aligned in every neighbourhood, the local projections summed."""
+    c = cells(spark, d).groupBy(F.col("chunk").alias("subject"), F.col("target").cast("long").alias("sample_id"), "feature_id").agg(F.avg("value").alias("value"))
+    return rounded(pl.searchlight_alignment(c, ne.neighbours(feature_grid(spark), ["x", "y"], 1.0)), 4)
+
+
+@query()
+def ml_logistic_cv(spark, d):
+    """Any pyspark.ml estimator by chunk: here logistic regression."""
+    from pyspark.ml.classification import LogisticRegression
+
+    p = pl.ml_cross_validate(vectors(spark, d), LogisticRegression(maxIter=5), "target", "chunk")
+    return rounded(p.groupBy("fold").agg(er.mean_mismatch("prediction", "target").alias("error")))
