@@ -13,7 +13,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +27,7 @@ BLOCK, HALO = 16_384, 256
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
     """Centred running median; at the ends, of the part of the window that is there."""
     half = min(width, len(x)) // 2
-    if not half:
-        return x.copy()
-    padded = np.concatenate([np.full(half, np.nan), x, np.full(half, np.nan)])
-    out = np.empty(len(x))
-    w = sliding_window_view(padded, 2 * half + 1)
-    inner = slice(half, len(x) - half)
-    out[inner] = np.median(w[inner], axis=1)
-    for edge in (slice(0, half), slice(len(x) - half, len(x))):
-        out[edge] = np.nanmedian(w[edge], axis=1)
-    return out
+    return pd.Series(x).rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
 
 
 def scatter(res: np.ndarray) -> float:
@@ -165,18 +155,25 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
     """
     names = [f"k{i}" for i in range(len(source))]
     plain = df.select(*(F.col(c).alias(n) for c, n in zip(source, names, strict=True)), F.col(number).cast("long").alias("n"), F.col(value).cast("double").alias("x")).dropna(subset=[*names, "n"])
-    low, high = F.floor((F.col("n") - HALO) / BLOCK), F.floor((F.col("n") + HALO) / BLOCK)
+    # no halo for blocks before the first and after the last that hold readings
+    ends = plain.agg(F.min("n"), F.max("n")).first()
+    first, last = ((v or 0) // BLOCK for v in ends)
+    low, high = F.greatest(F.floor((F.col("n") - HALO) / BLOCK), F.lit(first)), F.least(F.floor((F.col("n") + HALO) / BLOCK), F.lit(last))
     plain = plain.withColumn("block", F.explode(F.sequence(low, high)))
     types = ", ".join(f"{n} {t}" for n, t in plain.dtypes if n in names)
 
     def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "x"], kind="stable").drop_duplicates("n")
-        flags = judge(pdf["n"].to_numpy(), pdf["x"].to_numpy(float), limit, run, most, alpha)
-        block = int(pdf["block"].iloc[0])
-        own = (flags > 0) & (pdf["n"].to_numpy() // BLOCK == block)
-        out, flags = pdf.loc[own, [*names, "n"]].copy(), flags[own]
-        out["spike"], out["stuck"], out["out_of_range"] = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
-        return out
+        n, x, block = pdf["n"].to_numpy(), pdf["x"].to_numpy(float), int(pdf["block"].iloc[0])
+        order = np.lexsort((x, n))
+        n, x = n[order], x[order]
+        once = np.append(True, n[1:] != n[:-1])
+        n, x = n[once], x[once]
+        own = n // BLOCK == block
+        flags = judge(n, x, limit, run, most, alpha) if own.any() else np.zeros(len(n), np.int32)
+        own &= flags > 0
+        n, flags = n[own], flags[own]
+        key = pdf[names].iloc[np.zeros(len(n), int)].reset_index(drop=True)
+        return key.assign(n=n, spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
     found = plain.groupBy(*names, "block").applyInPandas(run_block, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, source, strict=True)), F.col("n").alias(number), "spike", "stuck", "out_of_range")

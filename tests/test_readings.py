@@ -53,6 +53,7 @@ def test_blocks_edges_and_nulls(spark):
     x[BLOCK + 10 : BLOCK + 25] = 7.5
     x[BLOCK - 40 : BLOCK - 30] = -3.25
     rows = [("r", "c", i, float(v), 1) for i, v in enumerate(x)] + [("r", "c", 3, None, 1), (None, "c", 1, 1e9, 1), ("r", None, 1, 1e9, 1), ("q", "c", 0, 1e9, 1), ("q", "c", 1, None, 1), ("q", "c", 0, 1e9, 1)]
+    rows += [("quiet", "c", i, float(v), 1) for i, v in enumerate(rng.normal(size=50))]
     df = spark.createDataFrame(rows, "rec string, chan string, num long, data double, block int")
     got = {(r.rec, r.num): r for r in implausible(df, ["rec", "chan"], "num", "data").collect()}
     want = {("r", BLOCK - 1), ("q", 0)} | {("r", i) for i in [*range(BLOCK + 10, BLOCK + 25), *range(BLOCK - 40, BLOCK - 30)]}
