@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.aggregate import correlation
+from sampleloom.session import checkpointed, partitions_for
 
 
 def _c(x: str | Column) -> Column:
@@ -76,17 +77,20 @@ def mean_tpr(df: DataFrame, p: str, t: str, by: list[str] | None = None) -> Data
 def auc(df: DataFrame, estimate: str, positive: Column, key: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by trapezoids over the estimates from high to low, ties not grouped.
 
-    Equal to the share of pairs ranked right, so it comes from places: each
-    positive's place among all and among positives. Places come from one window
-    per ``by`` group.
+    Equal to the share of pairs ranked right: each negative sees the positives
+    above it, those of its own range partition and those of earlier ones.
     """
     by = by or []
-    y = positive.cast("int")
-    w = W.partitionBy(*by).orderBy(F.col(estimate).desc(), F.col(key).desc())
-    at = df.select(*by, y.alias("_y"), F.row_number().over(w).alias("_r"), F.sum(y).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_tp"))
-    pos, neg = F.sum("_y"), F.count("*") - F.sum("_y")
-    # each negative sees the positives above it
-    return at.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("_y") == 0, F.col("_tp")).otherwise(0)), pos * neg).alias("auc"))
+    order = [F.col("_e").desc(), F.col("_key").desc()]
+    flat = df.select(*by, positive.cast("int").alias("_y"), F.col(estimate).alias("_e"), F.col(key).alias("_key"))
+    part = checkpointed(flat.repartitionByRange(partitions_for(df.sparkSession), *by, *order).withColumn("_part", F.spark_partition_id()))
+    above = F.sum("_y").over(W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    local = part.withColumn("_tp", above).groupBy(*by, "_part").agg(F.sum("_y").alias("pos"), (F.count("*") - F.sum("_y")).alias("neg"), F.sum(F.when(F.col("_y") == 0, F.col("_tp")).otherwise(0)).alias("hits"))
+    # one row a group and partition
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("pos").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = local.withColumn("hits", F.col("hits") + F.col("neg") * before)
+    return whole.groupBy(*by).agg(F.try_divide(F.sum("hits"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def roc(df: DataFrame, label: str, estimates: str, labels: list, key: str, by: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from sampleloom.operators.choose import Best, stop_stale, tail
 def by_sensitivity(long: DataFrame, scores: DataFrame, score: str, fraction: float = 0.05, mode: str = "discard", which: str = "lower") -> DataFrame:
     """Cells of the chosen features; by default the lowest 5 % are dropped."""
     kept = tail(scores, score, fraction=fraction, which=which, mode=mode).select("feature_id")
-    return long.join(F.broadcast(kept), "feature_id", "left_semi")
+    return long.join(kept, "feature_id", "left_semi")
 
 
 def combine(selections: list[DataFrame], method: str = "union") -> DataFrame:

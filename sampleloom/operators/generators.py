@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.ordered import coarse_groups
+from sampleloom.operators.select import ranked
 
 TRAIN, TEST = 1, 2
 
@@ -155,8 +156,8 @@ def permute(df: DataFrame, attrs: list[str], key: str, limit: list[str] | None =
     limit = limit or []
     base = repeated(df, count, "rep")
     group = [*limit, "rep"]
-    a = base.withColumn("_i", F.row_number().over(W.partitionBy(*group).orderBy(key))).drop(*attrs)
-    b = base.select(*group, *attrs, F.row_number().over(W.partitionBy(*group).orderBy(draw(key, F.col("rep"), seed), key)).alias("_i"))
+    a = ranked(base, group, [key], "_i").drop(*attrs, "_part")
+    b = ranked(base.withColumn("_h", draw(key, F.col("rep"), seed)), group, ["_h", key], "_i").select(*group, *attrs, "_i")
     return a.join(b, [*group, "_i"]).drop("_i")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.functions.distributions import beta_ppf, chi2_sf, norm_cdf, norm_ppf, t_sf
+from sampleloom.operators.select import ranked
 from sampleloom.session import materialised
 
 
@@ -107,11 +108,19 @@ def beta_interval(n: Column, x: Column, alpha: float = 0.05, method: str = "jeff
 
 
 def fdr_curve(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """n p / rank by ascending p, as a running maximum capped at 1."""
+    """n p / rank by ascending p, as a running maximum capped at 1.
+
+    Ranks and the maximum are taken within range partitions and completed by
+    those before, so a group of any size is shared among tasks.
+    """
     by = by or []
-    w = W.partitionBy(*by).orderBy(p, key)
-    ratio = F.col(p) * F.count("*").over(W.partitionBy(*by)) / F.row_number().over(w)
-    return df.withColumn("_q", ratio).withColumn("fdr", F.least(F.lit(1.0), F.max("_q").over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_q")
+    r = ranked(df, by, [p, key], "_pos", "_size").withColumn("_q", F.col(p) * F.col("_size") / (F.col("_pos") + 1))
+    local = F.max("_q").over(W.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    tops = r.groupBy(*by, "_part").agg(F.max("_q").alias("_top"))
+    tops = tops.withColumn("_top", F.max("_top").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+    j = r.join(tops, [*by, "_part"])
+    return j.withColumn("fdr", F.least(F.lit(1.0), F.greatest(local, F.col("_top")))).drop("_q", "_pos", "_size", "_part", "_top")
 
 
 def empirical_null(z: np.ndarray, bins: int = 0) -> tuple[float, float, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.dataset import ID, VALUES, Dataset
+from sampleloom.session import checkpointed, partitions_for
 
 
 def match(df: DataFrame, wanted: dict, strict: bool = True) -> DataFrame:
@@ -66,27 +67,33 @@ def expression(df: DataFrame, text: str) -> Column:
     return result
 
 
-def positions(samples: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """With ``pos``: each sample's place from 0 in the order of its id.
+def ranked(df: DataFrame, by: list[str], order: list, name: str = "pos", total: str | None = None) -> DataFrame:
+    """With each row's place from 0 within its group, and ``_part``: a rank that no single task computes.
 
-    Ranked by ranges: the rows are range-partitioned, counted by partition, and
-    each row's place is the count before its partition plus its place in it, so
-    no task sorts all rows.
+    The rows are range-partitioned by group and order, counted by group and
+    partition (a table of groups and partitions), and each row's place is the
+    count before its partition plus its place in it. A group of any size is
+    thus shared among tasks. ``total`` also gives the group's size.
     """
-    order = order or [ID]
-    spark = samples.sparkSession
-    from sampleloom.session import checkpointed, partitions_for
-
-    ranged = checkpointed(samples.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    # one row a partition
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    before, total = [], 0
-    for part, n in counts:
-        before.append((part, total))
-        total += n
-    offsets = F.create_map(*(F.lit(x) for pair in before for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("pos", (within + offsets[F.col("_part")]).cast("long")).drop("_part")
+    spark = df.sparkSession
+    ranged = checkpointed(df.repartitionByRange(partitions_for(spark), *by, *order).withColumn("_part", F.spark_partition_id()))
+    key = [*by, "_part"]
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    counts = ranged.groupBy(*key).agg(F.count("*").alias("_n"))
+    prior = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    table = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), prior.alias("_before"), F.sum("_n").over(group).alias("_total"))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)))
+    joined = ranged.join(table, same)
+    within = F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1
+    out = joined.withColumn(name, (F.col("_before") + within).cast("long"))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_before", "_total", *(f"_k{i}" for i in range(len(key))))
+
+
+def positions(samples: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """With ``pos``: each sample's place from 0 in the order of its id."""
+    return ranked(samples, [], order or [ID]).drop("_part")
 
 
 def take_samples(samples: DataFrame, which) -> DataFrame:

@@ -74,6 +74,6 @@ def stack_by_sample_attribute(df: DataFrame, attr: str, values: list, order: lis
 
 def stack_by_feature_attribute(ds: Dataset, attr: str) -> DataFrame:
     """Feature groups below each other: (sample_id, attr, features), one row for each sample and attribute value."""
-    cells = ds.long().join(F.broadcast(ds.features.select("feature_id", attr)), "feature_id")
+    cells = ds.long().join(ds.features.select("feature_id", attr), "feature_id")
     grouped = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
     return cells.groupBy(ID, *ds.sa, attr).agg(F.transform(grouped, lambda c: c["value"]).alias(VALUES))
