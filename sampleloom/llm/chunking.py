@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.llm.tokens import TOKENIZER, Cutter, count_tokens, cut_text, strengths, sync, token_sizes
+from sampleloom.llm.tokens import TOKENIZER, Cutter, count_tokens, strengths, sync, token_sizes
 
 PIECES = "doc_id long, piece int, start_byte long, end_byte long, n_tokens int, text string"
 BEFORE = 8
@@ -28,10 +28,12 @@ def _whole(batches: Iterator[pd.DataFrame], limit: int, overlap: int, path: str)
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            if count_tokens(text, path) <= limit:
+            sizes = token_sizes(text, path)
+            if len(sizes) <= limit:
                 continue
-            raw = text.encode()
-            for k, (a, b) in enumerate(cut_text(text, Cutter(limit, overlap), path)):
+            raw, cutter = text.encode(), Cutter(limit, overlap)
+            at = np.cumsum(sizes) - sizes
+            for k, (a, b) in enumerate([*cutter.feed(sizes, strengths(raw, at)), *cutter.finish()]):
                 piece = raw[a:b].decode()
                 rows.append((doc, k, a, b, count_tokens(piece, path), piece))
         yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_byte", "end_byte", "n_tokens", "text"])
