@@ -170,12 +170,17 @@ def split_records(samples: DataFrame, shares: dict[str, float], key: str = "samp
     index = {k: i for i, k in enumerate(common)}
     sizes = materialised(grouped.groupBy("group_id").agg(F.count("*").alias("n")))
     top = sizes.orderBy(F.desc("n"), "group_id").limit(heavy)
-    mix = grouped.join(F.broadcast(top.select("group_id")), "group_id").groupBy("group_id", "kind").count().collect()
-    by: dict[str, np.ndarray] = {}
-    for r in mix:
-        by.setdefault(r["group_id"], np.zeros(kinds))[index.get(r["kind"], kinds - 1)] += r["count"]
-    order = sorted(by, key=lambda g: (-by[g].sum(), g))
-    mixes = np.array([by[g] for g in order]).reshape(len(order), kinds)
+    rare = F.lit(kinds - 1)
+    pairs = [F.lit(x) for k, i in index.items() if k is not None for x in (k, i)]
+    coded = F.coalesce(F.create_map(*pairs)[F.col("kind")], rare) if pairs else rare
+    at = F.when(F.col("kind").isNull(), F.lit(index.get(None, kinds - 1))).otherwise(coded)
+    # at most heavy x kinds rows of a name and two numbers
+    mix = grouped.join(F.broadcast(top.select("group_id")), "group_id").groupBy("group_id", at.alias("k")).count().toPandas()
+    order = sorted(mix["group_id"].unique())
+    mixes = np.zeros((len(order), kinds))
+    np.add.at(mixes, (np.searchsorted(np.array(order, object), mix["group_id"].to_numpy()), mix["k"].to_numpy(int)), mix["count"].to_numpy(float))
+    largest = np.argsort(-mixes.sum(1), kind="stable")
+    order, mixes = [order[i] for i in largest], mixes[largest]
     rest = sizes.join(F.broadcast(top.select("group_id")), "group_id", "left_anti")
     counts = sorted(((r["n"], r["count"]) for r in rest.groupBy("n").count().collect()), reverse=True)
     filled = np.zeros((len(names), kinds))
