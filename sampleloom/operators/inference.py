@@ -250,3 +250,25 @@ def cluster_statistics(found: DataFrame, cluster: str = "cluster", value: str =
 
 def z_quantile(alpha: float) -> float:
     return float(norm_ppf(np.array([1 - alpha / 2]))[0])
+
+
+def dist_pvalues(x: np.ndarray, n: int, fpp: float | None = None, rounds: int = 10) -> np.ndarray:
+    """Two-sided probabilities of values under the r distribution with ``n`` - 1 dimensions.
+
+    Values are centred and scaled to it first; with ``fpp`` the values whose
+    probability falls below that are taken for positives and left out of centre
+    and scale, until they no longer change.
+    """
+    x = np.asarray(x, float)
+    null = np.ones(len(x), bool)
+    for _ in range(rounds if fpp else 1):
+        centre, scale = x[null].mean(), x[null].std() or 1.0
+        # the r distribution's own deviation
+        r = np.clip((x - centre) / scale / np.sqrt(n), -1 + 1e-15, 1 - 1e-15)
+        t = np.abs(r) * np.sqrt((n - 2) / (1 - r * r))
+        p = np.minimum(1.0, 2 * t_sf(t, n - 2))
+        new = p >= fpp if fpp else null
+        if not new.any() or (new == null).all():
+            break
+        null = new
+    return p

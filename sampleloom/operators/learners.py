@@ -285,3 +285,38 @@ def cross_validate(df: DataFrame, make: Callable[[], Model], target: str, chunk:
     kind = "double" if make().regression else None
     predicted = predict_folds(df, fit_folds(df, make, target, chunk, **kwargs), target, chunk, kind=kind)
     return predicted.groupBy("fold").agg(*(f("prediction", "target").alias(n) for n, f in errors.items()))
+
+
+# --- sensitivities -----------------------------------------------------------
+def sensitivities(models: DataFrame) -> DataFrame:
+    """(fold, component, feature_id, weight) of fitted models that have weights; others raise."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for fold, raw in zip(pdf["fold"], pdf["model"], strict=True):
+                m = pickle.loads(raw)
+                w = np.asarray(m.weights, float)
+                # one row a component: a class, a pair of classes, or the regression itself
+                w = w[None] if w.ndim == 1 else w.T if type(m).__name__ == "SMLR" else w
+                rows += [(fold, c, f, float(v)) for c, row in enumerate(w) for f, v in enumerate(row)]
+            yield pd.DataFrame(rows, columns=["fold", "component", "feature_id", "weight"])
+
+    return models.mapInPandas(run, f"fold {dict(models.dtypes)['fold']}, component int, feature_id int, weight double")
+
+
+def gnb_weights(long: DataFrame, target: str) -> DataFrame:
+    """(label_a, label_b, feature_id, weight) of common-variance naive Bayes: (mean_b - mean_a) / variance, for each pair of classes."""
+    cells = long.groupBy(target, "feature_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    common = cells.groupBy("feature_id").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("var"))
+    a, b = cells.select(F.col(target).alias("label_a"), "feature_id", F.col("m").alias("ma")), cells.select(F.col(target).alias("label_b"), "feature_id", F.col("m").alias("mb"))
+    # classes x features, not samples
+    pairs = a.join(b, "feature_id").where("label_a < label_b").join(common, "feature_id")
+    return pairs.select("label_a", "label_b", "feature_id", F.try_divide(F.col("mb") - F.col("ma"), F.col("var")).alias("weight"))
+
+
+def binary_labels(sensitivity: DataFrame, labels: list) -> DataFrame:
+    """Components of one-against-one models named by their pair of labels."""
+    pairs = [(i, a, b) for i, (a, b) in enumerate((x, y) for k, x in enumerate(labels) for y in labels[k + 1 :])]
+    names = F.create_map(*(F.lit(v) for i, a, b in pairs for v in (i, f"{a}|{b}")))
+    return sensitivity.withColumn("pair", names[F.col("component")])

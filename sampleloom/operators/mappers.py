@@ -310,3 +310,22 @@ def segment_accuracy(data: list[np.ndarray], width: int = 6, overlapping: bool =
         r = off_diagonal(-r, width if overlapping else 1)
         out.append(float(np.mean(np.argmin(r, axis=1) == np.arange(len(r)))))
     return out
+
+
+def hyperalign_selected(data: list[np.ndarray], share: float = 1.0, same: bool = False, reference: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Alignment on the features that correlate best across datasets: (projections over all features, chosen features of each).
+
+    ``share`` of the features are chosen by :func:`feature_scores`, the same ones
+    for all datasets if asked for; unchosen features have no weight.
+    """
+    scores = feature_scores(data)
+    if same:
+        scores = [np.sum(scores, axis=0)] * len(data)
+    chosen = [np.sort(np.argsort(-s, kind="stable")[: max(1, int(round(share * len(s))))]) for s in scores]
+    maps, _ = hyperalign([x[:, c] for x, c in zip(data, chosen, strict=True)], reference)
+    out = []
+    for x, c, m in zip(data, chosen, maps, strict=True):
+        full = np.zeros((x.shape[1], m.matrix.shape[1]))
+        full[c] = m.matrix
+        out.append(full)
+    return out, chosen

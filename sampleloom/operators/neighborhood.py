@@ -302,3 +302,17 @@ def probable_labels(points: DataFrame, atlas: DataFrame, coords: list[str], thre
         best = hit.groupBy(key).agg(F.max_by("label", F.struct("probability", "label")).alias("label"), F.max("probability").alias("probability"))
         return points.join(best, key, "left")
     return hit
+
+
+def masked_volumes(voxels: DataFrame, mask: DataFrame | None = None, tr: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Voxel values (t, i, j, k, value) as cells and features: (sample_id, time_coords, feature_id, value) and (feature_id, i, j, k).
+
+    ``mask`` (i, j, k) keeps its voxels. Features are numbered in order of
+    coordinates, by a rank that no single task computes.
+    """
+    from sampleloom.operators.select import ranked
+
+    kept = voxels if mask is None else voxels.join(mask.select("i", "j", "k").distinct(), ["i", "j", "k"], "left_semi")
+    features = ranked(kept.select("i", "j", "k").distinct(), [], ["i", "j", "k"]).select(F.col("pos").cast("int").alias("feature_id"), "i", "j", "k")
+    cells = kept.join(features, ["i", "j", "k"]).select(F.col("t").cast("long").alias("sample_id"), (F.col("t") * F.lit(tr or 1.0)).alias("time_coords"), "feature_id", "value")
+    return cells, features

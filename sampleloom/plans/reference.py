@@ -1097,3 +1097,35 @@ def ml_logistic_cv(spark, d):
 
     p = pl.ml_cross_validate(vectors(spark, d), LogisticRegression(maxIter=5), "target", "chunk")
     return rounded(p.groupBy("fold").agg(er.mean_mismatch("prediction", "target").alias("error")))
+
+
+@query(f"""WITH c AS (SELECT target, feature_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM ({LONG}) GROUP BY ALL), w AS (SELECT feature_id, sum(n * v) / sum(n) AS var FROM c GROUP BY 1)
+ SELECT a.target AS label_a, b.target AS label_b, feature_id, round((b.m - a.m) / var, 5) + 0 AS weight FROM c a JOIN c b USING (feature_id) JOIN w USING (feature_id) WHERE a.target < b.target""")
+def gnb_weights(spark, d):
+    return rounded(le.gnb_weights(cells(spark, d), "target"), 5)
+
+
+@query()
+def svm_sensitivities(spark, d):
+    """Weights of the pairwise linear machines of every fold, with their pairs named."""
+    from sampleloom.functions.models import SVM
+
+    v = vectors(spark, d)
+    return rounded(le.binary_labels(le.sensitivities(le.fit_folds(v, SVM, "target", "chunk", most=200)), ge.uniques(v, "target")), 5)
+
+
+@query("""WITH s AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS pos, count(*) OVER () AS n FROM events) SELECT event_id, pos, CAST(floor(pos * 10 / n) AS BIGINT) AS decile FROM s""")
+def global_ranks(spark, d):
+    """Place and decile of every row among all, ranked by ranges."""
+    x = se.ranked(table(spark, d, "events").select("event_id", "value"), [], ["value", "event_id"], "pos", "n")
+    return x.select("event_id", "pos", F.floor(F.col("pos") * 10 / F.col("n")).alias("decile"))
+
+
+@query("""WITH c AS (SELECT lower(regexp_replace(trial_type, '^\\s+|\\s+$', '', 'g')) AS t, run_id, event_id FROM bold_events WHERE trial_type IS NOT NULL), d AS (SELECT DISTINCT t, run_id, event_id FROM c WHERE t NOT IN ('', 'n/a'))
+ SELECT run_id, count(DISTINCT t) AS kinds, string_agg(DISTINCT t, '+' ORDER BY t) AS merged, count(*) AS n FROM d GROUP BY 1""")
+def merged_trial_types(spark, d):
+    """Per run the trial types joined by '+', as merged attributes are."""
+    from sampleloom.operators.intervals import trimmed
+
+    b = table(spark, d, "bold_events").select("event_id", "run_id", F.lower(trimmed(F.col("trial_type"))).alias("t")).where("t not in ('', 'n/a')").distinct()
+    return b.groupBy("run_id").agg(F.countDistinct("t").alias("kinds"), ag.merge_unique("t").alias("merged"), F.count("*").alias("n"))

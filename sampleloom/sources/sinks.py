@@ -50,3 +50,16 @@ def full_grid(values: DataFrame, shape: tuple[int, int, int], filler: float = 0.
     n = shape[0] * shape[1] * shape[2]
     grid = values.sparkSession.range(n).selectExpr(f"cast(id div {shape[1] * shape[2]} as int) i", f"cast((id div {shape[2]}) % {shape[1]} as int) j", f"cast(id % {shape[2]} as int) k")
     return grid.join(values, ["i", "j", "k"], "left").withColumn(value, F.coalesce(value, F.lit(float(filler))))
+
+
+def niml_text(df: DataFrame, labels: list[str], stats: list[str], node: str = "node", values: str = "values") -> str:
+    """A NIML dataset in text form, of a surface's data that one machine holds."""
+    rows = df.orderBy(node).select(node, values).collect()
+    data = "\n".join(" ".join(f"{v:.10g}" for v in r[1]) for r in rows)
+    index = "\n".join(str(r[0]) for r in rows)
+    atr = lambda name, x: f'<AFNI_atr atr_name="{name}" ni_type="String" ni_dimen="1" >\n"{";".join(x)}"\n</AFNI_atr>\n'
+    return (
+        '<AFNI_dataset dset_type="Node_Bucket" ni_form="ni_group" >\n'
+        f'<SPARSE_DATA data_type="Node_Bucket_data" ni_type="{len(labels)}*float" ni_dimen="{len(rows)}" >\n{data}\n</SPARSE_DATA>\n'
+        f'<INDEX_LIST data_type="Node_Bucket_node_indices" ni_type="int" ni_dimen="{len(rows)}" >\n{index}\n</INDEX_LIST>\n' + atr("COLMS_LABS", labels) + atr("COLMS_STATSYM", stats) + "</AFNI_dataset>\n"
+    )

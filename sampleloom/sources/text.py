@@ -252,3 +252,32 @@ def inline(spark: SparkSession, name: str, values: list) -> DataFrame:
 def npy(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     """A vector from a .npy file."""
     return inline(spark, name, np.load(path, allow_pickle=False).tolist())
+
+
+NIML_GROUP = re.compile(r"<(\w+)((?:\s+[\w.]+\s*=\s*(?:\"[^\"]*\"|\S+?))*)\s*(/?)>", re.S)
+NIML_ATTR = re.compile(r"([\w.]+)\s*=\s*(?:\"([^\"]*)\"|([^\s>]+))", re.S)
+
+
+def niml_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, node, row, values, labels, stats) of NIML datasets in text form: the data rows with their node indices, and the column labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["path"], pdf["value"], strict=True):
+                text = re.sub(r"(?m)^#\s?", "", text)
+                data, nodes, info = [], None, {}
+                for m in NIML_GROUP.finditer(text):
+                    attrs = {a: b or c for a, b, c in NIML_ATTR.findall(m.group(2))}
+                    body = text[m.end() : text.find(f"</{m.group(1)}>", m.end())] if not m.group(3) else ""
+                    if m.group(1) == "SPARSE_DATA":
+                        data = [[float(v) for v in line.split()] for line in body.strip().splitlines() if line.strip()]
+                    elif m.group(1) == "INDEX_LIST":
+                        nodes = [int(v) for v in body.split()]
+                    elif m.group(1) == "AFNI_atr":
+                        info[attrs.get("atr_name")] = body.strip().strip('"')
+                n = len(data)
+                nodes = nodes if nodes is not None else list(range(n))
+                yield pd.DataFrame({"path": [name] * n, "row": list(range(n)), "node": nodes[:n], "values": data, "labels": [info.get("COLMS_LABS")] * n, "stats": [info.get("COLMS_STATSYM")] * n})
+
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return files.mapInPandas(run, "path string, row int, node int, values array<double>, labels string, stats string")
