@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sampleloom.operators.select import join_same, ranked
+
 
 def merge_unique(c: Column | str) -> Column:
     """An attribute's merged value: itself if all are equal, else the sorted distinct values joined by ``+``."""
@@ -85,15 +86,15 @@ def summary_targets(df: DataFrame, target: str, chunk: str) -> DataFrame:
 
 
 def transitions(df: DataFrame, attr: str, order: list[str], by: list[str], k: int = 1) -> DataFrame:
-    """How often each value is followed, ``k`` places on, by each other."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn("following", F.lead(attr, k).over(w)).where("following is not null").groupBy(F.col(attr).alias("value"), "following").agg(F.count("*").alias("n"))
+    """How often each value is followed, ``k`` places on, by each other; places and partners are joined, not windowed."""
+    at = ranked(df.select(*by, *order, F.col(attr).alias("value")), by, order, "_i").select(*by, "_i", "value")
+    after = at.select(*by, (F.col("_i") - k).alias("_i"), F.col("value").alias("following"))
+    return join_same(at, after, [*by, "_i"]).where("following is not null").groupBy("value", "following").agg(F.count("*").alias("n"))
 
 
 def circular_autocorrelation(df: DataFrame, value: str, order: list[str], by: list[str], shifts: int) -> DataFrame:
     """Correlation of each sequence with itself turned by 1 to ``shifts`` places."""
-    w = W.partitionBy(*by).orderBy(*order)
-    at = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(*by)).alias("n"))
+    at = ranked(df.select(*by, *order, F.col(value).cast("double").alias("v")), by, order, "i", "n").select(*by, "v", "i", "n")
     turned = at.select(*by, F.col("v").alias("_turned"), F.explode(F.sequence(F.lit(1), F.lit(shifts))).alias("shift"), "i", "n")
     turned = turned.withColumn("i", F.pmod(F.col("i") - F.col("shift"), "n")).drop("n").where("shift > 0")
     return at.join(turned, [*by, "i"]).where("shift < n").groupBy(*by, "shift").agg(correlation("v", "_turned").alias("r"))

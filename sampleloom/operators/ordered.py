@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sampleloom.operators.select import marked_changes, ranked
+
 
 # --- normalisation ---------------------------------------------------------
 def zscore(df: DataFrame, columns: list[str], chunk: str | None = None, baseline: Column | None = None) -> DataFrame:
@@ -150,14 +152,8 @@ def haar_packet(x: np.ndarray, level: int) -> np.ndarray:
 def find_events(df: DataFrame, attrs: list[str], order: list[str], by: list[str]) -> DataFrame:
     """Runs of equal attribute values as events: run (``run_no`` if that name is taken), onset (place from 0), duration, and the values."""
     name = "run_no" if "run" in (*by, *attrs) else "run"
-    w = W.partitionBy(*by).orderBy(*order)
-    pos = F.row_number().over(w) - 1
-    change = F.lit(False)
-    for a in attrs:
-        change = change | ~F.col(a).eqNullSafe(F.lag(a).over(w))
-    marked = df.withColumn("_pos", pos).withColumn("_new", F.when(F.col("_pos") == 0, 1).otherwise(F.coalesce(change.cast("int"), F.lit(1))))
-    runs = marked.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    return runs.groupBy(*by, name, *attrs).agg(F.min("_pos").cast("long").alias("onset"), F.count("*").alias("duration"))
+    runs = marked_changes(df, attrs, order, by)
+    return runs.groupBy(*by, F.col("_run").alias(name), *attrs).agg(F.min("_pos").alias("onset"), F.count("*").alias("duration"))
 
 
 def break_points(df: DataFrame, attr: str, order: list[str], by: list[str], contiguous: bool = False) -> DataFrame:
@@ -213,10 +209,10 @@ def coarsen_chunks(df: DataFrame, chunk: str, groups: int = 4) -> DataFrame:
     return df.join(F.broadcast(table), chunk)
 
 
-def rank_order(by: list[str], value: str, tie: str, reverse: bool = False) -> Column:
-    """Rank from 0: highest first (later of equals first), or lowest first."""
+def rank_order(df: DataFrame, by: list[str], value: str, tie: str, reverse: bool = False, name: str = "rank") -> DataFrame:
+    """Rank from 0 within each group: highest first (later of equals first), or lowest first; shared among tasks."""
     order = [F.col(value).asc(), F.col(tie).asc()] if reverse else [F.col(value).desc(), F.col(tie).desc()]
-    return F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
+    return ranked(df, by, order, name).drop("_part")
 
 
 def is_sorted(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
@@ -275,7 +271,7 @@ def label_samples(samples: DataFrame, events: DataFrame, by: list[str], time: st
     units, so the interval join is an equality join with a residual; an event
     takes part in each slot that it touches.
     """
-    begin = as_of(events.withColumn("_on", F.col("onset") + F.lit(shift)), samples, by, "_on", time, key, "prev")
+    begin = as_of(events.withColumn("_on", F.col("onset") + F.lit(shift)), samples, by, "_on", time, key, "prev", slot=50 * width)
     begin = begin.withColumn("_from", F.col(f"matched_{time}")).withColumn("_to", F.col("_on") + F.col("duration"))
     begin = begin.where("_from is not null and duration > 0")
     slots = begin.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.greatest("_from", "_to") / width))))

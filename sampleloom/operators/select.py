@@ -67,6 +67,13 @@ def expression(df: DataFrame, text: str) -> Column:
     return result
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the keys appear once."""
+    renamed = right.select(*(F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    on = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)))
+    return left.join(renamed, on, how).drop(*(f"_j{i}" for i in range(len(keys))))
+
+
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "pos", total: str | None = None) -> DataFrame:
     """With each row's place from 0 within its group, and ``_part``: a rank that no single task computes.
 
@@ -81,14 +88,35 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "pos", total:
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     counts = ranged.groupBy(*key).agg(F.count("*").alias("_n"))
     prior = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    table = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), prior.alias("_before"), F.sum("_n").over(group).alias("_total"))
-    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)))
-    joined = ranged.join(table, same)
+    table = counts.select(*key, prior.alias("_before"), F.sum("_n").over(group).alias("_total"))
+    joined = join_same(ranged, table, key)
     within = F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1
     out = joined.withColumn(name, (F.col("_before") + within).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_before", "_total", *(f"_k{i}" for i in range(len(key))))
+    return out.drop("_before", "_total")
+
+
+def marked_changes(df: DataFrame, attrs: list[str], order: list, by: list[str]) -> DataFrame:
+    """With ``_pos`` (place in the sequence), ``_new`` (1 where a run of equal attributes begins) and ``_run`` (its number from 0).
+
+    Neighbours and numbers are found within range partitions and completed from
+    a table of one row a sequence and partition, so a sequence of any length is
+    shared among tasks.
+    """
+    r = ranked(df, by, order, "_pos")
+    key = [*by, "_part"]
+    value = F.struct(*(F.col(a).alias(f"a{i}") for i, a in enumerate(attrs)))
+    local = W.partitionBy(*key).orderBy("_pos")
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    lasts = r.groupBy(*key).agg(F.max_by(value, "_pos").alias("_last"))
+    lasts = lasts.withColumn("_prior", F.lag("_last").over(group.orderBy("_part"))).drop("_last")
+    r = join_same(r, lasts, key).withColumn("_prev", F.coalesce(F.lag(value).over(local), F.col("_prior")))
+    r = r.withColumn("_new", F.when((F.col("_pos") == 0) | ~value.eqNullSafe(F.col("_prev")), 1).otherwise(0)).drop("_prev", "_prior")
+    sums = r.groupBy(*key).agg(F.sum("_new").alias("_s"))
+    sums = sums.withColumn("_sum", F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    r = join_same(r, sums, key)
+    return r.withColumn("_run", F.col("_sum") + F.sum("_new").over(local.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_sum", "_part")
 
 
 def positions(samples: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -163,16 +191,16 @@ def samples_by_attr(df: DataFrame, attr: str, values: list, sort: bool = True, k
 def strip_boundaries(df: DataFrame, attr: str, pre: int, post: int, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Without ``pre`` samples before and ``post`` after each change of an attribute along the order.
 
-    ``by`` names the sequences to look at separately (such as a run); give one
-    wherever the data has one, as a sequence is ordered as a whole.
+    ``by`` names the sequences to look at separately (such as a run).
     """
-    w = W.partitionBy(*(by or [])).orderBy(*order)
-    change = F.coalesce((~F.col(attr).eqNullSafe(F.lag(attr).over(w))) & F.lag(F.lit(1)).over(w).isNotNull(), F.lit(False)).cast("int")
-    marked = df.withColumn("_c", change)
-    near = F.max("_c").over(w.rowsBetween(-(post - 1), pre)) if post > 0 or pre > 0 else F.lit(0)
-    if post == 0:
-        near = F.coalesce(F.max("_c").over(w.rowsBetween(1, pre)), F.lit(0)) if pre else F.lit(0)
-    return marked.withColumn("_near", near).where(F.col("_near") == 0).drop("_c", "_near")
+    by = by or []
+    marked = marked_changes(df, [attr], order, by)
+    # a change at place c drops the places c - pre to c + post - 1
+    gone = marked.where("_new = 1 and _pos > 0").select(*by, F.explode(F.sequence(F.col("_pos") - pre, F.col("_pos") + post - 1)).alias("_pos")).distinct() if pre + post > 0 else None
+    out = marked.drop("_new", "_run")
+    if gone is not None:
+        out = join_same(out, gone.withColumn("_gone", F.lit(True)), [*by, "_pos"], "left").where("_gone is null").drop("_gone")
+    return out.drop("_pos")
 
 
 def apply_selection(df: DataFrame, marker: str = "balanced_set") -> DataFrame:

@@ -59,6 +59,11 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(vectors(spark, d)).long()
 
 
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their place in the user's sequence."""
+    return se.ranked(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).drop("_part")
+
+
 def feature_grid(spark: SparkSession) -> DataFrame:
     """64 features on an 8 x 8 grid."""
     return spark.range(64).selectExpr("cast(id as int) feature_id", "cast(id div 8 as int) x", "cast(id % 8 as int) y")
@@ -177,7 +182,7 @@ def zscore_features(spark, d):
  f AS (SELECT user_id, avg(i) AS mi, avg(value) AS mv, covar_pop(value, i) AS c, var_pop(i) AS v FROM s GROUP BY 1)
  SELECT event_id, round(value - mv - CASE WHEN v > 0 THEN c / v ELSE 0 END * (i - mi), 5) + 0 AS value FROM s JOIN f USING (user_id)""")
 def detrend_linear(spark, d):
-    e = table(spark, d, "events").withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    e = numbered(spark, d).withColumn("i", F.col("pos"))
     return od.detrend_linear(e, "value", "i", ["user_id"]).select("event_id", r("value", 5).alias("value"))
 
 
@@ -215,11 +220,12 @@ def discrete_events(spark, d):
     return rounded(od.discrete_events(b, 2.5, "offset_s").distinct())
 
 
-@query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id DESC) - 1 AS INT) AS rank,
- CAST(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS INT) AS reverse_rank FROM events""")
+@query("""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id DESC) - 1 AS rank,
+ row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS reverse_rank FROM events""")
 def rank_order(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", od.rank_order(["event_type"], "value", "event_id").alias("rank"), od.rank_order(["event_type"], "value", "event_id", True).alias("reverse_rank"))
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    both = od.rank_order(od.rank_order(e, ["event_type"], "value", "event_id"), ["event_type"], "value", "event_id", True, "reverse_rank")
+    return both.select("event_id", "rank", "reverse_rank")
 
 
 AS_OF = """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), b AS (SELECT user_id, ts, max(event_id) AS hit FROM events WHERE event_type = 'purchase' GROUP BY ALL),
@@ -269,7 +275,7 @@ def interval_label(spark, d):
 @query("""WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
  SELECT user_id, CAST(pos // 4 AS BIGINT) AS box, round(avg(value), 6) AS mean, count(*) AS n FROM p GROUP BY ALL HAVING count(*) = 4""")
 def boxcar_mean(spark, d):
-    e = table(spark, d, "events").withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    e = numbered(spark, d)
     starts = e.where("pos % 4 = 0").select("user_id", F.expr("pos div 4").alias("box"), F.col("pos").alias("start"))
     return rounded(od.boxcar_mean(e, starts, 4, ["user_id"], "value")).where("n = 4").drop("start")
 
@@ -278,7 +284,7 @@ def boxcar_mean(spark, d):
  SELECT a.user_id, a.event_id AS box, string_agg(CAST(round(b.value, 2) AS VARCHAR), ',' ORDER BY b.pos) IS NOT NULL AS found, round(sum(b.value * (b.pos - a.pos + 1)), 4) AS weighted FROM p a JOIN p b ON a.user_id = b.user_id AND b.pos BETWEEN a.pos AND a.pos + 2
  WHERE a.event_type = 'purchase' GROUP BY ALL HAVING count(*) = 3""")
 def event_samples(spark, d):
-    e = table(spark, d, "events").withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    e = numbered(spark, d)
     ev = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("box"), F.col("pos").alias("start"))
     s = od.event_samples(e.select("user_id", "pos", "value"), ev, ["user_id"], "pos", "value", 3)
     return s.select("user_id", "box", F.lit(True).alias("found"), r(F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("weighted"))
@@ -780,8 +786,9 @@ PRED = f"WITH e AS (SELECT user_id, event_id, event_type AS t, lag(event_type) O
 
 def predictions(spark, d) -> DataFrame:
     """Each event's type predicted by the user's previous one."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("t"), F.lag("event_type").over(w).alias("p"), "value").where("p is not null")
+    e = numbered(spark, d).select("user_id", "event_id", F.col("event_type").alias("t"), "value", "pos")
+    before = e.select("user_id", (F.col("pos") + 1).alias("pos"), F.col("t").alias("p"))
+    return e.join(before, ["user_id", "pos"]).select("user_id", "event_id", "t", "p", "value")
 
 
 @query(PRED + "SELECT p AS prediction, t AS target, count(*) AS n FROM x GROUP BY ALL")
