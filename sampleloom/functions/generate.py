@@ -6,18 +6,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The toy set of 24 samples; targets by thirds or halves, chunks by row.
-DUMB = [[1, 0], [1, 0], [1, 0], [1, 0], [1, 1], [1, 1], [1, 1], [1, 1], [0, 1], [0, 1], [0, 1], [0, 1], [0, 0], [0, 0], [0, 0], [0, 0], [-1, 0], [-1, 0], [-1, 0], [-1, 0], [0, -1], [0, -1], [0, -1], [0, -1]]
-
-
-def normal_features(spark: SparkSession, per_label: int = 50, labels: int = 2, features: int = 4, chunks: int = 5, snr: float = 3.0, nonbogus: list[int] | None = None, seed: int = 0, partitions: int | None = None) -> DataFrame:
-    """Classes L0, L1, ... with one shifted feature each and normal noise of variance 1 / snr."""
+def normal_features(spark: SparkSession, per_label: int = 50, labels: int = 2, features: int = 4, chunks: int = 5, snr: float = 3.0, nonbogus: list[int] | None = None, seed: int = 0, partitions: int | None = None, normalize: bool = False) -> DataFrame:
+    """Classes L0, L1, ... with one shifted feature each and normal noise of variance 1 / snr; ``normalize`` scales to a largest size of 1."""
     nonbogus = nonbogus if nonbogus is not None else list(range(min(labels, features)))
     base = spark.range(0, per_label * labels, 1, partitions)
     label = F.floor(F.col("id") / per_label).cast("int")
     shift = F.array(*(F.array(*(F.lit(1.0 if l < len(nonbogus) and nonbogus[l] == f else 0.0) for f in range(features))) for l in range(labels)))
     values = F.array(*(shift[label][f] + F.randn(seed + f) / float(np.sqrt(snr)) for f in range(features)))
-    return base.select(F.col("id").alias("sample_id"), F.concat(F.lit("L"), label.cast("string")).alias("targets"), (F.col("id") % per_label % chunks).cast("int").alias("chunks"), values.alias("features"))
+    chunk = F.floor(F.col("id") % per_label * chunks / per_label).cast("int")
+    out = base.select(F.col("id").alias("sample_id"), F.concat(F.lit("L"), label.cast("string")).alias("targets"), chunk.alias("chunks"), values.alias("features"))
+    if not normalize:
+        return out
+    top = out.agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0]
+    return out.withColumn("features", F.transform("features", lambda x: x / F.lit(top)))
 
 
 def multiple_chunks(make, n: int) -> DataFrame:
@@ -30,29 +31,37 @@ def multiple_chunks(make, n: int) -> DataFrame:
 
 
 def dumb(spark: SparkSession, classes: int = 3) -> DataFrame:
-    rows = [(i, [float(x) for x in v], i * classes // len(DUMB), i) for i, v in enumerate(DUMB)]
+    """The toy set of 24 samples: 1 to 12 twice, and 0 or 1; targets by thirds (from 1) or halves (from 0), chunks by row."""
+    n = 24
+    rows = [(i, [float(i // 2 + 1), float(i % 2)], i * classes // n + (classes == 3), i) for i in range(n)]
     return spark.createDataFrame(rows, "sample_id long, features array<double>, targets int, chunks int")
 
 
 def pure_multivariate(spark: SparkSession, patterns: int, snr: float = 1.5, seed: int = 0) -> DataFrame:
-    """Two features that tell the classes apart only together."""
-    at = F.col("id") % 4
-    a, b = F.when(at < 2, 1.0).otherwise(-1.0) * snr, F.when(at % 2 == 0, 1.0).otherwise(-1.0) * snr
-    return spark.range(4 * patterns).select(F.col("id").alias("sample_id"), F.array(a + F.randn(seed), b + F.randn(seed + 1)).alias("features"), F.when((at == 0) | (at == 3), 1).otherwise(0).alias("targets"))
+    """Four clouds, two features that tell the classes apart only together."""
+    cloud = F.floor(F.col("id") / patterns)
+    a = F.when(cloud % 2 == 0, -snr).otherwise(snr) + F.randn(seed)
+    b = F.when(cloud < 2, snr).otherwise(-snr) + F.randn(seed + 1)
+    return spark.range(4 * patterns).select(F.col("id").alias("sample_id"), F.array(a, b).alias("features"), F.when((cloud == 1) | (cloud == 2), 1).otherwise(0).alias("targets"))
 
 
 def wr1996(spark: SparkSession, n: int = 200, seed: int = 0) -> DataFrame:
-    """The robot-arm regression: two used, two redundant and two useless inputs."""
-    x = spark.range(n).select(F.col("id").alias("sample_id"), F.when(F.rand(seed) < 0.5, F.rand(seed + 1) * 1.521 - 1.932).otherwise(F.rand(seed + 1) * 1.479 + 0.453).alias("a"), (F.rand(seed + 2) * 2.618 + 0.534).alias("b"), F.randn(seed + 3).alias("n1"), F.randn(seed + 4).alias("n2"), F.randn(seed + 5).alias("u1"), F.randn(seed + 6).alias("u2"), F.randn(seed + 7).alias("e"))
-    y = 2.0 * F.cos("a") + 1.3 * F.cos(F.col("a") + F.col("b")) + 0.0025 * F.col("e")
-    return x.select("sample_id", F.array("a", "b", F.col("a") + 0.02 * F.col("n1"), F.col("b") + 0.02 * F.col("n2"), "u1", "u2").alias("features"), y.alias("targets"))
+    """A regression with two used inputs, two noisy copies of them and two useless ones; targets have mean 0."""
+    # fixed values: the inputs' intervals, the two lengths and the noise
+    (a0, a1), (b0, b1), (r1, r2), (sd, copy) = (-1.932, -0.453), (0.534, 3.142), (2.0, 1.3), (0.05, 0.02)
+    x = spark.range(n).select(F.col("id").alias("sample_id"), (F.rand(seed) * (a1 - a0) + a0).alias("a"), (F.rand(seed + 1) * (b1 - b0) + b0).alias("b"), *(F.randn(seed + 2 + i).alias(f"n{i}") for i in range(5)))
+    y = r1 * F.cos(F.col("a") + r2 * F.cos(F.col("a") + F.col("b"))) + sd * F.col("n4")
+    out = x.select("sample_id", F.array("a", "b", F.col("a") + copy * F.col("n0"), F.col("b") + copy * F.col("n1"), "n2", "n3").alias("features"), y.alias("targets"))
+    mean = out.agg(F.avg("targets")).first()[0]
+    return out.withColumn("targets", F.col("targets") - F.lit(mean))
 
 
 def sine(spark: SparkSession, n: int, features: int, flat: bool = False, noise: float = 0.4, seed: int = 0) -> DataFrame:
-    x = (F.col("id") / max(n - 1, 1) if flat else F.rand(seed)) * 2 * float(np.pi)
-    base = spark.range(n).select(F.col("id").alias("sample_id"), F.array(*(F.rand(seed + 1 + f) * 2 * float(np.pi) for f in range(features))).alias("features") if not flat else F.array(*([x] * features)).alias("features"))
-    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
-    return base.withColumn("targets", F.sin(total) + noise * F.randn(seed + 100))
+    """Rounded sine of the sum of squares, with uniform noise; ``flat`` takes inputs in order instead of at random."""
+    grid = [F.when(F.col("id") * features + f < n, (F.col("id") * features + f) / n).otherwise(0.0) if flat else F.rand(seed + 1 + f) for f in range(features)]
+    base = spark.range(n).select(F.col("id").alias("sample_id"), F.array(*(g * float(np.pi) for g in grid)).alias("features"))
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v)
+    return base.withColumn("targets", F.round(F.sin(total)) + noise * F.rand(seed))
 
 
 def chirp(spark: SparkSession, n: int, features: int = 4, used: int = 2, data_noise: float = 0.4, noise: float = 0.1, seed: int = 0) -> DataFrame:
@@ -121,3 +130,14 @@ def least_squares(fx, params: np.ndarray, x: np.ndarray, y: np.ndarray, rounds:
         else:
             damp *= 5
     return p
+
+
+def linear_noise(spark: SparkSession, n: int = 10, intercept: float = 0.0, slope: float | list[float] = 0.4, sigma: float = 0.01, flat: bool = False, seed: int = 0) -> DataFrame:
+    """A linear function of one or more inputs in [0, 1] with normal noise; ``flat`` spaces one input evenly."""
+    slopes = [slope] if isinstance(slope, int | float) else list(slope)
+    x = [F.col("id") / max(n - 1, 1)] if flat and len(slopes) == 1 else [F.rand(seed + i) for i in range(len(slopes))]
+    base = spark.range(n).select(F.col("id").alias("sample_id"), F.array(*x).alias("features"))
+    y = F.lit(intercept) + F.randn(seed + 99) * sigma
+    for i, s in enumerate(slopes):
+        y = y + s * F.col("features")[i]
+    return base.withColumn("targets", y)

@@ -38,7 +38,7 @@ def odd_even(values: list, use_values: bool = False) -> list[list]:
     even, odd = [], []
     for i, v in enumerate(values):
         (odd if (v if use_values else i) % 2 else even).append(v)
-    return [[even, odd], [odd, even]] if use_values else [[None, odd], [None, even]]
+    return [[None, odd], [None, even]]
 
 
 def halves(values: list) -> list[list]:

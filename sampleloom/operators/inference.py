@@ -81,7 +81,8 @@ def chisquare(counts: DataFrame, row: str, column: str, n: str = "n", expected:
     if expected == "uniform":
         e = F.col("_t") / F.col("_k")
     else:
-        side = row if expected == "indep_rows" else column
+        # independent of the rows: each column's sum spread evenly over the rows
+        side = column if expected == "indep_rows" else row
         sums = counts.groupBy(side).agg(F.sum(n).alias("_s"), F.count("*").alias("_c"))
         j = j.join(sums, side)
         e = F.col("_s") / F.col("_c")
@@ -98,11 +99,11 @@ def beta_interval(n: Column, x: Column, alpha: float = 0.05, method: str = "jeff
 
     def low(k: pd.Series, m: pd.Series) -> pd.Series:
         k, m = k.to_numpy(float), m.to_numpy(float)
-        return pd.Series(np.where(k == 0, 0.0, beta_ppf(alpha / 2, np.maximum(k + a, 1e-9), m - k + b)))
+        return pd.Series(np.where((k == 0) & (a == 0), 0.0, beta_ppf(alpha / 2, np.maximum(k + a, 1e-9), m - k + b)))
 
     def high(k: pd.Series, m: pd.Series) -> pd.Series:
         k, m = k.to_numpy(float), m.to_numpy(float)
-        return pd.Series(np.where(k == m, 1.0, beta_ppf(1 - alpha / 2, k + b, np.maximum(m - k + a, 1e-9))))
+        return pd.Series(np.where((k == m) & (a == 0), 1.0, beta_ppf(1 - alpha / 2, k + b, np.maximum(m - k + a, 1e-9))))
 
     return F.pandas_udf(low, "double")(x, n), F.pandas_udf(high, "double")(x, n)
 

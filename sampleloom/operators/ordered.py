@@ -165,17 +165,19 @@ def break_points(df: DataFrame, attr: str, order: list[str], by: list[str], cont
 
 
 def labels_to_chunks(labels: list, ignore: set | None = None) -> list[int]:
-    """Chunk number of each place such that every chunk has seen all labels; an incomplete last one joins the one before."""
+    """Chunk number of each place: a new chunk begins with the first change of label after all labels were seen.
+
+    An incomplete last chunk joins the one before.
+    """
     wanted = set(labels) - (ignore or set())
-    seen, chunk, out = set(), 0, []
+    seen, chunk, out, last = set(), 0, [], object()
     for x in labels:
-        out.append(chunk)
-        seen |= {x} & wanted
-        if seen == wanted:
+        if x != last and wanted and seen == wanted:
             chunk, seen = chunk + 1, set()
-    if seen or (out and out[-1] == chunk):
-        out = [min(c, max(chunk - 1, 0)) for c in out]
-    return out
+        last = x
+        seen |= {x} & wanted
+        out.append(chunk)
+    return [min(c, max(chunk - 1, 0)) for c in out] if seen != wanted else out
 
 
 def label_chunks(df: DataFrame, label: str, order: list[str], by: list[str], ignore: set | None = None) -> DataFrame:
@@ -205,6 +207,8 @@ def coarsen_chunks(df: DataFrame, chunk: str, groups: int = 4) -> DataFrame:
     """With ``coarse``: the group of each sample's chunk."""
     # distinct chunks with counts: the size of the chunk axis
     counts = [(r[0], r[1]) for r in df.groupBy(chunk).count().collect()]
+    if len(counts) < groups:
+        raise ValueError("fewer chunks than groups")
     table = df.sparkSession.createDataFrame(list(coarse_groups(counts, groups).items()), df.select(chunk).schema.add("coarse", "int"))
     return df.join(F.broadcast(table), chunk)
 

@@ -869,7 +869,7 @@ def ttest(spark, d):
 
 
 @query("""WITH c AS (SELECT l_linestatus, l_returnflag, count(l.l_orderkey) AS n FROM (SELECT DISTINCT l_linestatus FROM lineitem) CROSS JOIN (SELECT DISTINCT l_returnflag FROM lineitem) LEFT JOIN lineitem l USING (l_linestatus, l_returnflag) GROUP BY ALL),
- e AS (SELECT *, sum(n) OVER (PARTITION BY l_linestatus) * 1.0 / count(*) OVER (PARTITION BY l_linestatus) AS e FROM c) SELECT round(sum((n - e) * (n - e) / e), 4) AS chi2, count(*) - 1 AS df FROM e""")
+ e AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag) * 1.0 / count(*) OVER (PARTITION BY l_returnflag) AS e FROM c) SELECT round(sum((n - e) * (n - e) / e), 4) AS chi2, count(*) - 1 AS df FROM e""")
 def chisquare(spark, d):
     c = ag.contingency(table(spark, d, "lineitem"), "l_linestatus", "l_returnflag")
     return rounded(inf.chisquare(c, "l_linestatus", "l_returnflag", expected="indep_rows").select("chi2", "df"), 4)

@@ -83,7 +83,8 @@ def test_strip_and_runs(spark):
     assert len(events) == 15 and [e.onset for e in events] == list(range(0, 75, 5)) and {e.duration for e in events} == {5}
     with pytest.raises(ValueError):
         od.break_points(spark.createDataFrame([("r", i, "aba"[i]) for i in range(3)], "run string, k int, t string"), "t", ["k"], ["run"], True)
-    assert od.labels_to_chunks(list("abababa")) == [0, 0, 1, 1, 2, 2, 2]
+    assert od.labels_to_chunks(list("aabbbabaab")) == [0, 0, 0, 0, 0, 1, 1, 2, 2, 2] and od.labels_to_chunks(list("ababa")) == [0, 0, 1, 1, 1]
+    assert od.labels_to_chunks(list("axbxa"), {"x"}) == [0] * 5
     assert od.coarse_groups([(c, 10) for c in range(6)], 3) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
 
 
@@ -181,6 +182,7 @@ def test_generators(spark):
     assert ge.splitter(df, "c", [1, 1, 0]).count() == 30
     assert ge.choose_specs(list(range(10)), 3) == [0, 3, 7] and len(ge.choose_specs(list(range(10)), 3, "random")) == 3
     assert len(list(ge.random_combinations(list("abcde"), 2, 4))) == 4 and len(set(ge.random_product(5, [1, 2], [3, 4, 5]))) == 5
+    assert ge.odd_even([2, 4, 5], True) == [[None, [5]], [None, [2, 4]]] and ge.odd_even([2, 4, 5]) == [[None, [4]], [None, [2, 5]]]
     assert ge.n_groups([(c, 5) for c in range(4)], 2) == [[None, [0, 1]], [None, [2, 3]]]
     kept = se.sift(p, "partitions_set", [("partitions", {"uvalues": [2]}), ("t", {"uvalues": ["a", "b"]})])
     assert kept.select("partitions_set").distinct().count() == 4
@@ -375,8 +377,12 @@ def test_feature_selection():
 
 
 def test_generated_sets(spark):
-    assert gen.dumb(spark).count() == 24 and gen.wr1996(spark, 50).count() == 50
+    assert [tuple(r.features) for r in gen.dumb(spark).orderBy("sample_id").collect()][:3] == [(1, 0), (1, 1), (2, 0)]
+    assert {r.targets for r in gen.dumb(spark).collect()} == {1, 2, 3} and {r.targets for r in gen.dumb(spark, 2).collect()} == {0, 1}
+    assert abs(gen.normal_features(spark, normalize=True).agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0] - 1) < 1e-9
+    assert gen.wr1996(spark, 50).count() == 50
     assert gen.sine(spark, 20, 2).count() == gen.chirp(spark, 20).count() == gen.linear(spark, 20).count() == 20
+    assert gen.linear_noise(spark, 12, slope=[1.0, 2.0]).count() == 12
     assert gen.pure_multivariate(spark, 5).groupBy("targets").count().count() == 2
     assert gen.plane_points(spark, 5, [lambda x: x, lambda x: -x]).count() == 10
     assert gen.multiple_chunks(lambda c: gen.dumb(spark), 3).count() == 72
