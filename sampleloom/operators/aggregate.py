@@ -105,18 +105,20 @@ def correlation(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def boxplot_stats(df: DataFrame, by: list[str], value: str, k: float = 3.0, least: float | None = None) -> DataFrame:
+def boxplot_stats(df: DataFrame, by: list[str], value: str, k: float = 3.0, least: float | None = None, series: str | None = None) -> DataFrame:
     """Mean, median, deviation, extremes, quartiles and number per group, without NaN and outliers.
 
     An outlier lies further than ``k`` deviations from its group's mean (and
-    further than ``least`` in size, if given).
+    above ``least``, if given). With ``series`` all values of a series that has
+    an outlier are left out.
     """
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     base = fine.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     out = F.abs(F.col(value) - F.col("_m")) > k * F.col("_s")
     if least is not None:
-        out = out & (F.abs(value) > least)
-    kept = fine.join(base, by).where(~out)
+        out = out & (F.col(value) > least)
+    kept = fine.join(base, by)
+    kept = kept.where(~out) if series is None else kept.join(kept.where(out).select(series).distinct(), series, "left_anti")
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     done = kept.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("n"), q.alias("q"))
     return done.select(*by, "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "n")

@@ -125,14 +125,23 @@ def draw(key: str | Column, rep: Column | int, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(rep).cast("string") if isinstance(rep, int) else rep.cast("string"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
-def balance(df: DataFrame, attr: str, key: str, amount: str | float | int = "equal", limit: list[str] | None = None, count: int = 1, seed: int = 0, apply: bool = False, name: str = "balanced_set") -> DataFrame:
+def balance(df: DataFrame, attr: str, key: str, amount: str | float | int = "equal", limit: list[str] | None = None, count: int = 1, seed: int = 0, apply: bool = False, name: str = "balanced_set", among: Column | None = None, include_offlimit: bool = False) -> DataFrame:
     """Random selection per value of ``attr`` within limit groups: the smallest count, a share, or a number.
 
+    ``among`` restricts what is balanced; other rows are marked as
+    ``include_offlimit`` says.
+
     The draw is the ``n`` smallest hashes of a class. Classes are cut by a
     threshold found from hash ranges first, so a class of any size is only
     sorted near the cut.
     """
     limit = limit or []
+    if among is not None:
+        inside = F.coalesce(among, F.lit(False))
+        drawn = balance(df.where(inside), attr, key, amount, limit, count, seed, False, name)
+        other = repeated(df.where(~inside), count, "rep").withColumn(name, F.lit(include_offlimit))
+        marked = drawn.unionByName(other)
+        return marked.where(name).drop(name) if apply else marked
     out = repeated(df, count, "rep").withColumn("_h", draw(key, F.col("rep"), seed))
     sizes = df.groupBy(*limit, attr).agg(F.count("*").alias("_n"))
     if amount == "equal":

@@ -63,12 +63,11 @@ def corrcoef(long: DataFrame, attr: str, by: str = "feature_id", value: str = "v
 
 
 def corrstability(long: DataFrame, target: str, chunk: str, by: str = "feature_id", value: str = "value") -> DataFrame:
-    """Per feature the mean correlation of class means over all pairs of chunks."""
+    """Per feature the correlation of class means between chunks: over all pairs of chunks and classes together; 0 where undefined."""
     means = long.groupBy(by, chunk, target).agg(F.avg(value).alias("m"))
     a, b = means.withColumnRenamed("m", "ma").withColumnRenamed(chunk, "ca"), means.withColumnRenamed("m", "mb").withColumnRenamed(chunk, "cb")
     # class means: features x classes x chunks, not samples
-    pairs = a.join(b, [by, target]).where("ca < cb").groupBy(by, "ca", "cb").agg(correlation("ma", "mb").alias("r"))
-    return pairs.groupBy(by).agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("stability"))
+    return a.join(b, [by, target]).where("ca < cb").groupBy(by).agg(F.coalesce(correlation("ma", "mb"), F.lit(0.0)).alias("stability"))
 
 
 def featurewise(long: DataFrame, target: str, fx: Callable[[np.ndarray, np.ndarray], float], by: str = "feature_id", value: str = "value", most: int = 100_000) -> DataFrame:
@@ -217,7 +216,9 @@ def irelief(x: np.ndarray, labels: np.ndarray, width: float = 1.0, threshold: fl
     same = labels[:, None] == labels[None]
     own = np.eye(n, dtype=bool)
     for _ in range(most):
-        k = np.exp(-(d @ w) / width)
+        dist = d @ w
+        # equal samples have no weight, or the iteration would not converge
+        k = np.where(dist < 1e-15, 0, np.exp(-dist / width))
         miss, hit = np.where(same, 0, k), np.where(same & ~own, k, 0)
         pm, ph = miss / np.maximum(miss.sum(1, keepdims=True), 1e-300), hit / np.maximum(hit.sum(1, keepdims=True), 1e-300)
         out = 1 - miss.sum(1) / np.maximum((k - np.where(own, k, 0)).sum(1), 1e-300)
@@ -239,8 +240,8 @@ def irelief_online(x: np.ndarray, labels: np.ndarray, a: float = 10.0, width: fl
         for i in np.random.default_rng(seed).permutation(n):
             t += 1
             d = np.abs(x - x[i])
-            k = np.exp(-(d @ w) / width)
-            k[i] = 0
+            dist = d @ w
+            k = np.where(dist < 1e-15, 0, np.exp(-dist / width))
             miss, hit = np.where(labels == labels[i], 0, k), np.where(labels == labels[i], k, 0)
             part = (miss / max(miss.sum(), 1e-300)) @ d - (hit / max(hit.sum(), 1e-300)) @ d
             pi = pi + (part * (1 - miss.sum() / max(k.sum(), 1e-300)) - pi) / (a * t + 1)

@@ -578,8 +578,8 @@ def corrcoef(spark, d):
 
 
 @query(f"""WITH m AS (SELECT feature_id, chunk, target, avg(value) AS m FROM ({LONG}) GROUP BY ALL),
- p AS (SELECT a.feature_id, a.chunk AS x, b.chunk AS y, covar_pop(a.m, b.m) / (stddev_pop(a.m) * stddev_pop(b.m)) AS r FROM m a JOIN m b ON a.feature_id = b.feature_id AND a.target = b.target AND a.chunk < b.chunk GROUP BY ALL)
- SELECT feature_id, round(avg(r), 6) AS stability FROM p GROUP BY 1""")
+ p AS (SELECT a.feature_id, a.m AS x, b.m AS y FROM m a JOIN m b ON a.feature_id = b.feature_id AND a.target = b.target AND a.chunk < b.chunk)
+ SELECT feature_id, round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) AS stability FROM p GROUP BY 1""")
 def corrstability(spark, d):
     return rounded(me.corrstability(cells(spark, d), "target", "chunk"))
 

@@ -174,6 +174,8 @@ def test_generators(spark):
     for g in {(r.rep, r.c) for r in counts}:
         assert len({r["count"] for r in counts if (r.rep, r.c) == g}) == 1
     assert b.count() == 120
+    part = ge.balance(df, "t", "k", 2, among=F.col("c") < 2, include_offlimit=True)
+    assert part.where("balanced_set and c < 2").count() == 4 and part.where("balanced_set and c >= 2").count() == 20
     m = ge.permute(df, ["t"], "k", ["c"], 2, 1).groupBy("rep", "c", "t").count().collect()
     o = {(r.c, r.t): r["count"] for r in df.groupBy("c", "t").count().collect()}
     assert all(o[r.c, r.t] == r["count"] for r in m)
