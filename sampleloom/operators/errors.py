@@ -162,32 +162,47 @@ def set_partitions(items: list) -> list[list[tuple]]:
     return out
 
 
-def bayes_confusion(counts: np.ndarray, alpha: np.ndarray | None = None) -> list[tuple[list[tuple], float]]:
-    """Posterior of each hypothesis on which classes can be told apart, from counts [target, prediction].
+def dirichlet_multinomial(x: np.ndarray, a: np.ndarray) -> float:
+    """Log likelihood of counts under a multinomial whose probabilities have a Dirichlet prior."""
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    n, s = float(np.sum(x)), float(np.sum(a))
+    return float(math.lgamma(s) - math.lgamma(n + s) + np.sum(lg(x + a) - lg(a)) + math.lgamma(n + 1) - np.sum(lg(x + 1)))
 
-    Multivariate Polya likelihood: targets of one group share their predicted
-    distribution up to the group. For a confusion table, thus a few classes.
+
+def confusion_likelihood(counts: np.ndarray, groups: list[tuple], alpha: np.ndarray) -> float:
+    """Log likelihood of a confusion table if classes of one group can't be told apart.
+
+    A class by itself has a distribution over all columns. A row of a group has
+    one over the group as a whole and each other column; inside the group, rows
+    and columns are independent.
+    """
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    total = 0.0
+    for g in groups:
+        inside = list(g)
+        if len(inside) == 1:
+            total += dirichlet_multinomial(counts[inside[0]], alpha[inside[0]])
+            continue
+        rest = [c for c in range(counts.shape[1]) if c not in g]
+        for row in inside:
+            total += dirichlet_multinomial(np.append(counts[row, inside].sum(), counts[row, rest]), np.append(alpha[row, inside].sum(), alpha[row, rest]))
+        block, prior = counts[np.ix_(inside, inside)], alpha[np.ix_(inside, inside)].sum(0)
+        # columns as one draw for all rows, then the ways to lay the rows' totals out in cells
+        total += dirichlet_multinomial(block.sum(0), prior) - math.lgamma(block.sum() + 1) + np.sum(lg(block.sum(0) + 1))
+        total += np.sum(lg(block.sum(1) + 1)) - np.sum(lg(block + 1))
+    return float(total)
+
+
+def bayes_confusion(counts: np.ndarray, alpha: np.ndarray | None = None, hypotheses: list | None = None, prior: np.ndarray | None = None) -> list[tuple[list[tuple], float, float]]:
+    """(groups, log likelihood, posterior) of each hypothesis on which classes can be told apart, the likeliest first.
+
+    Without ``hypotheses`` all groupings of the classes are judged, so it is for
+    tables of some classes.
     """
-    k = len(counts)
-    alpha = np.ones(k) if alpha is None else alpha
-    lg = math.lgamma
-
-    def polya(n, a):
-        return lg(a.sum()) - lg(a.sum() + n.sum()) + sum(lg(x + y) - lg(y) for x, y in zip(n, a, strict=True))
-
-    logs = []
-    hypotheses = set_partitions(list(range(k)))
-    for h in hypotheses:
-        total = 0.0
-        a = np.array([alpha[list(g)].sum() for g in h])
-        for g in h:
-            merged = np.array([counts[np.ix_(list(g), list(q))].sum() for q in h], float)
-            total += polya(merged, a)
-            for q_i, q in enumerate(h):
-                # within a group predictions are told apart by chance
-                total -= merged[q_i] * math.log(len(q))
-        logs.append(total)
-    logs = np.array(logs)
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    return sorted(zip(hypotheses, p.tolist(), strict=True), key=lambda x: -x[1])
+    counts = np.asarray(counts, float)
+    alpha = np.ones_like(counts) if alpha is None else alpha
+    hypotheses = hypotheses or set_partitions(list(range(len(counts))))
+    logs = np.array([confusion_likelihood(counts, h, alpha) for h in hypotheses])
+    weighted = logs + np.log(np.full(len(logs), 1 / len(logs)) if prior is None else prior)
+    p = np.exp(weighted - weighted.max())
+    return sorted(zip(hypotheses, logs.tolist(), (p / p.sum()).tolist(), strict=True), key=lambda x: -x[2])

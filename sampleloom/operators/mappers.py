@@ -215,41 +215,71 @@ def zscored(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(0)) / np.where(s > 0, s, 1)
 
 
-def hyperalign(data: list[np.ndarray], reference: int | None = None, rounds: int = 1, alpha: float = 1.0, dims: int | None = None, zscore: bool = True) -> tuple[list[Procrustes], np.ndarray]:
-    """Maps of several datasets to one common space, in three levels: running average, refinement without each, final maps.
+class Alignment:
+    """One dataset's way to the common space: z-scored and whitened if asked for, Procrustes, reduced if asked for."""
 
-    ``alpha`` below 1 regularises towards the data's own covariance whitening;
-    ``dims`` reduces the common space by its leading components. The first level
-    is sequential by definition; datasets are subjects, each held as a matrix.
+    def __init__(self, mean: np.ndarray, linear: np.ndarray, final: Procrustes, reduce: np.ndarray | None = None):
+        self.mean, self.linear, self.final, self.reduce = mean, linear, final, reduce
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        y = self.final.forward((x - self.mean) @ self.linear)
+        return y if self.reduce is None else y @ self.reduce
+
+    @property
+    def matrix(self) -> np.ndarray:
+        m = self.linear @ self.final.matrix
+        return m if self.reduce is None else m @ self.reduce
+
+
+def hyperalign(data: list[np.ndarray], reference: int | None = None, rounds: int = 1, alpha: float = 1.0, dims: int | None = None, zscore_all: bool = False, zscore_common: bool = True, equal_weight: bool = False) -> tuple[list[Alignment], np.ndarray]:
+    """Maps of several datasets to one common space, in three levels.
+
+    First each dataset is mapped to the space so far, which moves halfway to it
+    (``equal_weight``: by the share of those seen before); then ``rounds`` times each is mapped to the
+    mean of the others; last each is mapped from scratch to the final mean.
+    ``alpha`` below 1 shrinks a whitening of each dataset, ``dims`` keeps leading
+    components of the space. The first level is sequential by definition;
+    datasets are subjects, each held as a matrix.
     """
-    data = [zscored(x) if zscore else x for x in data]
-    if alpha < 1:
-        white = []
-        for x in data:
-            u, s, vt = np.linalg.svd(x, full_matrices=False)
-            white.append(x @ (vt.T * (1 / np.sqrt(alpha * s**2 + (1 - alpha) + 1e-12))) @ vt)
-        data = white
+    norm = zscored if zscore_common else (lambda v: v)
+    pre = []
+    for x in data:
+        mean, linear = np.zeros(x.shape[1]), np.eye(x.shape[1])
+        if zscore_all:
+            sd = x.std(0)
+            mean, linear = x.mean(0), np.diag(1 / np.where(sd > 0, sd, 1))
+        if alpha < 1:
+            _, s, vt = np.linalg.svd((x - mean) @ linear, full_matrices=False)
+            linear = linear @ (vt.T * (1 / np.sqrt((1 - alpha) * s**2 + alpha))) @ vt
+        pre.append((mean, linear))
+    data = [(x - m) @ w for x, (m, w) in zip(data, pre, strict=True)]
+    n = len(data)
     ref = int(np.argmax([x.shape[1] for x in data])) if reference is None else reference
-    common, mapped = data[ref], [None] * len(data)
-    mapped[ref] = data[ref]
-    seen = 1
-    for i, x in enumerate(data):
-        if i == ref:
-            continue
-        mapped[i] = Procrustes().fit(x, common).forward(x)
-        common = (common * seen + mapped[i]) / (seen + 1)
-        seen += 1
-    for _ in range(rounds):
-        refined = []
+    common = norm(data[ref]) if not zscore_all else data[ref]
+    if n > 1:
+        mapped, seen = list(data), 1
         for i, x in enumerate(data):
-            others = sum(m for j, m in enumerate(mapped) if j != i) / (len(data) - 1) if len(data) > 1 else mapped[0]
-            refined.append(Procrustes().fit(x, others).forward(x))
-        mapped = refined
-        common = sum(mapped) / len(mapped)
-    if dims:
-        u, s, vt = np.linalg.svd(common - common.mean(0), full_matrices=False)
-        common = (common - common.mean(0)) @ vt[:dims].T
-    return [Procrustes().fit(x, common) for x in data], common
+            if i == ref:
+                continue
+            mapped[i] = norm(Procrustes().fit(x, common).forward(x))
+            share = seen / (seen + 1) if equal_weight else 0.5
+            common = norm((1 - share) * common + share * mapped[i])
+            seen += 1
+        width = common.shape[1]
+        mapped = [m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in mapped]
+        common = sum(mapped) / n
+        for _ in range(rounds):
+            for i, x in enumerate(data):
+                others = norm((common * n - mapped[i]) / (n - 1))
+                mapped[i] = norm(Procrustes().fit(x, others).forward(x))
+            common = sum(mapped) / n
+        common = norm(common)
+    final = [Procrustes().fit(x, common) for x in data]
+    reduce = None
+    if dims is not None:
+        mean = sum(f.forward(x) for f, x in zip(final, data, strict=True)) / n
+        reduce = np.linalg.svd(mean - mean.mean(0), full_matrices=False)[2][:dims].T
+    return [Alignment(m, w, f, reduce) for (m, w), f in zip(pre, final, strict=True)], common
 
 
 def hyperalign_groups(cells: DataFrame, group: str, subject: str = "subject", values: str = VALUES, key: str = ID, dims: int | None = None) -> DataFrame:
@@ -277,13 +307,13 @@ def connectivity(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def feature_scores(data: list[np.ndarray]) -> list[np.ndarray]:
-    """Per dataset and feature the sum, over the others, of the largest correlation with their features."""
+    """Per dataset and feature the sum, over the others, of the largest product of z-scored series: n times the correlation."""
     z = [zscored(x) for x in data]
     out = [np.zeros(x.shape[1]) for x in z]
     for i, a in enumerate(z):
         for j, b in enumerate(z):
             if i != j:
-                out[i] += (a.T @ b / len(a)).max(1)
+                out[i] += (a.T @ b).max(1)
     return out
 
 
@@ -322,7 +352,7 @@ def hyperalign_selected(data: list[np.ndarray], share: float = 1.0, same: bool =
     if same:
         scores = [np.sum(scores, axis=0)] * len(data)
     chosen = [np.sort(np.argsort(-s, kind="stable")[: max(1, int(round(share * len(s))))]) for s in scores]
-    maps, _ = hyperalign([x[:, c] for x, c in zip(data, chosen, strict=True)], reference)
+    maps, _ = hyperalign([x[:, c] for x, c in zip(data, chosen, strict=True)], reference=reference)
     out = []
     for x, c, m in zip(data, chosen, maps, strict=True):
         full = np.zeros((x.shape[1], m.matrix.shape[1]))

@@ -135,7 +135,11 @@ def test_confusion_and_errors(spark):
     assert er.auc(a, "e", F.col("t") > 0, "k").first().auc == 1.0
     assert er.auc(a, "e", F.col("t") == 0, "k").first().auc == 0.0
     p = er.bayes_confusion(np.array([[20, 1, 1], [1, 10, 11], [1, 12, 9]]))
-    assert p[0][0] == [(0,), (1, 2)] and abs(sum(x for _, x in p) - 1) < 1e-9
+    assert p[0][0] == [(0,), (1, 2)] and abs(sum(x[2] for x in p) - 1) < 1e-9
+    assert abs(er.dirichlet_multinomial(np.array([2, 0]), np.array([1.0, 1.0])) - np.log(1 / 3)) < 1e-12
+    # all classes alike: rows and columns independent, each table of one row has the same chance as its column totals
+    one = er.bayes_confusion(np.array([[3, 1], [2, 2]]), hypotheses=[[(0, 1)], [(0,), (1,)]])
+    assert len(one) == 2
     assert len(er.set_partitions(list(range(4)))) == 15
 
 
@@ -319,7 +323,12 @@ def test_mappers(spark):
     assert np.allclose(m.forward(x), y) and np.allclose(m.reverse(y), x)
     data = [x @ gen.random_rotation(4, k) + 0.01 * rng.normal(size=x.shape) for k in range(3)]
     maps, _ = ma.hyperalign(data)
-    aligned = [f.forward(ma.zscored(d)) for f, d in zip(maps, data, strict=True)]
+    aligned = [f.forward(d) for f, d in zip(maps, data, strict=True)]
+    for extra in ({"alpha": 0.5}, {"dims": 2}, {"zscore_all": True}, {"equal_weight": True}, {"reference": 1, "rounds": 2}):
+        m, _ = ma.hyperalign(data, **extra)
+        a, b = (f.forward(d) for f, d in list(zip(m, data, strict=True))[:2])
+        assert np.corrcoef(a.ravel(), b.ravel())[0, 1] > 0.9, extra
+        assert np.allclose(m[0].forward(data[0]) - m[0].forward(np.zeros((1, 4))), data[0] @ m[0].matrix)
     assert np.corrcoef(aligned[0].ravel(), aligned[1].ravel())[0, 1] > 0.9
     assert min(ma.segment_accuracy([x, x + 0.001], 6)) == 1.0
     assert ma.off_diagonal(np.zeros((5, 5)), 2, 1.0).tolist() == [[0, 1, 0, 0, 0], [1, 0, 1, 0, 0], [1, 1, 0, 1, 0], [0, 1, 1, 0, 1], [0, 0, 1, 1, 0]]
@@ -330,7 +339,7 @@ def test_mappers(spark):
     units = ma.SOM((3, 3), 3, 0.1).fit(x).forward(ds.samples)
     assert units.count() == 50 and units.agg(F.max("row")).first()[0] <= 2
     assert ma.flat_coordinates(spark, (2, 3), ["a", "b"], {"a": ["x", "y"]}).where("a = 'y'").count() == 3
-    assert [round(v, 6) for v in ma.feature_scores([x, x])[0]] == [1.0] * 4
+    assert [round(v, 6) for v in ma.feature_scores([x, x])[0]] == [50.0] * 4
 
 
 def test_inference(spark):
