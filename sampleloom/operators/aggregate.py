@@ -71,8 +71,8 @@ def nanmean(c: str) -> Column:
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Counts of every pair of values, zeros included."""
     counts = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
-    # the distinct values of two attributes: a grid no larger than the table it describes
-    grid = counts.select(rows).distinct().join(counts.select(columns).distinct(), F.lit(True))
+    # the values of one axis as an array: the grid is the table that is asked for
+    grid = counts.select(rows).distinct().withColumn("_all", counts.agg(F.collect_set(columns)).scalar()).select(rows, F.explode("_all").alias(columns))
     return grid.join(counts, [rows, columns], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 

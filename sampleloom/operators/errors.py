@@ -120,8 +120,8 @@ def confusion_stats(counts: DataFrame) -> DataFrame:
     row = counts.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("pred"), F.sum(F.when(F.col("prediction") == F.col("target"), F.col("n")).otherwise(0)).alias("tp1"))
     col = counts.groupBy(F.col("target").alias("label")).agg(F.sum("n").alias("p"))
     j = row.join(col, "label", "full").select("label", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pred", "tp1", "p")))
-    total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("prediction") == F.col("target"), F.col("n")).otherwise(0)).alias("right"))
-    j = j.join(F.broadcast(total), F.lit(True))  # one row
+    total = counts.agg(F.struct(F.sum("n").alias("total"), F.sum(F.when(F.col("prediction") == F.col("target"), F.col("n")).otherwise(0)).alias("right")))
+    j = j.withColumn("_one", total.scalar()).select("*", "_one.*").drop("_one")
     tp, pred, pos = F.col("tp1"), F.col("pred"), F.col("p")
     tn = F.col("right") - tp
     fp, fn = pred - tp, pos - tp

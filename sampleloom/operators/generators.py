@@ -145,8 +145,8 @@ def balance(df: DataFrame, attr: str, key: str, amount: str | float | int = "equ
     out = repeated(df, count, "rep").withColumn("_h", draw(key, F.col("rep"), seed))
     sizes = df.groupBy(*limit, attr).agg(F.count("*").alias("_n"))
     if amount == "equal":
-        least = sizes.groupBy(*limit).agg(F.min("_n").alias("_k")) if limit else sizes.agg(F.min("_n").alias("_k"))
-        quota = sizes.join(least, limit) if limit else sizes.join(F.broadcast(least), F.lit(True))
+        least = sizes.groupBy(*limit).agg(F.min("_n").alias("_k"))
+        quota = sizes.join(least, limit) if limit else sizes.withColumn("_k", least.scalar())
     else:
         quota = sizes.withColumn("_k", F.round(F.lit(amount) * F.col("_n")).cast("long") if isinstance(amount, float) else F.lit(amount))
     group = [*limit, attr, "rep"]

@@ -76,8 +76,8 @@ def ttest(df: DataFrame, by: list[str], value: str, mean: float = 0.0, alternati
 
 def chisquare(counts: DataFrame, row: str, column: str, n: str = "n", expected: str = "uniform") -> DataFrame:
     """Chi-square of a contingency table against uniform, indep_rows or indep_cols expectations, with p."""
-    cells = counts.groupBy().agg(F.sum(n).alias("_t"), F.count("*").alias("_k"))
-    j = counts.join(F.broadcast(cells), F.lit(True))  # one row
+    cells = counts.agg(F.struct(F.sum(n).alias("_t"), F.count("*").alias("_k")))
+    j = counts.withColumn("_one", cells.scalar()).select("*", "_one.*").drop("_one")
     if expected == "uniform":
         e = F.col("_t") / F.col("_k")
     else:

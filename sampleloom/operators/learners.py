@@ -26,27 +26,34 @@ def fold_roles(df: DataFrame, chunk: str, folds: list) -> DataFrame:
 def gnb_model(long: DataFrame, target: str, chunk: str, labels: list, prior: str = "laplacian_smoothing") -> tuple[DataFrame, DataFrame]:
     """Models of naive Bayes for each held-out chunk: (fold, feature_id, m0, v0, m1, v1, ...) and (fold, lp0, lp1, ...).
 
-    Sums per (chunk, class, feature) are taken once; a fold's statistics are
-    those of the other chunks merged, so the data are not fanned out by fold.
-    Classes are columns, in order of ``labels``.
+    Sums per (chunk, class, feature) are taken once; a fold's statistics are the
+    total less those of its own chunk, so nothing is fanned out by fold. Classes
+    are columns, in order of ``labels``.
     """
-    cells = long.groupBy(chunk, target, "feature_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    chunks = cells.select(F.col(chunk).alias("fold")).distinct()
-    train = cells.join(F.broadcast(chunks), F.col(chunk) != F.col("fold"))
-
-    def of(i: int, x) -> object:
-        return F.sum(F.when(F.col(target) == F.lit(labels[i]), x))
-
-    n, m, v = F.col("n"), F.col("m"), F.col("v")
-    parts = [c for i in range(len(labels)) for c in (of(i, n).alias(f"n{i}"), (of(i, n * m) / of(i, n)).alias(f"m{i}"), (of(i, n * (v + m * m)) / of(i, n)).alias(f"q{i}"))]
-    wide = train.groupBy("fold", "feature_id").agg(*parts)
-    model = wide.select("fold", "feature_id", *(c for i in range(len(labels)) for c in (F.col(f"m{i}"), F.greatest(F.col(f"q{i}") - F.col(f"m{i}") * F.col(f"m{i}"), F.lit(0.0)).alias(f"v{i}"))))
-    sizes = wide.groupBy("fold").agg(*(F.max(f"n{i}").alias(f"n{i}") for i in range(len(labels))))
-    have = [F.coalesce(F.col(f"n{i}"), F.lit(0.0)) for i in range(len(labels))]
+    x, t = F.col("value"), F.col(target)
+    sums = long.groupBy(F.col(chunk).alias("fold"), "feature_id").agg(*(c for i, y in enumerate(labels) for c in (
+        F.coalesce(F.sum(F.when(t == F.lit(y), 1.0)), F.lit(0.0)).alias(f"n{i}"),
+        F.coalesce(F.avg(F.when(t == F.lit(y), x)), F.lit(0.0)).alias(f"m{i}"),
+        F.coalesce(F.var_pop(F.when(t == F.lit(y), x)), F.lit(0.0)).alias(f"v{i}"),
+    )))
+    # chunks x features rows
+    every = W.partitionBy("feature_id")
+    out, sizes = [], []
+    for i in range(len(labels)):
+        n, m, v = F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"v{i}")
+        rest = F.sum(n).over(every) - n
+        mean = F.try_divide(F.sum(n * m).over(every) - n * m, rest)
+        square = F.try_divide(F.sum(n * (v + m * m)).over(every) - n * (v + m * m), rest)
+        sizes.append(rest.alias(f"n{i}"))
+        out += [mean.alias(f"m{i}"), F.greatest(square - mean * mean, F.lit(0.0)).alias(f"v{i}")]
+    wide = sums.select("fold", "feature_id", *out, *sizes)
+    model = wide.select("fold", "feature_id", *(c for i in range(len(labels)) for c in (f"m{i}", f"v{i}")))
+    have = [F.col(f"n{i}") for i in range(len(labels))]
     total = sum(have[1:], have[0])
     k = sum(((h > 0).cast("double") for h in have[1:]), (have[0] > 0).cast("double"))
     p = {"laplacian_smoothing": lambda h: (1 + h) / (total + k), "uniform": lambda h: 1 / k, "ratio": lambda h: h / total}[prior]
-    return model, sizes.select("fold", *(F.when(h > 0, F.ln(p(h))).alias(f"lp{i}") for i, h in enumerate(have)))
+    counts = wide.groupBy("fold").agg(*(F.max(f"n{i}").alias(f"n{i}") for i in range(len(labels))))
+    return model, counts.select("fold", *(F.when(h > 0, F.ln(p(h))).alias(f"lp{i}") for i, h in enumerate(have)))
 
 
 def gnb_terms(labels: list) -> list:
@@ -87,17 +94,21 @@ def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, ch
     by = by or []
     labels = labels or uniques(df, target)
     stats = [f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("v", F.var_pop))]
-    cells = df.groupBy(*by, chunk, target).agg(F.count("*").cast("double").alias("n"), *stats)
-    train = cells.join(F.broadcast(cells.select(F.col(chunk).alias("fold")).distinct()), F.col(chunk) != F.col("fold"))
-    merged = []
+    cells = df.groupBy(*by, F.col(chunk).alias("fold"), target).agg(F.count("*").cast("double").alias("n"), *stats)
+    flat = []
     for j, x in enumerate(labels):
-        of = lambda c, x=x: F.sum(F.when(F.col(target) == F.lit(x), c))
-        merged.append(of(F.col("n")).alias(f"n{j}"))
+        of = lambda c, x=x: F.coalesce(F.sum(F.when(F.col(target) == F.lit(x), c)), F.lit(0.0))
+        flat.append(of(F.col("n")).alias(f"n{j}"))
         for i in range(len(features)):
             m, v = F.col(f"m{i}"), F.col(f"v{i}")
-            merged += [(of(F.col("n") * m) / of(F.col("n"))).alias(f"m{i}_{j}"), (of(F.col("n") * (v + m * m)) / of(F.col("n"))).alias(f"q{i}_{j}")]
-    model = train.groupBy(*by, "fold").agg(*merged)
-    have = [F.coalesce(F.col(f"n{j}"), F.lit(0.0)) for j in range(len(labels))]
+            flat += [of(F.col("n") * m).alias(f"s{i}_{j}"), of(F.col("n") * (v + m * m)).alias(f"q{i}_{j}")]
+    # one row a fold: a model is the total less its own chunk
+    every = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    wide = cells.groupBy(*by, "fold").agg(*flat)
+    less = lambda c: F.sum(c).over(every) - F.col(c)
+    merged = [c for j in range(len(labels)) for c in (less(f"n{j}").alias(f"n{j}"), *(F.try_divide(less(f"{k}{i}_{j}"), less(f"n{j}")).alias(f"{n}{i}_{j}") for i in range(len(features)) for k, n in (("s", "m"), ("q", "q"))))]
+    model = wide.select(*by, "fold", *merged)
+    have = [F.col(f"n{j}") for j in range(len(labels))]
     total, k = sum(have[1:], have[0]), sum(((h > 0).cast("double") for h in have[1:]), (have[0] > 0).cast("double"))
     out = []
     for j in range(len(labels)):
@@ -120,7 +131,7 @@ def wide_gnb_folds(df: DataFrame, key: str, features: list[str], target: str, ch
 def nearest_mean(df: DataFrame, means: DataFrame, label: str, values: str = "features") -> DataFrame:
     """Prediction by the nearest class mean (a bounded table: classes x features)."""
     table = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(values).alias("m")))).alias("_means"))
-    j = df.join(F.broadcast(table), F.lit(True))  # one row
+    j = df.withColumn("_means", table.scalar())
     d = F.transform("_means", lambda c: F.struct(F.aggregate(F.zip_with(F.col(values), c["m"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d"), c["label"].alias("label")))
     return j.withColumn("prediction", F.array_min(d)["label"]).drop("_means")
 
@@ -248,11 +259,11 @@ def fit_folds(df: DataFrame, make: Callable[[], Model], target: str, chunk: str,
     ``most`` bounds the training rows of a fold: those with the smallest hashes.
     Which rows they are doesn't depend on how the data lie.
     """
-    folds = df.select(F.col(chunk).alias("fold")).distinct()
+    folds = F.array(*map(F.lit, uniques(df, chunk)))
     # the bounded sample is drawn per chunk before the fan-out, so that fold copies stay small
     w = W.partitionBy(chunk).orderBy(F.xxhash64(key), key)
     drawn = df.select(key, chunk, target, values).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most)
-    train = drawn.join(F.broadcast(folds), F.col(chunk) != F.col("fold"))
+    train = drawn.select("*", F.explode(F.filter(folds, lambda f: f != F.col(chunk))).alias("fold"))
     kind = dict(df.dtypes)[chunk]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

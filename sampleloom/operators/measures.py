@@ -126,7 +126,7 @@ def pdist(df: DataFrame, key: str, fx, values: str = "features", block: list[str
     """Condensed dissimilarities (id_a < id_b) of a table of conditions."""
     if centre:
         mean = group_means(df.withColumn("_all", F.lit(1)), ["_all"], values).select(F.col(values).alias("_m"))
-        df = df.join(F.broadcast(mean), F.lit(True)).withColumn(values, F.zip_with(values, "_m", lambda x, m: x - m)).drop("_m")
+        df = df.withColumn("_m", mean.scalar()).withColumn(values, F.zip_with(values, "_m", lambda x, m: x - m)).drop("_m")
     return pairwise(df, df, key, values, fx, block, symmetric=True)
 
 

@@ -15,6 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.generators import uniques
@@ -73,8 +74,6 @@ def searchlight(long: DataFrame, near: DataFrame, measure: Callable[[np.ndarray,
     For measures without a plan of their own; one task holds the samples of one
     neighbourhood, at most ``most`` of them, drawn by hash.
     """
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("feature_id").orderBy(F.xxhash64("sample_id"))
     few = long.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i")
 
@@ -109,13 +108,19 @@ def gnb_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str) -
 
 def m1nn_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str) -> DataFrame:
     """Error of the nearest class mean around each centre: (center_id, fold, error); class means of the held-out chunk are what is predicted."""
-    cells = long.groupBy(chunk, target, "feature_id").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s"))
-    folds = cells.select(F.col(chunk).alias("fold")).distinct()
-    train = cells.withColumnRenamed(target, "label").join(F.broadcast(folds), F.col(chunk) != F.col("fold")).groupBy("fold", "label", "feature_id").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    test = cells.select(F.col(chunk).alias("fold"), F.col(target).alias("target"), "feature_id", (F.col("s") / F.col("n")).alias("value"))
-    sq = test.join(train, ["fold", "feature_id"]).withColumn("d", F.pow(F.col("value") - F.col("mean"), 2))
-    around = sq.join(near, "feature_id").groupBy("center_id", "fold", "target", "label").agg(F.sum("d").alias("d"))
-    best = around.groupBy("center_id", "fold", "target").agg(F.min_by("label", F.struct("d", "label")).alias("prediction"))
+    labels = uniques(long, target)
+    t = F.col(target)
+    sums = long.groupBy(F.col(chunk).alias("fold"), "feature_id").agg(*(c for i, y in enumerate(labels) for c in (F.count_if(t == F.lit(y)).cast("double").alias(f"n{i}"), F.coalesce(F.sum(F.when(t == F.lit(y), F.col("value"))), F.lit(0.0)).alias(f"s{i}"))))
+    # chunks x features rows: training means are the total less the own chunk
+    every = W.partitionBy("feature_id")
+    means = [F.try_divide(F.sum(f"s{i}").over(every) - F.col(f"s{i}"), F.sum(f"n{i}").over(every) - F.col(f"n{i}")).alias(f"m{i}") for i in range(len(labels))]
+    own = [F.struct(F.lit(y).alias("target"), F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")).alias("value")) for i, y in enumerate(labels)]
+    cells = sums.select("fold", "feature_id", *means, F.array(*own).alias("own"))
+    test = cells.select("fold", "feature_id", *(f"m{i}" for i in range(len(labels))), F.explode("own").alias("o")).where("o.value is not null")
+    sq = test.select("fold", "feature_id", F.col("o.target").alias("target"), *(F.pow(F.col("o.value") - F.col(f"m{i}"), 2).alias(f"d{i}") for i in range(len(labels))))
+    around = sq.join(near, "feature_id").groupBy("center_id", "fold", "target").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(len(labels))))
+    each = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"d{i}").alias("d"), F.lit(y).alias("label")) for i, y in enumerate(labels))), lambda x: x["d"].isNotNull()))
+    best = around.select("center_id", "fold", "target", each[0]["label"].alias("prediction"))
     return best.groupBy("center_id", "fold").agg(F.avg((F.col("prediction") != F.col("target")).cast("double")).alias("error"))
 
 
@@ -268,8 +273,6 @@ def minimal_mapping(pairs: DataFrame) -> DataFrame:
 
 def select_voxels(node_distance: DataFrame, pairs: DataFrame, radius: float | None = None, count: int | None = None) -> DataFrame:
     """(center_id, voxel, distance): voxels of the nodes around each centre, within a radius or the nearest ``count``."""
-    from pyspark.sql import Window as W
-
     near = node_distance.join(pairs.withColumnRenamed("node", "feature_id"), "feature_id").groupBy("center_id", "voxel").agg(F.min("distance").alias("distance"))
     if radius is not None:
         return near.where(F.col("distance") <= radius)

@@ -24,7 +24,8 @@ def zscore(df: DataFrame, columns: list[str], chunk: str | None = None, baseline
     pick = (lambda c: F.when(baseline, F.col(c))) if baseline is not None else F.col
     stats = [f(pick(c)).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     if chunk is None:
-        joined = df.join(F.broadcast(df.agg(*stats)), F.lit(True))  # one row
+        one = df.agg(F.struct(*stats)).scalar()
+        joined = df.withColumn("_one", one).select("*", "_one.*").drop("_one")
     else:
         by = df.groupBy(F.col(chunk).alias("_chunk")).agg(*stats)
         joined = df.join(by, F.col(chunk).eqNullSafe(F.col("_chunk"))).drop("_chunk")
