@@ -40,8 +40,9 @@ def period(x: np.ndarray, least: float = 0.3) -> int:
     n = len(x)
     if n < 24:
         return 0
-    s = scatter(x)
-    y = np.clip(x, -25 * s, 25 * s) if s else x
+    # clipped low: what recurs is still seen, single spikes hardly count
+    s = 6 * scatter(x)
+    y = np.clip(x, -s, s) if s else x
     y = y - y.mean()
     f = np.fft.rfft(y, 1 << (2 * n - 1).bit_length())
     acf = np.fft.irfft(f * np.conj(f))[: n // 3 + 1]
@@ -56,8 +57,8 @@ def period(x: np.ndarray, least: float = 0.3) -> int:
     return int(peak[acf[peak] >= 0.85 * acf[peak].max()][0])
 
 
-def seasonal(x: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
-    """The shape that recurs every ``p`` readings: the median of each phase."""
+def seasonal_at(x: np.ndarray, at: np.ndarray, p: int, late: int = 0) -> np.ndarray:
+    """The shape that recurs every ``p`` readings, the median of each phase, read ``late`` places on."""
     phase = at % p
     order = np.argsort(phase, kind="stable")
     bounds = np.searchsorted(phase[order], np.arange(p + 1))
@@ -66,7 +67,7 @@ def seasonal(x: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
         part = x[order[bounds[k] : bounds[k + 1]]]
         if len(part) >= 3:
             shape[k] = np.median(part)
-    return (shape - np.median(shape))[phase]
+    return (shape - np.median(shape))[(phase + late) % p]
 
 
 @lru_cache(maxsize=4096)
@@ -120,13 +121,18 @@ def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 1
     x, at = data[fine], number[fine] - number[fine[0]]
     rough = x - running_median(x, 31)
     p = period(np.interp(np.arange(at[-1] + 1), at, rough)) if at[-1] < 4 * len(at) else 0
-    shape = seasonal(rough, at, p) if p else np.zeros(len(x))
+    shape = seasonal_at(rough, at, p) if p else np.zeros(len(x))
     level = x - shape
     res = level - running_median(level, 9)
     s = scatter(res)
     if p and scatter(rough) < s:
         res = rough
         s = scatter(res)
+    elif p:
+        # periods are rarely whole: a reading may meet the shape one place early or late
+        for late in (-1, 1):
+            other = res - (seasonal_at(rough, at, p, late) - shape)
+            res = np.where(np.abs(other) < np.abs(res), other, res)
     held = (x[1:] == x[:-1]).mean() > 0.5
     if s <= 0 or held:
         # held levels: what the channel normally shows is the spread of its levels
