@@ -23,6 +23,8 @@ from sampleloom.session import materialised, partitions_for
 WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 #: Levels of the hierarchy take this many partitions into one.
 FAN_IN = 8
+#: Members of a component that one part of the pairs' join holds.
+PART = 1000
 
 
 def chunk_key(c: Column) -> Column:
@@ -111,8 +113,12 @@ def tied_pairs(samples: DataFrame, chunk: str = "chunks", origin: str = "origids
     """
     tree = materialised(components(tie_edges(samples, chunk, origin)))
     members = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
-    left, right = members.select("root", F.col("node").alias("chunk_a")), members.select("root", F.col("node").alias("chunk_b"))
-    return left.join(right, "root").where("chunk_a < chunk_b").select("chunk_a", "chunk_b")
+    # the pairs are the result; those of a large component are spread over parts of its members
+    parts = members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = members.join(parts, "root")
+    left = members.select("root", F.col("node").alias("chunk_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = members.select("root", F.col("node").alias("chunk_b"), F.pmod(F.hash("node"), "parts").alias("part"))
+    return left.join(right, ["root", "part"]).where("chunk_a < chunk_b").select("chunk_a", "chunk_b")
 
 
 def assign(sizes: np.ndarray, mixes: np.ndarray, shares: np.ndarray, filled: np.ndarray) -> np.ndarray:

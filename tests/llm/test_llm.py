@@ -148,7 +148,7 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize("most", [4_000_000, 10])
-def test_components(spark, most):
+def test_components(spark, monkeypatch, most):
     rng = random.Random(5)
     rows = [(f"c{rng.randrange(300):03d}", f"o{rng.randrange(700)}") for _ in range(800)]
     rows += [(f"p{i:03d}", f"q{i}") for i in range(60)] + [(f"p{i + 1:03d}", f"q{i}") for i in range(59)]
@@ -158,8 +158,10 @@ def test_components(spark, most):
     pairs = brute_components(rows)
     assert {(a, b) for a, b in pairs if root.get(a, a) != root.get(b, b)} == set()
     assert len(root) == len({x for p in pairs for x in p}) - len({root[x] for x in root})
-    got = {tuple(r) for r in splits.tied_pairs(df).collect()}
-    assert got == pairs
+    for part in (1000, 7):
+        monkeypatch.setattr(splits, "PART", part)
+        got = [tuple(r) for r in splits.tied_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs
 
 
 def test_spellings_and_missing(spark):
