@@ -6,7 +6,6 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sampleloom.operators import errors as er
 from sampleloom.operators import generators as ge

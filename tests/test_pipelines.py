@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from sampleloom import cli
 from sampleloom.functions import generate as gen
 from sampleloom.functions.distance import linear, squared_euclidean
-from sampleloom.operators import neighborhood as ne
 from sampleloom.operators import ordered as od
 from sampleloom.plans import pipelines as pl
 
