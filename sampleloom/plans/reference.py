@@ -45,6 +45,11 @@ def r(c, n: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, n) + 0.0
 
 
+def micros(c: str):
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
+
+
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*(r(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -233,7 +238,7 @@ AS_OF = """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type
 
 
 def _as_of(spark, d, how):
-    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = table(spark, d, "events").withColumn("t", micros("ts"))
     hits = e.where("event_type = 'purchase'").groupBy("user_id", "t").agg(F.max("event_id").alias("hit"))
     return od.as_of(e.where("event_type <> 'purchase'").select("event_id", "user_id", F.col("t").alias("at")), hits, ["user_id"], "at", "t", "hit", how, slot=30 * 86_400e6).select("event_id", "hit")
 
@@ -1048,14 +1053,14 @@ def condition_names(spark, d):
 @query()
 def permutation_test(spark, d):
     """Cross-validated error of the line items' flags and its probability under permuted flags."""
-    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
+    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", micros("o_orderdate").cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
     return pl.permutation_test(x, "o_orderkey", ["o_totalprice", "t"], "o_orderstatus", "chunk", 10)
 
 
 @query()
 def balanced_cv(spark, d):
     """Error on balanced draws, five repetitions."""
-    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
+    x = table(spark, d, "orders").select("o_orderkey", "o_totalprice", micros("o_orderdate").cast("double").alias("t"), "o_orderstatus", (F.col("o_orderkey") % 4).alias("chunk"))
     return rounded(pl.balanced_cv(x, "o_orderkey", ["o_totalprice", "t"], "o_orderstatus", "chunk"), 6)
 
 
