@@ -63,7 +63,7 @@ def hstack(parts: list[DataFrame], order: list[str]) -> DataFrame:
 
 def stack_by_sample_attribute(df: DataFrame, attr: str, values: list, order: list[str], value: str = VALUES) -> DataFrame:
     """Samples of each attribute value side by side: the n-th of every value form one row, in the order of ``values``."""
-    at = df.withColumn("pos", F.row_number().over(W.partitionBy(attr).orderBy(*order)) - 1)
+    at = df.withColumn("pos", (F.row_number().over(W.partitionBy(attr).orderBy(*order)) - 1).cast("long"))
     # the number of values is that of columns, so the map is small
     cells = at.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct(attr, value))).alias("m"))
     row = [F.col("m")[F.lit(v)] for v in values]
