@@ -4,24 +4,43 @@ Per source a robust seasonal-trend decomposition (running medians, a period
 found by autocorrelation, medians by phase) leaves a residual. Residuals beyond
 the limits of the generalised extreme studentised deviate test, and beyond a
 given multiple of the source's usual scatter, are spikes. Runs of equal
-readings and readings beyond the physical range are checked separately.
+readings and readings beyond the physical range are checked separately. Long
+sources are shared among tasks in blocks; what a source normally shows is then
+put together from summaries of all its blocks before any block is judged.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sampleloom.functions.distributions import t_isf
+from sampleloom.session import materialised
 
 #: MAD of a normal distribution with scatter 1, inverted.
 MAD = 1.4826
 #: Readings of one source that are judged together, and those seen on either side of them.
 BLOCK, HALO = 16_384, 256
+#: Distinct values up to which a block's values are counted one by one, and the groups of equal size that sum up more.
+DISTINCT, GROUPS = 1024, 256
+
+
+class Usual(NamedTuple):
+    """What a source that is judged in blocks normally shows: whether it varies outside long runs, its readings, period, scatter, whether it holds levels and their middle; the period of the block at hand."""
+
+    varies: bool
+    readings: int
+    period: int
+    scale: float
+    held: bool
+    middle: float
+    near: int
 
 
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,15 +99,16 @@ def _limits(n: int, most: int, alpha: float) -> np.ndarray:
     return np.interp(np.arange(1, most + 1), i, left * t / np.sqrt((df + t * t) * (left + 1)))
 
 
-def gesd(res: np.ndarray, scale: float, alpha: float, share: float) -> float:
+def gesd(res: np.ndarray, scale: float, alpha: float, share: float, of: int = 0) -> float:
     """The size that a residual must exceed, by the generalised ESD test in its robust form.
 
     Deviations are studentised by ``scale``, which outliers do not inflate. The
     largest i at which the i-th largest deviation exceeds its limit gives the
-    number of outliers; infinity if there are none.
+    number of outliers; infinity if there are none. ``of`` is the number of all
+    residuals where ``res`` is a part of them.
     """
-    n = len(res)
-    most = max(1, int(n * share))
+    n = max(of, len(res))
+    most = min(max(1, int(n * share)), max(len(res), 2 * BLOCK))
     if n < 10 or scale <= 0:
         return np.inf
     size = np.abs(res) / scale
@@ -99,8 +119,42 @@ def gesd(res: np.ndarray, scale: float, alpha: float, share: float) -> float:
     return top[over[-1]] * scale * (1 - 1e-12) if len(over) else np.inf
 
 
-def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = 0.05) -> np.ndarray:
-    """Flags of one source's readings, in order of ``number``: 1 spike, 2 stuck, 4 out of range, added up."""
+def runs(x: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each reading: whether it differs from the one before; whether it belongs to ``run`` or more equal ones."""
+    new = np.append(True, x[1:] != x[:-1])
+    length = np.diff(np.append(np.flatnonzero(new), len(x)))
+    return new, np.repeat(length >= run, length)
+
+
+def residuals(x: np.ndarray, at: np.ndarray, p: int | None = None) -> tuple[np.ndarray, int, float]:
+    """What trend and recurring shape leave of ``x``, the period used and the scatter.
+
+    ``p`` is looked for if None; 0 stands for no period, -1 for a trend alone.
+    """
+    rough = x - running_median(x, 31)
+    if p is None:
+        p = period(np.interp(np.arange(at[-1] + 1), at, rough)) if at[-1] < 4 * len(at) else 0
+    if p < 0:
+        return rough, p, scatter(rough)
+    shape = seasonal_at(rough, at, p) if p else np.zeros(len(x))
+    level = x - shape
+    res = level - running_median(level, 9)
+    s = scatter(res)
+    if p and scatter(rough) < s:
+        return rough, -1, scatter(rough)
+    if p:
+        # periods are rarely whole: a reading may meet the shape one place early or late
+        for late in (-1, 1):
+            other = res - (seasonal_at(rough, at, p, late) - shape)
+            res = np.where(np.abs(other) < np.abs(res), other, res)
+    return res, p, s
+
+
+def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = 0.05, usual: Usual | None = None) -> np.ndarray:
+    """Flags of one source's readings, in order of ``number``: 1 spike, 2 stuck, 4 out of range, added up.
+
+    With ``usual`` the readings are a part of the source and judged by what the whole of it shows.
+    """
     flags = np.zeros(len(data), np.int32)
     with np.errstate(invalid="ignore"):
         wild = np.abs(data) > most
@@ -108,47 +162,109 @@ def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 1
     there = np.flatnonzero(~np.isnan(data))
     x = data[there]
     if len(x) >= run:
-        new = np.append(True, x[1:] != x[:-1])
-        length = np.diff(np.append(np.flatnonzero(new), len(x)))
-        long = np.repeat(length >= run, length)
+        new, long = runs(x, run)
         short = ~long[1:] | new[1:]
         # a channel that holds its levels anyway has no stuck runs
-        if short.any() and (~new[1:][short]).mean() < 0.5 and long.mean() < 0.9:
+        if usual.varies if usual else short.any() and (~new[1:][short]).mean() < 0.5 and long.mean() < 0.9:
             flags[there[long]] |= 2
     fine = np.flatnonzero(~np.isnan(data) & ~wild & (flags == 0))
-    if len(fine) < 10:
+    if len(fine) < (1 if usual else 10):
         return flags
     x, at = data[fine], number[fine] - number[fine[0]]
-    rough = x - running_median(x, 31)
-    p = period(np.interp(np.arange(at[-1] + 1), at, rough)) if at[-1] < 4 * len(at) else 0
-    shape = seasonal_at(rough, at, p) if p else np.zeros(len(x))
-    level = x - shape
-    res = level - running_median(level, 9)
-    s = scatter(res)
-    if p and scatter(rough) < s:
-        res = rough
-        s = scatter(res)
-    elif p:
-        # periods are rarely whole: a reading may meet the shape one place early or late
-        for late in (-1, 1):
-            other = res - (seasonal_at(rough, at, p, late) - shape)
-            res = np.where(np.abs(other) < np.abs(res), other, res)
-    held = (x[1:] == x[:-1]).mean() > 0.5
-    if s <= 0 or held:
-        # held levels: what the channel normally shows is the spread of its levels
-        res = x - np.median(x)
-        s = max(scatter(x), float(np.mean(np.abs(res))), 1e-300)
-    bound = max(limit * s, min(gesd(res, s, alpha, 0.2), np.inf))
+    if usual:
+        s = usual.scale
+        if usual.held:
+            res = x - usual.middle
+        else:
+            # shapes change slowly: the block's own period or the source's, whichever leaves less
+            res = min((residuals(x, at, p) for p in {usual.near, usual.period}), key=lambda r: r[2])[0]
+    else:
+        res, _, s = residuals(x, at)
+        held = (x[1:] == x[:-1]).mean() > 0.5
+        if s <= 0 or held:
+            # held levels: what the channel normally shows is the spread of its levels
+            res = x - np.median(x)
+            s = max(scatter(x), float(np.mean(np.abs(res))), 1e-300)
+    bound = max(limit * s, min(gesd(res, s, alpha, 0.2, usual.readings if usual else 0), np.inf))
     flags[fine[np.abs(res) > bound]] |= 1
     return flags
 
 
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and their numbers; of many distinct values the means of ``GROUPS`` groups in order of size."""
+    values, n = np.unique(x, return_counts=True)
+    if len(values) <= DISTINCT:
+        return values, n
+    at = np.arange(GROUPS) * len(x) // GROUPS
+    n = np.diff(np.append(at, len(x)))
+    return np.add.reduceat(np.sort(x), at) / n, n
+
+
+def counted_sizes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes by their first bits, as means of values within 1.6 % of each other, and their numbers; equal sizes stay exact."""
+    size = np.sort(size)
+    _, at, n = np.unique(size.view(np.int64) >> 46, return_index=True, return_counts=True)
+    low, high = size[at], size[at + n - 1]
+    return np.where(low == high, low, np.add.reduceat(size, at) / n if len(at) else low), n
+
+
+def summary(number: np.ndarray, x: np.ndarray, own: np.ndarray, run: int, most: float) -> list[dict]:
+    """Sums of a block over its ``own`` readings, with those in long runs (``free`` false) and without."""
+    new, long = runs(x, run)
+    pair = own & (~long | new)
+    pair[0] = False  # the block's first reading has none before it, or is not its own
+    base = {"n": own.sum(), "n_long": (own & long).sum(), "pairs": pair.sum(), "same": (pair & ~new).sum()}
+    out = []
+    for free in (False, True):
+        if free and not long.any():
+            out.append(out[0] | {"free": True})
+            continue
+        fine = np.flatnonzero((np.abs(x) <= most) & ~(long & free))
+        part = {"m": 0, "m_pairs": 0, "m_same": 0, "p": 0, "res": [], "res_n": [], "x": [], "x_n": []}
+        if len(fine) >= 10:
+            y, mine = x[fine], own[fine]
+            res, p, _ = residuals(y, number[fine] - number[fine[0]])
+            (size, size_n), (value, value_n) = counted_sizes(np.abs(res - np.median(res))[mine]), counted(y[mine])
+            part = {"m": mine.sum(), "m_pairs": mine[1:].sum(), "m_same": ((y[1:] == y[:-1]) & mine[1:]).sum(), "p": p, "res": size, "res_n": size_n, "x": value, "x_n": value_n}
+        out.append(base | part | {"free": free})
+    return out
+
+
+def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    total = np.cumsum(w[order])
+    return float(x[order][np.searchsorted(total, total[-1] / 2)])
+
+
+def usual_of(blocks: pd.DataFrame) -> list[Usual]:
+    """What a source normally shows, from the summaries of all its blocks; one for each block, in order of blocks."""
+    once = blocks[~blocks["free"]]
+    n, pairs = int(once["n"].sum()), once["pairs"].sum()
+    varies = bool(pairs > 0 and once["same"].sum() < 0.5 * pairs and once["n_long"].sum() < 0.9 * n)
+    part = blocks[blocks["free"] == varies].sort_values("block")
+    some = part[part["m"] > 0]
+    p, s, held, middle = 0, 1e-300, False, 0.0
+    if len(some):
+        p = int(some.groupby("p")["m"].sum().idxmax())
+        joined = lambda c: np.concatenate([np.asarray(v, float) for v in some[c]])
+        s = MAD * weighted_median(joined("res"), joined("res_n"))
+        held = bool(s <= 0 or some["m_same"].sum() > 0.5 * some["m_pairs"].sum())
+        if held:
+            x, w = joined("x"), joined("x_n")
+            middle = weighted_median(x, w)
+            off = np.abs(x - middle)
+            s = max(MAD * weighted_median(off, w), float((off * w).sum() / w.sum()), 1e-300)
+    return [Usual(varies, n, p, s, held, middle, int(near)) for near in part["p"]]
+
+
 def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = 0.05) -> DataFrame:
     """The implausible readings (source, number, spike, stuck, out_of_range) of ``df``.
 
-    Each source is cut into blocks of ``BLOCK`` consecutive numbers, every block
-    seen with ``HALO`` readings on either side, so that a source of any size is
-    judged by many tasks and a run across a cut is still whole. ``limit`` is the
+    Sources of more than ``BLOCK`` readings are cut by rank into blocks of about
+    the same size, every block seen with ``HALO`` readings on either side, so
+    that a source of any size is judged by many tasks and a run across a cut is
+    still whole. Whether the source varies, its scatter and its period come from
+    summaries of all its blocks. ``limit`` is the
     multiple of the source's usual scatter that a spike must exceed besides the
     ESD limit at ``alpha``, ``run`` the length of a stuck stretch, ``most`` the
     size that no sensor gives.
@@ -161,25 +277,53 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
     """
     names = [f"k{i}" for i in range(len(source))]
     plain = df.select(*(F.col(c).alias(n) for c, n in zip(source, names, strict=True)), F.col(number).cast("long").alias("n"), F.col(value).cast("double").alias("x")).dropna(subset=[*names, "n"])
-    # no halo for blocks before the first and after the last that hold readings
-    ends = plain.agg(F.min("n"), F.max("n")).first()
-    first, last = ((v or 0) // BLOCK for v in ends)
-    low, high = F.greatest(F.floor((F.col("n") - HALO) / BLOCK), F.lit(first)), F.least(F.floor((F.col("n") + HALO) / BLOCK), F.lit(last))
-    plain = plain.withColumn("block", F.explode(F.sequence(low, high)))
+    plain = plain.where("x is not null and not isnan(x)").withColumn("part", F.floor(F.col("n") / BLOCK))
+    # one exchange serves both the choice among repeated rows and the ranks within a stretch of numbers
+    once = plain.repartition(*names, "part").groupBy(*names, "part", "n").agg(F.min("x").alias("x"))
+    once = materialised(once.withColumn("r", F.row_number().over(W.partitionBy(*names, "part").orderBy("n")) - 1))
+    count = once.groupBy(*names, "part").agg(F.count("*").alias("c"))
+    before, every = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*names)
+    count = count.select(*names, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(every).alias("all"))
+    halo = max(HALO, run)
+    rank = F.col("r") + F.col("before")
+    cuts = F.ceil(F.col("all") / BLOCK)
+    block = lambda r: F.floor(r * F.col("cuts") / F.col("all"))
+    ranked = once.join(count, [*names, "part"]).select(*names, "n", "x", "all", cuts.alias("cuts"), rank.alias("rank")).withColumn("own", block(F.col("rank")))
+    first, last = block(F.greatest(F.col("rank") - halo, F.lit(0))), block(F.least(F.col("rank") + halo, F.col("all") - 1))
+    blocks = ranked.withColumn("block", F.explode(F.sequence(first, last))).select(*names, "block", "n", "x", (F.col("own") == F.col("block")).alias("own"), "cuts")
     types = ", ".join(f"{n} {t}" for n, t in plain.dtypes if n in names)
 
+    def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("n")
+        return pdf["n"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["own"].to_numpy(bool)
+
+    def keyed(pdf: pd.DataFrame, rows: int) -> pd.DataFrame:
+        return pdf[names].iloc[np.zeros(rows, int)].reset_index(drop=True)
+
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(summary(*ordered(pdf), run, most))
+        return keyed(pdf, len(out)).assign(block=pdf["block"].iloc[0], **{c: out[c] for c in out})
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = [[float(v) for v in u] for u in usual_of(pdf)]
+        return keyed(pdf, len(known)).assign(block=np.sort(pdf["block"].unique()), usual=known)
+
     def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, x, block = pdf["n"].to_numpy(), pdf["x"].to_numpy(float), int(pdf["block"].iloc[0])
-        order = np.lexsort((x, n))
-        n, x = n[order], x[order]
-        once = np.append(True, n[1:] != n[:-1])
-        n, x = n[once], x[once]
-        own = n // BLOCK == block
-        flags = judge(n, x, limit, run, most, alpha) if own.any() else np.zeros(len(n), np.int32)
-        own &= flags > 0
+        known = pdf["usual"].dropna()
+        usual = None
+        if len(known):
+            v = known.iloc[0]
+            usual = Usual(bool(v[0]), int(v[1]), int(v[2]), v[3], bool(v[4]), v[5], int(v[6]))
+        n, x, own = ordered(pdf[pdf["usual"].isna()])
+        flags = judge(n, x, limit, run, most, alpha, usual)
+        own = own & (flags > 0)
         n, flags = n[own], flags[own]
-        key = pdf[names].iloc[np.zeros(len(n), int)].reset_index(drop=True)
-        return key.assign(n=n, spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
+        return keyed(pdf, len(n)).assign(n=n, spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
-    found = plain.groupBy(*names, "block").applyInPandas(run_block, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
+    sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
+    usual = blocks.where("cuts > 1").groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
+    usual = usual.groupBy(*names).applyInPandas(combine, f"{types}, block long, usual array<double>")
+    # a row of its own for each block, so that readings needn't carry it
+    both = blocks.drop("cuts").unionByName(usual, allowMissingColumns=True)
+    found = both.groupBy(*names, "block").applyInPandas(run_block, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, source, strict=True)), F.col("n").alias(number), "spike", "stuck", "out_of_range")

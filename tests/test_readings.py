@@ -1,6 +1,7 @@
 import numpy as np
+import pandas as pd
 
-from sampleloom.operators.readings import BLOCK, gesd, implausible, judge, period, running_median
+from sampleloom.operators.readings import BLOCK, gesd, implausible, judge, period, residuals, running_median, scatter, summary, usual_of
 
 
 def test_spikes_runs_and_range():
@@ -59,3 +60,33 @@ def test_blocks_edges_and_nulls(spark):
     want = {("r", BLOCK - 1), ("q", 0)} | {("r", i) for i in [*range(BLOCK + 10, BLOCK + 25), *range(BLOCK - 40, BLOCK - 30)]}
     assert set(got) == want and got["q", 0].out_of_range and got["r", BLOCK - 1].spike and got["r", BLOCK + 10].stuck
     assert implausible(df.limit(0), ["rec", "chan"], "num", "data").count() == 0
+
+
+def test_stuck_stretch_longer_than_blocks(spark):
+    rng = np.random.default_rng(6)
+    n = 5 * BLOCK + 100
+    x = rng.normal(size=n)
+    x[BLOCK // 2 : 3 * BLOCK + 77] = 1.25  # fills blocks
+    x[-253:] = -0.5  # runs into the end
+    x[10], x[4 * BLOCK] = 30, -30
+    df = spark.createDataFrame(pd.DataFrame({"rec": "r", "num": np.arange(n), "data": x}))
+    got = implausible(df, ["rec"], "num", "data").toPandas()
+    assert set(got.num[got.stuck]) == {*range(BLOCK // 2, 3 * BLOCK + 77), *range(n - 253, n)}
+    assert set(got.num[got.spike]) == {10, 4 * BLOCK}
+
+
+def test_missing_readings_between_blocks(spark):
+    x = np.random.default_rng(7).normal(size=3 * BLOCK)
+    at = np.arange(3 * BLOCK) + np.where(np.arange(3 * BLOCK) >= BLOCK, 1000, 0)  # a gap longer than the halo
+    x[BLOCK - 5 : BLOCK + 5] = 0.75
+    df = spark.createDataFrame(pd.DataFrame({"rec": "r", "num": at, "data": x}))
+    got = implausible(df, ["rec"], "num", "data").toPandas()
+    assert set(got.num) == set(at[BLOCK - 5 : BLOCK + 5].tolist()) and got.stuck.all()
+
+
+def test_usual_scatter_of_coarse_steps():
+    x = np.round(np.random.default_rng(8).normal(size=4000) * 3) * 0.146
+    n = np.arange(4000)
+    rows = [r | {"block": b} for b in range(2) for r in summary(n[b * 2000 :][:2000], x[b * 2000 :][:2000], np.ones(2000, bool), 10, 9e7)]
+    want = np.median([scatter(residuals(x[b * 2000 :][:2000], n[:2000])[0]) for b in range(2)])
+    assert np.isclose(usual_of(pd.DataFrame(rows))[0].scale, want)
