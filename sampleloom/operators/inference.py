@@ -196,24 +196,34 @@ def match_distribution(x: np.ndarray) -> list[tuple[str, float]]:
 
 
 # --- clusters --------------------------------------------------------------
+def stars(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star round on (a, b): every node linked closer to the smallest it can see."""
+    for larger in (True, False):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        seen = both.join(least, "a")
+        keep = seen.where("b > a") if larger else seen.where("b <= a").unionByName(seen.select("a", F.col("a").alias("b"), "m"))
+        edges = materialised(keep.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    return edges
+
+
 def connected(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(node, cluster) with the smallest node of each connected part, by label hooking and pointer jumping.
+    """(node, cluster) with the smallest node of each connected part, by star contraction.
 
-    ``edges`` (a, b) over numbers, both directions or one. Each round halves
-    label chains; lineage is cut by a written table.
+    ``edges`` (a, b) over numbers, both directions or one; those with an end that
+    is no node are left out. Rounds go on until every node is linked to the root
+    of its part alone; lineage is cut by written tables. An error is raised if
+    ``most`` rounds don't do, as labels would be those of parts of clusters.
     """
-    both = materialised(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialised(nodes.select("node", F.col("node").alias("cluster")))
+    ends = lambda c: nodes.select(F.col("node").alias(c)).distinct()
+    links = materialised(edges.select("a", "b").where("a <> b").join(ends("a"), "a", "left_semi").join(ends("b"), "b", "left_semi").select("a", "b").distinct())
     for _ in range(most):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("_m"))
-        new = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", F.coalesce("_m", "cluster")).alias("cluster"))
-        jump = new.alias("x").join(new.alias("y"), F.col("x.cluster") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.least("x.cluster", F.coalesce("y.cluster", "x.cluster")).alias("cluster"))
-        new = materialised(jump)
-        moved = new.join(label.withColumnRenamed("cluster", "_o"), "node").where("cluster <> _o").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return label
+        up = links.select(F.col("b").alias("a")).distinct()
+        open_ends = links.join(up, "a", "left_semi").select("a").unionByName(links.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a")).unionByName(links.where("b > a").select("a"))
+        if not open_ends.limit(1).count():
+            return nodes.join(links, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("cluster"))
+        links = stars(links)
+    raise RuntimeError(f"clusters are not joined after {most} rounds")
 
 
 def threshold_map(draws: DataFrame, p: float = 0.001, by: str = "feature_id", value: str = "value") -> DataFrame:

@@ -102,3 +102,15 @@ def test_command_line(spark, wide, tmp_path):
     cli.main(["dump", "-i", src, "-o", str(tmp_path / "txt"), "--form", "csv"])
     for text, n in (("oddeven", 2), ("half", 2), ("group-2", 2), ("n-1", 4), ("n-2:chunks", 6)):
         assert len(cli.partition_specs(text, wide, "chunks")) == n
+
+
+def test_winding_clusters_stay_whole(spark):
+    from sampleloom.operators import inference as inf
+
+    rng = np.random.default_rng(0)
+    for order in ([0, *range(99, 0, -1)], rng.permutation(1000).tolist()):
+        edges = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
+        rows = inf.connected(edges, spark.range(len(order) + 1).withColumnRenamed("id", "node")).groupBy("cluster").count().collect()
+        assert {tuple(r) for r in rows} == {(0, len(order)), (len(order), 1)}
+    with pytest.raises(RuntimeError):
+        inf.connected(edges, spark.range(1000).withColumnRenamed("id", "node"), most=1)
