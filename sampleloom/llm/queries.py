@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sampleloom.llm.chunking import split_oversized
 from sampleloom.llm.leaks import leaks
 from sampleloom.llm.packing import pack
-from sampleloom.llm.splits import split_records, tied_pairs
+from sampleloom.llm.splits import split_records, tied_groups, tied_pairs
 from sampleloom.session import table
 
 
@@ -17,6 +17,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return tied_pairs(table(spark, d, "samples"))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each chunk, named by its smallest chunk."""
+    return tied_groups(table(spark, d, "samples"))
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """Training, validation or test set of each sample."""
     return split_records(table(spark, d, "samples"), {"train": 0.8, "validation": 0.1, "test": 0.1})
@@ -45,11 +50,12 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 P4_SQL = r"""
 WITH RECURSIVE s AS (
   SELECT DISTINCT translate(lower(regexp_replace(chunks, '^\s+|\s+$', '', 'g')), '_. ', '---') AS c, regexp_replace(origids, '^\s+|\s+$', '', 'g') AS o FROM samples),
-t AS (SELECT c, o FROM s WHERE c <> '' AND c <> 'n/a' AND o <> '' AND lower(o) NOT IN ('n/a', 'na', 'nan', 'none', 'null')),
+t AS (SELECT c, o FROM s WHERE c <> '' AND c <> 'n/a' AND o <> '' AND lower(o) <> 'n/a'),
 e AS (SELECT DISTINCT a.c AS a, b.c AS b FROM t a JOIN t b ON a.o = b.o WHERE a.c <> b.c),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT a AS chunk_a, b AS chunk_b FROM r WHERE a < b
 """
+P4_FOUND_SQL = P4_SQL + "SELECT a AS chunk_a, b AS chunk_b FROM r WHERE a < b"
+P4_GROUPS_SQL = P4_SQL + "SELECT c AS chunk, least(c, min(b)) AS group_id FROM (SELECT DISTINCT c FROM s WHERE c <> '' AND c <> 'n/a') LEFT JOIN r ON a = c GROUP BY c"
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p6_pack, p7_found, p7_shares, p8_pieces)}
-SQL = {"p4_found": P4_SQL}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p4_splits, p6_pack, p7_found, p7_shares, p8_pieces)}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_groups": P4_GROUPS_SQL}

@@ -5,7 +5,9 @@ forests are merged hierarchically, some partitions into one per level, each
 level contracting again. A level's input is bounded: forests that outgrow
 ``most_edges`` are contracted by rounds of star operations over all executors
 instead, until they fit. Groups are then assigned largest first, each to the
-split furthest below its target.
+split furthest below its target. Groups of one size whose main kind of target is
+the same are one class, so the greedy rule runs over classes with counts: there
+are at most about sqrt(2 N) sizes among N records, times the kinds.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 FAN_IN = 8
 #: Members of a component that one part of the pairs' join holds.
 PART = 1000
+#: Kinds of target told apart in the mixes; with more, those beyond the most frequent ones share these by their hash.
+KINDS = 256
+#: Bits of a hash by which the groups of one class are ranked in slots.
+SLOTS = 20
 
 
 def chunk_key(c: Column) -> Column:
@@ -36,7 +42,7 @@ def chunk_key(c: Column) -> Column:
 def origin_key(c: Column) -> Column:
     """An origin's name, NULL if it is missing."""
     x = F.regexp_replace(c, WHITE, "")
-    return F.when((x != "") & ~F.lower(x).isin("n/a", "na", "nan", "none", "null"), x)
+    return F.when((x != "") & (F.lower(x) != "n/a"), x)
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,37 +127,63 @@ def tied_pairs(samples: DataFrame, chunk: str = "chunks", origin: str = "origids
     return left.join(right, ["root", "part"]).where("chunk_a < chunk_b").select("chunk_a", "chunk_b")
 
 
-def assign(sizes: np.ndarray, mixes: np.ndarray, shares: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Greedy assignment, in the order given: each group to the split furthest below its target.
-
-    ``mixes`` (groups x kinds) are the groups' records by kind of target,
-    ``filled`` (splits x kinds) what the splits hold, updated in place. Among
-    splits equally far below in size, the one that lacks this group's kinds most.
+def tied_groups(samples: DataFrame, chunk: str = "chunks", origin: str = "origids") -> DataFrame:
+    """(chunk, group_id) of every chunk: the group's smallest chunk, its own name if nothing ties it."""
+    tree = components(tie_edges(samples, chunk, origin))
+    names = samples.select(chunk_key(F.col(chunk)).alias("chunk")).dropna().distinct()
+    return names.join(tree.withColumnRenamed("node", "chunk"), "chunk", "left").select("chunk", F.coalesce("root", "chunk").alias("group_id"))
+
+
+def deal(lack: np.ndarray, step: float, count: int) -> np.ndarray:
+    """How many of ``count`` equal groups each split gets if each goes to the split that lacks most, ``step`` less afterwards."""
+    got = np.zeros(len(lack), np.int64)
+    if count > len(lack):
+        # as long as all are above a common level, the order doesn't matter
+        low, high = lack.min() - step * (count + 1), lack.max()
+        for _ in range(200):
+            level = (low + high) / 2
+            if np.floor(np.maximum(lack - level, 0) / step).sum() <= count:
+                high = level
+            else:
+                low = level
+        got = np.floor(np.maximum(lack - high, 0) / step).astype(np.int64)
+    left = lack - got * step
+    for _ in range(count - int(got.sum())):
+        i = int(np.argmax(left))
+        got[i] += 1
+        left[i] -= step
+    return got
+
+
+def assign(classes: list[tuple[int, int, dict[int, int]]], shares: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """Greedy assignment: how many groups of each class go to each split.
+
+    A class is (size, number of groups, their records by kind); classes come
+    largest size first. A group goes to the split furthest below its target,
+    counted in records of the kinds that the group holds, so that the splits'
+    mixes come out alike.
     """
-    total = mixes.sum(0) + filled.sum(0)
-    goal = shares[:, None] * total[None, :]
-    out = np.empty(len(sizes), np.int32)
-    for i, mix in enumerate(mixes):
-        lack = shares * total.sum() - filled.sum(1)
-        kind = ((goal - filled) * mix[None, :]).sum(1) / max(mix.sum(), 1)
-        # relative to the target, so that a small split isn't starved of large groups' remainders
-        score = lack / np.maximum(shares * total.sum(), 1e-12) + 0.1 * kind / np.maximum(goal.mean(1), 1e-12)
-        fits = lack >= 0.5 * sizes[i]
-        score = np.where(fits, score, score - 10) if fits.any() else lack
-        out[i] = int(np.argmax(score))
-        filled[out[i]] += mix
+    total = np.zeros(kinds)
+    for _, _, mix in classes:
+        for k, x in mix.items():
+            total[k] += x
+    lack = shares[:, None] * total[None, :]
+    out = np.zeros((len(classes), len(shares)), np.int64)
+    for i, (size, count, mix) in enumerate(classes):
+        at = np.fromiter(mix, int, len(mix))
+        each = np.fromiter(mix.values(), float, len(mix)) / count
+        out[i] = deal(lack[:, at] @ (each / size), float(each @ each) / size, count)
+        lack[:, at] -= out[i][:, None] * each[None, :]
     return out
 
 
-def split_records(samples: DataFrame, shares: dict[str, float], key: str = "sample_id", chunk: str = "chunks", origin: str = "origids", target: str = "targets", heavy: int = 20_000, kinds: int = 64) -> DataFrame:
+def split_records(samples: DataFrame, shares: dict[str, float], key: str = "sample_id", chunk: str = "chunks", origin: str = "origids", target: str = "targets") -> DataFrame:
     """(key, chunk, group_id, split) of each record: tied chunks share a split.
 
-    The ``heavy`` largest groups are assigned one by one, largest first, with a
-    view to the mix of targets (the ``kinds`` most frequent, the rest as one).
-    The groups beyond that are all small; groups of one size are told apart by
-    nothing but a hash, so each size is assigned as a run of equal groups, cut
-    where the greedy rule fills up a split. Both bounds limit what the driver
-    sees, not what is assigned: every record gets a split.
+    Groups are assigned largest first, with a view to the mix of targets, each
+    to the split furthest below its target. The driver sees one row for each
+    size, main kind and kind of target; which groups of a class go where is
+    settled by ranks among their hashes.
 
     Cases: records whose chunk is missing are groups of their own unless their
     origin ties them to others; a NULL target is a kind of its own; repeated
@@ -172,51 +204,34 @@ def split_records(samples: DataFrame, shares: dict[str, float], key: str = "samp
 
     names, quota = list(shares), np.array(list(shares.values()), float)
     quota = quota / quota.sum()
-    common = [r["kind"] for r in grouped.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(kinds - 1).collect()]
-    index = {k: i for i, k in enumerate(common)}
-    sizes = materialised(grouped.groupBy("group_id").agg(F.count("*").alias("n")))
-    top = sizes.orderBy(F.desc("n"), "group_id").limit(heavy)
-    rare = F.lit(kinds - 1)
-    pairs = [F.lit(x) for k, i in index.items() if k is not None for x in (k, i)]
-    coded = F.coalesce(F.create_map(*pairs)[F.col("kind")], rare) if pairs else rare
-    at = F.when(F.col("kind").isNull(), F.lit(index.get(None, kinds - 1))).otherwise(coded)
-    # at most heavy x kinds rows of a name and two numbers
-    mix = grouped.join(F.broadcast(top.select("group_id")), "group_id").groupBy("group_id", at.alias("k")).count().toPandas()
-    order = sorted(mix["group_id"].unique())
-    mixes = np.zeros((len(order), kinds))
-    np.add.at(mixes, (np.searchsorted(np.array(order, object), mix["group_id"].to_numpy()), mix["k"].to_numpy(int)), mix["count"].to_numpy(float))
-    largest = np.argsort(-mixes.sum(1), kind="stable")
-    order, mixes = [order[i] for i in largest], mixes[largest]
-    rest = sizes.join(F.broadcast(top.select("group_id")), "group_id", "left_anti")
-    counts = sorted(((r["n"], r["count"]) for r in rest.groupBy("n").count().collect()), reverse=True)
-    filled = np.zeros((len(names), kinds))
-    light = float(sum(n * c for n, c in counts))
-    whole = mixes.sum() + light
-    # targets count what the small groups will bring as well
-    if len(order) and light:
-        chosen = assign(mixes.sum(1), mixes * whole / mixes.sum(), quota, filled)
-        filled = filled * mixes.sum() / whole
-    else:
-        chosen = assign(mixes.sum(1), mixes, quota, filled)
-    heavy_rows = [(g, names[c]) for g, c in zip(order, chosen, strict=True)]
-    have = filled.sum(1)
-    cuts = []
-    for n, c in counts:
-        lack = np.maximum(quota * whole - have, 0)
-        part = np.floor(c * lack / max(lack.sum(), 1e-12)).astype(int) if lack.sum() else np.zeros(len(names), int)
-        for _ in range(c - part.sum()):
-            part[int(np.argmax(quota * whole - have - part * n))] += 1
-        have = have + part * n
-        cuts.append((n, [int(x) for x in np.cumsum(part)]))
-    placed = spark.createDataFrame(heavy_rows, "group_id string, split string")
-    if counts:
-        # rank among the groups of one size, by ranges of a hash: no size is gathered in one task
-        at = rest.select("group_id", "n", F.xxhash64("group_id").alias("h")).withColumn("slot", F.shiftright("h", 44).cast("int"))
-        per = at.groupBy("n", "slot").count()
-        prior = per.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("n").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-        rank = at.join(prior, ["n", "slot"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("n", "slot").orderBy("h", "group_id")))
-        table = spark.createDataFrame(cuts, "n long, ends array<int>")
-        which = F.expr("size(filter(ends, e -> e < rank))")
-        light_rows = rank.join(F.broadcast(table), "n").select("group_id", F.element_at(F.array(*map(F.lit, names)), which + 1).alias("split"))
-        placed = placed.unionByName(light_rows)
+    common = grouped.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(KINDS - 1).collect()
+    pairs = [F.lit(x) for i, r in enumerate(common) if r["kind"] is not None for x in (r["kind"], i)]
+    missing = next((i for i, r in enumerate(common) if r["kind"] is None), KINDS - 1)
+    shared = F.pmod(F.xxhash64("kind"), F.lit(KINDS)).cast("int")
+    coded = F.coalesce(F.create_map(*pairs)[F.col("kind")], shared) if pairs else shared
+    cells = grouped.groupBy("group_id", F.when(F.col("kind").isNull(), F.lit(missing)).otherwise(coded).alias("k")).count()
+    rate = F.create_map(*(F.lit(x) for i, r in enumerate(common) for x in (i, float(r["count"])))) if common else F.create_map(F.lit(0), F.lit(1.0))
+    # the kind that a group holds more of than others do
+    over = F.col("count") / F.coalesce(rate[F.col("k")], F.lit(1.0))
+    groups = materialised(cells.groupBy("group_id").agg(F.sum("count").alias("n"), F.max_by("k", F.struct(over, "k")).alias("main"), F.collect_list(F.struct("k", "count")).alias("mix")))
+    parts = groups.select("n", "main", F.explode("mix").alias("x")).groupBy("n", "main", F.col("x.k").alias("k")).agg(F.sum("x.count").alias("c"))
+    counts = groups.groupBy("n", "main").agg(F.count("*").alias("c"), F.lit(-1).alias("k"))
+    table = parts.unionByName(counts).toPandas()
+    found: dict[tuple[int, int], list] = {}
+    for n, main, k, c in zip(table["n"].tolist(), table["main"].tolist(), table["k"].tolist(), table["c"].tolist(), strict=True):
+        row = found.setdefault((n, main), [n, 0, {}])
+        if k < 0:
+            row[1] = c
+        else:
+            row[2][k] = c
+    order = sorted(found, key=lambda x: (-x[0], x[1]))
+    ends = np.cumsum(assign([tuple(found[x]) for x in order], quota), axis=1).tolist()
+    cuts = spark.createDataFrame([(n, m, e) for (n, m), e in zip(order, ends, strict=True)], "n long, main int, ends array<long>")
+    # rank among the groups of one class, by ranges of a hash: no class is gathered in one task
+    at = groups.select("group_id", "n", "main", F.xxhash64("group_id").alias("h")).withColumn("slot", F.shiftright("h", 64 - SLOTS).cast("int"))
+    per = at.groupBy("n", "main", "slot").count()
+    prior = per.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("n", "main").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    rank = at.join(prior, ["n", "main", "slot"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("n", "main", "slot").orderBy("h", "group_id")))
+    which = F.expr("size(filter(ends, e -> e < rank))")
+    placed = rank.join(cuts, ["n", "main"]).select("group_id", F.element_at(F.array(*map(F.lit, names)), which + 1).alias("split"))
     return grouped.join(placed, "group_id").select(F.col("id").alias(key), "chunk", "group_id", "split")

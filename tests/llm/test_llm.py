@@ -176,18 +176,50 @@ def test_spellings_and_missing(spark):
     assert splits.split_records(df.limit(0), {"a": 1.0}).count() == 0
 
 
-@pytest.mark.parametrize("heavy", [20_000, 3])
-def test_proportions(spark, heavy):
+def test_proportions(spark):
     rng = random.Random(6)
     rows = [(i, f"c{rng.randrange(200)}" if i > 500 else f"c{i // 300}", f"o{i}", rng.choice(["rest", "rest", "face", "house"])) for i in range(5000)]
     df = spark.createDataFrame(rows, "sample_id long, chunks string, origids string, targets string")
-    got = splits.split_records(df, {"train": 0.8, "validation": 0.1, "test": 0.1}, heavy=heavy)
+    got = splits.split_records(df, {"train": 0.8, "validation": 0.1, "test": 0.1})
     share = {r.split: r["count"] / 5000 for r in got.groupBy("split").count().collect()}
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["test"] - 0.1) < 0.02
     assert got.groupBy("chunk").agg(F.countDistinct("split").alias("k")).agg(F.max("k")).first()[0] == 1
     assert got.count() == 5000
 
 
+def test_proportions_of_many_groups(spark):
+    """100,000 groups of 1 to 9 records: the splits are within one group's size of their targets, and so are the kinds."""
+    n = F.col("id")
+    of = F.explode(F.sequence(F.lit(1), F.pmod(F.xxhash64("id"), F.lit(9)) + 1))
+    df = spark.range(100_000).select(F.concat(F.lit("c"), n.cast("string")).alias("chunks"), of.alias("i")).withColumn("sample_id", F.xxhash64("chunks", "i"))
+    df = df.withColumn("origids", F.col("sample_id").cast("string")).withColumn("targets", F.concat(F.lit("t"), F.pmod(F.hash("sample_id"), F.lit(4)).cast("string")))
+    got = splits.split_records(df, {"train": 0.8, "validation": 0.1, "test": 0.1}).join(df.select("sample_id", "targets"), "sample_id")
+    by = {(r.split, r.targets): r["count"] for r in got.groupBy("split", "targets").count().collect()}
+    total = sum(by.values())
+    assert total == df.count() and got.groupBy("chunk").agg(F.countDistinct("split").alias("k")).agg(F.max("k")).first()[0] == 1
+    for s, q in {"train": 0.8, "validation": 0.1, "test": 0.1}.items():
+        assert abs(sum(x for (a, _), x in by.items() if a == s) - q * total) <= 9
+        for t in ("t0", "t1", "t2", "t3"):
+            kind = sum(x for (_, b), x in by.items() if b == t)
+            assert abs(by[s, t] - q * kind) < 0.02 * kind
+
+
+def test_dealing_equals_one_by_one():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        lack, step, count = rng.normal(size=4) * 100, float(rng.uniform(0.5, 30)), int(rng.integers(0, 60))
+        got, left = splits.deal(lack, step, count), lack.copy()
+        for _ in range(count):
+            left[int(np.argmax(left))] -= step
+        assert got.sum() == count and np.allclose(lack - got * step, left)
+
+
+def test_other_names_of_origins_tie(spark):
+    df = spark.createDataFrame([("a", "none"), ("b", "none"), ("c", "N/A"), ("d", "n/a")], "chunks string, origids string")
+    assert [tuple(r) for r in splits.tied_pairs(df).collect()] == [("a", "b")]
+    assert {tuple(r) for r in splits.tied_groups(df).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+
+
 # --- leaks -----------------------------------------------------------------------
 def test_hashes_equal_plain_words():
     t = ["It's Ärger-\n> lich, <b>bold</b> &amp; x_y 1,5 ﬁne STRASSE", "", "plain words here"]
@@ -278,7 +310,8 @@ def test_queries(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"create view samples as select * from '{d}/samples.parquet'")
-    got = {tuple(r) for r in q.p4_found(spark, d).select("chunk_a", "chunk_b").collect()}
-    assert got == {tuple(r) for r in con.sql(q.SQL["p4_found"]).fetchall()}
+    for name, sql in q.SQL.items():
+        want = con.sql(sql)
+        assert {tuple(r) for r in q.QUERIES[name](spark, d).select(*want.columns).collect()} == set(want.fetchall()), name
     for name, f in q.QUERIES.items():
         assert f(spark, d).count() >= 0, name
