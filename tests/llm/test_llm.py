@@ -292,6 +292,55 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
+def altered_corpus(rng, every):
+    """Posts with 0.45 of an item each, one word in ``every`` altered; and posts of the same words in other order."""
+    vocab = [f"w{i}" for i in range(800)]
+    item = {i: [rng.choice(vocab) for _ in range(rng.randrange(40, 130))] for i in range(60)}
+    docs = {}
+    for i, w in item.items():
+        n = round(len(w) * 0.45)
+        a = rng.randrange(len(w) - n + 1)
+        cut = ["zq" + x if k % every == every - 1 else x for k, x in enumerate(w[a : a + n])]
+        docs[i] = [rng.choice(vocab) for _ in range(rng.randrange(60))] + cut + [rng.choice(["lorem", "ipsum", *vocab[:9]]) for _ in range(40)]
+        docs[1000 + i] = rng.sample(w, len(w))
+    return {i: " ".join(w) for i, w in item.items()}, {i: " ".join(w) for i, w in docs.items()}
+
+
+@pytest.mark.parametrize("every", [6, 5, 4])
+def test_altered_words_and_brute_force(every):
+    item, docs = altered_corpus(random.Random(every), every)
+    ids, texts = np.array(list(docs)), list(docs.values())
+    index = leaks.Items(list(item), list(item.values()), 7)
+    got = {(d, i) for d, i, _ in leaks.search(ids, texts, index)}
+    # every pair of post and item verified, without any search for candidates
+    w, b = words.word_hashes(texts)
+    known = index.known[(w & np.uint64(len(index.known) - 1)).astype(np.int64)]
+    pairs = np.stack([x.ravel() for x in np.meshgrid(np.arange(len(ids)), np.arange(len(item)), indexing="ij")])
+    brute = {(d, i) for d, i, _ in leaks.verified(ids, w, b, known, pairs, index)}
+    assert got <= brute and len(brute - got) <= 0.02 * len(brute)
+    assert sum((i, i) in got for i in item) >= 0.9 * len(item) and not any(d >= 1000 for d, _ in got)
+    if every < 6:  # equal fingerprints alone don't find them
+        exact = {(d, i) for d, i, _ in leaks.search(ids, texts, leaks.Items(list(item), list(item.values()), 0))}
+        assert exact < got and len(exact) < 0.9 * len(got)
+
+
+def test_window_sizes_and_short_items():
+    assert leaks.window_sizes(3) == [3] and leaks.window_sizes(6) == [5] and leaks.window_sizes(100) == [5, 18, 40, 90]
+    index = leaks.Items([1, 2, 3], ["alpha beta gamma", "one two", "delta epsilon zeta eta"], 7)
+    texts = ["so alpha, BETA gamma!", "one two three", "x delta epsilon zeta eta", "alpha beta", ""]
+    assert {(d, i) for d, i, _ in leaks.search(np.arange(5), texts, index)} == {(0, 1), (2, 3)}
+    assert leaks.search(np.arange(1), ["alpha beta gamma"], leaks.Items([], [], 7)) == []
+
+
+def test_instruction_alone_is_no_case():
+    rng = random.Random(3)
+    common = "read the passage with care and choose the one best answer".split()
+    item = {i: common + [f"v{rng.randrange(3000)}" for _ in range(12)] for i in range(40)}
+    index = leaks.Items(list(item), [" ".join(w) for w in item.values()], 7)
+    assert leaks.search(np.arange(2), [" ".join(common), "x y " + " ".join(common + item[3][11:13])], index) == []
+    assert [r[:2] for r in leaks.search(np.arange(1), [" ".join(item[5])], index)] == [(0, 5)]
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     item = {i: " ".join(f"v{rng.randrange(5000)}" for _ in range(50)) for i in range(30)}
