@@ -34,8 +34,8 @@ def pieces(doc, text: str, capacity: int, path: str) -> Iterator[tuple]:
         yield doc, 0, 0, size, n
         return
     raw = text.encode()
-    for k, (a, b) in enumerate(cut_text(text, Cutter(capacity, 0, slack=0.03), path)):
-        yield doc, k, a, b, count_tokens(raw[a:b].decode(), path)
+    for k, (a, b, size) in enumerate(cut_text(text, Cutter(capacity, 0, slack=0.03), path)):
+        yield doc, k, a, b, size
 
 
 class Windows:

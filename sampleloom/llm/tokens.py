@@ -106,62 +106,92 @@ def strengths(raw: bytes, at: np.ndarray) -> np.ndarray:
 
 
 class Cutter:
-    """Cuts a stream of tokens into pieces of at most ``limit`` tokens, ``overlap`` of them shared with the piece before.
-
-    ``feed`` takes the tokens' lengths in bytes and how good a cut before each
-    is; it keeps no more than the piece in hand. A cut is taken at the best
-    place in the last ``slack`` share of the piece, the latest of equals; never
-    inside a character.
+    """Cuts a sequence of tokens into pieces of at most ``limit`` tokens, ``overlap`` of them shared with the piece before.
+
+    A cut is taken at the best place in the last ``slack`` share of the piece,
+    the latest of equals; never inside a character. Where ``count`` is given, a
+    piece is counted by itself, for it may tokenize otherwise than inside its
+    text, and is cut shorter until it is within the limit. ``feed`` takes a
+    stream of tokens' lengths in bytes and how good a cut before each is; it
+    keeps no more than the piece in hand.
     """
 
     def __init__(self, limit: int, overlap: int = 0, slack: float = 0.5, reserve: int = 8):
         if not 0 <= overlap < limit:
             raise ValueError("overlap must be less than limit")
+        self.most, self.slack = limit, slack
         self.limit = max(limit - min(reserve, limit // 8), overlap + 1, 1)
-        self.overlap, self.least = overlap, max(int(self.limit * (1 - slack)), overlap + 1)
+        self.overlap = overlap
         self.at = 0  # byte offset of the first token kept
         self.sizes, self.good = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        self.any = False
 
-    def feed(self, sizes: np.ndarray, good: np.ndarray):
+    def place(self, good: np.ndarray, s: int, top: int) -> int:
+        """Where a piece of ``top`` tokens at most that begins at token ``s`` is best cut."""
+        least = s + max(int(top * (1 - self.slack)), self.overlap + 1)
+        window = good[least : max(s + top, least) + 1]
+        k = least + len(window) - 1 - int(np.argmax(window[::-1]))
+        if good[k] == INSIDE:  # one character spans all: end before or after it
+            k = next((j for j in range(least - 1, s + self.overlap, -1) if good[j] != INSIDE), k)
+            while k < len(good) and good[k] == INSIDE:
+                k += 1
+        return k
+
+    def following(self, good: np.ndarray, s: int, k: int) -> int:
+        """Where the piece after that of the tokens ``s`` to ``k`` begins."""
+        nxt = k - self.overlap
+        if not self.overlap:
+            return nxt
+        low = max(k - self.overlap - 8, s + 1)
+        while nxt > low and good[nxt] < WORD:
+            nxt -= 1
+        if good[nxt] < WORD:
+            nxt = k - self.overlap
+            while nxt > s + 1 and good[nxt] == INSIDE:
+                nxt -= 1
+        return nxt
+
+    def step(self, good: np.ndarray, offset: np.ndarray, s: int, final: bool = False, count=None) -> tuple[int, int, int | None] | None:
+        """End of the piece that begins at token ``s``, begin of the next one, tokens counted; None if more tokens are needed."""
+        n, size, top = len(good), None, self.limit
+        if n - s <= self.limit:
+            if not final:
+                return None
+            if count is None or (size := count(int(offset[s]), int(offset[n]))) <= self.most:
+                return n, n, size
+            top = n - s - 1
+        while True:
+            k = self.place(good, s, top) if s + max(top, self.overlap + 1) < n else n
+            if k >= n:
+                return (n, n, count(int(offset[s]), int(offset[n])) if count else None) if final else None
+            if count is None or (size := count(int(offset[s]), int(offset[k]))) <= self.most or top <= self.overlap + 1:
+                return k, self.following(good, s, k), size
+            top = max(min(top, k - s) - max(size - self.most, 1), self.overlap + 1)
+
+    def walk(self, good: np.ndarray, offset: np.ndarray, s: int, final: bool = False, count=None):
+        """Pieces (begin, end, tokens counted) from token ``s`` on; returns the token that the next piece begins at."""
+        while s < len(good) and (piece := self.step(good, offset, s, final, count)):
+            yield int(offset[s]), int(offset[piece[0]]), piece[2]
+            s = piece[1]
+        return s
+
+    def feed(self, sizes: np.ndarray, good: np.ndarray, final: bool = False, count=None):
         sizes, good = np.append(self.sizes, sizes), np.append(self.good, good)
         offset = self.at + np.append(0, np.cumsum(sizes))
-        s = 0
-        while len(sizes) - s > self.limit:
-            window = good[s + self.least : s + self.limit + 1]
-            k = s + self.least + len(window) - 1 - int(np.argmax(window[::-1]))
-            if good[k] == INSIDE:  # one character spans all: end before or after it
-                k = next((j for j in range(s + self.least - 1, s + self.overlap, -1) if good[j] != INSIDE), k)
-                while k < len(sizes) and good[k] == INSIDE:
-                    k += 1
-            if k >= len(sizes):
-                break
-            yield int(offset[s]), int(offset[k])
-            self.any = True
-            low = max(k - self.overlap - 8, s + 1)
-            nxt = k - self.overlap
-            if self.overlap:
-                while nxt > low and good[nxt] < WORD:
-                    nxt -= 1
-                if good[nxt] < WORD:
-                    nxt = k - self.overlap
-                    while nxt > s + 1 and good[nxt] == INSIDE:
-                        nxt -= 1
-            s = nxt
+        s = yield from self.walk(good, offset, 0, final, count)
         self.at, self.sizes, self.good = int(offset[s]), sizes[s:], good[s:]
 
-    def finish(self):
-        if len(self.sizes):
-            yield self.at, self.at + int(self.sizes.sum())
+    def finish(self, count=None):
+        yield from self.feed(np.zeros(0, np.int64), np.zeros(0, np.uint8), True, count)
 
 
-def cut_text(text: str, cutter: Cutter, path: str = TOKENIZER) -> list[tuple[int, int]]:
-    """Byte ranges of the pieces of ``text``."""
+def cut_text(text: str, cutter: Cutter, path: str = TOKENIZER) -> list[tuple[int, int, int]]:
+    """Byte ranges of the pieces of ``text`` and their tokens."""
     raw, out = text.encode(), []
+    count = lambda a, b: count_tokens(raw[a:b].decode(), path)
     for part in parts(raw):
         sizes = token_sizes(part.decode(), path)
         base = cutter.at + int(cutter.sizes.sum())
         at = base + np.append(0, np.cumsum(sizes)[:-1]) if len(sizes) else np.zeros(0, np.int64)
         near = max(0, base - 8)
-        out += cutter.feed(sizes, strengths(raw[near : base + len(part) + 64], at - near))
-    return out + list(cutter.finish())
+        out += cutter.feed(sizes, strengths(raw[near : base + len(part) + 64], at - near), count=count)
+    return out + list(cutter.finish(count))

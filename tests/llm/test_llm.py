@@ -71,12 +71,63 @@ def test_ranges_and_whole_texts_are_cut_alike(spark):
     assert chunking.split_oversized(df.limit(0), 128, 16).count() == 0
 
 
+def test_texts_of_many_ranges_without_blanks(spark):
+    rng = random.Random(11)
+    texts = {1: "xyz" * 50_000, 2: "你好。今天很好" * 9_000, 3: text_of(rng, 30_000), 4: "你好" * 20_000 + " and then " + text_of(rng, 9000), 5: "a" + " " * 40_000 + text_of(rng, 15_000), 6: "x" * 31_121 + "é", 7: " " * 70_000}
+    df = spark.createDataFrame(list(texts.items()) + [(3, texts[3])], "doc_id long, text string").repartition(2)
+    rows = chunking.split_oversized(df, 128, 16, range_bytes=1, halo=200).collect()
+    three = [r for r in rows if r.doc_id == 3]
+    assert len(three) == 2 * len(set(three))  # a repeated row gives its pieces once more
+    by = {}
+    for r in set(rows):
+        by.setdefault(r.doc_id, []).append(r)
+    whole = [r for r in chunking.split_oversized(df, 128, 16, range_bytes=1 << 30).collect() if r.doc_id == 3]
+    assert set(whole) == set(three)
+    for doc, ps in by.items():
+        raw, ps = texts[doc].encode(), sorted(ps, key=lambda r: r.piece)
+        assert [p.piece for p in ps] == list(range(len(ps))) and ps[0].start_byte == 0 and ps[-1].end_byte == len(raw)
+        assert all(raw[p.start_byte : p.end_byte].decode() == p.text and tokens.count_tokens(p.text) == p.n_tokens <= 128 for p in ps)
+        assert all(a.start_byte < b.start_byte <= a.end_byte < b.end_byte for a, b in zip(ps, ps[1:], strict=False))
+    assert set(by) == set(texts)
+
+
+def test_files_are_cut_by_seeking(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {"long one.txt": text_of(rng, 200_000), "short.txt": text_of(rng, 20), "empty.txt": "", "mid.txt": text_of(rng, 400)}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    got = {}
+    for r in chunking.split_files(spark, str(tmp_path), 64, 8, range_bytes=20_000, halo=200).collect():
+        got.setdefault(r.doc_id.rpartition("/")[2], set()).add((r.piece, r.start_byte, r.end_byte, r.n_tokens, r.text))
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    want = {}
+    for r in chunking.split_oversized(df, 64, 8, range_bytes=1 << 30).collect():
+        want.setdefault(list(texts)[r.doc_id], set()).add((r.piece, r.start_byte, r.end_byte, r.n_tokens, r.text))
+    names = {k.replace("%20", " "): v for k, v in got.items()}
+    assert set(want) == {"long one.txt", "mid.txt"} and names == want
+    read = []
+    ranges = chunking.Ranges(64, 8, tokens.TOKENIZER, 20_000, 200, 128)
+    raw = texts["long one.txt"].encode()
+    chunking.Span(lambda a, b: read.append((a, b)) or raw[a:b], 20, len(raw), ranges).table()
+    assert max(b - a for a, b in read) < 2 * ranges.size  # never the whole file
+
+
+def test_pieces_are_counted_and_cut_again():
+    """A count that grows when a piece is taken out makes it shorter."""
+    cutter = tokens.Cutter(50, 5)
+    good = np.full(400, tokens.WORD, np.uint8)
+    count = lambda a, b: (b - a) // 2 + (9 if 100 <= a < 300 else 0)
+    spans = list(cutter.feed(np.full(400, 2), good, count=count)) + list(cutter.finish(count))
+    assert spans[0][0] == 0 and spans[-1][1] == 800 and all(n <= 50 for *_, n in spans)
+    assert all(a[0] < b[0] < a[1] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_cuts_prefer_natural_boundaries():
     rng = random.Random(2)
     t = text_of(rng, 3000)
     spans = tokens.cut_text(t, tokens.Cutter(200, 20))
     raw = t.encode()
-    good = [tokens.strengths(raw, np.array([b]))[0] for _, b in spans[:-1]]
+    good = [tokens.strengths(raw, np.array([b]))[0] for _, b, _ in spans[:-1]]
     assert np.mean([g >= tokens.SENTENCE for g in good]) > 0.9
     with pytest.raises(ValueError):
         tokens.Cutter(10, 10)
