@@ -13,6 +13,7 @@ are at most about sqrt(2 N) sizes among N records, times the kinds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -160,20 +161,30 @@ def assign(classes: list[tuple[int, int, dict[int, int]]], shares: np.ndarray, k
 
     A class is (size, number of groups, their records by kind); classes come
     largest size first. A group goes to the split furthest below its target,
-    counted in records of the kinds that the group holds, so that the splits'
-    mixes come out alike.
+    counted in records and in records of the kinds that the group holds, so that
+    the splits' mixes come out alike.
     """
-    total = np.zeros(kinds)
-    for _, _, mix in classes:
+    total = np.zeros(kinds + 1)  # the last: records of any kind
+    for size, count, mix in classes:
+        total[kinds] += size * count
         for k, x in mix.items():
             total[k] += x
     lack = shares[:, None] * total[None, :]
     out = np.zeros((len(classes), len(shares)), np.int64)
-    for i, (size, count, mix) in enumerate(classes):
-        at = np.fromiter(mix, int, len(mix))
-        each = np.fromiter(mix.values(), float, len(mix)) / count
-        out[i] = deal(lack[:, at] @ (each / size), float(each @ each) / size, count)
-        lack[:, at] -= out[i][:, None] * each[None, :]
+    left = [count for _, count, _ in classes]
+    for size, same in groupby(range(len(classes)), lambda i: classes[i][0]):
+        same = list(same)
+        # groups of one size tie: half of each class's rest in turn, so that none is dealt out before the others
+        while same:
+            for i in same:
+                _, count, mix = classes[i]
+                at = np.append(np.fromiter(mix, int, len(mix)), kinds)
+                each = np.append(np.fromiter(mix.values(), float, len(mix)) / count, size)
+                part = deal(lack[:, at] @ (each / size), float(each @ each) / size, -(-left[i] // 2))
+                lack[:, at] -= part[:, None] * each[None, :]
+                out[i] += part
+                left[i] -= -(-left[i] // 2)
+            same = [i for i in same if left[i]]
     return out
 
 
