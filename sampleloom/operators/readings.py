@@ -1,9 +1,12 @@
 """Implausible readings of measuring channels, judged by what each channel normally shows.
 
 Per source a robust seasonal-trend decomposition (running medians, a period
-found by autocorrelation, medians by phase) leaves a residual. Residuals beyond
-the limits of the generalised extreme studentised deviate test, and beyond a
-given multiple of the source's usual scatter, are spikes. Runs of equal
+found by autocorrelation, medians by phase) leaves a residual. The generalised
+extreme studentised deviate test, studentised by a robust scatter, tells which
+residuals are outliers, up to half of them; its unit is chosen so that its limit
+is a given number of usual scatters for 100 readings, and it grows with their
+number as the test's limits do. The scatter is taken again from what the test
+keeps, so that many spikes don't hide others. Runs of equal
 readings and readings beyond the physical range are checked separately. Long
 sources are shared among tasks in blocks; what a source normally shows is then
 put together from summaries of all its blocks before any block is judged.
@@ -16,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,26 +31,36 @@ from sampleloom.session import materialised
 MAD = 1.4826
 #: Readings of one source that are judged together, and those seen on either side of them.
 BLOCK, HALO = 16_384, 256
+#: Share of spikes from which on the level is taken again without them, and how often at most.
+DENSE, PASSES = 0.05, 3
+#: Level of the ESD test: small, so that its limit grows slowly with the number of readings (8 scatters at 100, about 11 at a million).
+ALPHA = 1e-9
 #: Distinct values up to which a block's values are counted one by one, and the groups of equal size that sum up more.
 DISTINCT, GROUPS = 1024, 256
 
 
 class Usual(NamedTuple):
-    """What a source that is judged in blocks normally shows: whether it varies outside long runs, its readings, period, scatter, whether it holds levels and their middle; the period of the block at hand."""
+    """What a source that is judged in blocks normally shows: whether it varies outside long runs, its period, scatter and least size of a spike, whether it holds levels and their middle; the period of the block at hand."""
 
     varies: bool
-    readings: int
     period: int
     scale: float
+    least: float
     held: bool
     middle: float
     near: int
 
 
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
-    """Centred running median; at the ends, of the part of the window that is there."""
-    half = min(width, len(x)) // 2
-    return pd.Series(x).rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
+    """Centred running median; at the ends, of the part of the window that is there; NaN counts as missing."""
+    n, half = len(x), min(width, len(x)) // 2
+    if n <= 2 * half or np.isnan(x).any():
+        return pd.Series(x).rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
+    out = np.empty(n)
+    out[half : n - half] = np.partition(sliding_window_view(x, 2 * half + 1), half, axis=1)[:, half]
+    for i in range(half):
+        out[i], out[n - 1 - i] = np.median(x[: i + half + 1]), np.median(x[n - 1 - i - half :])
+    return out
 
 
 def scatter(res: np.ndarray) -> float:
@@ -76,8 +90,8 @@ def period(x: np.ndarray, least: float = 0.3) -> int:
     return int(peak[acf[peak] >= 0.85 * acf[peak].max()][0])
 
 
-def seasonal_at(x: np.ndarray, at: np.ndarray, p: int, late: int = 0) -> np.ndarray:
-    """The shape that recurs every ``p`` readings, the median of each phase, read ``late`` places on."""
+def recurring(x: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
+    """The shape that recurs every ``p`` readings: the median of each phase."""
     phase = at % p
     order = np.argsort(phase, kind="stable")
     bounds = np.searchsorted(phase[order], np.arange(p + 1))
@@ -86,39 +100,57 @@ def seasonal_at(x: np.ndarray, at: np.ndarray, p: int, late: int = 0) -> np.ndar
         part = x[order[bounds[k] : bounds[k + 1]]]
         if len(part) >= 3:
             shape[k] = np.median(part)
-    return (shape - np.median(shape))[(phase + late) % p]
+    return shape - np.median(shape)
 
 
 @lru_cache(maxsize=4096)
-def _limits(n: int, most: int, alpha: float) -> np.ndarray:
-    """Limits of the 1st to ``most``-th deviation of ``n``; smooth in their number, so computed at some and interpolated."""
-    i = np.unique(np.round(np.geomspace(1, most, min(most, 24))))
+def _limits(n: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of some of the 1st to n/2-th deviation of ``n``; they are smooth in their number, so others lie between."""
+    i = np.unique(np.round(np.geomspace(1, max(1, n // 2), 24)))
     left = n - i
     df = np.maximum(left - 1, 1)
     t = t_isf(alpha / (2 * (left + 1)), df)
-    return np.interp(np.arange(1, most + 1), i, left * t / np.sqrt((df + t * t) * (left + 1)))
+    return i, left * t / np.sqrt((df + t * t) * (left + 1))
 
 
-def gesd(res: np.ndarray, scale: float, alpha: float, share: float, of: int = 0) -> float:
-    """The size that a residual must exceed, by the generalised ESD test in its robust form.
+def gesd(size: np.ndarray, scale: float, alpha: float, counts: np.ndarray | None = None) -> float:
+    """The size from which on residuals are outliers, by the generalised ESD test in its robust form.
 
     Deviations are studentised by ``scale``, which outliers do not inflate. The
-    largest i at which the i-th largest deviation exceeds its limit gives the
-    number of outliers; infinity if there are none. ``of`` is the number of all
-    residuals where ``res`` is a part of them.
+    largest i, up to half of them, at which the i-th largest deviation exceeds
+    its limit gives the number of outliers; infinity if there are none.
+    ``counts`` are the numbers of residuals of each size, one if not given.
     """
-    n = max(of, len(res))
-    most = min(max(1, int(n * share)), max(len(res), 2 * BLOCK))
+    counts = np.ones(len(size)) if counts is None else np.asarray(counts, float)
+    n = int(counts.sum())
     if n < 10 or scale <= 0:
         return np.inf
-    size = np.abs(res) / scale
-    top = -np.sort(-size)[:most]
+    order = np.argsort(-np.abs(size), kind="stable")
+    top, number = np.abs(size)[order] / scale, np.cumsum(counts[order])
+    use = number <= max(1, n // 2)
     # limits change little from n to n: a table by n rounded up keeps the cache small
     grid = 1 << max(4, n.bit_length() - 4)
-    over = np.flatnonzero(top > _limits(-(-n // grid) * grid, most, alpha)[: len(top)])
+    over = np.flatnonzero(top[use] > np.interp(number[use], *_limits(-(-n // grid) * grid, alpha)))
     return top[over[-1]] * scale * (1 - 1e-12) if len(over) else np.inf
 
 
+def cleaned(size: np.ndarray, counts: np.ndarray, scale: float, limit: float, alpha: float, again) -> float:
+    """The size from which on residuals are spikes: outliers by the ESD test, in units that put its limit at ``limit`` scatters for 100 readings.
+
+    The scatter is first that of all residuals, then (``again``) that of those
+    the test keeps, until it keeps as many as before.
+    """
+    unit, least = limit / float(_limits(100, alpha)[1][0]), np.inf
+    for _ in range(PASSES):
+        least = gesd(size, scale * unit, alpha, counts)
+        kept = size < least
+        smaller = again(kept) if kept.any() else 0
+        if not 0 < smaller < scale:
+            break
+        scale = smaller
+    return least
+
+
 def runs(x: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each reading: whether it differs from the one before; whether it belongs to ``run`` or more equal ones."""
     new = np.append(True, x[1:] != x[:-1])
@@ -126,31 +158,37 @@ def runs(x: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return new, np.repeat(length >= run, length)
 
 
-def residuals(x: np.ndarray, at: np.ndarray, p: int | None = None) -> tuple[np.ndarray, int, float]:
-    """What trend and recurring shape leave of ``x``, the period used and the scatter.
+def residuals(x: np.ndarray, at: np.ndarray, p: int | None = None, spiky: np.ndarray | None = None) -> tuple[np.ndarray, int, float]:
+    """What trend and recurring shape leave of ``x``, the period used and the scatter (before shapes are met early or late).
 
     ``p`` is looked for if None; 0 stands for no period, -1 for a trend alone.
+    Readings that are ``spiky`` say nothing about trend, shape and scatter.
     """
-    rough = x - running_median(x, 31)
+    fine = np.ones(len(x), bool) if spiky is None else ~spiky
+    seen = np.where(fine, x, np.nan)
+    rough = x - running_median(seen, 31)
+    rough = np.where(np.isnan(rough), x - np.median(x[fine]), rough)
     if p is None:
-        p = period(np.interp(np.arange(at[-1] + 1), at, rough)) if at[-1] < 4 * len(at) else 0
+        # rows of numbers with gaps above three quarters have no place in a row for most phases
+        p = period(np.interp(np.arange(at[-1] + 1), at[fine], rough[fine])) if at[-1] < 4 * len(at) else 0
     if p < 0:
-        return rough, p, scatter(rough)
-    shape = seasonal_at(rough, at, p) if p else np.zeros(len(x))
-    level = x - shape
-    res = level - running_median(level, 9)
-    s = scatter(res)
-    if p and scatter(rough) < s:
-        return rough, -1, scatter(rough)
+        return rough, p, scatter(rough[fine])
+    shape = recurring(rough[fine], at[fine], p) if p else np.zeros(1)
+    season = shape[at % len(shape)]
+    res = x - season - running_median(seen - season, 9)
+    res = np.where(np.isnan(res), rough - season, res)
+    s = scatter(res[fine])
+    if p and scatter(rough[fine]) < s:
+        return rough, -1, scatter(rough[fine])
     if p:
         # periods are rarely whole: a reading may meet the shape one place early or late
         for late in (-1, 1):
-            other = res - (seasonal_at(rough, at, p, late) - shape)
+            other = res - (shape[(at + late) % p] - season)
             res = np.where(np.abs(other) < np.abs(res), other, res)
     return res, p, s
 
 
-def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = 0.05, usual: Usual | None = None) -> np.ndarray:
+def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = ALPHA, usual: Usual | None = None) -> np.ndarray:
     """Flags of one source's readings, in order of ``number``: 1 spike, 2 stuck, 4 out of range, added up.
 
     With ``usual`` the readings are a part of the source and judged by what the whole of it shows.
@@ -172,21 +210,38 @@ def judge(number: np.ndarray, data: np.ndarray, limit: float = 8.0, run: int = 1
         return flags
     x, at = data[fine], number[fine] - number[fine[0]]
     if usual:
-        s = usual.scale
-        if usual.held:
-            res = x - usual.middle
+        held = usual.held
+        if held:
+            res, s = x - usual.middle, usual.scale
         else:
             # shapes change slowly: the block's own period or the source's, whichever leaves less
-            res = min((residuals(x, at, p) for p in {usual.near, usual.period}), key=lambda r: r[2])[0]
+            res, p, s = min((residuals(x, at, p) for p in {usual.near, usual.period}), key=lambda r: r[2])
     else:
-        res, _, s = residuals(x, at)
+        res, p, s = residuals(x, at)
         held = (x[1:] == x[:-1]).mean() > 0.5
         if s <= 0 or held:
             # held levels: what the channel normally shows is the spread of its levels
             res = x - np.median(x)
             s = max(scatter(x), float(np.mean(np.abs(res))), 1e-300)
-    bound = max(limit * s, min(gesd(res, s, alpha, 0.2, usual.readings if usual else 0), np.inf))
-    flags[fine[np.abs(res) > bound]] |= 1
+
+    def outliers(res: np.ndarray, s: float) -> np.ndarray:
+        size = np.abs(res)
+        if usual:
+            return size >= usual.least
+        whole = scatter(res)
+        return size >= cleaned(size, np.ones(len(size)), s, limit, alpha, lambda kept: 0 if held or not whole else s * scatter(res[kept]) / whole)
+
+    spike = outliers(res, s)
+    if not held and spike.mean() > DENSE:
+        # so many spikes reach into short medians: trend and shape are taken again without what stands out from long ones
+        rough, _, s = residuals(x, at, -1)
+        spike = outliers(rough, s)
+        for _ in range(PASSES):
+            res, _, s = residuals(x, at, p, spike)
+            before, spike = spike, outliers(res, s)
+            if (before == spike).all():
+                break
+    flags[fine[spike]] |= 1
     return flags
 
 
@@ -220,12 +275,13 @@ def summary(number: np.ndarray, x: np.ndarray, own: np.ndarray, run: int, most:
             out.append(out[0] | {"free": True})
             continue
         fine = np.flatnonzero((np.abs(x) <= most) & ~(long & free))
-        part = {"m": 0, "m_pairs": 0, "m_same": 0, "p": 0, "res": [], "res_n": [], "x": [], "x_n": []}
+        part = {"m": 0, "m_pairs": 0, "m_same": 0, "p": 0, "early": 1.0, "res": [], "res_n": [], "x": [], "x_n": []}
         if len(fine) >= 10:
             y, mine = x[fine], own[fine]
-            res, p, _ = residuals(y, number[fine] - number[fine[0]])
+            res, p, before = residuals(y, number[fine] - number[fine[0]])
+            after = scatter(res)
             (size, size_n), (value, value_n) = counted_sizes(np.abs(res - np.median(res))[mine]), counted(y[mine])
-            part = {"m": mine.sum(), "m_pairs": mine[1:].sum(), "m_same": ((y[1:] == y[:-1]) & mine[1:]).sum(), "p": p, "res": size, "res_n": size_n, "x": value, "x_n": value_n}
+            part = {"m": mine.sum(), "m_pairs": mine[1:].sum(), "m_same": ((y[1:] == y[:-1]) & mine[1:]).sum(), "p": p, "early": before / after if after else 1.0, "res": size, "res_n": size_n, "x": value, "x_n": value_n}
         out.append(base | part | {"free": free})
     return out
 
@@ -236,28 +292,32 @@ def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
     return float(x[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def usual_of(blocks: pd.DataFrame) -> list[Usual]:
+def usual_of(blocks: pd.DataFrame, limit: float = 8.0, alpha: float = ALPHA) -> list[Usual]:
     """What a source normally shows, from the summaries of all its blocks; one for each block, in order of blocks."""
     once = blocks[~blocks["free"]]
     n, pairs = int(once["n"].sum()), once["pairs"].sum()
     varies = bool(pairs > 0 and once["same"].sum() < 0.5 * pairs and once["n_long"].sum() < 0.9 * n)
     part = blocks[blocks["free"] == varies].sort_values("block")
     some = part[part["m"] > 0]
-    p, s, held, middle = 0, 1e-300, False, 0.0
+    p, s, least, held, middle = 0, 1e-300, np.inf, False, 0.0
     if len(some):
         p = int(some.groupby("p")["m"].sum().idxmax())
         joined = lambda c: np.concatenate([np.asarray(v, float) for v in some[c]])
-        s = MAD * weighted_median(joined("res"), joined("res_n"))
+        size, w = joined("res"), joined("res_n")
+        # the scatter is that before shapes are met early or late, as in sources judged at once
+        early = float((some["early"] * some["m"]).sum() / some["m"].sum())
+        s = early * MAD * weighted_median(size, w)
         held = bool(s <= 0 or some["m_same"].sum() > 0.5 * some["m_pairs"].sum())
         if held:
             x, w = joined("x"), joined("x_n")
             middle = weighted_median(x, w)
-            off = np.abs(x - middle)
-            s = max(MAD * weighted_median(off, w), float((off * w).sum() / w.sum()), 1e-300)
-    return [Usual(varies, n, p, s, held, middle, int(near)) for near in part["p"]]
+            size = np.abs(x - middle)
+            s = max(MAD * weighted_median(size, w), float((size * w).sum() / w.sum()), 1e-300)
+        least = cleaned(size, w, s, limit, alpha, lambda kept: 0 if held else early * MAD * weighted_median(size[kept], w[kept]))
+    return [Usual(varies, p, s, least, held, middle, int(near)) for near in part["p"]]
 
 
-def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = 0.05) -> DataFrame:
+def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = ALPHA) -> DataFrame:
     """The implausible readings (source, number, spike, stuck, out_of_range) of ``df``.
 
     Sources of more than ``BLOCK`` readings are cut by rank into blocks of about
@@ -265,8 +325,8 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
     that a source of any size is judged by many tasks and a run across a cut is
     still whole. Whether the source varies, its scatter and its period come from
     summaries of all its blocks. ``limit`` is the
-    multiple of the source's usual scatter that a spike must exceed besides the
-    ESD limit at ``alpha``, ``run`` the length of a stuck stretch, ``most`` the
+    multiple of the source's usual scatter at which the ESD test at ``alpha`` has
+    its limit for 100 readings, ``run`` the length of a stuck stretch, ``most`` the
     size that no sensor gives.
 
     Cases: NULL and NaN readings are missing and never flagged; rows without a
@@ -305,7 +365,7 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
         return keyed(pdf, len(out)).assign(block=pdf["block"].iloc[0], **{c: out[c] for c in out})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = [[float(v) for v in u] for u in usual_of(pdf)]
+        known = [[float(v) for v in u] for u in usual_of(pdf, limit, alpha)]
         return keyed(pdf, len(known)).assign(block=np.sort(pdf["block"].unique()), usual=known)
 
     def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -313,14 +373,14 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
         usual = None
         if len(known):
             v = known.iloc[0]
-            usual = Usual(bool(v[0]), int(v[1]), int(v[2]), v[3], bool(v[4]), v[5], int(v[6]))
+            usual = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6]))
         n, x, own = ordered(pdf[pdf["usual"].isna()])
         flags = judge(n, x, limit, run, most, alpha, usual)
         own = own & (flags > 0)
         n, flags = n[own], flags[own]
         return keyed(pdf, len(n)).assign(n=n, spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
-    sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
+    sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, early double, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
     usual = blocks.where("cuts > 1").groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
     usual = usual.groupBy(*names).applyInPandas(combine, f"{types}, block long, usual array<double>")
     # a row of its own for each block, so that readings needn't carry it

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from sampleloom.operators.readings import BLOCK, gesd, implausible, judge, period, residuals, running_median, scatter, summary, usual_of
+from sampleloom.operators.readings import ALPHA, BLOCK, _limits, cleaned, gesd, implausible, judge, period, residuals, running_median, scatter, summary, usual_of
 
 
 def test_spikes_runs_and_range():
@@ -40,9 +40,9 @@ def test_missing_within_a_run():
 def test_gesd_finds_the_number():
     x = np.random.default_rng(3).normal(size=500)
     x[:4] = [9, -10, 11, 12]
-    bound = gesd(x, 1.0, 0.05, 0.2)
+    bound = gesd(x, 1.0, 0.05)
     assert (np.abs(x) >= bound).sum() == 4
-    assert gesd(np.random.default_rng(4).normal(size=500), 1.0, 1e-9, 0.2) == np.inf
+    assert gesd(np.random.default_rng(4).normal(size=500), 1.0, 1e-9) == np.inf
 
 
 def test_blocks_edges_and_nulls(spark):
@@ -89,4 +89,51 @@ def test_usual_scatter_of_coarse_steps():
     n = np.arange(4000)
     rows = [r | {"block": b} for b in range(2) for r in summary(n[b * 2000 :][:2000], x[b * 2000 :][:2000], np.ones(2000, bool), 10, 9e7)]
     want = np.median([scatter(residuals(x[b * 2000 :][:2000], n[:2000])[0]) for b in range(2)])
-    assert np.isclose(usual_of(pd.DataFrame(rows))[0].scale, want)
+    early = np.mean([r["early"] for r in rows[::2]])
+    assert np.isclose(usual_of(pd.DataFrame(rows))[0].scale, want * early)
+
+
+def test_many_spikes_are_all_found():
+    for seed, n in ((9, 4000), (10, 400)):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=n) + 20 * np.sin(np.arange(n) / 300)
+        at = rng.choice(n, n // 4, replace=False)
+        x[at] += rng.uniform(12, 40, len(at)) * rng.choice([-1, 1, 1], len(at))
+        got = set(np.flatnonzero(judge(np.arange(n), x) & 1))
+        assert len(got & set(at)) >= 0.99 * len(at) and len(got - set(at)) <= 0.005 * n
+
+
+def test_many_spikes_in_blocks(spark):
+    rng = np.random.default_rng(11)
+    n = 2 * BLOCK + 50
+    x = rng.normal(size=n)
+    at = rng.choice(n, n // 4, replace=False)
+    x[at] += rng.uniform(12, 40, len(at)) * rng.choice([-1, 1], len(at))
+    got = set(implausible(spark.createDataFrame(pd.DataFrame({"rec": "r", "num": np.arange(n), "data": x})), ["rec"], "num", "data").toPandas().num)
+    assert len(got & set(at)) >= 0.99 * len(at) and len(got - set(at)) <= 0.005 * n
+
+
+def test_outliers_decide_the_usual_scatter():
+    """Spikes of thirteen scatters beside a quarter of larger ones: the scatter is that of the readings the test keeps."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=6000)
+    at = rng.choice(6000, 1515, replace=False)
+    x[at[:1500]] += 60
+    x[at[1500:]] = 13.0
+    s = scatter(x)
+    assert cleaned(np.abs(x), np.ones(6000), s, 8.0, ALPHA, lambda kept: 0) > 13
+    found = set(np.flatnonzero(judge(np.arange(6000), x) & 1))
+    assert len(found & set(at)) >= 1500 and len(found & set(at[1500:])) >= 13 and len(found) <= 1515 + 20
+
+
+def test_limit_grows_with_readings():
+    at = {n: _limits(n, ALPHA)[1][0] / _limits(100, ALPHA)[1][0] * 8 for n in (30, 100, 1000, 1 << 20)}
+    assert at[30] < at[100] == 8 < at[1000] < at[1 << 20] < 11.5
+
+
+def test_running_median_equals_windows():
+    x = np.random.default_rng(13).normal(size=57)
+    for w in (9, 31, 80):
+        half = min(w, 57) // 2
+        want = [np.median(x[max(0, i - half) : i + half + 1]) for i in range(57)]
+        assert np.allclose(running_median(x, w), want)
