@@ -57,11 +57,9 @@ def relative_rms_error(p, t) -> Column:
 
 
 def variance_1sv(p, t) -> Column:
-    """Share of the first singular value of the cloud (predicted, target): from the 2 x 2 scatter matrix."""
+    """Share of the variance of the cloud (predicted, target) along its first axis: from the 2 x 2 scatter matrix."""
     a, b, c = F.var_pop(_c(p)), F.var_pop(_c(t)), F.covar_pop(_c(p), _c(t))
-    root = F.sqrt(F.pow((a - b) / 2, 2) + c * c)
-    s1, s2 = F.sqrt((a + b) / 2 + root), F.sqrt(F.greatest((a + b) / 2 - root, F.lit(0.0)))
-    return F.try_divide(s1, s1 + s2)
+    return F.try_divide((a + b) / 2 + F.sqrt(F.pow((a - b) / 2, 2) + c * c), a + b)
 
 
 ERRORS = {"mean_mismatch_error": mean_mismatch, "mismatch_error": mismatch, "match_accuracy": match_accuracy, "mean_match_accuracy": mean_match, "rms_error": rms_error, "corr_error": corr_error, "relative_rms_error": relative_rms_error, "variance_1sv": variance_1sv}
@@ -162,35 +160,38 @@ def set_partitions(items: list) -> list[list[tuple]]:
     return out
 
 
+lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def log_beta(a: np.ndarray) -> np.ndarray:
+    """Logarithm of the multivariate beta function of each row."""
+    return lgamma(a).sum(-1) - lgamma(a.sum(-1))
+
+
 def dirichlet_multinomial(x: np.ndarray, a: np.ndarray) -> float:
-    """Log likelihood of counts under a multinomial whose probabilities have a Dirichlet prior."""
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    n, s = float(np.sum(x)), float(np.sum(a))
-    return float(math.lgamma(s) - math.lgamma(n + s) + np.sum(lg(x + a) - lg(a)) + math.lgamma(n + 1) - np.sum(lg(x + 1)))
+    """Log likelihood of counts under a multinomial whose probabilities have a Dirichlet prior ``a``."""
+    ways = math.lgamma(float(np.sum(x)) + 1) - np.sum(lgamma(np.asarray(x) + 1))
+    return float(ways + log_beta(np.asarray(a) + x) - log_beta(np.asarray(a, float)))
 
 
 def confusion_likelihood(counts: np.ndarray, groups: list[tuple], alpha: np.ndarray) -> float:
     """Log likelihood of a confusion table if classes of one group can't be told apart.
 
-    A class by itself has a distribution over all columns. A row of a group has
-    one over the group as a whole and each other column; inside the group, rows
-    and columns are independent.
+    Given its total, a row is laid out in the columns in as many ways as its
+    multinomial coefficient says. Each row has probabilities, Dirichlet
+    distributed, over its columns with those of its group taken as one; where a
+    row falls inside the group has probabilities that all rows of the group
+    share. Integrated over, a Dirichlet prior is a quotient of beta functions.
     """
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    total = 0.0
+    counts, alpha = np.asarray(counts, float), np.asarray(alpha, float)
+    total = float(np.sum(lgamma(counts.sum(1) + 1)) - np.sum(lgamma(counts + 1)))
     for g in groups:
-        inside = list(g)
-        if len(inside) == 1:
-            total += dirichlet_multinomial(counts[inside[0]], alpha[inside[0]])
-            continue
-        rest = [c for c in range(counts.shape[1]) if c not in g]
-        for row in inside:
-            total += dirichlet_multinomial(np.append(counts[row, inside].sum(), counts[row, rest]), np.append(alpha[row, inside].sum(), alpha[row, rest]))
-        block, prior = counts[np.ix_(inside, inside)], alpha[np.ix_(inside, inside)].sum(0)
-        # columns as one draw for all rows, then the ways to lay the rows' totals out in cells
-        total += dirichlet_multinomial(block.sum(0), prior) - math.lgamma(block.sum() + 1) + np.sum(lg(block.sum(0) + 1))
-        total += np.sum(lg(block.sum(1) + 1)) - np.sum(lg(block + 1))
-    return float(total)
+        rows, apart = list(g), [c for c in range(counts.shape[1]) if c not in g]
+        merged = lambda x: np.column_stack([x[rows][:, rows].sum(1), x[rows][:, apart]])  # noqa: B023, E731
+        inside = lambda x: x[rows][:, rows].sum(0)  # noqa: B023, E731
+        for part in (merged, inside):
+            total += float(np.sum(log_beta(part(alpha) + part(counts)) - log_beta(part(alpha))))
+    return total
 
 
 def bayes_confusion(counts: np.ndarray, alpha: np.ndarray | None = None, hypotheses: list | None = None, prior: np.ndarray | None = None) -> list[tuple[list[tuple], float, float]]:

@@ -83,16 +83,16 @@ def moments(df: DataFrame, values: str = VALUES) -> tuple[int, np.ndarray, np.nd
             n, s, q = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if q is None else q)
         if n:
             k = len(s)
-            yield pd.DataFrame({"k": [k], "n": [n], "s": [s.tolist()], "q": [q[np.triu_indices(k)].tolist()]})
+            yield pd.DataFrame({"x": [[float(n), *s, *q[np.triu_indices(k)]]]})
 
-    parts = df.select(values).mapInPandas(run, "k int, n long, s array<double>, q array<double>")
-    # summed pairwise in Spark before the driver sees one row
-    flat = parts.select("k", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    head = parts.agg(F.max("k"), F.sum("n")).first()
-    k, n = int(head[0] or 0), int(head[1] or 0)
-    v = np.array([r["v"] for r in flat.orderBy("i").collect()])
-    mean = v[:k] / max(n, 1)
-    return n, mean, symmetric(v[k:], k) - n * np.outer(mean, mean) if k else np.zeros((0, 0))
+    # numbers, sums and products in one row of numbers, summed in Spark before the driver sees one
+    parts = df.select(values).mapInPandas(run, "x array<double>").select(F.posexplode("x").alias("i", "v"))
+    v = np.array([r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+    if not len(v):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, k = int(v[0]), int((np.sqrt(8 * len(v) + 1) - 3) / 2)
+    mean = v[1 : k + 1] / n
+    return n, mean, symmetric(v[k + 1 :], k) - n * np.outer(mean, mean)
 
 
 def svd(df: DataFrame, values: str = VALUES) -> tuple[Projection, np.ndarray]:
@@ -267,13 +267,11 @@ def hyperalign(data: list[np.ndarray], reference: int | None = None, rounds: int
             seen += 1
         width = common.shape[1]
         mapped = [m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in mapped]
-        common = sum(mapped) / n
         for _ in range(rounds):
-            for i, x in enumerate(data):
-                others = norm((common * n - mapped[i]) / (n - 1))
-                mapped[i] = norm(Procrustes().fit(x, others).forward(x))
-            common = sum(mapped) / n
-        common = norm(common)
+            every = np.sum(mapped, axis=0)
+            means = [norm((every - own) / (n - 1)) for own in mapped]
+            mapped = [norm(Procrustes().fit(x, m).forward(x)) for x, m in zip(data, means, strict=True)]
+        common = norm(np.mean(mapped, axis=0))
     final = [Procrustes().fit(x, common) for x in data]
     reduce = None
     if dims is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.select import marked_changes, ranked
+from sampleloom.session import materialised
 
 
 # --- normalisation ---------------------------------------------------------
@@ -268,20 +269,39 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     return both.where("_side = 1").select(*left.columns, got["v"].alias(value), got["t"].alias(f"matched_{right_time}"))
 
 
+#: Slots that an interval may touch before it is put on the next level of wider ones.
+SPREAD = 16
+
+
+def covering(points: DataFrame, spans: DataFrame, by: list[str], time: str, start: str, end: str, width: float) -> DataFrame:
+    """Pairs of a point and a span of the same ``by`` with start <= time < end.
+
+    An equality join with a residual: spans touch slots of ``width``, those that
+    would touch more than ``SPREAD`` slots of wider ones, level by level, so that
+    a span of any length gives a bounded number of rows; a point looks on each
+    level that is in use.
+    """
+    ratio = (F.col(end) - F.col(start)) / width
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(ratio, F.lit(1.0))) / float(np.log(SPREAD))).cast("int") - 1)
+    size = F.lit(float(width)) * F.pow(F.lit(float(SPREAD)), F.col("_level"))
+    spans = materialised(spans.where(F.col(end) > F.col(start)).withColumn("_level", level))
+    # levels are few: the logarithm of the longest span
+    used = sorted(r[0] for r in spans.select("_level").distinct().collect())
+    slots = spans.withColumn("_slot", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))))
+    at = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_slot", F.floor(F.col(time) / size))
+    return at.join(slots, [*by, "_level", "_slot"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_slot")
+
+
 def label_samples(samples: DataFrame, events: DataFrame, by: list[str], time: str, condition: str, default: str | None = None, shift: float = 0.0, width: float = 60.0, key: str = "sample_id") -> DataFrame:
     """Condition of the event that covers each sample; of several, the later in order of ``event_id``.
 
     An event begins at the last sample at or before its onset and reaches while
-    time < onset + duration. Both sides are cut into slots of ``width`` time
-    units, so the interval join is an equality join with a residual; an event
-    takes part in each slot that it touches.
+    time < onset + duration; found by :func:`covering`.
     """
     begin = as_of(events.withColumn("_on", F.col("onset") + F.lit(shift)), samples, by, "_on", time, key, "prev", slot=50 * width)
     begin = begin.withColumn("_from", F.col(f"matched_{time}")).withColumn("_to", F.col("_on") + F.col("duration"))
-    begin = begin.where("_from is not null and duration > 0")
-    slots = begin.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.greatest("_from", "_to") / width))))
-    at = samples.withColumn("_slot", F.floor(F.col(time) / width))
-    hits = at.join(slots.select(*by, "_slot", "_from", "_to", "event_id", F.col(condition).alias("_c")), [*by, "_slot"]).where((F.col(time) >= F.col("_from")) & (F.col(time) < F.col("_to")))
+    begin = begin.where("_from is not null and duration > 0").select(*by, "_from", "_to", "event_id", F.col(condition).alias("_c"))
+    hits = covering(samples, begin, by, time, "_from", "_to", width)
     label = hits.groupBy(*by, key).agg(F.max_by("_c", "event_id").alias(condition))
     return samples.join(label, [*by, key], "left").withColumn(condition, F.coalesce(condition, F.lit(default)))
 
@@ -312,14 +332,24 @@ def event_samples(df: DataFrame, events: DataFrame, by: list[str], pos: str, val
 
 
 # --- haemodynamic response -------------------------------------------------
-def single_gamma(t: Column, a: float = 5.4, w: float = 5.2, k: float = 1.0) -> Column:
-    """Gamma response function."""
-    return F.when(t > 0, k * F.pow(t / a, F.lit(a * a / (w * w) * 8.0 * np.log(2.0))) * F.exp((t - a) / -(w * w / a / 8.0 / np.log(2.0)))).otherwise(0.0)
+#: Time to peak, width at half height and size of the response and of its undershoot.
+RESPONSE, UNDERSHOOT = (5.4, 5.2, 1.0), (10.8, 7.35, 0.35)
+
+
+def single_gamma(t: Column, peak: float = RESPONSE[0], width: float = RESPONSE[1], size: float = RESPONSE[2]) -> Column:
+    """Gamma density scaled to ``size`` at its ``peak``, with the curvature of a Gaussian of that ``width`` there.
+
+    A gamma density u^s e^(-s u), u = t / peak, has its maximum at u = 1 and the
+    second derivative -s of its logarithm there; a Gaussian of width w at half
+    height has -8 ln 2 (peak / w)^2.
+    """
+    shape, u = 8 * np.log(2) * (peak / width) ** 2, t / peak
+    return F.when(t > 0, size * F.exp(shape * (F.log(u) + 1 - u))).otherwise(0.0)
 
 
-def double_gamma(t: Column, a1=5.4, w1=5.2, k1=1.0, a2=10.8, w2=7.35, k2=0.35) -> Column:
-    """Difference of two gamma response functions."""
-    return single_gamma(t, a1, w1, k1) - single_gamma(t, a2, w2, k2)
+def double_gamma(t: Column, response: tuple = RESPONSE, undershoot: tuple = UNDERSHOOT) -> Column:
+    """A response less its later undershoot."""
+    return single_gamma(t, *response) - single_gamma(t, *undershoot)
 
 
 def dual_gaussian(x: Column, amp1=1.0, mean1=0.0, std1=1.0, amp2=1.0, mean2=0.0, std2=1.0, positive: bool = False) -> Column:
@@ -331,11 +361,16 @@ def dual_gaussian(x: Column, amp1=1.0, mean1=0.0, std1=1.0, amp2=1.0, mean2=0.0,
 def hrf_design(times: DataFrame, events: DataFrame, by: list[str], time: str, condition: str, reach: float = 30.0, step: float = 0.5) -> DataFrame:
     """Regressor of each condition at each time: the events' boxes convolved with the response, summed.
 
-    Each event gives ``duration / step`` impulses; an impulse touches the times
-    within ``reach`` after it, found by slots of that width.
+    An event gives ``duration / step`` impulses, each felt for ``reach``. Events
+    are joined to the times that feel any of them; of these impulses, at most
+    ``reach / step`` at one time, the responses are summed in place.
     """
-    pulses = events.select(*by, condition, F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / step).cast("int") - 1)).alias("_i"), "onset").where("_i >= 0")
-    pulses = pulses.withColumn("_p", F.col("onset") + F.col("_i") * step).withColumn("_slot", F.explode(F.array(F.floor(F.col("_p") / reach), F.floor(F.col("_p") / reach) + 1)))
-    at = times.withColumn("_slot", F.floor(F.col(time) / reach))
-    near = at.join(pulses, [*by, "_slot"]).withColumn("_d", F.col(time) - F.col("_p")).where((F.col("_d") >= 0) & (F.col("_d") < reach))
-    return near.groupBy(*by, time, condition).agg((F.sum(double_gamma(F.col("_d"))) * step).alias("x"))
+    n = F.ceil(F.col("duration") / step)
+    felt = events.select(*by, condition, "onset", n.alias("_n"), (F.col("onset") + (n - 1) * step + reach).alias("_end")).where("_n > 0")
+    near = covering(times, felt, by, time, "onset", "_end", reach)
+    since = F.col(time) - F.col("onset")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((since - reach) / step) + 1)
+    last = F.least(F.col("_n") - 1, F.floor(since / step))
+    pulses = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    height = F.aggregate(pulses, F.lit(0.0), lambda total, i: total + double_gamma(since - i * step))
+    return near.groupBy(*by, time, condition).agg((F.sum(height) * step).alias("x"))

@@ -262,17 +262,18 @@ def asof_closest(spark, d):
 @query("""WITH s AS (SELECT DISTINCT sample_id, subjects, time_coords FROM samples), e AS (SELECT event_id, run_id, subjects, onset, duration, lower(regexp_replace(trial_type, '^\\s+|\\s+$', '', 'g')) AS c FROM bold_events
   WHERE isfinite(onset) AND isfinite(duration) AND duration > 0),
  x AS (SELECT DISTINCT event_id, run_id, onset, duration, c FROM e WHERE c NOT IN ('', 'n/a')),
- t AS (SELECT run_id, CAST(k AS DOUBLE) * 2.5 AS t, run_id || ':' || k AS sid FROM (SELECT DISTINCT run_id FROM x), generate_series(0, 199) AS g(k)),
+ g AS (SELECT run_id, unnest(generate_series(0, CAST(ceil(greatest(max(onset + duration), 0) / 2.5) AS BIGINT))) AS k FROM x GROUP BY 1), t AS (SELECT run_id, CAST(k AS DOUBLE) * 2.5 AS t, run_id || ':' || k AS sid FROM g),
  b AS (SELECT x.*, (SELECT max(t.t) FROM t WHERE t.run_id = x.run_id AND t.t <= x.onset) AS f FROM x),
  h AS (SELECT t.sid, max_by(b.c, b.event_id) AS condition FROM t JOIN b ON t.run_id = b.run_id AND t.t >= b.f AND t.t < b.onset + b.duration GROUP BY 1)
  SELECT t.sid, coalesce(h.condition, 'rest') AS condition FROM t LEFT JOIN h USING (sid)""")
 def interval_label(spark, d):
-    """Condition of the events of each run at a regular grid of 200 times, 2.5 s apart."""
+    """Condition of the events of each run at times 2.5 s apart, up to the run's end."""
     from sampleloom.operators.intervals import trimmed
 
     b = table(spark, d, "bold_events").where("not isnan(onset) and not isnan(duration) and duration > 0 and onset is not null").withColumn("condition", F.lower(trimmed(F.col("trial_type"))))
     b = b.where("condition not in ('', 'n/a')").select("event_id", "run_id", "onset", "duration", "condition").distinct()
-    grid = b.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
+    last = F.ceil(F.greatest(F.max(F.col("onset") + F.col("duration")), F.lit(0.0)) / 2.5)
+    grid = b.groupBy("run_id").agg(last.alias("last")).select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("k"))
     grid = grid.select("run_id", (F.col("k") * 2.5).alias("t"), F.concat_ws(":", "run_id", F.col("k").cast("string")).alias("sid"))
     return od.label_samples(grid, b, ["run_id"], "t", "condition", "rest", key="sid").select("sid", "condition")
 
@@ -838,7 +839,7 @@ def regression_stats(spark, d):
     return s.select("s", r("cce").alias("cce"), *(r(c, 3).alias(c) for c in ("rmse", "rmp_t", "rmp_p", "std_t", "std_p")), r("rmse_rmp").alias("rmse_rmp"))
 
 
-@query("""WITH m AS (SELECT var_pop(l_quantity) AS a, var_pop(l_discount * 100) AS b, covar_pop(l_quantity, l_discount * 100) AS c FROM lineitem), s AS (SELECT sqrt((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) AS s1, sqrt(greatest((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c), 0)) AS s2 FROM m) SELECT round(s1 / (s1 + s2), 6) AS share FROM s""")
+@query("""WITH m AS (SELECT var_pop(l_quantity) AS a, var_pop(l_discount * 100) AS b, covar_pop(l_quantity, l_discount * 100) AS c FROM lineitem), v AS (SELECT (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) AS first, (a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c) AS second FROM m) SELECT round(first / (first + second), 6) AS share FROM v""")
 def variance_1sv(spark, d):
     x = table(spark, d, "lineitem").withColumn("q", F.col("l_discount") * 100)
     return x.agg(r(er.variance_1sv("l_quantity", "q")).alias("share"))
