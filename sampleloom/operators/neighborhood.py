@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.generators import uniques
-from sampleloom.operators.learners import best_label, gnb_model, gnb_terms
+from sampleloom.operators.learners import LOG_2PI, gnb_model
 
 
 def sphere_offsets(radius: float, dims: int, sizes: list[float] | None = None, distance: Callable | None = None, inner: float | None = None, centre: bool = True) -> list[tuple[int, ...]]:
@@ -68,21 +68,23 @@ def scatter(coords: list[tuple], offsets: list[tuple], deterministic: bool = Tru
     return out
 
 
-def searchlight(long: DataFrame, near: DataFrame, measure: Callable[[np.ndarray, pd.DataFrame], float], attrs: list[str], most: int = 20_000) -> DataFrame:
+def searchlight(long: DataFrame, near: DataFrame, measure: Callable[[np.ndarray, pd.DataFrame], float], attrs: list[str], most: int = 1_000_000) -> DataFrame:
     """(center_id, value, roi_size): any measure of (samples x features, sample attributes) around each centre.
 
-    For measures without a plan of their own; one task holds the samples of one
-    neighbourhood, at most ``most`` of them, drawn by hash.
+    For measures that can't be put together from sums (see
+    :func:`row_searchlight`); one task holds the samples of one neighbourhood.
+    More than ``most`` samples raise an error: nothing is drawn.
     """
-    w = W.partitionBy("feature_id").orderBy(F.xxhash64("sample_id"))
-    few = long.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i")
+    most_seen = long.groupBy("feature_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most_seen > most:
+        raise ValueError(f"{most_seen} samples are more than one task holds ({most}); use a measure that adds up over samples")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot(index="sample_id", columns="feature_id", values="value").sort_index()
         a = pdf.drop_duplicates("sample_id").set_index("sample_id").loc[x.index, attrs]
         return pd.DataFrame({"center_id": [pdf["center_id"].iloc[0]], "value": [float(measure(x.to_numpy(), a))], "roi_size": [x.shape[1]]})
 
-    return few.join(near, "feature_id").groupBy("center_id").applyInPandas(run, "center_id int, value double, roi_size int")
+    return long.join(near, "feature_id").groupBy("center_id").applyInPandas(run, "center_id int, value double, roi_size int")
 
 
 def mean_searchlight(long: DataFrame, near: DataFrame) -> DataFrame:
@@ -91,19 +93,100 @@ def mean_searchlight(long: DataFrame, near: DataFrame) -> DataFrame:
     return near.join(means, "feature_id").groupBy("center_id").agg((F.sum("s") / F.sum("n")).alias("value"), F.count("*").cast("int").alias("roi_size"))
 
 
+#: Scores of samples, features and classes that one step of a task holds.
+STEP = 4_000_000
+
+
+def row_searchlight(long: DataFrame, near: DataFrame, target: str, fold: str | None, tables: dict, labels: list, larger: bool) -> DataFrame:
+    """(center_id, fold, wrong, n): errors of a rule whose score adds up over features, around every centre.
+
+    ``tables`` has, for each fold, classes x features of means, weights and
+    constants and the classes' priors: a feature's score is weight (x - mean)^2 +
+    constant, or, where the weight is NaN, 0 at the mean and minus infinity
+    elsewhere. A sample's values are one array and its scores are summed over
+    neighbourhoods where they are, so only errors by centre and fold are
+    shuffled. The neighbourhoods and tables are of the size of the feature axis.
+    Of equal classes the ``larger`` or smaller label is taken.
+    """
+    around = near.groupBy("center_id").agg(F.array_sort(F.collect_list("feature_id")).alias("ids")).orderBy("center_id").toPandas()
+    ids = sorted({int(f) for x in around["ids"] for f in x})
+    at = {f: i for i, f in enumerate(ids)}
+    flat = np.array([at[int(f)] for x in around["ids"] for f in x], int)
+    begin = np.append(0, np.cumsum([len(x) for x in around["ids"]])[:-1]).astype(int)
+    centers = around["center_id"].to_numpy()
+    code = {x: i for i, x in enumerate(labels)}
+    cells = F.array_sort(F.collect_list(F.struct("feature_id", F.col("value").cast("double").alias("value"))))
+    part = F.col(fold).cast("string") if fold else F.lit("")
+    rows = long.where(F.col("feature_id").isin(ids)).groupBy("sample_id", F.col(target).alias("target"), part.alias("fold")).agg(cells.alias("c"))
+    complete = F.size("c") == len(ids)
+    rows = rows.select("target", "fold", F.transform("c", lambda c: c["value"]).alias("x"), F.when(~complete, F.transform("c", lambda c: c["feature_id"])).alias("which"))
+
+    def run(batches):
+        for pdf in batches:
+            for name, group in pdf.groupby("fold"):
+                mean, weight, const, prior = tables[name]
+                x = np.full((len(group), len(ids)), np.nan)
+                for i, (v, which) in enumerate(zip(group["x"], group["which"], strict=True)):
+                    x[i, slice(None) if which is None else [at[f] for f in which]] = v
+                true = np.array([code.get(t, -1) for t in group["target"]])
+                wrong, step = np.zeros(len(centers), np.int64), max(1, STEP // (max(len(flat), len(ids)) * len(labels)))
+                for a in range(0, len(x), step):
+                    d = x[a : a + step, None, :] - mean[None]
+                    s = weight * d * d + const
+                    s = np.where(np.isnan(weight), np.where(d == 0, 0.0, -np.inf), s)
+                    s[np.isnan(d)] = 0
+                    s = np.add.reduceat(s[:, :, flat], begin, axis=2) + prior[None, :, None]
+                    best = len(labels) - 1 - np.argmax(s[:, ::-1], axis=1) if larger else np.argmax(s, axis=1)
+                    wrong += (best != true[a : a + step, None]).sum(0)
+                yield pd.DataFrame({"center_id": centers, "fold": name, "wrong": wrong, "n": len(x)})
+
+    counts = rows.mapInPandas(run, f"center_id {dict(near.dtypes)['center_id']}, fold string, wrong long, n long")
+    return counts.groupBy("center_id", "fold").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n"))
+
+
+def _tables(model: pd.DataFrame, ids: list[int], k: int, variances: bool) -> dict[str, tuple]:
+    """By fold: means, weights and constants (classes x features) of rows (fold, feature_id, m0, v0, m1, ...)."""
+    out = {}
+    for name, part in model.groupby("fold"):
+        part = part.set_index("feature_id").reindex(ids)
+        mean = part[[f"m{i}" for i in range(k)]].to_numpy(float).T
+        if variances:
+            v = part[[f"v{i}" for i in range(k)]].to_numpy(float).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                weight, const = np.where(v == 0, np.nan, -0.5 / v), np.where(v == 0, 0.0, -0.5 * (LOG_2PI + np.log(v)))
+        else:
+            weight, const = np.full(mean.shape, -1.0), np.zeros(mean.shape)
+        out[str(name)] = (mean, weight, const)
+    return out
+
+
 def gnb_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str) -> DataFrame:
     """Error of naive Bayes around each centre, leaving out one chunk at a time: (center_id, fold, error).
 
-    Statistics per (chunk, class, feature) once, log probabilities per sample
-    and feature once, with a column a class; neighbourhoods only sum them.
+    Statistics per (chunk, class, feature) are taken once; see :func:`row_searchlight`.
     """
     labels = uniques(long, target)
     model, priors = gnb_model(long, target, chunk, labels)
-    hit = long.select("sample_id", F.col(target).alias("target"), F.col(chunk).alias("fold"), "feature_id", "value").join(model, ["fold", "feature_id"])
-    scores = hit.select("fold", "sample_id", "target", "feature_id", *gnb_terms(labels))
-    around = scores.join(near, "feature_id").groupBy("center_id", "fold", "sample_id", "target").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(labels))))
-    best = around.join(F.broadcast(priors), "fold").select("center_id", "fold", "target", best_label(labels).alias("prediction"))
-    return best.groupBy("center_id", "fold").agg(F.avg((F.col("prediction") != F.col("target")).cast("double")).alias("error"))
+    ids = sorted(r[0] for r in near.select("feature_id").distinct().collect())
+    tables = _tables(model.toPandas(), ids, len(labels), True)
+    lp = priors.toPandas()
+    for name, row in zip(lp["fold"], lp[[f"lp{i}" for i in range(len(labels))]].to_numpy(float), strict=True):
+        tables[str(name)] += (np.where(np.isnan(row), -np.inf, row),)
+    tables = {f: (np.nan_to_num(m), np.where(np.isneginf(p)[:, None], 0, w), np.nan_to_num(c), p) for f, (m, w, c, p) in tables.items()}
+    counts = row_searchlight(long, near, target, chunk, tables, labels, True)
+    kind = dict(long.dtypes)[chunk]
+    return counts.select("center_id", F.col("fold").cast(kind).alias("fold"), F.try_divide("wrong", "n").alias("error"))
+
+
+def nearest_mean_in_place(long: DataFrame, near: DataFrame, target: str) -> DataFrame:
+    """(center_id, value, n): share of samples around each centre that lie nearer to another class's mean than to their own's."""
+    labels = uniques(long, target)
+    t = F.col(target)
+    means = long.groupBy("feature_id").agg(*(F.avg(F.when(t == F.lit(y), F.col("value"))).alias(f"m{i}") for i, y in enumerate(labels)))
+    ids = sorted(r[0] for r in near.select("feature_id").distinct().collect())
+    tables = {f: (*x, np.zeros(len(labels))) for f, x in _tables(means.withColumn("fold", F.lit("")).toPandas(), ids, len(labels), False).items()}
+    counts = row_searchlight(long, near, target, None, tables, labels, False)
+    return counts.select("center_id", F.try_divide("wrong", "n").alias("value"), "n")
 
 
 def m1nn_searchlight(long: DataFrame, near: DataFrame, target: str, chunk: str) -> DataFrame:

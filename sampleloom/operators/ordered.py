@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from sampleloom.operators.select import marked_changes, ranked
 from sampleloom.session import materialised
@@ -184,7 +185,7 @@ def labels_to_chunks(labels: list, ignore: set | None = None) -> list[int]:
 
 def label_chunks(df: DataFrame, label: str, order: list[str], by: list[str], ignore: set | None = None) -> DataFrame:
     """``chunk`` by :func:`labels_to_chunks`, within each sequence (a sequential rule: one task a sequence)."""
-    schema = df.schema.add("chunk", "int")
+    schema = df.schema.add("chunk", IntegerType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -211,7 +212,7 @@ def coarsen_chunks(df: DataFrame, chunk: str, groups: int = 4) -> DataFrame:
     counts = [(r[0], r[1]) for r in df.groupBy(chunk).count().collect()]
     if len(counts) < groups:
         raise ValueError("fewer chunks than groups")
-    table = df.sparkSession.createDataFrame(list(coarse_groups(counts, groups).items()), df.select(chunk).schema.add("coarse", "int"))
+    table = df.sparkSession.createDataFrame(list(coarse_groups(counts, groups).items()), df.select(chunk).schema.add("coarse", IntegerType()))
     return df.join(F.broadcast(table), chunk)
 
 

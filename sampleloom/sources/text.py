@@ -1,8 +1,8 @@
 """Text formats as DataFrames: column files, events, sensors, designs, recordings, exports.
 
 All readers scan with Spark, so paths may be globs and gzip is transparent;
-``path`` tells the file of each row. Numbering of lines inside a file uses one
-task a file, as text files are read in order only there.
+``path`` tells the file of each row. Lines are numbered by blocks, so a file of
+any size is shared among tasks.
 """
 
 from __future__ import annotations
@@ -13,15 +13,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.operators.records import parse_lines
+from sampleloom.session import materialised
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files, numbered from 1 in each file."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of text files, numbered from 1 in each file.
+
+    Files are split as any text is. A line's number is the count of lines in its
+    file's blocks before (a table of one row a block) and its place in the
+    block, which the row's number in the scan tells; no line is shuffled for it.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.expr("input_file_block_start()").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    blocks = lines.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = materialised(blocks.select("path", "_block", "_first", before.alias("_before")))
+    return lines.join(blocks, ["path", "_block"]).select("path", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def content(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
@@ -31,7 +41,7 @@ def content(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
 
 
 def fields(sep: str | None = None, line: str = "line") -> Column:
-    return F.split(F.trim(line), r"[ \t]+") if sep is None else F.transform(F.split(line, re.escape(sep)), F.trim)
+    return F.split(F.trim(line), r"[ \t]+") if sep is None else F.transform(F.split(line, re.escape(sep)), lambda x: F.trim(x))
 
 
 def typed(df: DataFrame, schema: list[tuple[str, str]], sep: str | None = None) -> DataFrame:
@@ -133,8 +143,6 @@ def meg_recording(spark: SparkSession, path: str) -> DataFrame:
 
 def eeg_export(spark: SparkSession, path: str) -> DataFrame:
     """(path, sample, timepoint, channel, value) of epoched exports: names first, then time and values; time running back begins a sample."""
-    from pyspark.sql import Window as W
-
     at = raw_lines(spark, path).where(F.trim("line") != "")
     names = at.where("line_no = 1").select("path", fields().alias("names"))
     body = at.where("line_no > 1").select("path", "line_no", F.transform(fields(), lambda x: x.cast("double")).alias("v"))
@@ -183,8 +191,6 @@ def light_svm(spark: SparkSession, path: str) -> DataFrame:
 
 def roi_file(spark: SparkSession, path: str) -> DataFrame:
     """(path, roi, kind, nodes) of surface regions: lines of node, type, count, nodes; type 4 is an edge, 1 an area."""
-    from pyspark.sql import Window as W
-
     at = raw_lines(spark, path).where(F.trim("line") != "")
     w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("roi", F.sum(F.col("line").startswith("# <Node_ROI").cast("int")).over(w) - 1).where(~F.col("line").startswith("#"))
@@ -195,8 +201,6 @@ def roi_file(spark: SparkSession, path: str) -> DataFrame:
 
 def surface_spec(spark: SparkSession, path: str) -> DataFrame:
     """(path, surface, properties) of surface specification files."""
-    from pyspark.sql import Window as W
-
     at = raw_lines(spark, path)
     w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("surface", F.sum(F.col("line").contains("NewSurface").cast("int")).over(w) - 1)

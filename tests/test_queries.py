@@ -5,11 +5,11 @@ import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from sampleloom.plans import problems, reference
+from sampleloom.plans import problems, reference, survey
 
 SMALL = "/root/testdata/sf0.001"
-OWN = {**problems.QUERIES, **reference.QUERIES}
-SQL = {**problems.SQL, **reference.SQL}
+OWN = {**problems.QUERIES, **reference.QUERIES, **survey.QUERIES}
+SQL = {**problems.SQL, **reference.SQL, **survey.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings column_files column_lines bold_events condition_key niml_dsets samples meg_data eval_items".split()
 
 
