@@ -17,6 +17,8 @@ class Model:
     """Base: labels are kept sorted; ``y`` may be of any type."""
 
     regression = False
+    #: What of all rows' sums settles the fit: ``scatter``, ``covariance`` or ``classes`` (moments of each class), or None.
+    sums: str | None = None
 
     def _labels(self, y) -> np.ndarray:
         if not len(y):
@@ -32,6 +34,7 @@ class Ridge(Model):
     """Least squares on [X 1] with rows lm * I appended: the penalty is lm squared, the intercept free."""
 
     regression = True
+    sums = "scatter"
 
     def __init__(self, lm: float | None = None):
         self.lm = lm
@@ -52,15 +55,24 @@ class BLR(Model):
     """Bayesian linear regression: posterior mean, and variance of predictions."""
 
     regression = True
+    sums = "scatter"
 
     def __init__(self, sigma_p: float = 1.0, sigma_noise: float = 1.0):
         self.sigma_p, self.sigma_noise = sigma_p, sigma_noise
 
     def fit(self, x, y):
         x = np.column_stack([x, np.ones(len(x))])
-        a = x.T @ x / self.sigma_noise**2 + np.eye(x.shape[1]) / self.sigma_p
-        self.inverse = np.linalg.inv(a)
-        w = self.inverse @ x.T @ np.asarray(y, float) / self.sigma_noise**2
+        return self._solve(x.T @ x, x.T @ np.asarray(y, float))
+
+    def fit_sums(self, n: float, mean: np.ndarray, scatter: np.ndarray):
+        """From the number, mean and scatter matrix of [x y]."""
+        total = scatter + n * np.outer(mean, mean)
+        xx = np.block([[total[:-1, :-1], n * mean[:-1, None]], [n * mean[None, :-1], np.array([[n]])]])
+        return self._solve(xx, np.append(total[:-1, -1], n * mean[-1]))
+
+    def _solve(self, xx: np.ndarray, xy: np.ndarray):
+        self.inverse = np.linalg.inv(xx / self.sigma_noise**2 + np.eye(len(xx)) / self.sigma_p)
+        w = self.inverse @ xy / self.sigma_noise**2
         self.weights, self.bias = w[:-1], w[-1]
         return self
 
@@ -110,21 +122,25 @@ class GPR(Model):
 class LDA(Model):
     """Linear discriminant with pooled covariance over n - k; ``quadratic`` takes each class's own."""
 
+    sums = "classes"
+
     def __init__(self, quadratic: bool = False):
         self.quadratic = quadratic
 
     def fit(self, x, y):
         code = self._labels(y)
-        k, n = len(self.labels), len(x)
-        self.means = np.array([x[code == c].mean(0) for c in range(k)])
-        self.priors = np.log(np.bincount(code, minlength=k) / n)
-        covs = [np.cov(x[code == c].T, bias=True).reshape(x.shape[1], -1) for c in range(k)]
+        parts = [x[code == c] for c in range(len(self.labels))]
+        return self.fit_classes(self.labels, np.array([len(p) for p in parts]), np.array([p.mean(0) for p in parts]), [np.cov(p.T, bias=True).reshape(x.shape[1], -1) for p in parts])
+
+    def fit_classes(self, labels: np.ndarray, n: np.ndarray, means: np.ndarray, covs: list[np.ndarray]):
+        """From each class's number, mean and population covariance."""
+        self.labels, self.means, self.priors = labels, means, np.log(n / n.sum())
         if self.quadratic:
             self.inverse = [np.linalg.pinv(c) for c in covs]
             self.logdet = [np.linalg.slogdet(c)[1] for c in covs]
         else:
-            pooled = sum(c * (code == i).sum() for i, c in enumerate(covs)) / max(n - k, 1)
-            self.inverse, self.logdet = [np.linalg.pinv(pooled)] * k, [0.0] * k
+            pooled = sum(c * m for c, m in zip(covs, n, strict=True)) / max(n.sum() - len(n), 1)
+            self.inverse, self.logdet = [np.linalg.pinv(pooled)] * len(n), [0.0] * len(n)
         return self
 
     def estimates(self, x):
@@ -205,6 +221,7 @@ class ElasticNet(Model):
     """Linear regression with mixed penalties by coordinate descent on standardised columns; ``ratio=1`` is the lasso."""
 
     regression = True
+    sums = "covariance"
 
     def __init__(self, alpha: float = 0.1, ratio: float = 0.5, most: int = 1000, tolerance: float = 1e-6):
         self.alpha, self.ratio, self.most, self.tolerance = alpha, ratio, most, tolerance
@@ -236,6 +253,7 @@ class LARS(Model):
     """Least angle regression (``lasso=True`` drops coefficients that cross zero)."""
 
     regression = True
+    sums = "covariance"
 
     def __init__(self, steps: int | None = None, lasso: bool = True):
         self.steps, self.lasso = steps, lasso
@@ -587,6 +605,23 @@ class RandomModel(Model):
 
 
 #: Configured models by name, with tags.
+def fit_sums(model: Model, n: float, mean: np.ndarray, scatter: np.ndarray) -> Model:
+    """A regression fitted to the number, mean and scatter matrix of [x y] of any number of rows.
+
+    Models that depend on the rows through these alone are given few rows with
+    the same mean and the same scatter matrix, or the same covariance.
+    """
+    if hasattr(model, "fit_sums"):
+        return model.fit_sums(n, mean, scatter)
+    w, v = np.linalg.eigh(scatter)
+    half = (v * np.sqrt(np.maximum(w, 0) / 2)).T
+    rows = np.vstack([half, -half])
+    if model.sums == "covariance":
+        rows = rows * np.sqrt(len(rows) / n)
+    rows = rows + mean
+    return model.fit(rows[:, :-1], rows[:, -1])
+
+
 REGISTRY = {
     "gnb": ({"gnb", "multiclass", "linear"}, GNB),
     "gnb(common)": ({"gnb", "multiclass"}, lambda: GNB(common_variance=True)),

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sampleloom.functions.models import Model
+from sampleloom.functions.models import Model, fit_sums
 from sampleloom.operators.generators import uniques
 from sampleloom.operators.measures import gram, symmetric
 
@@ -188,9 +188,17 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "sample_
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_predict(near: DataFrame) -> DataFrame:
-    """Equal votes of the neighbours; of equal classes the one nearest on average, then the smaller label."""
-    votes = near.groupBy("query_id", "label").agg(F.count("*").alias("votes"), F.avg("dist").alias("mean_dist"))
+def knn_predict(near: DataFrame, weighted: bool = False) -> DataFrame:
+    """Votes of the neighbours; of equal classes the one nearest on average, then the smaller label.
+
+    ``weighted`` votes count by nearness: each by the share of all neighbours'
+    distances that is not its own.
+    """
+    if weighted:
+        whole = F.sum("dist").over(W.partitionBy("query_id"))
+        near = near.withColumn("_v", F.coalesce(1 - F.try_divide("dist", whole), F.lit(1.0)))
+    count = F.sum("_v") if weighted else F.count("*")
+    votes = near.groupBy("query_id", "label").agg(count.alias("votes"), F.avg("dist").alias("mean_dist"))
     best = F.min_by("label", F.struct(-F.col("votes"), F.col("mean_dist"), F.col("label")))
     return votes.groupBy("query_id").agg(best.alias("prediction"))
 
@@ -235,18 +243,11 @@ def discriminant(df: DataFrame, features: list[str], target: str, quadratic: boo
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                m = LDA(quadratic)
                 g = [symmetric(c["sums"], k) for c in r.classes]
                 n = np.array([c["n"] for c in r.classes], float)
-                m.labels = np.array([c["label"] for c in r.classes])
-                m.means = np.array([x[0, 1:] / c for x, c in zip(g, n, strict=True)])
-                covs = [x[1:, 1:] / c - np.outer(u, u) for x, c, u in zip(g, n, m.means, strict=True)]
-                m.priors = np.log(n / n.sum())
-                if quadratic:
-                    m.inverse, m.logdet = [np.linalg.pinv(c) for c in covs], [np.linalg.slogdet(c)[1] for c in covs]
-                else:
-                    pooled = sum(c * x for c, x in zip(covs, n, strict=True)) / max(n.sum() - len(n), 1)
-                    m.inverse, m.logdet = [np.linalg.pinv(pooled)] * len(n), [0.0] * len(n)
+                means = np.array([x[0, 1:] / c for x, c in zip(g, n, strict=True)])
+                covs = [x[1:, 1:] / c - np.outer(u, u) for x, c, u in zip(g, n, means, strict=True)]
+                m = LDA(quadratic).fit_classes(np.array([c["label"] for c in r.classes]), n, means, covs)
                 rows.append((*[getattr(r, c) for c in by], pickle.dumps(m)))
             yield pd.DataFrame(rows, columns=[*by, "model"])
 
@@ -274,27 +275,87 @@ def fit_folds(df: DataFrame, make: Callable[[], Model], target: str, chunk: str,
     return train.groupBy("fold").applyInPandas(fit, f"fold {kind}, model binary")
 
 
-def predict_folds(df: DataFrame, models: DataFrame, target: str, chunk: str, values: str = "features", key: str = "sample_id", kind: str | None = None) -> DataFrame:
-    """(fold, sample_id, target, prediction) of every row by the model that has not seen its chunk."""
-    kind = kind or dict(df.dtypes)[target]
+def moments_by(df: DataFrame, keys: list[str], values: str | Column) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """For each combination of ``keys``: number, mean and scatter matrix of the arrays in ``values``, over all rows.
+
+    Partitions give sums and products, which Spark adds up; what the driver sees
+    is of the size of keys x features squared.
+    """
     types = dict(df.dtypes)
 
     def run(batches):
-        cache: dict[bytes, Model] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for raw, part in pdf.groupby("model"):
-                model = cache.setdefault(raw, pickle.loads(raw))
-                p = model.predict(np.array(part[values].tolist(), float))
-                yield pd.DataFrame({"fold": part[chunk].to_numpy(), "sample_id": part[key].to_numpy(), "target": part[target].to_numpy(), "prediction": p})
+            for k, part in pdf.groupby(keys, dropna=False):
+                x = np.array(part["_x"].tolist(), float)
+                row = np.concatenate([[len(x)], x.sum(0), (x.T @ x)[np.triu_indices(x.shape[1])]])
+                sums[k] = row + sums[k] if k in sums else row
+        if sums:
+            yield pd.DataFrame([(*k, v.tolist()) for k, v in sums.items()], columns=[*keys, "x"])
+
+    parts = df.select(*keys, (F.col(values) if isinstance(values, str) else values).alias("_x")).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "x array<double>"]))
+    cells = parts.select(*keys, F.posexplode("x").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v")).toPandas()
+    out = {}
+    for k, part in cells.groupby(keys):
+        v = part.sort_values("_i")["_v"].to_numpy()
+        f = int((np.sqrt(8 * len(v) + 1) - 3) / 2)
+        mean = v[1 : f + 1] / v[0]
+        out[tuple(k)] = (int(v[0]), mean, symmetric(v[f + 1 :], f) - v[0] * np.outer(mean, mean))
+    return out
 
-    j = df.select(key, chunk, target, values).join(F.broadcast(models), F.col(chunk) == F.col("fold")).drop("fold")
-    return j.mapInPandas(run, f"fold {types[chunk]}, sample_id {types[key]}, target {types[target]}, prediction {kind}")
+
+def _added(parts: list[tuple]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Moments of several parts together."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[2] + p[0] * np.outer(p[1] - mean, p[1] - mean) for p in parts)
+
+
+def fit_folds_exactly(df: DataFrame, make: Callable[[], Model], target: str, chunk: str, values: str = "features") -> dict:
+    """A model for each held-out chunk, of models that sums over all rows settle: no row is left out and none travels."""
+    out = {}
+    if make().sums == "classes":
+        parts = moments_by(df, [chunk, target], values)
+        for fold in sorted({k[0] for k in parts}):
+            labels = sorted({k[1] for k in parts if k[0] != fold})
+            each = [_added([p for k, p in parts.items() if k[0] != fold and k[1] == y]) for y in labels]
+            n = np.array([e[0] for e in each], float)
+            out[fold] = make().fit_classes(np.array(labels), n, np.array([e[1] for e in each]), [e[2] / e[0] for e in each])
+        return out
+    parts = moments_by(df, [chunk], F.concat(values, F.array(F.col(target).cast("double"))))
+    for (fold,) in sorted(parts):
+        out[fold] = fit_sums(make(), *_added([p for k, p in parts.items() if k[0] != fold]))
+    return out
+
+
+def predict_folds(df: DataFrame, models: DataFrame | dict, target: str, chunk: str, values: str = "features", key: str = "sample_id", kind: str | None = None) -> DataFrame:
+    """(fold, sample_id, target, prediction) of every row by the model that has not seen its chunk.
+
+    The models, one a chunk and each of bounded size, are broadcast; no row carries one.
+    """
+    kind, types = kind or dict(df.dtypes)[target], dict(df.dtypes)
+    if isinstance(models, DataFrame):
+        models = {r["fold"]: pickle.loads(r["model"]) for r in models.collect()}
+    known = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for pdf in batches:
+            for fold, part in pdf.groupby(chunk):
+                if fold in known.value:
+                    p = known.value[fold].predict(np.array(part[values].tolist(), float))
+                    yield pd.DataFrame({"fold": part[chunk].to_numpy(), "sample_id": part[key].to_numpy(), "target": part[target].to_numpy(), "prediction": p})
+
+    return df.select(key, chunk, target, values).mapInPandas(run, f"fold {types[chunk]}, sample_id {types[key]}, target {types[target]}, prediction {kind}")
 
 
 def cross_validate(df: DataFrame, make: Callable[[], Model], target: str, chunk: str, errors: dict, **kwargs) -> DataFrame:
-    """Errors per fold: train on all other chunks, predict the held-out one. ``errors`` maps names to aggregates of (p, t)."""
+    """Errors per fold: train on all other chunks, predict the held-out one. ``errors`` maps names to aggregates of (p, t).
+
+    Models that sums settle are fitted to all rows, the others as :func:`fit_folds` says.
+    """
     kind = "double" if make().regression else None
-    predicted = predict_folds(df, fit_folds(df, make, target, chunk, **kwargs), target, chunk, kind=kind)
+    models = fit_folds_exactly(df, make, target, chunk, kwargs.get("values", "features")) if make().sums else fit_folds(df, make, target, chunk, **kwargs)
+    predicted = predict_folds(df, models, target, chunk, kind=kind)
     return predicted.groupBy("fold").agg(*(f("prediction", "target").alias(n) for n, f in errors.items()))
 
 

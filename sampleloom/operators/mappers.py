@@ -178,7 +178,7 @@ def prototype_similarities(df: DataFrame, prototypes: list[list[float]], similar
 
 
 class SOM:
-    """Self-organising map: online training on a bounded, ordered sample; mapping to the best unit runs everywhere."""
+    """Self-organising map: trained online on the rows of one machine, or in batches by :meth:`fit_rows` on all rows of a table; mapping to the best unit runs everywhere."""
 
     def __init__(self, shape: tuple[int, int], rounds: int, rate: float = 0.005, radius: float | None = None, seed: int = 0):
         self.shape, self.rounds, self.rate, self.radius, self.seed = shape, rounds, rate, radius or max(shape), seed
@@ -196,6 +196,37 @@ class SOM:
                 self.units += (rate * np.exp(-d / (2 * max(radius, 1e-9) ** 2)) * (d <= radius**2))[..., None] * (v - self.units)
         return self
 
+    def fit_rows(self, df: DataFrame, values: str = VALUES) -> SOM:
+        """Batch training on all rows: in each round every partition sums its rows by best unit, and each unit becomes the mean of the rows of the units around it.
+
+        The units begin as a grid along the first two principal axes.
+        """
+        n, mean, scatter = moments(df, values)
+        spread, axes = np.linalg.eigh(scatter / max(n, 1))
+        axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), np.arange(axes.shape[1])])
+        grid = np.stack(np.meshgrid(*map(np.arange, self.shape), indexing="ij"), -1).reshape(-1, 2)
+        along = (grid / np.maximum(np.array(self.shape) - 1, 1) - 0.5) * 4 * np.sqrt(np.maximum(spread[[-1, -2]], 0))
+        units = mean + along @ axes[:, [-1, -2]].T
+        tau = self.rounds / max(np.log(self.radius), 1e-9)
+        for t in range(self.rounds):
+
+            def run(batches, units=units):
+                total = np.zeros((len(units), units.shape[1] + 1))
+                for pdf in batches:
+                    if len(pdf):
+                        x = np.array(pdf[values].tolist(), float)
+                        best = np.argmin((units * units).sum(1)[None] - 2 * x @ units.T, axis=1)
+                        np.add.at(total, best, np.column_stack([np.ones(len(x)), x]))
+                yield pd.DataFrame({"u": np.arange(len(units)), "v": total.tolist()})
+
+            sums = df.select(values).mapInPandas(run, "u int, v array<double>").select("u", F.posexplode("v").alias("c", "v")).groupBy("u", "c").agg(F.sum("v").alias("v")).toPandas()
+            v = sums.pivot(index="u", columns="c", values="v").sort_index().to_numpy()
+            radius = max(self.radius * np.exp(-t / tau), 1e-9)
+            h = np.exp(-((grid[:, None] - grid[None]) ** 2).sum(-1) / (2 * radius**2)) @ v
+            units = np.where(h[:, :1] > 0, h[:, 1:] / np.maximum(h[:, :1], 1e-300), units)
+        self.units = units.reshape(*self.shape, -1)
+        return self
+
     def forward(self, df: DataFrame, key: str = ID, values: str = VALUES) -> DataFrame:
         """(key, row, col) of each sample's best unit."""
         units, width = self.units.reshape(-1, self.units.shape[-1]), self.shape[1]

@@ -70,20 +70,53 @@ def corrstability(long: DataFrame, target: str, chunk: str, by: str = "feature_i
     return a.join(b, [by, target]).where("ca < cb").groupBy(by).agg(F.coalesce(correlation("ma", "mb"), F.lit(0.0)).alias("stability"))
 
 
-def featurewise(long: DataFrame, target: str, fx: Callable[[np.ndarray, np.ndarray], float], by: str = "feature_id", value: str = "value", most: int = 100_000) -> DataFrame:
-    """``fx(values, targets)`` per feature, for statistics without a plan of their own.
-
-    A feature with more than ``most`` samples is judged by as many drawn by
-    hash, the documented bound of what one task holds.
-    """
-    w = W.partitionBy(by).orderBy(F.xxhash64("sample_id"))
+def featurewise(long: DataFrame, target: str, fx: Callable[[np.ndarray, np.ndarray], float], by: str = "feature_id", value: str = "value") -> DataFrame:
+    """``fx(values, targets)`` per feature over all its samples, for statistics without a plan of their own: one task holds a feature."""
     kind = dict(long.dtypes)[by]
-    bounded = long.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({by: [pdf[by].iloc[0]], "value": [float(fx(pdf[value].to_numpy(float), pdf[target].to_numpy()))]})
 
-    return bounded.select(by, value, target).groupBy(by).applyInPandas(run, f"{by} {kind}, value double")
+    return long.select(by, value, target).groupBy(by).applyInPandas(run, f"{by} {kind}, value double")
+
+
+def label_distance_correlation(long: DataFrame, target: str, by: str = "feature_id", value: str = "value") -> DataFrame:
+    """(by, value): distance correlation of each feature with a numeric label of some distinct values, over all samples.
+
+    In one dimension the sums of distances follow from sorted running sums: the
+    distances of a value to all of one label are settled by how many of them lie
+    below and what they add up to. Running sums are taken in range partitions
+    and completed by those before, so a feature of any size is shared among
+    tasks and no pair of samples is formed.
+    """
+    from sampleloom.operators.generators import uniques
+    from sampleloom.operators.select import ranked
+
+    labels = uniques(long, target)
+    t, x = F.col("_t"), F.col("_x")
+    base = long.select(by, F.col(value).cast("double").alias("_x"), F.col(target).cast("double").alias("_t"), F.monotonically_increasing_id().alias("_tie")).dropna()
+    at = ranked(base, [by], ["_x", "_tie"], "_i").drop("_tie")
+    own = W.partitionBy(by, "_part").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    is_ = [(t == F.lit(float(y))).cast("double") for y in labels]
+    running = at.select(by, "_part", "_x", "_t", *(F.sum(h).over(own).alias(f"c{k}") for k, h in enumerate(is_)), *(F.sum(h * x).over(own).alias(f"s{k}") for k, h in enumerate(is_)))
+    names = [f"{n}{k}" for n in "cs" for k in range(len(labels))]
+    part = at.groupBy(by, "_part").agg(*(F.sum(h).alias(f"c{k}") for k, h in enumerate(is_)), *(F.sum(h * x).alias(f"s{k}") for k, h in enumerate(is_)))
+    w = W.partitionBy(by)
+    before = w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    part = part.select(by, "_part", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_b{n}") for n in names), *(F.sum(n).over(w).alias(f"_a{n}") for n in names))
+    j = running.join(part, [by, "_part"])
+    n = sum((F.col(f"_ac{k}") for k in range(1, len(labels))), F.col("_ac0"))
+    # distances to all of one label: those below count x less their sum, those above their sum less x
+    to = [x * (2 * (F.col(f"c{k}") + F.col(f"_bc{k}")) - F.col(f"_ac{k}")) + F.col(f"_as{k}") - 2 * (F.col(f"s{k}") + F.col(f"_bs{k}")) for k in range(len(labels))]
+    a = sum(to[1:], to[0])
+    apart = [F.abs(t - float(y)) for y in labels]
+    b = sum((F.col(f"_ac{k}") * d for k, d in enumerate(apart[1:], 1)), F.col("_ac0") * apart[0])
+    ab, bb = sum((d * e for d, e in zip(to[1:], apart[1:], strict=True)), to[0] * apart[0]), sum((F.col(f"_ac{k}") * d * d for k, d in enumerate(apart[1:], 1)), F.col("_ac0") * apart[0] * apart[0])
+    sums = j.groupBy(by).agg(F.max(n).alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"), F.sum(ab).alias("xy"), F.sum(bb).alias("yy"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+    n = F.col("n")
+    cov = lambda pairs, p, q, pq: pairs / (n * n) + F.col(p) * F.col(q) / F.pow(n, F.lit(4)) - 2 * F.col(pq) / F.pow(n, F.lit(3))
+    cxy, cxx, cyy = cov(F.col("xy"), "a", "b", "ab"), cov(2 * n * F.col("sxx") - 2 * F.col("sx") * F.col("sx"), "a", "a", "aa"), cov(F.col("yy"), "b", "b", "bb")
+    return sums.select(by, F.when((cxx > 0) & (cyy > 0), F.sqrt(F.greatest(cxy, F.lit(0.0)) / F.sqrt(cxx * cyy))).otherwise(0.0).alias("value"))
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
@@ -255,13 +288,53 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> pd.DataFrame:
     return df.withColumn("_h", F.xxhash64(F.col(key))).orderBy("_h", key).limit(most).drop("_h").toPandas()
 
 
-def irelief_weights(df: DataFrame, label: str, values: str = "features", most: int = 500, online: bool = False, **kwargs) -> DataFrame:
-    """(feature_id, weight); fitted on a bounded sample of ``most`` rows."""
-    pdf = bounded_sample(df.select("sample_id", label, values), "sample_id", most)
-    x = np.array(pdf[values].tolist(), float)
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    w = (irelief_online if online else irelief)(x, pdf[label].to_numpy(), **kwargs)
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature_id int, weight double")
+def irelief_weights(df: DataFrame, label: str, queries: Column | None = None, values: str = "features", key: str = "sample_id", width: float = 1.0, threshold: float = 1e-2, rounds: int = 100, block: int = 2048) -> DataFrame:
+    """(feature_id, weight) by iterated relief: the stated ``queries`` (all rows if not given) against all rows.
+
+    In each round every partition sums, for each query, the weights of its
+    misses and hits and their weighted differences; the sums are added up by
+    Spark and only they travel. Queries go in blocks.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.col(values).alias("_x"))
+    asked = (df if queries is None else df.where(queries)).select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.col(values).alias("_x"))
+    parts = max(1, -(-asked.count() // block))
+    f = int(rows.select(F.size("_x")).first()[0])
+    w = np.ones(f) / f
+    for _ in range(rounds):
+        nu, n = np.zeros(f), 0
+        for b in range(parts):
+            few = asked.where(F.pmod(F.xxhash64("_k"), F.lit(parts)) == b).orderBy("_k").toPandas()
+            if not len(few):
+                continue
+            q, qk, qy = np.array(few["_x"].tolist(), float), few["_k"].to_numpy(), few["_y"].to_numpy()
+
+            def run(batches, q=q, qk=qk, qy=qy, w=w):
+                total = np.zeros((len(q), 2 * f + 2))
+                for pdf in batches:
+                    x, k, y = np.array(pdf["_x"].tolist(), float), pdf["_k"].to_numpy(), pdf["_y"].to_numpy()
+                    for i in range(len(q)):
+                        d = np.abs(x - q[i])
+                        dist = d @ w
+                        # equal samples have no weight, or the iteration would not converge
+                        near = np.where((dist < 1e-15) | (k == qk[i]), 0, np.exp(-dist / width))
+                        hit = near * (y == qy[i])
+                        miss = near - hit
+                        total[i] += np.concatenate([[miss.sum(), hit.sum()], miss @ d, hit @ d])
+                yield pd.DataFrame({"i": np.arange(len(q)), "v": total.tolist()})
+
+            sums = rows.mapInPandas(run, "i int, v array<double>").select("i", F.posexplode("v").alias("c", "v")).groupBy("i", "c").agg(F.sum("v").alias("v")).toPandas()
+            t = sums.pivot(index="i", columns="c", values="v").sort_index().to_numpy()
+            miss, hit = t[:, :1], t[:, 1:2]
+            out = 1 - miss / np.maximum(miss + hit, 1e-300)
+            nu += (out * (t[:, 2 : f + 2] / np.maximum(miss, 1e-300) - t[:, f + 2 :] / np.maximum(hit, 1e-300))).sum(0)
+            n += len(q)
+        new = np.maximum(nu / max(n, 1), 0)
+        new = new / (np.linalg.norm(new) or 1)
+        done, w = np.abs(new - w).sum() < threshold, new
+        if done:
+            break
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature_id int, weight double")
 
 
 def noise_sensitivity(long: DataFrame, measure: Callable[[DataFrame], DataFrame], scale: float = 1.0, seed: int = 0) -> DataFrame:

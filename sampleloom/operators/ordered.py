@@ -54,25 +54,51 @@ def detrend_linear(df: DataFrame, value: str, position: str, by: list[str]) -> D
     return df.join(base, by).withColumn(value, y - fit).drop("_mx", "_my", "_c", "_v")
 
 
-def legendre(n: int, order: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Legendre polynomials of degree 0 to ``order`` at coordinates scaled to [-1, 1]."""
-    x = np.linspace(-1, 1, n) if at is None else (2 * (at - at.min()) / (np.ptp(at) or 1) - 1)
-    return np.polynomial.legendre.legvander(x, order)
+def legendre(n: int, order: int) -> np.ndarray:
+    """Legendre polynomials of degree 0 to ``order`` at ``n`` places scaled to [-1, 1]."""
+    return np.polynomial.legendre.legvander(np.linspace(-1, 1, n), order)
 
 
-def detrend(df: DataFrame, columns: list[str], order_by: str, by: list[str], order: int = 1, regressors: list[str] | None = None) -> DataFrame:
-    """Residuals of polynomials of any degree and further regressors, fitted in each group (a chunk, as one task)."""
+def legendre_columns(x: Column, order: int) -> list[Column]:
+    """The same at a coordinate in [-1, 1], as expressions."""
+    out = [F.lit(1.0), x]
+    for k in range(1, order):
+        out.append(((2 * k + 1) * x * out[k] - k * out[k - 1]) / (k + 1))
+    return out[: order + 1]
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by)
-        x = legendre(len(pdf), order)
-        if regressors:
-            x = np.column_stack([x, pdf[regressors].to_numpy(float)])
-        y = pdf[columns].to_numpy(float)
-        pdf[columns] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return pdf
+def detrend(df: DataFrame, columns: list[str], order_by: str, by: list[str], order: int = 1, regressors: list[str] | None = None) -> DataFrame:
+    """Residuals of polynomials of any degree and further regressors, fitted in each group.
 
-    return df.groupBy(*by).applyInPandas(fit, df.schema)
+    The coordinate is the place in the group, scaled to [-1, 1]. Sums of products
+    of the basis are one aggregate; a group's coefficients are solved from them
+    and joined back, so that a group of any size is shared among tasks.
+    """
+    at = ranked(df, by, [order_by], "_i", "_n").drop("_part")
+    x = F.coalesce(F.try_divide(2 * F.col("_i"), F.col("_n") - 1) - 1, F.lit(0.0))
+    # a fixed reference to the coordinate keeps the expressions small
+    at = at.withColumn("_x", x)
+    basis = [*legendre_columns(F.col("_x"), order), *(F.col(c).cast("double") for c in regressors or [])]
+    k = len(basis)
+    sums = [F.sum(basis[i] * basis[j]) for i in range(k) for j in range(i, k)]
+    sums += [F.sum(b * F.col(c)) for c in columns for b in basis]
+    types = dict(df.dtypes)
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for s in pdf["s"]:
+                g = np.zeros((k, k))
+                g[np.triu_indices(k)] = s[: k * (k + 1) // 2]
+                g = g + np.triu(g, 1).T
+                rows.append((np.linalg.pinv(g) @ np.asarray(s[k * (k + 1) // 2 :]).reshape(len(columns), k).T).T.ravel().tolist())
+            yield pdf[by].assign(_w=rows)
+
+    fit = at.groupBy(*by).agg(F.array(*sums).alias("s")).mapInPandas(solve, ", ".join([*(f"{c} {types[c]}" for c in by), "_w array<double>"]))
+    j = at.join(fit, by)
+    for n, c in enumerate(columns):
+        j = j.withColumn(c, F.col(c) - sum((F.col("_w")[n * k + i] * b for i, b in enumerate(basis[1:], 1)), F.col("_w")[n * k] * basis[0]))
+    return j.select(*df.columns)
 
 
 # --- signal filters --------------------------------------------------------
@@ -132,6 +158,30 @@ def filtfilt(b, a, x: np.ndarray) -> np.ndarray:
     return y[pad : len(y) - pad] if pad > 0 else y
 
 
+def zero_phase_fir(df: DataFrame, by: list[str], order_by: str, value: str, taps: list[float], block: int = 65_536) -> DataFrame:
+    """(by, pos, value): each series through ``taps`` forward and backward, ends continued oddly; what :func:`filtfilt` gives for them.
+
+    The two passes are one symmetric kernel. Series are cut by place into blocks
+    that see the kernel's reach on either side, so one of any length is shared
+    among tasks. Series no longer than the kernel are left as they are.
+    """
+    kernel = np.convolve(taps, taps[::-1])
+    h = len(kernel) // 2
+    at = ranked(df.select(*by, order_by, F.col(value).cast("double").alias("value")), by, [order_by], "pos", "_n").drop("_part", order_by)
+    ends = at.where((F.col("pos") == 0) | (F.col("pos") == F.col("_n") - 1)).groupBy(*by).agg(F.min_by("value", "pos").alias("_0"), F.max_by("value", "pos").alias("_1"))
+    last = F.col("_n") - 1
+    edge = at.where((F.col("pos") <= h) | (F.col("pos") >= last - h)).join(ends, by)
+    before = edge.where((F.col("pos") > 0) & (F.col("pos") <= h)).select(*by, (2 * F.col("_0") - F.col("value")).alias("value"), (-F.col("pos")).alias("pos"), "_n")
+    after = edge.where((F.col("pos") < last) & (F.col("pos") >= last - h)).select(*by, (2 * F.col("_1") - F.col("value")).alias("value"), (2 * last - F.col("pos")).alias("pos"), "_n")
+    every = at.select(*by, "value", "pos", "_n").unionByName(before).unionByName(after)
+    cell = lambda c: F.floor(c / block)
+    spread = every.withColumn("_b", F.explode(F.array_distinct(F.array(cell(F.col("pos") - h), cell(F.col("pos")), cell(F.col("pos") + h)))))
+    w = W.partitionBy(*by, "_b").orderBy("pos")
+    total = sum((F.lit(float(c)) * (F.lag("value", h - i).over(w) if i < h else F.lead("value", i - h).over(w)) for i, c in enumerate(kernel) if i != h), F.lit(float(kernel[h])) * F.col("value"))
+    out = spread.withColumn("_y", F.when(F.col("_n") > 2 * h, total).otherwise(F.col("value")))
+    return out.where((F.col("pos") >= 0) & (F.col("pos") <= last) & (cell(F.col("pos")) == F.col("_b"))).select(*by, F.col("pos").cast("int").alias("pos"), F.col("_y").alias("value"))
+
+
 def haar_dwt(x: np.ndarray, levels: int | None = None) -> list[np.ndarray]:
     """Multi-level Haar transform: the coarsest approximation, then details from coarse to fine."""
     out, top = [], int(np.log2(len(x))) if len(x) > 1 else 0

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sampleloom.dataset import ID, VALUES, Dataset
-from sampleloom.session import checkpointed, partitions_for
+from sampleloom.session import checkpointed, materialised, partitions_for
 
 
 def match(df: DataFrame, wanted: dict, strict: bool = True) -> DataFrame:
@@ -77,24 +77,28 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "pos", total: str | None = None) -> DataFrame:
     """With each row's place from 0 within its group, and ``_part``: a rank that no single task computes.
 
-    The rows are range-partitioned by group and order, counted by group and
-    partition (a table of groups and partitions), and each row's place is the
-    count before its partition plus its place in it. A group of any size is
-    thus shared among tasks. ``total`` also gives the group's size.
+    The rows are range-partitioned by group and order and sorted, the one
+    exchange of all rows. A row's number in its partition then tells its place
+    among its group's rows there; the count of the group's rows in partitions
+    before comes from a table of one row a group and partition. A group of any
+    size is thus shared among tasks. ``total`` also gives the group's size.
     """
     spark = df.sparkSession
-    ranged = checkpointed(df.repartitionByRange(partitions_for(spark), *by, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = df.repartitionByRange(partitions_for(spark), *by, *order).sortWithinPartitions(*by, *order)
+    # 33 bits of a row's number are its place in the partition, the others the partition
+    ranged = checkpointed(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_row", 33).cast("int"))
     key = [*by, "_part"]
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    counts = ranged.groupBy(*key).agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     prior = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    table = counts.select(*key, prior.alias("_before"), F.sum("_n").over(group).alias("_total"))
+    # written, so that its size is known when the join is planned
+    table = materialised(counts.select(*key, (prior - F.col("_first")).alias("_before"), F.sum("_n").over(group).alias("_total")))
     joined = join_same(ranged, table, key)
-    within = F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1
-    out = joined.withColumn(name, (F.col("_before") + within).cast("long"))
+    out = joined.withColumn(name, (F.col("_before") + F.col("_row")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_before", "_total")
+    return out.drop("_before", "_total", "_row")
 
 
 def marked_changes(df: DataFrame, attrs: list[str], order: list, by: list[str]) -> DataFrame:

@@ -77,6 +77,9 @@ def feature_grid(spark: SparkSession) -> DataFrame:
 LONG = "SELECT vec_id AS sample_id, label AS target, vec_id % 5 AS chunk, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS feature_id, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings"
 
 
+GRID_SQL = "SELECT CAST(i AS INT) AS f, i // 8 AS x, i % 8 AS y FROM generate_series(0, 63) t(i)"
+
+
 def all_measures(fx: str) -> str:
     return ", ".join(f"{fx.format(m)} AS {m}" for m in MEASURES)
 
@@ -191,11 +194,22 @@ def detrend_linear(spark, d):
     return od.detrend_linear(e, "value", "i", ["user_id"]).select("event_id", r("value", 5).alias("value"))
 
 
-@query()
+FINE = "SELECT DISTINCT ON (recording_id, channel_id, sample_number) recording_id, channel_id, sample_number, data, row_number() OVER (PARTITION BY recording_id, channel_id ORDER BY sample_number) - 1 AS i, count(*) OVER (PARTITION BY recording_id, channel_id) AS n FROM (SELECT recording_id, channel_id, sample_number, min(data) AS data FROM meg_data WHERE isfinite(data) AND abs(data) < 9e7 GROUP BY ALL)"
+
+
+def fine_readings(spark, d) -> DataFrame:
+    """Readings without repeats, missing and impossible values."""
+    x = table(spark, d, "meg_data").where("data is not null and not isnan(data) and abs(data) < 9e7")
+    return x.groupBy("recording_id", "channel_id", "sample_number").agg(F.min("data").alias("data"))
+
+
+@query(f"""WITH x AS (SELECT *, 2.0 * i / (n - 1) - 1 AS t FROM ({FINE})), m AS (SELECT recording_id, channel_id, avg(data) AS my, avg(t * t) AS mq, covar_pop(data, t) / var_pop(t) AS b FROM x GROUP BY ALL),
+ q AS (SELECT x.*, my, b, t * t - mq AS u FROM x JOIN m USING (recording_id, channel_id)), c AS (SELECT recording_id, channel_id, sum(u * data) / sum(u * u) AS c FROM q GROUP BY ALL)
+ SELECT recording_id, channel_id, sample_number, round(data - my - b * t - c * u, 5) + 0 AS data FROM q JOIN c USING (recording_id, channel_id)""")
 def detrend_polynomial(spark, d):
-    """Quadratic trends removed per recording and channel (general least squares, no SQL)."""
-    x = table(spark, d, "meg_data").where("data is not null and not isnan(data) and abs(data) < 9e7").select("recording_id", "channel_id", "sample_number", "data").dropDuplicates(["recording_id", "channel_id", "sample_number"])
-    return od.detrend(x, ["data"], "sample_number", ["recording_id", "channel_id"], 2)
+    """Quadratic trends removed per recording and channel."""
+    x = fine_readings(spark, d)
+    return od.detrend(x, ["data"], "sample_number", ["recording_id", "channel_id"], 2).select("recording_id", "channel_id", "sample_number", r("data", 5).alias("data"))
 
 
 EVENT_RUNS = """WITH p AS (SELECT user_id, event_type, row_number() OVER w - 1 AS pos, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -760,28 +774,41 @@ def ridge(spark, d):
 def _cv(name: str):
     from sampleloom.functions.models import REGISTRY
 
+    make = REGISTRY[name][1]
+
     def run(spark, d):
         errors = {"error": er.mean_mismatch, "n": lambda p, t: F.count("*")}
-        return rounded(le.cross_validate(vectors(spark, d), REGISTRY[name][1], "target", "chunk", errors, most=400))
+        return rounded(le.cross_validate(vectors(spark, d), make, "target", "chunk", errors))
 
     run.__name__ = f"{name.replace('(', '_').replace(')', '')}_cv"
-    run.__doc__ = f"Leave-one-chunk-out error of {name}, fitted on a bounded sample of each chunk."
+    how = "sums over all rows" if make().sums else "at most 2,000 rows of each fold, drawn by hash"
+    run.__doc__ = f"Leave-one-chunk-out error of {name}, fitted to {how}."
     return run
 
 
-for _name in ("lda", "qda", "smlr", "svm", "svm(rbf)", "knn"):
+for _name in ("lda", "qda", "smlr", "svm", "svm(rbf)"):
     query()(_cv(_name))
 
 
+@query(KNN + """, v AS (SELECT q, label, count(*) AS c, avg(dist) AS m FROM n WHERE rank <= 5 GROUP BY ALL), b AS (SELECT q, min_by(label, [-c, m, label]) AS p FROM v GROUP BY 1)
+ SELECT chunk AS fold, round(avg(CASE WHEN p <> label THEN 1.0 ELSE 0.0 END), 6) AS error, count(*) AS n FROM b JOIN e ON q = vec_id GROUP BY 1""")
+def knn_cv(spark, d):
+    """Leave-one-chunk-out error of five nearest neighbours among all rows, for the stated query set."""
+    v = vectors(spark, d)
+    asked = v.where("sample_id % 100 = 0")
+    p = le.knn_predict(le.neighbours(v, asked, 5, exclude="chunk")).withColumnRenamed("query_id", "sample_id")
+    return rounded(asked.join(p, "sample_id").groupBy(F.col("chunk").alias("fold")).agg(er.mean_mismatch("prediction", "target").alias("error"), F.count("*").alias("n")))
+
+
 @query()
 def regression_cv(spark, d):
-    """Held-out error of penalised regressions of the label."""
+    """Held-out error of penalised regressions of the label: by sums over all rows; Gaussian process and support vectors on at most 2,000 rows a fold."""
     from sampleloom.functions.models import REGISTRY
 
     v = vectors(spark, d).withColumn("target", F.col("target").cast("double"))
     out = None
     for n in ("ridge", "blr", "enet", "lars", "gpr", "svr"):
-        part = le.cross_validate(v, REGISTRY[n][1], "target", "chunk", {"rmse": er.rms_error, "corr_error": er.corr_error}, most=100).withColumn("model", F.lit(n))
+        part = le.cross_validate(v, REGISTRY[n][1], "target", "chunk", {"rmse": er.rms_error, "corr_error": er.corr_error}).withColumn("model", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return rounded(out, 4)
 
@@ -886,9 +913,11 @@ def threshold_map(spark, d):
     return rounded(inf.threshold_map(cells(spark, d), 0.05))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT feature_id, avg(value) AS v FROM ({LONG}) GROUP BY 1 HAVING avg(value) > 0), g AS ({GRID_SQL}), o AS (SELECT feature_id AS f, v, x, y FROM m JOIN g ON f = feature_id),
+ e AS (SELECT a.f AS a, b.f AS b FROM o a JOIN o b ON abs(a.x - b.x) + abs(a.y - b.y) = 1), c AS (SELECT f AS node, f AS top FROM o UNION SELECT e.b, c.top FROM c JOIN e ON e.a = c.node), k AS (SELECT node, min(top) AS cluster FROM c GROUP BY 1)
+ SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS size, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(min(v), 6) AS min, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std FROM k JOIN o ON f = node GROUP BY 1""")
 def cluster_sizes(spark, d):
-    """Clusters of features above their thresholds in the mean map, on the grid (iterative: no SQL)."""
+    """Clusters of features above their thresholds in the mean map, on the grid."""
     c = cells(spark, d)
     mean = c.groupBy("feature_id").agg(F.avg("value").alias("value"))
     on = mean.where(F.col("value") > 0).join(feature_grid(spark), "feature_id")
@@ -905,7 +934,6 @@ def bootstrap_null(spark, d):
 
 
 # --- neighbourhoods ---------------------------------------------------------------
-GRID_SQL = "SELECT CAST(i AS INT) AS f, i // 8 AS x, i % 8 AS y FROM generate_series(0, 63) t(i)"
 NEAR = f"near AS (SELECT a.f AS center_id, b.f AS feature_id FROM ({GRID_SQL}) a, ({GRID_SQL}) b WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1)"
 
 
@@ -987,33 +1015,36 @@ def hyperalignment(spark, d):
 
 @query()
 def irelief_weights(spark, d):
-    """Feature relevance, fitted on a bounded sample."""
-    return me.irelief_weights(vectors(spark, d), "target", most=200)
+    """Feature relevance: the stated query set against all rows, in rounds."""
+    return rounded(me.irelief_weights(vectors(spark, d), "target", F.col("sample_id") % 100 == 0, rounds=5))
 
 
 @query()
 def som_units(spark, d):
-    """Best units of a map trained on a bounded sample."""
-    import numpy as np
-
+    """Best units of a map trained on all vectors."""
     from sampleloom.operators.mappers import SOM
 
     v = vectors(spark, d)
-    x = np.array(me.bounded_sample(v.select("sample_id", "features"), "sample_id", 200)["features"].tolist())
-    return SOM((4, 4), 5, 0.1).fit(x).forward(v)
+    return SOM((4, 4), 5, 0.1).fit_rows(v).forward(v)
 
 
-@query()
+@query(f"""WITH l AS ({LONG}), d AS (SELECT a.feature_id, a.sample_id AS i, abs(a.value - b.value) AS x, CAST(abs(a.target - b.target) AS DOUBLE) AS y FROM l a JOIN l b USING (feature_id)),
+ m AS (SELECT feature_id, i, sum(x) AS a, sum(y) AS b, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY ALL),
+ s AS (SELECT feature_id, max(n) AS n, sum(a) AS a, sum(b) AS b, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb, sum(xy) AS xy, sum(xx) AS xx, sum(yy) AS yy FROM m GROUP BY 1),
+ c AS (SELECT feature_id, xy / (n * n) + a * b / pow(n, 4) - 2 * ab / pow(n, 3) AS xy, xx / (n * n) + a * a / pow(n, 4) - 2 * aa / pow(n, 3) AS xx, yy / (n * n) + b * b / pow(n, 4) - 2 * bb / pow(n, 3) AS yy FROM s)
+ SELECT feature_id, round(sqrt(greatest(xy, 0) / sqrt(xx * yy)), 6) AS value FROM c""")
 def distance_correlation(spark, d):
-    """Distance correlation of each feature with the label, on a bounded sample."""
-    return rounded(me.featurewise(cells(spark, d), "target", me.distance_correlation, most=300))
+    """Distance correlation of each feature with the label, over all rows."""
+    return rounded(me.label_distance_correlation(cells(spark, d), "target"))
 
 
-@query()
+@query(f"""WITH x AS ({FINE}), e AS (SELECT recording_id, channel_id, min_by(data, i) AS a, max_by(data, i) AS z FROM x GROUP BY ALL),
+ y AS (SELECT recording_id, channel_id, i, data FROM x UNION ALL SELECT recording_id, channel_id, -i, 2 * a - data FROM x JOIN e USING (recording_id, channel_id) WHERE i IN (1, 2) UNION ALL SELECT recording_id, channel_id, 2 * (n - 1) - i, 2 * z - data FROM x JOIN e USING (recording_id, channel_id) WHERE i IN (n - 2, n - 3))
+ SELECT recording_id, channel_id, CAST(x.i AS INT) AS pos, round(sum(y.data * CASE abs(y.i - x.i) WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 1 END) / 16 * sqrt(0.5), 5) + 0 AS scaled FROM x JOIN y USING (recording_id, channel_id) WHERE y.i BETWEEN x.i - 2 AND x.i + 2 GROUP BY ALL""")
 def filtered_series(spark, d):
-    """Zero-phase smoothing of each channel."""
-    x = table(spark, d, "meg_data").where("data is not null and not isnan(data) and abs(data) < 9e7").dropDuplicates(["recording_id", "channel_id", "sample_number"])
-    return rounded(od.per_series(x, ["recording_id", "channel_id"], "sample_number", "data", lambda s: od.filtfilt([0.25, 0.5, 0.25], [1.0], s) if len(s) > 4 else s), 6)
+    """Zero-phase smoothing of each channel; times an irrational number, so that no value lies in the middle of two roundings."""
+    y = od.zero_phase_fir(fine_readings(spark, d), ["recording_id", "channel_id"], "sample_number", "data", [0.25, 0.5, 0.25])
+    return y.select("recording_id", "channel_id", "pos", r(F.col("value") * F.sqrt(F.lit(0.5)), 5).alias("scaled"))
 
 
 @query()
@@ -1124,7 +1155,7 @@ def svm_sensitivities(spark, d):
     from sampleloom.functions.models import SVM
 
     v = vectors(spark, d)
-    return rounded(le.binary_labels(le.sensitivities(le.fit_folds(v, SVM, "target", "chunk", most=200)), ge.uniques(v, "target")), 5)
+    return rounded(le.binary_labels(le.sensitivities(le.fit_folds(v, SVM, "target", "chunk")), ge.uniques(v, "target")), 5)
 
 
 @query("""WITH s AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS pos, count(*) OVER () AS n FROM events) SELECT event_id, pos, CAST(floor(pos * 10 / n) AS BIGINT) AS decile FROM s""")
