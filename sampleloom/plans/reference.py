@@ -527,9 +527,11 @@ def half_partitions(spark, d):
     return ge.partitions(o, "o_orderpriority", ge.halves(ge.uniques(o, "o_orderpriority"))).drop("o_orderpriority")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT o_orderpriority AS v, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority) AS i FROM orders GROUP BY 1), t AS (SELECT sum(n) / 3.0 AS share FROM c),
+ g AS (SELECT i, v, 0 AS s, n AS so_far FROM c WHERE i = 1 UNION ALL SELECT c.i, c.v, CAST(CASE WHEN g.so_far >= (g.s + 1) * share AND g.s < 2 THEN g.s + 1 ELSE g.s END AS INT), g.so_far + c.n FROM g JOIN c ON c.i = g.i + 1, t)
+ SELECT o_orderkey, CAST(k AS INT) AS partitions_set, CAST(CASE WHEN s = k THEN 2 ELSE 1 END AS INT) AS partitions FROM orders JOIN g ON v = o_orderpriority, generate_series(0, 2) AS x(k)""")
 def ngroup_partitions(spark, d):
-    """Greedy groups of about equal size: no SQL."""
+    """Greedy groups of about equal size."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     counts = [(x[0], x[1]) for x in o.groupBy("o_orderpriority").count().collect()]
     return ge.partitions(o, "o_orderpriority", ge.n_groups(counts, 3)).drop("o_orderpriority")
