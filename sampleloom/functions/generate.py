@@ -141,3 +141,37 @@ def linear_noise(spark: SparkSession, n: int = 10, intercept: float = 0.0, slope
     for i, s in enumerate(slopes):
         y = y + s * F.col("features")[i]
     return base.withColumn("targets", y)
+
+
+def local_random_affine(df: DataFrame, near: DataFrame, n: int, scale: float = 1.0, shift: float = 1.0, seed: int = 0) -> DataFrame:
+    """Each neighbourhood's features rotated, scaled and shifted at random and the overlapping results averaged.
+
+    ``near`` (center_id, feature_id) is of the size of the feature axis; the
+    transforms add up to one matrix that all samples go through.
+    """
+    from sampleloom.operators.mappers import project
+
+    rows = near.groupBy("center_id").agg(F.array_sort(F.collect_list("feature_id")).alias("ids")).orderBy("center_id").collect()
+    total, offset, hits = np.zeros((n, n)), np.zeros(n), np.zeros(n)
+    for r in rows:
+        ids, rng = list(r["ids"]), np.random.default_rng([seed, int(r["center_id"])])
+        m = random_rotation(len(ids), int(rng.integers(1 << 31))) * float(rng.uniform(0.5, 1.0) * scale)
+        total[np.ix_(ids, ids)] += m
+        offset[ids] += rng.uniform(-shift, shift, len(ids))
+        hits[ids] += 1
+    hits = np.maximum(hits, 1)
+    moved = project(df, total / hits[None])
+    return moved.withColumn("features", F.zip_with("features", F.array(*(F.lit(float(v)) for v in offset / hits)), lambda x, o: x + o))
+
+
+def response_dataset(spark: SparkSession, events: DataFrame, by: list[str], tr: float = 2.0, length: float = 100.0, base: float = 800.0, signal: float = 1.0, noise: float = 1.0, seed: int = 0) -> DataFrame:
+    """(by, time_coords, value, noise): a series of responses to events (onset, duration, condition) on a baseline, and noise alone beside it."""
+    from sampleloom.operators.ordered import hrf_design
+
+    steps = int(round(length / tr))
+    times = events.select(*by).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("time_coords", F.col("_i") * float(tr))
+    x = hrf_design(times, events, by, "time_coords", "condition").groupBy(*by, "time_coords").agg(F.sum("x").alias("_x"))
+    random = lambda k: (F.pmod(F.xxhash64(*by, "_i", F.lit(seed + k)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    normal = F.sqrt(-2 * F.log(random(0))) * F.cos(2 * float(np.pi) * random(1))
+    j = times.join(x, [*by, "time_coords"], "left").na.fill(0.0, ["_x"])
+    return j.select(*by, "time_coords", (base + signal * F.col("_x") + noise * normal).alias("value"), (base + noise * normal).alias("noise"))

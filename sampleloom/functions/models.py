@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 
 import numpy as np
 
@@ -303,52 +304,79 @@ class LARS(Model):
         return x @ self.weights + self.bias
 
 
+def smo(k: np.ndarray, y: np.ndarray, c: np.ndarray, linear: np.ndarray, tolerance: float = 1e-3, most: int = 200_000, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Multipliers and bias of a support vector dual, always moving the pair that violates its condition most.
+
+    Minimises a' diag(y) K diag(y) a / 2 + linear' a for 0 <= a <= c and a fixed
+    y' a; row i of ``k`` belongs to multiplier i modulo its size. A run that
+    doesn't reach ``tolerance`` within ``most`` steps warns.
+    """
+    n, m = len(y), len(k)
+    at = np.arange(n) % m
+    alpha = np.zeros(n) if start is None else start.astype(float).copy()
+    g = linear.astype(float).copy()
+    if start is not None:
+        g = g + y * (k[np.ix_(at, at)] @ (y * alpha))
+    for _ in range(most):
+        v = -y * g
+        up, low = ((y > 0) & (alpha < c)) | ((y < 0) & (alpha > 0)), ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < c))
+        if not up.any() or not low.any():
+            break
+        i, j = int(np.argmax(np.where(up, v, -np.inf))), int(np.argmin(np.where(low, v, np.inf)))
+        if v[i] - v[j] < tolerance:
+            break
+        p, q = i % m, j % m
+        step = (v[i] - v[j]) / max(k[p, p] + k[q, q] - 2 * k[p, q], 1e-12)
+        step = min(step, c[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c[j] - alpha[j])
+        alpha[i] += y[i] * step
+        alpha[j] -= y[j] * step
+        g += y * (k[at, p] - k[at, q]) * step
+    else:
+        warnings.warn(f"support vector machine not converged in {most} steps", RuntimeWarning, stacklevel=3)
+    v = -y * g
+    free = (alpha > 0) & (alpha < c)
+    return alpha, float(v[free].mean()) if free.any() else float((np.max(v) + np.min(v)) / 2)
+
+
+def bisect_log(f, low: float, high: float, rounds: int = 40) -> float:
+    """Where a falling function of the logarithm of its argument crosses 0."""
+    for _ in range(rounds):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if f(mid) > 0 else (low, mid)
+    return math.sqrt(low * high)
+
+
 class SVM(Model):
     """Support vector machine: C-SVC by sequential minimal optimisation, one against one with votes.
 
     ``c`` below 0 is a multiple of the default, the inverse of the mean squared
-    norm of the samples.
+    norm of the samples. ``weights`` multiplies it for the samples of a class.
+    With ``nu`` instead, it is chosen for each pair such that the multipliers
+    add up to that share of their bound: a nu-machine's solution.
     """
 
-    def __init__(self, c: float = -1.0, kernel_name: str = "linear", tolerance: float = 1e-3, most: int = 20_000, **params):
-        self.c, self.kernel, self.tolerance, self.most = c, (kernel_name, params), tolerance, most
+    def __init__(self, c: float = -1.0, kernel_name: str = "linear", tolerance: float = 1e-3, most: int = 200_000, weights: dict | None = None, nu: float | None = None, **params):
+        self.c, self.kernel, self.tolerance, self.most, self.by_class, self.nu = c, (kernel_name, params), tolerance, most, weights or {}, nu
 
     def fit(self, x, y):
         code = self._labels(y)
         self.x = x
         k = kernel(self.kernel[0], **self.kernel[1])(x, x)
         c = self.c if self.c > 0 else -self.c / max(float(np.mean((x * x).sum(1))), 1e-12)
+        factor = np.array([self.by_class.get(v, 1.0) for v in self.labels.tolist()])
         self.pairs = []
         for a, b in itertools.combinations(range(len(self.labels)), 2):
             at = np.flatnonzero((code == a) | (code == b))
-            s = np.where(code[at] == a, 1.0, -1.0)
-            alpha, bias = self._smo(k[np.ix_(at, at)], s, c)
+            s, kk = np.where(code[at] == a, 1.0, -1.0), k[np.ix_(at, at)]
+            solve = lambda c, s=s, kk=kk, at=at: smo(kk, s, c * factor[code[at]], -np.ones(len(s)), self.tolerance, self.most)
+            if self.nu is not None:
+                c = bisect_log(lambda c, s=s, solve=solve: solve(c)[0].sum() / (c * len(s)) - self.nu, c * 1e-4, c * 1e4, 20)
+            alpha, bias = solve(c)
             self.pairs.append((a, b, at, alpha * s, bias))
         if self.kernel[0] == "linear":
             self.weights = np.array([(v[:, None] * x[at]).sum(0) for _, _, at, v, _ in self.pairs])
         return self
 
-    def _smo(self, k, y, c):
-        n = len(y)
-        alpha, g = np.zeros(n), -np.ones(n)
-        for _ in range(self.most):
-            v = -y * g
-            up, low = ((y > 0) & (alpha < c)) | ((y < 0) & (alpha > 0)), ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < c))
-            if not up.any() or not low.any():
-                break
-            i, j = int(np.argmax(np.where(up, v, -np.inf))), int(np.argmin(np.where(low, v, np.inf)))
-            if v[i] - v[j] < self.tolerance:
-                break
-            eta = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-            step = (v[i] - v[j]) / eta
-            step = min(step, c - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c - alpha[j])
-            alpha[i] += y[i] * step
-            alpha[j] -= y[j] * step
-            g += y * (k[:, i] - k[:, j]) * step
-        v = -y * g
-        free = (alpha > 0) & (alpha < c)
-        return alpha, float(v[free].mean()) if free.any() else float((np.max(v) + np.min(v)) / 2)
-
     def estimates(self, x):
         k = kernel(self.kernel[0], **self.kernel[1])(x, self.x)
         votes = np.zeros((len(x), len(self.labels)))
@@ -360,35 +388,56 @@ class SVM(Model):
 
 
 class SVR(Model):
-    """Kernel regression with an epsilon tube, by projected coordinate steps on the dual."""
+    """Kernel regression with an epsilon tube; with ``nu`` the tube is as wide as leaves that share of multipliers."""
 
     regression = True
 
-    def __init__(self, c: float = 1.0, epsilon: float = 0.1, kernel_name: str = "rbf", rounds: int = 200, **params):
-        self.c, self.epsilon, self.kernel, self.rounds = c, epsilon, (kernel_name, params), rounds
+    def __init__(self, c: float = 1.0, epsilon: float = 0.1, kernel_name: str = "rbf", tolerance: float = 1e-3, most: int = 200_000, nu: float | None = None, **params):
+        self.c, self.epsilon, self.kernel, self.tolerance, self.most, self.nu = c, epsilon, (kernel_name, params), tolerance, most, nu
 
     def fit(self, x, y):
-        y = np.asarray(y, float)
-        self.x, self.bias = x, float(y.mean())
+        y, n = np.asarray(y, float), len(y)
+        self.x = x
         k = kernel(self.kernel[0], **self.kernel[1])(x, x)
-        b, f = np.zeros(len(y)), np.zeros(len(y))
-        for _ in range(self.rounds):
-            moved = 0.0
-            for i in range(len(y)):
-                r = y[i] - self.bias - f[i] + k[i, i] * b[i]
-                new = float(np.clip(np.sign(r) * max(abs(r) - self.epsilon, 0) / max(k[i, i], 1e-12), -self.c, self.c))
-                if new != b[i]:
-                    f += k[:, i] * (new - b[i])
-                    moved, b[i] = max(moved, abs(new - b[i])), new
-            if moved < 1e-5:
-                break
-        self.beta = b
+        sign, c = np.repeat([1.0, -1.0], n), np.full(2 * n, self.c)
+        solve = lambda e: smo(k, sign, c, np.append(e - y, e + y), self.tolerance, self.most)
+        if self.nu is not None:
+            self.epsilon = bisect_log(lambda e: solve(e)[0].sum() / (self.c * n) - self.nu, 1e-6 * max(np.ptp(y), 1e-12), max(np.ptp(y), 1e-12), 20)
+        alpha, self.bias = solve(self.epsilon)
+        self.beta = alpha[:n] - alpha[n:]
+        if self.kernel[0] == "linear":
+            self.weights = x.T @ self.beta
         return self
 
     def predict(self, x):
         return kernel(self.kernel[0], **self.kernel[1])(x, self.x) @ self.beta + self.bias
 
 
+class OneClass(Model):
+    """The region that holds most samples: +1 inside, -1 outside; about ``nu`` of the training samples lie outside."""
+
+    def __init__(self, nu: float = 0.1, kernel_name: str = "rbf", tolerance: float = 1e-6, most: int = 200_000, **params):
+        self.nu, self.kernel, self.tolerance, self.most = nu, (kernel_name, params), tolerance, most
+
+    def fit(self, x, y=None):
+        n = len(x)
+        self.x, c = x, 1 / (self.nu * n)
+        k = kernel(self.kernel[0], **self.kernel[1])(x, x)
+        full = int(self.nu * n)
+        start = np.zeros(n)
+        start[:full] = c
+        if full < n:
+            start[full] = 1 - full * c
+        self.alpha, self.bias = smo(k, np.ones(n), np.full(n, c), np.zeros(n), self.tolerance, self.most, start)
+        return self
+
+    def decision(self, x):
+        return kernel(self.kernel[0], **self.kernel[1])(x, self.x) @ self.alpha + self.bias
+
+    def predict(self, x):
+        return np.where(self.decision(x) >= 0, 1, -1)
+
+
 class GNB(Model):
     """Gaussian naive Bayes with laplacian, uniform or ratio priors, own or common variance."""
 
@@ -544,6 +593,7 @@ class Mapped(Model):
         self.model, self.fit_map, self.regression = model, fit_map, model.regression
 
     def fit(self, x, y):
+        self.inputs = x.shape[1]
         self.map = self.fit_map(x, np.asarray(y))
         self.model.fit(self.map(x), y)
         return self
@@ -552,6 +602,91 @@ class Mapped(Model):
         return self.model.predict(self.map(x))
 
 
+class Proxy(Model):
+    """A model that stands for another: the same training and predictions, to be built upon."""
+
+    def __init__(self, model: Model):
+        self.model, self.regression = model, model.regression
+
+    def fit(self, x, y):
+        self.model.fit(x, y)
+        return self
+
+    def predict(self, x):
+        return self.model.predict(x)
+
+
+class Chain(Model):
+    """Maps fitted one after the other, each on what the one before gives, and a model at the end."""
+
+    def __init__(self, *steps):
+        *self.fits, self.model = steps
+        self.regression = self.model.regression
+
+    def fit(self, x, y):
+        self.maps, self.inputs = [], x.shape[1]
+        for fit_map in self.fits:
+            self.maps.append(fit_map(x, np.asarray(y)))
+            x = self.maps[-1](x)
+        self.model.fit(x, y)
+        return self
+
+    def predict(self, x):
+        for m in self.maps:
+            x = m(x)
+        return self.model.predict(x)
+
+
+class Selected(Model):
+    """A model on the features that score highest in the training data: ``score(x, y)`` gives a number for each."""
+
+    def __init__(self, model: Model, score, count: int):
+        self.model, self.score, self.count, self.regression = model, score, count, model.regression
+
+    def fit(self, x, y):
+        self.features = np.sort(np.argsort(-self.score(x, np.asarray(y)), kind="stable")[: self.count])
+        self.total = x.shape[1]
+        self.model.fit(x[:, self.features], y)
+        return self
+
+    def predict(self, x):
+        return self.model.predict(x[:, self.features])
+
+
+def sensitivity_of(model: Model, combine=lambda parts: np.mean(parts, axis=0)) -> np.ndarray:
+    """Weights (components x features) of any model that has them or is made of models that do.
+
+    Ensembles combine their members' (the mean by default), proxies and
+    regressions in place of classifiers give those of the model inside, selected
+    features are put back among all (0 elsewhere), and weights behind linear
+    maps are taken back through these by finite differences.
+    """
+    if hasattr(model, "weights") and model.weights is not None:
+        w = np.asarray(model.weights, float)
+        return w[None] if w.ndim == 1 else w.T if isinstance(model, SMLR) else w
+    if hasattr(model, "members"):
+        return np.asarray(combine(np.array([sensitivity_of(m, combine) for m in model.members])))
+    if isinstance(model, Selected):
+        inner = sensitivity_of(model.model, combine)
+        out = np.zeros((len(inner), model.total))
+        out[:, model.features] = inner
+        return out
+    if isinstance(model, Mapped | Chain):
+        maps = [model.map] if isinstance(model, Mapped) else model.maps
+        inner = sensitivity_of(model.model, combine)
+        size = getattr(model, "inputs", None)
+        if size is None:
+            raise ValueError("set model.inputs, the number of features before the maps")
+        whole = np.vstack([np.zeros(size), np.eye(size)])
+        for m in maps:
+            whole = m(whole)
+        return inner @ (whole[1:] - whole[0]).T
+    for name in ("model", "root"):
+        if hasattr(model, name):
+            return sensitivity_of(getattr(model, name), combine)
+    raise ValueError(f"{type(model).__name__} has no weights")
+
+
 class SplitModel(Model):
     """A clone per part of the training data (given by ``parts(n)`` as index arrays left out), voted on."""
 
@@ -604,7 +739,6 @@ class RandomModel(Model):
         return self.labels[np.random.default_rng(self.seed).integers(len(self.labels), size=len(x))]
 
 
-#: Configured models by name, with tags.
 def fit_sums(model: Model, n: float, mean: np.ndarray, scatter: np.ndarray) -> Model:
     """A regression fitted to the number, mean and scatter matrix of [x y] of any number of rows.
 
@@ -622,6 +756,7 @@ def fit_sums(model: Model, n: float, mean: np.ndarray, scatter: np.ndarray) -> M
     return model.fit(rows[:, :-1], rows[:, -1])
 
 
+#: Configured models by name, with tags.
 REGISTRY = {
     "gnb": ({"gnb", "multiclass", "linear"}, GNB),
     "gnb(common)": ({"gnb", "multiclass"}, lambda: GNB(common_variance=True)),
@@ -635,6 +770,9 @@ REGISTRY = {
     "ridge": ({"ridge", "regression", "linear", "has_sensitivity"}, Ridge),
     "blr": ({"blr", "regression", "linear", "has_sensitivity"}, BLR),
     "gpr": ({"gpr", "regression", "non-linear"}, GPR),
+    "nu-svm": ({"svm", "multiclass", "linear", "has_sensitivity"}, lambda: SVM(nu=0.5)),
+    "nu-svr": ({"svm", "regression", "non-linear"}, lambda: SVR(nu=0.5)),
+    "one-class": ({"svm", "oneclass", "non-linear"}, OneClass),
     "svr": ({"svm", "regression", "non-linear"}, SVR),
     "enet": ({"enet", "regression", "linear", "has_sensitivity"}, ElasticNet),
     "lars": ({"lars", "regression", "linear", "has_sensitivity"}, LARS),

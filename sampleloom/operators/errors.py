@@ -6,10 +6,12 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sampleloom.functions.distributions import t_sf
 from sampleloom.operators.aggregate import correlation
 from sampleloom.session import checkpointed, partitions_for
 
@@ -62,6 +64,28 @@ def variance_1sv(p, t) -> Column:
     return F.try_divide((a + b) / 2 + F.sqrt(F.pow((a - b) / 2, 2) + c * c), a + b)
 
 
+def corr_error_probability(df: DataFrame, p: str, t: str, by: list[str] | None = None) -> DataFrame:
+    """(by, r, p): correlation of predictions and targets and the two-sided probability of none."""
+    base = df.groupBy(*(by or [])).agg(F.coalesce(correlation(p, t), F.lit(0.0)).alias("r"), F.count(F.when(F.col(p).isNotNull() & F.col(t).isNotNull(), 1)).alias("_n"))
+
+    def prob(r: pd.Series, n: pd.Series) -> pd.Series:
+        d, x = np.maximum(n.to_numpy(float) - 2, 1), np.clip(r.to_numpy(float), -1 + 1e-15, 1 - 1e-15)
+        return pd.Series(np.where(n.to_numpy() > 2, np.minimum(1.0, 2 * t_sf(np.abs(x) * np.sqrt(d / (1 - x * x)), d)), 1.0))
+
+    return base.withColumn("p", F.pandas_udf(prob, "double")("r", "_n")).drop("_n")
+
+
+def classifier_error(train: DataFrame, test: DataFrame, fit, predict, target: str, error=None) -> DataFrame:
+    """(error) of a model trained on one table and tried on another: ``fit(train)``, ``predict(model, test)`` with a prediction column."""
+    return predict(fit(train), test).agg((error or mean_mismatch)("prediction", target).alias("error"))
+
+
+def confusion_error(counts: DataFrame) -> DataFrame:
+    """(error) of counts by prediction and target."""
+    wrong = F.sum(F.when(F.col("prediction") != F.col("target"), F.col("n")).otherwise(0))
+    return counts.agg(F.try_divide(wrong, F.sum("n")).alias("error"))
+
+
 ERRORS = {"mean_mismatch_error": mean_mismatch, "mismatch_error": mismatch, "match_accuracy": match_accuracy, "mean_match_accuracy": mean_match, "rms_error": rms_error, "corr_error": corr_error, "relative_rms_error": relative_rms_error, "variance_1sv": variance_1sv}
 
 

@@ -283,3 +283,49 @@ def dist_pvalues(x: np.ndarray, n: int, fpp: float | None = None, rounds: int =
             break
         null = new
     return p
+
+
+def repeat_cluster_values(sizes: DataFrame, clusters: DataFrame, value: str, cluster: str = "cluster") -> DataFrame:
+    """A cluster's value for every one of its nodes."""
+    return clusters.join(sizes.select(cluster, value), cluster)
+
+
+def auto_null(kind: str | None = "empirical", **fixed):
+    """How to get probabilities of observed values from draws: a function (observed, null, by) -> DataFrame.
+
+    ``empirical`` counts draws, ``normal`` and ``rdist`` take a distribution with
+    the draws' deviation and the given ``fixed`` parameters; None gives None.
+    """
+    if kind is None:
+        return None
+    if kind == "empirical":
+        return lambda observed, null, by, tail="both": null_probability(observed, null, by, tail=tail)
+    if kind not in ("normal", "rdist"):
+        raise ValueError(kind)
+
+    def fitted(observed: DataFrame, null: DataFrame, by: list[str], tail: str = "both") -> DataFrame:
+        sd = null.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+        z = (F.col("value") - F.lit(fixed["loc"]) if "loc" in fixed else F.col("value") - F.col("_m"))
+        j = observed.join(sd, by).withColumn("_z", F.coalesce(F.try_divide(z, F.lit(fixed["scale"]) if "scale" in fixed else F.col("_s")), F.lit(0.0)))
+        p = normal_probability(F.col("_z"), tail=tail) if kind == "normal" else rdist_probability(F.tanh("_z"), fixed.get("n", 10), tail)
+        return j.select(*by, "value", p.alias("p"))
+
+    return fitted
+
+
+def semifrozen(name: str, x: np.ndarray, loc: float | None = None, scale: float | None = None):
+    """Cumulative distribution fitted to ``x`` with the parameters that are given held: normal, uniform or exponential."""
+    x = np.asarray(x, float)
+    if name == "norm":
+        m = x.mean() if loc is None else loc
+        s = np.sqrt(np.mean((x - m) ** 2)) if scale is None else scale
+        return lambda v: norm_cdf((np.asarray(v, float) - m) / (s or 1.0))
+    if name == "uniform":
+        m = x.min() if loc is None else loc
+        s = np.max(x) - m if scale is None else scale
+        return lambda v: np.clip((np.asarray(v, float) - m) / (s or 1.0), 0, 1)
+    if name == "expon":
+        m = x.min() if loc is None else loc
+        s = x.mean() - m if scale is None else scale
+        return lambda v: 1 - np.exp(-np.maximum(np.asarray(v, float) - m, 0) / (s or 1.0))
+    raise ValueError(name)

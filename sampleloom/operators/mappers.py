@@ -19,6 +19,14 @@ def flatten(values: str, depth: int = 2) -> Column:
     return out
 
 
+def add_axis(values: str, place: int = 0, depth: int = 1) -> Column:
+    """A further axis of length one at ``place`` of an array nested ``depth`` deep."""
+    if place == 0:
+        return F.array(F.col(values))
+    wrap = lambda c, p: F.transform(c, (lambda x: F.array(x)) if p == 1 else (lambda x: wrap(x, p - 1)))
+    return wrap(F.col(values), min(place, depth))
+
+
 def flat_coordinates(spark, shape: tuple[int, ...], names: list[str] | None = None, factors: dict[str, list] | None = None) -> DataFrame:
     """feature_id, its coordinates, and the factor values these stand for."""
     names = names or [f"dim{i}" for i in range(len(shape))]

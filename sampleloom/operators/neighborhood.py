@@ -87,6 +87,17 @@ def searchlight(long: DataFrame, near: DataFrame, measure: Callable[[np.ndarray,
     return long.join(near, "feature_id").groupBy("center_id").applyInPandas(run, "center_id int, value double, roi_size int")
 
 
+def stored_neighbours(spark, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Neighbourhoods read from ``path``; made and written there the first time."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def mean_searchlight(long: DataFrame, near: DataFrame) -> DataFrame:
     """Mean over all samples and neighbours around each centre: feature means first, then joined."""
     means = long.groupBy("feature_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"))

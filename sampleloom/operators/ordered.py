@@ -182,6 +182,58 @@ def zero_phase_fir(df: DataFrame, by: list[str], order_by: str, value: str, taps
     return out.where((F.col("pos") >= 0) & (F.col("pos") <= last) & (cell(F.col("pos")) == F.col("_b"))).select(*by, F.col("pos").cast("int").alias("pos"), F.col("_y").alias("value"))
 
 
+#: Scaling filters of the wavelets of Haar and Daubechies with two and three vanishing moments.
+SCALING = {
+    "haar": [0.7071067811865476, 0.7071067811865476],
+    "db2": [0.48296291314469025, 0.836516303737469, 0.22414386804185735, -0.12940952255092145],
+    "db3": [0.332670552950082616, 0.806891509311092576, 0.45987750211849157, -0.135011020010254589, -0.0854412738820266617, 0.0352262918857095366],
+}
+
+
+def dwt_step(x: np.ndarray, wavelet: str) -> tuple[np.ndarray, np.ndarray]:
+    """Approximation and detail of one level, the series continued periodically (an odd one by its last value)."""
+    low = np.array(SCALING[wavelet])
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    x = np.append(x, x[-1]) if len(x) % 2 else np.asarray(x, float)
+    at = (2 * np.arange(len(x) // 2)[:, None] + np.arange(len(low))[None]) % len(x)
+    return x[at] @ low, x[at] @ high
+
+
+def idwt_step(approx: np.ndarray, detail: np.ndarray, wavelet: str) -> np.ndarray:
+    """The series that one level was made from."""
+    low = np.array(SCALING[wavelet])
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    n = 2 * len(approx)
+    at = (2 * np.arange(len(approx))[:, None] + np.arange(len(low))[None]) % n
+    out = np.zeros(n)
+    np.add.at(out, at, approx[:, None] * low[None] + detail[:, None] * high[None])
+    return out
+
+
+def wavelet_transform(x: np.ndarray, wavelet: str = "db2", levels: int = 1) -> list[np.ndarray]:
+    """The coarsest approximation, then details from coarse to fine."""
+    out: list[np.ndarray] = []
+    for _ in range(levels):
+        x, d = dwt_step(x, wavelet)
+        out.insert(0, d)
+    return [x, *out]
+
+
+def wavelet_inverse(parts: list[np.ndarray], wavelet: str = "db2") -> np.ndarray:
+    x = parts[0]
+    for d in parts[1:]:
+        x = idwt_step(x, d, wavelet)
+    return x
+
+
+def wavelet_packet(x: np.ndarray, wavelet: str = "db2", level: int = 1) -> np.ndarray:
+    """Coefficients of all nodes of one level of the full tree, in order."""
+    nodes = [np.asarray(x, float)]
+    for _ in range(level):
+        nodes = [part for n in nodes for part in dwt_step(n, wavelet)]
+    return np.concatenate(nodes)
+
+
 def haar_dwt(x: np.ndarray, levels: int | None = None) -> list[np.ndarray]:
     """Multi-level Haar transform: the coarsest approximation, then details from coarse to fine."""
     out, top = [], int(np.log2(len(x))) if len(x) > 1 else 0
