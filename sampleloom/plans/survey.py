@@ -547,3 +547,234 @@ def combined_nodes(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     node = ge.combined(lambda x: x.select("event_type", F.col("value").alias("v")), lambda x: x.select("event_type", (-F.col("value")).alias("v")))
     return rounded(node(e).groupBy("event_type", "node").agg(F.avg("v").alias("v")))
+
+
+# --- more selections and measures ----------------------------------------------------------
+@query(f"SELECT sample_id, CAST(feature_id - 24 AS INT) AS feature_id, value FROM ({LONG}) WHERE feature_id // 8 = 3")
+def feature_part(spark, d):
+    """The features of one value of their attribute."""
+    return Dataset(vectors(spark, d).select("sample_id", "features"), feature_grid(spark)).select(None, {"x": [3]}).long()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_totalprice > 100000) WHERE i BETWEEN 20 AND 199 AND i % 4 = 0")
+def selected_rows(spark, d):
+    """Rows by expression and slice, attributes dropped."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), "o_totalprice", "o_orderstatus")
+    return pl.select_rows(o, "o_totalprice gt 100000", 20, 200, 4, ["o_orderstatus"]).select(F.col("sample_id").alias("o_orderkey"), "o_totalprice")
+
+
+@query("SELECT event_id, round(rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2.0, 6) AS rank FROM events")
+def average_ranks(spark, d):
+    """Ranks from 1, ties averaged."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.round("value").alias("value"))
+    return ch.ranks(e, ["event_type"], "value").select("event_id", r("rank").alias("rank"))
+
+
+@query(f"SELECT feature_id, round(corr(value, target), 6) AS value FROM ({LONG}) GROUP BY 1")
+def featurewise_function(spark, d):
+    """Any function of a feature's values and the targets."""
+    return rounded(me.featurewise(cells(spark, d), "target", lambda x, y: float(np.corrcoef(x, y)[0, 1])))
+
+
+@query(f"SELECT f AS center_id, f AS feature_id FROM ({GRID_SQL})")
+def identity_neighbours(spark, d):
+    """Every feature alone."""
+    return ne.neighbours(feature_grid(spark), ["x", "y"], 0.0)
+
+
+@query(f"SELECT a.f AS center_id, b.f AS feature_id FROM ({GRID_SQL}) a, ({GRID_SQL}) b WHERE pow(2 * (a.x - b.x), 2) + pow(a.y - b.y, 2) <= 4")
+def sized_neighbours(spark, d):
+    """Spheres in units of the elements' sizes."""
+    return ne.neighbours(feature_grid(spark), ["x", "y"], 2.0, sizes=[2.0, 1.0])
+
+
+MESH = """g AS (SELECT CAST(i AS INT) AS i, i // 6 AS x, i % 6 AS y FROM generate_series(0, 35) t(i)), e AS (SELECT a.i AS a, b.i AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS w FROM g a, g b WHERE (abs(a.x - b.x) + abs(a.y - b.y) = 1) OR (a.x - b.x = 1 AND a.y - b.y = 1) OR (a.x - b.x = -1 AND a.y - b.y = -1)) """
+
+
+def _mesh() -> ne.Surface:
+    v = [(float(i // 6), float(i % 6), 0.0) for i in range(36)]
+    f = [t for x in range(5) for y in range(5) for i in [x * 6 + y] for t in ((i, i + 1, i + 7), (i, i + 6, i + 7))]
+    return ne.Surface(np.array(v), np.array(f))
+
+
+@query(f"WITH RECURSIVE {MESH}, p AS (SELECT i AS s, i AS n, CAST(0 AS DOUBLE) AS d FROM g UNION SELECT s, b, d + w FROM p JOIN e ON a = n WHERE d + w <= 2.5) SELECT s AS center_id, n AS feature_id, round(min(d), 6) AS distance FROM p GROUP BY ALL")
+def surface_discs(spark, d):
+    """Nodes of a mesh within a distance along its edges."""
+    return rounded(ne.surface_neighbours(spark, _mesh(), 2.5))
+
+
+@query(f"WITH RECURSIVE {MESH}, p AS (SELECT i AS s, i AS n, CAST(0 AS DOUBLE) AS d FROM g UNION SELECT s, b, d + w FROM p JOIN e ON a = n WHERE d + w <= 2.0), m AS (SELECT s AS center_id, n AS feature_id, min(d) AS d FROM p GROUP BY ALL) SELECT center_id, feature_id, round(d, 6) AS distance FROM m WHERE d > 1 OR center_id = feature_id")
+def surface_rings(spark, d):
+    """Rings on a mesh, the centre kept."""
+    return rounded(ne.surface_neighbours(spark, _mesh(), 2.0, inner=1.0))
+
+
+@query(f"WITH {MESH} SELECT a.i AS center_id, b.i AS feature_id, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM g a, g b WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 4")
+def surface_spheres(spark, d):
+    """Nodes within a straight distance."""
+    return rounded(ne.surface_neighbours(spark, _mesh(), 2.0, metric="euclidean"))
+
+
+VOXELS = "pairs AS (SELECT c_custkey % 36 AS node, c_custkey * 11 % 50 AS voxel, (c_custkey * 7 % 16) / 16.0 AS share FROM customer)"
+
+
+def _voxels(spark, d):
+    c = F.col("c_custkey")
+    return table(spark, d, "customer").select((c % 36).cast("int").alias("node"), (c * 11 % 50).cast("int").alias("voxel"), ((c * 7 % 16) / 16.0).alias("share"))
+
+
+@query(f"WITH {VOXELS} SELECT CAST(voxel AS INT) AS voxel, CAST(min_by(node, [abs(share - 0.5), node]) AS INT) AS node FROM pairs GROUP BY 1")
+def minimal_mapping(spark, d):
+    """The node nearest the middle of each voxel."""
+    return ne.minimal_mapping(_voxels(spark, d))
+
+
+@query(f"WITH RECURSIVE {MESH}, {VOXELS}, p AS (SELECT i AS s, i AS n, CAST(0 AS DOUBLE) AS d FROM g UNION SELECT s, b, d + w FROM p JOIN e ON a = n WHERE d + w <= 2.0), m AS (SELECT s, n, min(d) AS d FROM p GROUP BY ALL) SELECT s AS center_id, CAST(voxel AS INT) AS voxel, round(min(d), 6) AS distance FROM m JOIN pairs ON n = node GROUP BY s, voxel HAVING min(d) <= 1.5")
+def selected_voxels(spark, d):
+    """Voxels of the nodes around each centre within a radius."""
+    return rounded(ne.select_voxels(ne.surface_neighbours(spark, _mesh(), 2.0), _voxels(spark, d), radius=1.5))
+
+
+@query(f"""WITH RECURSIVE {MESH}, {VOXELS}, p AS (SELECT i AS s, i AS n, CAST(0 AS DOUBLE) AS d FROM g UNION SELECT s, b, d + w FROM p JOIN e ON a = n WHERE d + w <= 2.0), m AS (SELECT s, n, min(d) AS d FROM p GROUP BY ALL), v AS (SELECT s, voxel, min(d) AS d FROM m JOIN pairs ON n = node GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, voxel) AS r FROM v) SELECT s AS center_id, CAST(voxel AS INT) AS voxel, round(d, 6) AS distance FROM o WHERE r <= 10""")
+def nearest_voxels(spark, d):
+    """The ten nearest voxels of each centre."""
+    return rounded(ne.select_voxels(ne.surface_neighbours(spark, _mesh(), 2.0), _voxels(spark, d), count=10))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS v, CAST(c_custkey // 200 AS INT) AS i, CAST(c_custkey // 10 % 20 AS INT) AS j, CAST(c_custkey % 10 AS INT) AS k FROM customer")
+def voxel_columns(spark, d):
+    """Linear indices to coordinates."""
+    return ne.voxel_columns(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("v")), "v", (1000, 20, 10))
+
+
+@query(PRED + """, k AS (SELECT DISTINCT t FROM x), c AS (SELECT p.t AS p, q.t AS t, count(x.p) AS n FROM k p CROSS JOIN k q LEFT JOIN x ON x.p = p.t AND x.t = q.t GROUP BY ALL), l AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM k),
+ r AS (SELECT p, sum(n) AS n, sum(lgamma(n + 1)) AS cells FROM c GROUP BY 1), q AS (SELECT t, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY 1), w AS (SELECT sum(lgamma(n + 1)) - sum(cells) AS ways FROM r)
+ SELECT 'apart' AS groups, round(ways + (SELECT sum(cells - lgamma(n + m) + lgamma(m)) FROM r, l), 4) AS logp FROM w
+ UNION ALL SELECT 'together', round(ways + (SELECT sum(lgamma(m + n) - lgamma(m)) - max(lgamma(m * m + (SELECT sum(n) FROM q)) - lgamma(m * m)) FROM q, l), 4) FROM w""")
+def confusion_hypotheses(spark, d):
+    """How likely a confusion table is if all its classes can be told apart, or none."""
+    x = predictions(spark, d)
+    kinds = ge.uniques(x, "t")
+    # classes squared numbers
+    counts = {(a, b): n for a, b, n in er.confusion(x, "p", "t").collect()}
+    m = np.array([[counts.get((a, b), 0) for b in kinds] for a in kinds], float)
+    found = er.bayes_confusion(m, hypotheses=[[(i,) for i in range(len(kinds))], [tuple(range(len(kinds)))]])
+    return spark.createDataFrame([("together" if len(g) == 1 else "apart", round(logp, 4)) for g, logp, _ in found], "groups string, logp double")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS i, round(1 - 0.5 * (-2 + 5 * i / 99.0), 6) + 0 AS line, round(sin(10 * pi() * (i / 99.0) * (i / 99.0)), 6) + 0 AS wave, round(2 + 0.4 * i / 99.0, 6) AS slope,
+ round(sin(pow((CASE WHEN i < 50 THEN 2 * i / 100.0 ELSE 0 END) * pi(), 2) + pow((CASE WHEN 2 * i + 1 < 100 THEN (2 * i + 1) / 100.0 ELSE 0 END) * pi(), 2))) + 0 AS sine FROM generate_series(0, 99) g(i)""")
+def made_series(spark, d):
+    """Generators of series without noise."""
+    from sampleloom.functions import generate as gen
+
+    a = gen.linear(spark, 100, 1.0, -0.5, -2.0, 3.0, 0.0).select(F.col("sample_id").alias("i"), r("targets").alias("line"))
+    b = gen.chirp(spark, 100, 4, 2, 0.0, 0.0).select(F.col("sample_id").alias("i"), r("targets").alias("wave"))
+    c = gen.linear_noise(spark, 100, 2.0, 0.4, 0.0, True).select(F.col("sample_id").alias("i"), r("targets").alias("slope"))
+    e = gen.sine(spark, 100, 2, True, 0.0).select(F.col("sample_id").alias("i"), (F.col("targets") + 0.0).alias("sine"))
+    return a.join(b, "i").join(c, "i").join(e, "i")
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE NOT o_totalprice > 50000")
+def excluded_rows(spark, d):
+    """Rows left out, as the log of exclusions has them."""
+    from sampleloom.sources import sinks
+
+    path = _folder(spark)
+    sinks.log_exclusions(table(spark, d, "orders").select("o_totalprice", (F.col("o_totalprice") > 50000).alias("balanced_set")), path)
+    return spark.read.json(path).agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT event_type AS prediction, CASE WHEN value > 50 THEN 'click' ELSE 'view' END AS target, count(*) AS n FROM events GROUP BY ALL")
+def confusion_merged(spark, d):
+    """Counts by prediction and target as the streaming plan merges them."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("p"), F.when(F.col("value") > 50, "click").otherwise("view").alias("t"))
+    return live.confusion_stream(e, "p", "t")
+
+
+@query("SELECT run_id, round(sum(onset), 2) AS onsets, count(*) AS n, count(DISTINCT trial_type) AS kinds FROM bold_events WHERE isfinite(onset) AND isfinite(duration) AND trial_type IS NOT NULL AND trial_type <> '' GROUP BY 1")
+def event_tables(spark, d):
+    """Events as tables with header, tab separated."""
+    from sampleloom.sources import text
+
+    path = _folder(spark)
+    b = table(spark, d, "bold_events").where("not isnan(onset) and not isnan(duration) and onset is not null and duration is not null and trial_type is not null and trial_type <> ''")
+    b.select("run_id", "onset", "duration", "trial_type").write.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = text.tsv_events(spark, path)
+    return back.groupBy("run_id").agg(r(F.sum("onset"), 2).alias("onsets"), F.count("*").alias("n"), F.countDistinct("trial_type").alias("kinds"))
+
+
+def _lines(spark, lines: DataFrame, order: str) -> str:
+    """One text file of a table's lines in order (a fixture of bounded size)."""
+    path = _folder(spark)
+    lines.coalesce(1).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(n_nationkey AS DOUBLE) AS a, CAST(n_regionkey AS DOUBLE) * 0.5 AS b FROM nation")
+def design_files(spark, d):
+    """Design matrices below their header lines."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation")
+    body = n.select(F.col("n_nationkey").cast("int").alias("o"), F.concat_ws("\t", F.col("n_nationkey").cast("string"), (F.col("n_regionkey") * 0.5).cast("string")).alias("value"))
+    head = spark.createDataFrame([(-3, "/NumWaves 2"), (-2, "/NumPoints 25"), (-1, "/Matrix")], "o int, value string")
+    at = text.glm_design(spark, _lines(spark, head.unionByName(body), "o"))
+    return at.select(F.col("row").cast("long").alias("row"), F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
+
+
+@query("SELECT 'wave' || n_nationkey AS name, n_name AS value FROM nation")
+def setting_files(spark, d):
+    """Settings of designs."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("o"), F.concat(F.lit("set wave"), F.col("n_nationkey").cast("string"), F.lit(' "'), F.col("n_name"), F.lit('"')).alias("value"))
+    return text.design_settings(spark, _lines(spark, n, "o")).select(F.explode("settings").alias("name", "value"))
+
+
+@query("SELECT CAST(n_nationkey // 5 AS BIGINT) AS sample, CAST(n_nationkey % 5 AS DOUBLE) AS timepoint, c AS channel, CASE c WHEN 'Cz' THEN n_nationkey * 1.5 ELSE n_regionkey + 0.25 END AS value FROM nation, (SELECT unnest(['Cz', 'Pz']) AS c)")
+def channel_exports(spark, d):
+    """Epoched exports: names, then time and values; time running back begins a sample."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation")
+    line = F.concat_ws("\t", (F.col("n_nationkey") % 5).cast("string"), (F.col("n_nationkey") * 1.5).cast("string"), (F.col("n_regionkey") + 0.25).cast("string"))
+    body = n.select(F.col("n_nationkey").cast("int").alias("o"), line.alias("value"))
+    head = spark.createDataFrame([(-1, "Cz\tPz")], "o int, value string")
+    return text.eeg_export(spark, _lines(spark, head.unionByName(body), "o")).select(F.col("sample").cast("long").alias("sample"), "timepoint", "channel", "value")
+
+
+@query("SELECT 'M' || n_regionkey AS channel, CAST(n_nationkey // 5 // 2 AS INT) AS trial, CAST(n_nationkey // 5 % 2 AS INT) AS timepoint, CAST(n_nationkey // 5 % 2 AS DOUBLE) * 0.5 AS time, CAST(n_nationkey AS DOUBLE) AS value FROM nation WHERE n_nationkey < 20")
+def channel_recordings(spark, d):
+    """Recordings with one line a channel."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation").where("n_nationkey < 20")
+    series = n.groupBy((F.col("n_regionkey") + 10).cast("int").alias("o")).agg(F.concat(F.lit("M"), F.first("n_regionkey").cast("string"), F.lit(": "), F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda x: x.cast("string")), " ")).alias("value"))
+    head = spark.createDataFrame([(1, "Sample Number: 0 1 0 1"), (2, "Time: 0 0.5 0 0.5")], "o int, value string")
+    return text.meg_recording(spark, _lines(spark, head.unionByName(series), "o")).drop("path")
+
+
+@query("SELECT 'MNI' AS k, CAST(n_regionkey AS BIGINT) AS surface, 'side' || n_regionkey AS side, count(*) AS n FROM nation GROUP BY n_regionkey")
+def surface_specifications(spark, d):
+    """Surface specification files."""
+    from sampleloom.sources import text
+
+    by = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("int").alias("o")).agg(F.count("*").cast("string").alias("n"))
+    lines = by.select("o", F.concat(F.lit("NewSurface\n\tSurfaceName = s.side"), F.col("o").cast("string"), F.lit("\n\tAnatomical = "), F.col("n"), F.lit("\n\tKind = MNI\n")).alias("value"))
+    at = text.surface_spec(spark, _lines(spark, lines, "o"))
+    p = F.col("properties")
+    return at.select(p["Kind"].alias("k"), F.col("surface").cast("long").alias("surface"), F.regexp_replace(p["SurfaceName"], r"^s\.", "").alias("side"), p["Anatomical"].cast("long").alias("n"))
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS roi, CASE WHEN n_regionkey % 2 = 0 THEN 'edges' ELSE 'areas' END AS kind, count(*) AS nodes, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY n_regionkey")
+def region_files(spark, d):
+    """Regions of surfaces."""
+    from sampleloom.sources import text
+
+    by = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("int").alias("o")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("ids"))
+    kind = F.when(F.col("o") % 2 == 0, "4").otherwise("1")
+    lines = by.select("o", F.concat(F.lit("# <Node_ROI\n#  ni_type = \"x\" >\n"), F.concat_ws(" ", F.lit("1"), kind, F.size("ids").cast("string"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")), F.lit("\n# </Node_ROI>")).alias("value"))
+    at = text.roi_file(spark, _lines(spark, lines, "o"))
+    return at.select(F.col("roi").cast("long").alias("roi"), "kind", F.size("nodes").cast("long").alias("nodes"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
