@@ -14,6 +14,7 @@ put together from summaries of all its blocks before any block is judged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -58,11 +59,22 @@ def running_median(x: np.ndarray, width: int) -> np.ndarray:
         return pd.Series(x).rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
     out = np.empty(n)
     out[half : n - half] = np.partition(sliding_window_view(x, 2 * half + 1), half, axis=1)[:, half]
-    for i in range(half):
-        out[i], out[n - 1 - i] = np.median(x[: i + half + 1]), np.median(x[n - 1 - i - half :])
+    if half:
+        # windows that reach beyond an end: what is missing sorts last
+        beyond = np.full(half, np.inf)
+        ends = np.vstack([sliding_window_view(np.append(beyond, x[: 2 * half]), 2 * half + 1), sliding_window_view(np.append(x[n - 2 * half :], beyond), 2 * half + 1)])
+        there = np.append(np.arange(half + 1, 2 * half + 1), np.arange(2 * half, half, -1))
+        medians = middle(ends, there)
+        out[:half], out[n - half :] = medians[:half], medians[half:]
     return out
 
 
+def middle(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median of the ``n`` smallest values of each row."""
+    rows, at = np.sort(rows, axis=1), np.arange(len(rows))
+    return (rows[at, (n - 1) // 2] + rows[at, n // 2]) / 2
+
+
 def scatter(res: np.ndarray) -> float:
     """Robust standard deviation of residuals; 0 if most of them are 0."""
     return MAD * float(np.median(np.abs(res - np.median(res)))) if len(res) else 0.0
@@ -94,12 +106,11 @@ def recurring(x: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
     """The shape that recurs every ``p`` readings: the median of each phase."""
     phase = at % p
     order = np.argsort(phase, kind="stable")
-    bounds = np.searchsorted(phase[order], np.arange(p + 1))
-    shape = np.zeros(p)
-    for k in range(p):
-        part = x[order[bounds[k] : bounds[k + 1]]]
-        if len(part) >= 3:
-            shape[k] = np.median(part)
+    n = np.bincount(phase, minlength=p)
+    rows = np.full((p, int(n.max())), np.inf)
+    rows[phase[order], np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)] = x[order]
+    shape, enough = np.zeros(p), n >= 3
+    shape[enough] = middle(rows[enough], n[enough])
     return shape - np.median(shape)
 
 
@@ -317,6 +328,26 @@ def usual_of(blocks: pd.DataFrame, limit: float = 8.0, alpha: float = ALPHA) ->
     return [Usual(varies, p, s, least, held, middle, int(near)) for near in part["p"]]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole groups, with where each begins and the last ends, of batches sorted by ``keys``; what a batch cuts off waits for the next."""
+    rest: pd.DataFrame | None = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        new = np.zeros(max(len(pdf) - 1, 0), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            new |= v[1:] != v[:-1]
+        at = np.flatnonzero(new) + 1
+        if len(at):
+            yield pdf.iloc[: at[-1]], np.append(0, at)
+            rest = pdf.iloc[at[-1] :]
+        else:
+            rest = pdf
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
 def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = ALPHA) -> DataFrame:
     """The implausible readings (source, number, spike, stuck, out_of_range) of ``df``.
 
@@ -368,22 +399,29 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
         known = [[float(v) for v in u] for u in usual_of(pdf, limit, alpha)]
         return keyed(pdf, len(known)).assign(block=np.sort(pdf["block"].unique()), usual=known)
 
-    def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["usual"].dropna()
-        usual = None
-        if len(known):
-            v = known.iloc[0]
-            usual = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6]))
-        n, x, own = ordered(pdf[pdf["usual"].isna()])
-        flags = judge(n, x, limit, run, most, alpha, usual)
-        own = own & (flags > 0)
-        n, flags = n[own], flags[own]
-        return keyed(pdf, len(n)).assign(n=n, spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
+    def run_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in whole_groups(batches, [*names, "block"]):
+            n, x, own, known = pdf["n"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["own"].to_numpy(bool), pdf["usual"].to_numpy()
+            rows, found = [], []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                usual = None
+                if known[a] is not None:
+                    v, a = known[a], a + 1
+                    usual = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6]))
+                flags = judge(n[a:b], x[a:b], limit, run, most, alpha, usual)
+                at = np.flatnonzero(own[a:b] & (flags > 0))
+                rows.append(a + at)
+                found.append(flags[at])
+            at, flags = np.concatenate(rows), np.concatenate(found)
+            yield pdf[names].iloc[at].reset_index(drop=True).assign(n=n[at], spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
     sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, early double, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
     usual = blocks.where("cuts > 1").groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
     usual = usual.groupBy(*names).applyInPandas(combine, f"{types}, block long, usual array<double>")
-    # a row of its own for each block, so that readings needn't carry it
+    # a row of its own for each block, before its readings, so that these needn't carry it
+    usual = usual.withColumn("n", F.lit(0).cast("long")).withColumn("own", F.lit(False))
     both = blocks.drop("cuts").unionByName(usual, allowMissingColumns=True)
-    found = both.groupBy(*names, "block").applyInPandas(run_block, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
+    # blocks come one after the other in a stream: starting a call of Python for each would cost more than judging it
+    both = both.repartition(*names, "block").sortWithinPartitions(*names, "block", F.col("usual").isNull(), "n")
+    found = both.mapInPandas(run_blocks, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, source, strict=True)), F.col("n").alias(number), "spike", "stuck", "out_of_range")
