@@ -328,24 +328,38 @@ def usual_of(blocks: pd.DataFrame, limit: float = 8.0, alpha: float = ALPHA) ->
     return [Usual(varies, p, s, least, held, middle, int(near)) for near in part["p"]]
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Rows of whole groups, with where each begins and the last ends, of batches sorted by ``keys``; what a batch cuts off waits for the next."""
+def whole_groups(batches: Iterator[pd.DataFrame], by: str, keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole groups of ``keys``, with where each begins and the last ends, of batches sorted by ``by``, a hash of the keys.
+
+    What a batch cuts off waits for the next; keys that share a hash are told apart.
+    """
     rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
+
+    def changes(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
         new = np.zeros(max(len(pdf) - 1, 0), bool)
-        for k in keys:
+        for k in columns:
             v = pdf[k].to_numpy()
             new |= v[1:] != v[:-1]
-        at = np.flatnonzero(new) + 1
+        return new
+
+    def ready(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        new = changes(pdf, keys)
+        if (new & ~changes(pdf, [by])).any():
+            pdf = pdf.sort_values([by, *keys], kind="stable", ignore_index=True)
+            new = changes(pdf, keys)
+        return pdf, np.concatenate([[0], np.flatnonzero(new) + 1, [len(pdf)]])
+
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        at = np.flatnonzero(changes(pdf, [by])) + 1
         if len(at):
-            yield pdf.iloc[: at[-1]], np.append(0, at)
+            yield ready(pdf.iloc[: at[-1]])
             rest = pdf.iloc[at[-1] :]
         else:
             rest = pdf
     if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+        yield ready(rest)
 
 
 def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = ALPHA) -> DataFrame:
@@ -369,19 +383,21 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
     names = [f"k{i}" for i in range(len(source))]
     plain = df.select(*(F.col(c).alias(n) for c, n in zip(source, names, strict=True)), F.col(number).cast("long").alias("n"), F.col(value).cast("double").alias("x")).dropna(subset=[*names, "n"])
     plain = plain.where("x is not null and not isnan(x)").withColumn("part", F.floor(F.col("n") / BLOCK))
-    # one exchange serves both the choice among repeated rows and the ranks within a stretch of numbers
-    once = plain.repartition(*names, "part").groupBy(*names, "part", "n").agg(F.min("x").alias("x"))
-    once = materialised(once.withColumn("r", F.row_number().over(W.partitionBy(*names, "part").orderBy("n")) - 1))
+    once = materialised(plain.groupBy(*names, "part", "n").agg(F.min("x").alias("x")))
     count = once.groupBy(*names, "part").agg(F.count("*").alias("c"))
     before, every = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*names)
-    count = count.select(*names, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(every).alias("all"))
+    # written, so that its size is known when the joins are planned
+    count = materialised(count.select(*names, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(every).alias("all")))
+    known = once.join(count, [*names, "part"])
+    single = known.where(F.col("all") <= BLOCK).select(*names, F.lit(0).cast("long").alias("block"), "n", "x", F.lit(True).alias("own"))
+    # only sources of several blocks need ranks: those within a stretch of numbers, and the count before it
     halo = max(HALO, run)
-    rank = F.col("r") + F.col("before")
     cuts = F.ceil(F.col("all") / BLOCK)
     block = lambda r: F.floor(r * F.col("cuts") / F.col("all"))
-    ranked = once.join(count, [*names, "part"]).select(*names, "n", "x", "all", cuts.alias("cuts"), rank.alias("rank")).withColumn("own", block(F.col("rank")))
+    rank = F.row_number().over(W.partitionBy(*names, "part").orderBy("n")) - 1 + F.col("before")
+    ranked = known.where(F.col("all") > BLOCK).select(*names, "n", "x", "all", cuts.alias("cuts"), rank.alias("rank")).withColumn("own", block(F.col("rank")))
     first, last = block(F.greatest(F.col("rank") - halo, F.lit(0))), block(F.least(F.col("rank") + halo, F.col("all") - 1))
-    blocks = ranked.withColumn("block", F.explode(F.sequence(first, last))).select(*names, "block", "n", "x", (F.col("own") == F.col("block")).alias("own"), "cuts")
+    several = materialised(ranked.withColumn("block", F.explode(F.sequence(first, last))).select(*names, "block", "n", "x", (F.col("own") == F.col("block")).alias("own")))
     types = ", ".join(f"{n} {t}" for n, t in plain.dtypes if n in names)
 
     def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,28 +416,32 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
         return keyed(pdf, len(known)).assign(block=np.sort(pdf["block"].unique()), usual=known)
 
     def run_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, bounds in whole_groups(batches, [*names, "block"]):
-            n, x, own, known = pdf["n"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["own"].to_numpy(bool), pdf["usual"].to_numpy()
+        for pdf, bounds in whole_groups(batches, "h", [*names, "block"]):
+            n, x, own = pdf["n"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["own"].to_numpy(bool)
+            known = pdf["usual"].to_numpy()
+            told = pdf["usual"].notna().to_numpy()
             rows, found = [], []
             for a, b in zip(bounds, bounds[1:], strict=False):
-                usual = None
-                if known[a] is not None:
-                    v, a = known[a], a + 1
-                    usual = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6]))
-                flags = judge(n[a:b], x[a:b], limit, run, most, alpha, usual)
-                at = np.flatnonzero(own[a:b] & (flags > 0))
-                rows.append(a + at)
-                found.append(flags[at])
+                usual, at = None, np.arange(a, b)
+                if told[a:b].any():
+                    v = known[a + np.argmax(told[a:b])]
+                    usual, at = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6])), at[~told[a:b]]
+                at = at[np.argsort(n[at], kind="stable")]
+                flags = judge(n[at], x[at], limit, run, most, alpha, usual)
+                hit = own[at] & (flags > 0)
+                rows.append(at[hit])
+                found.append(flags[hit])
             at, flags = np.concatenate(rows), np.concatenate(found)
             yield pdf[names].iloc[at].reset_index(drop=True).assign(n=n[at], spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
     sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, early double, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
-    usual = blocks.where("cuts > 1").groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
+    usual = several.groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
     usual = usual.groupBy(*names).applyInPandas(combine, f"{types}, block long, usual array<double>")
-    # a row of its own for each block, before its readings, so that these needn't carry it
+    # a row of its own for each block, so that its readings needn't carry it
     usual = usual.withColumn("n", F.lit(0).cast("long")).withColumn("own", F.lit(False))
-    both = blocks.drop("cuts").unionByName(usual, allowMissingColumns=True)
-    # blocks come one after the other in a stream: starting a call of Python for each would cost more than judging it
-    both = both.repartition(*names, "block").sortWithinPartitions(*names, "block", F.col("usual").isNull(), "n")
+    both = single.unionByName(several).unionByName(usual, allowMissingColumns=True)
+    # blocks come one after the other in a stream, as a call of Python for each would cost more than judging it;
+    # one number to sort by costs a fraction of what several names do
+    both = both.withColumn("h", F.xxhash64(*names, "block")).repartition("h").sortWithinPartitions("h")
     found = both.mapInPandas(run_blocks, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, source, strict=True)), F.col("n").alias(number), "spike", "stuck", "out_of_range")

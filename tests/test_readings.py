@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from sampleloom.operators.readings import ALPHA, BLOCK, _limits, cleaned, gesd, implausible, judge, period, residuals, running_median, scatter, summary, usual_of
+from sampleloom.operators.readings import ALPHA, BLOCK, _limits, cleaned, gesd, implausible, judge, period, residuals, running_median, scatter, summary, usual_of, whole_groups
 
 
 def test_spikes_runs_and_range():
@@ -137,3 +137,11 @@ def test_running_median_equals_windows():
         half = min(w, 57) // 2
         want = [np.median(x[max(0, i - half) : i + half + 1]) for i in range(57)]
         assert np.allclose(running_median(x, w), want)
+
+
+def test_groups_that_share_a_hash():
+    pdf = pd.DataFrame({"h": [1, 1, 1, 1, 2, 2, 3], "k": list("abab") + ["c", "c", "d"], "v": range(7)})
+    for cuts in ([7], [1, 3, 7], [4, 5, 6, 7]):
+        batches = [pdf.iloc[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        got = [(g["k"].iloc[a], g["v"].iloc[a:b].tolist()) for g, at in whole_groups(iter(batches), "h", ["k"]) for a, b in zip(at, at[1:], strict=False)]
+        assert got == [("a", [0, 2]), ("b", [1, 3]), ("c", [4, 5]), ("d", [6])]
