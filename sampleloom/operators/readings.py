@@ -328,40 +328,6 @@ def usual_of(blocks: pd.DataFrame, limit: float = 8.0, alpha: float = ALPHA) ->
     return [Usual(varies, p, s, least, held, middle, int(near)) for near in part["p"]]
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], by: str, keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Rows of whole groups of ``keys``, with where each begins and the last ends, of batches sorted by ``by``, a hash of the keys.
-
-    What a batch cuts off waits for the next; keys that share a hash are told apart.
-    """
-    rest: pd.DataFrame | None = None
-
-    def changes(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
-        new = np.zeros(max(len(pdf) - 1, 0), bool)
-        for k in columns:
-            v = pdf[k].to_numpy()
-            new |= v[1:] != v[:-1]
-        return new
-
-    def ready(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        new = changes(pdf, keys)
-        if (new & ~changes(pdf, [by])).any():
-            pdf = pdf.sort_values([by, *keys], kind="stable", ignore_index=True)
-            new = changes(pdf, keys)
-        return pdf, np.concatenate([[0], np.flatnonzero(new) + 1, [len(pdf)]])
-
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        at = np.flatnonzero(changes(pdf, [by])) + 1
-        if len(at):
-            yield ready(pdf.iloc[: at[-1]])
-            rest = pdf.iloc[at[-1] :]
-        else:
-            rest = pdf
-    if rest is not None and len(rest):
-        yield ready(rest)
-
-
 def implausible(df: DataFrame, source: list[str], number: str, value: str, limit: float = 8.0, run: int = 10, most: float = 9e7, alpha: float = ALPHA) -> DataFrame:
     """The implausible readings (source, number, spike, stuck, out_of_range) of ``df``.
 
@@ -416,32 +382,30 @@ def implausible(df: DataFrame, source: list[str], number: str, value: str, limit
         return keyed(pdf, len(known)).assign(block=np.sort(pdf["block"].unique()), usual=known)
 
     def run_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, bounds in whole_groups(batches, "h", [*names, "block"]):
-            n, x, own = pdf["n"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["own"].to_numpy(bool)
-            known = pdf["usual"].to_numpy()
-            told = pdf["usual"].notna().to_numpy()
-            rows, found = [], []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                usual, at = None, np.arange(a, b)
-                if told[a:b].any():
-                    v = known[a + np.argmax(told[a:b])]
-                    usual, at = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6])), at[~told[a:b]]
-                at = at[np.argsort(n[at], kind="stable")]
-                flags = judge(n[at], x[at], limit, run, most, alpha, usual)
-                hit = own[at] & (flags > 0)
-                rows.append(at[hit])
+        for pdf in batches:
+            told = pdf["usual"].notna()
+            rows, numbers, found = [], [], []
+            for i, (n, x, own, v, known) in enumerate(zip(pdf["n"], pdf["x"], pdf["own"], pdf["usual"], told, strict=True)):
+                if n is None or not len(n):
+                    continue
+                order = np.argsort(n, kind="stable")
+                n, x, own = n[order], x[order], own[order].astype(bool)
+                usual = Usual(bool(v[0]), int(v[1]), v[2], v[3], bool(v[4]), v[5], int(v[6])) if known else None
+                flags = judge(n, x, limit, run, most, alpha, usual)
+                hit = own & (flags > 0)
+                rows.append(np.full(hit.sum(), i))
+                numbers.append(n[hit])
                 found.append(flags[hit])
-            at, flags = np.concatenate(rows), np.concatenate(found)
-            yield pdf[names].iloc[at].reset_index(drop=True).assign(n=n[at], spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
+            if rows:
+                at, flags = np.concatenate(rows), np.concatenate(found)
+                yield pdf[names].iloc[at].reset_index(drop=True).assign(n=np.concatenate(numbers), spike=(flags & 1) > 0, stuck=(flags & 2) > 0, out_of_range=(flags & 4) > 0)
 
     sums = "n long, n_long long, pairs long, same long, m long, m_pairs long, m_same long, p long, early double, res array<double>, res_n array<long>, x array<double>, x_n array<long>, free boolean"
     usual = several.groupBy(*names, "block").applyInPandas(sum_up, f"{types}, block long, {sums}")
     usual = usual.groupBy(*names).applyInPandas(combine, f"{types}, block long, usual array<double>")
-    # a row of its own for each block, so that its readings needn't carry it
-    usual = usual.withColumn("n", F.lit(0).cast("long")).withColumn("own", F.lit(False))
     both = single.unionByName(several).unionByName(usual, allowMissingColumns=True)
-    # blocks come one after the other in a stream, as a call of Python for each would cost more than judging it;
-    # one number to sort by costs a fraction of what several names do
-    both = both.withColumn("h", F.xxhash64(*names, "block")).repartition("h").sortWithinPartitions("h")
+    # a block, which is of bounded size, becomes one row: row by row, moving readings to Python would cost more than judging them
+    lists = [F.collect_list(c).alias(c) for c in ("n", "x", "own")]
+    both = both.groupBy(*names, "block").agg(*lists, F.first("usual", ignorenulls=True).alias("usual"))
     found = both.mapInPandas(run_blocks, f"{types}, n long, spike boolean, stuck boolean, out_of_range boolean")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, source, strict=True)), F.col("n").alias(number), "spike", "stuck", "out_of_range")
