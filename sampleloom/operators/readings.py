@@ -286,13 +286,12 @@ def summary(number: np.ndarray, x: np.ndarray, own: np.ndarray, run: int, most:
             out.append(out[0] | {"free": True})
             continue
         fine = np.flatnonzero((np.abs(x) <= most) & ~(long & free))
-        part = {"m": 0, "m_pairs": 0, "m_same": 0, "p": 0, "early": 1.0, "res": [], "res_n": [], "x": [], "x_n": []}
+        part = {"m": 0, "m_pairs": 0, "m_same": 0, "p": 0, "early": 0.0, "res": [], "res_n": [], "x": [], "x_n": []}
         if len(fine) >= 10:
             y, mine = x[fine], own[fine]
-            res, p, before = residuals(y, number[fine] - number[fine[0]])
-            after = scatter(res)
+            res, p, early = residuals(y, number[fine] - number[fine[0]])
             (size, size_n), (value, value_n) = counted_sizes(np.abs(res - np.median(res))[mine]), counted(y[mine])
-            part = {"m": mine.sum(), "m_pairs": mine[1:].sum(), "m_same": ((y[1:] == y[:-1]) & mine[1:]).sum(), "p": p, "early": before / after if after else 1.0, "res": size, "res_n": size_n, "x": value, "x_n": value_n}
+            part = {"m": mine.sum(), "m_pairs": mine[1:].sum(), "m_same": ((y[1:] == y[:-1]) & mine[1:]).sum(), "p": p, "early": early, "res": size, "res_n": size_n, "x": value, "x_n": value_n}
         out.append(base | part | {"free": free})
     return out
 
@@ -316,15 +315,15 @@ def usual_of(blocks: pd.DataFrame, limit: float = 8.0, alpha: float = ALPHA) ->
         joined = lambda c: np.concatenate([np.asarray(v, float) for v in some[c]])
         size, w = joined("res"), joined("res_n")
         # the scatter is that before shapes are met early or late, as in sources judged at once
-        early = float((some["early"] * some["m"]).sum() / some["m"].sum())
-        s = early * MAD * weighted_median(size, w)
+        s = weighted_median(some["early"].to_numpy(float), some["m"].to_numpy(float))
+        whole = weighted_median(size, w)
         held = bool(s <= 0 or some["m_same"].sum() > 0.5 * some["m_pairs"].sum())
         if held:
             x, w = joined("x"), joined("x_n")
             middle = weighted_median(x, w)
             size = np.abs(x - middle)
             s = max(MAD * weighted_median(size, w), float((size * w).sum() / w.sum()), 1e-300)
-        least = cleaned(size, w, s, limit, alpha, lambda kept: 0 if held else early * MAD * weighted_median(size[kept], w[kept]))
+        least = cleaned(size, w, s, limit, alpha, lambda kept: 0 if held or not whole else s * weighted_median(size[kept], w[kept]) / whole)
     return [Usual(varies, p, s, least, held, middle, int(near)) for near in part["p"]]
 
 
