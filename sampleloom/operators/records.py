@@ -3,7 +3,8 @@
 The split is done by structural indexing over a byte buffer: a quote mask, its
 prefix parity, and from both the delimiters and field ends, all as NumPy array
 operations over many lines at once. Which lines fail follows from counts and
-type checks on that index; there is no per-line parser loop.
+type checks on that index, the numbers of all lines run through their grammar
+together; only fields that fail there are looked at one by one.
 """
 
 from __future__ import annotations
@@ -111,6 +112,42 @@ def number(x: bytes) -> float | None:
     return value if np.isfinite(value) else None
 
 
+#: Signs of a number by kind (digit, sign, point, exponent, none, other), and the grammar of numbers as a table of states.
+KIND = np.full(256, 5, np.uint8)
+KIND[48:58], KIND[[43, 45]], KIND[46], KIND[[69, 101]], KIND[0] = 0, 1, 2, 3, 4
+START, SIGNED, WHOLE, POINT, BARE, BROKEN_PART, EXPONENT, EXPONENT_SIGN, EXPONENT_PART, DONE, NONE = range(11)
+NEXT = np.full((11, 6), NONE, np.uint8)
+for _state, _moves in {
+    START: {0: WHOLE, 1: SIGNED, 2: BARE}, SIGNED: {0: WHOLE, 2: BARE}, WHOLE: {0: WHOLE, 2: POINT, 3: EXPONENT, 4: DONE}, POINT: {0: BROKEN_PART, 3: EXPONENT, 4: DONE}, BARE: {0: BROKEN_PART},
+    BROKEN_PART: {0: BROKEN_PART, 3: EXPONENT, 4: DONE}, EXPONENT: {0: EXPONENT_PART, 1: EXPONENT_SIGN}, EXPONENT_SIGN: {0: EXPONENT_PART}, EXPONENT_PART: {0: EXPONENT_PART, 4: DONE}, DONE: {4: DONE},
+}.items():
+    for _kind, _to in _moves.items():
+        NEXT[_state, _kind] = _to
+#: Stands for a layout's missing separator or header.
+ABSENT = "\x01"
+#: Bytes of a number that are checked together; longer ones are looked at one by one.
+DIGITS = 40
+
+
+def numbers(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The finite decimal numbers spelt by ``buffer[start:end]``, NaN where there is none; all fields at once."""
+    width = np.minimum(end - start, DIGITS)
+    at = start[:, None] + np.arange(DIGITS + 1)
+    cells = np.where(np.arange(DIGITS + 1) < width[:, None], buffer[np.minimum(at, len(buffer) - 1)], 0).astype(np.uint8)
+    state = np.zeros(len(start), np.uint8)
+    for k in range(DIGITS + 1):
+        state = NEXT[state, KIND[cells[:, k]]]
+    fine = (state == DONE) & (end - start <= DIGITS)
+    out = np.full(len(start), np.nan)
+    if fine.any():
+        out[fine] = np.ascontiguousarray(cells[fine, :DIGITS]).view(f"S{DIGITS}").ravel().astype(float)
+    # what remains is long, has blanks inside its quotes, or is no number
+    for i in np.flatnonzero(~fine):
+        v = number(buffer[start[i] : end[i]].tobytes())
+        out[i] = np.nan if v is None else v
+    return np.where(np.isfinite(out), out, np.nan)
+
+
 def header_names(header: str, sep: str | None) -> list[str]:
     s = Structure([header.strip().encode()], None if sep is None else sep.encode())
     return [x.decode() for x in s.fields(0)]
@@ -120,32 +157,34 @@ def _parsed(pdf: pd.DataFrame) -> pd.DataFrame:
     out = pdf[["file_id", "line_no"]].copy()
     lines = [x.strip().encode() for x in pdf["line"]]
     reason = np.full(len(pdf), None, object)
-    onset, duration = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+    values = np.full((2, len(pdf)), np.nan)
     content = np.fromiter((bool(x) and not x.startswith(b"#") for x in lines), bool, len(lines))
-    layouts: dict[tuple, tuple] = {}
-    keys = list(zip(pdf["sep"], pdf["header"], pdf["header_sep"], strict=True))
-    for key in set(keys):
-        sep, header, header_sep = (None if x is None or x != x else x for x in key)
+    # lines of one layout share everything but their bytes
+    code, layouts = pd.factorize(pd.MultiIndex.from_frame(pdf[["sep", "header", "header_sep"]].fillna(ABSENT)))
+    places = []
+    for key in layouts:
+        sep, header, header_sep = (None if x == ABSENT else x for x in key)
         names = header_names(header, header_sep) if header is not None else []
-        layouts[key] = (sep, len(names), *(names.index(c) if c in names else -1 for c in ("onset", "duration")))
-    by_sep: dict = {}
-    for i in np.flatnonzero(content):
-        by_sep.setdefault(layouts[keys[i]][0], []).append(i)
-    for sep, rows in by_sep.items():
+        places.append((sep, len(names), *(names.index(c) if c in names else -1 for c in ("onset", "duration"))))
+    seps = [p[0] for p in places]
+    table = np.array([p[1:] for p in places], np.int64).reshape(-1, 3)
+    for sep in dict.fromkeys(seps):
+        rows = np.flatnonzero(content & np.isin(code, [i for i, x in enumerate(seps) if x == sep]))
+        if not len(rows):
+            continue
         s = Structure([lines[i] for i in rows], sep.encode() if sep else None)
-        for j, i in enumerate(rows):
-            _, width, o, d = layouts[keys[i]]
-            if s.broken[j]:
-                reason[i] = "quoting"
-            elif s.count[j] != width:
-                reason[i] = "columns"
-            else:
-                a, b = (number(s.field(j, k)) if k >= 0 else None for k in (o, d))
-                if a is None or b is None or b < 0:
-                    reason[i] = "value"
-                else:
-                    onset[i], duration[i] = a, b
-    out["onset"], out["duration"], out["reason"] = onset, duration, reason
+        buffer = np.frombuffer(s.buffer, np.uint8)
+        broken, count, (width, *columns) = np.asarray(s.broken, bool), np.asarray(s.count), table[code[rows]].T
+        right = ~broken & (count == width)
+        found = np.full((2, len(rows)), np.nan)
+        for f, column in enumerate(columns):
+            use = right & (column >= 0)
+            at = np.asarray(s.first)[use] + column[use]
+            found[f, use] = numbers(buffer, np.asarray(s.start)[at], np.asarray(s.end)[at])
+        bad = right & (np.isnan(found).any(0) | (found[1] < 0))
+        reason[rows[broken]], reason[rows[~broken & ~right]], reason[rows[bad]] = "quoting", "columns", "value"
+        values[:, rows[right & ~bad]] = found[:, right & ~bad]
+    out["onset"], out["duration"], out["reason"] = values[0], values[1], reason
     return out[content]
 
 
@@ -194,9 +233,6 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     types = dict(lines.dtypes)
     parsed = body.mapInPandas(run, f"file_id {types['file_id']}, line_no {types['line_no']}, onset double, duration double, reason string")
     valid = F.col("reason").isNull()
-    return (
-        parsed.withColumn("onset", F.when(valid, F.col("onset")))
-        .withColumn("duration", F.when(valid, F.col("duration")))
-        .groupBy("file_id", "line_no")
-        .agg(F.min("onset").alias("onset"), F.min("duration").alias("duration"), F.min("reason").alias("reason"))
-    )
+    # of repeated rows one is kept, and kept whole
+    row = F.struct(F.when(valid, F.col("onset")).alias("onset"), F.when(valid, F.col("duration")).alias("duration"), "reason")
+    return parsed.groupBy("file_id", "line_no").agg(F.min(row).alias("r")).select("file_id", "line_no", "r.*")

@@ -24,7 +24,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Continuous periods of the events of each run and trial type, and the gaps between them."""
+    """Continuous periods of the events of each run and trial type, and the gaps between them.
+
+    Times beyond 9e15 seconds either way, which no BIGINT of milliseconds holds, are as missing ones.
+    """
     kind = F.lower(trimmed(F.col("trial_type")))
     finite = ~F.isnan("onset") & ~F.isnan("duration") & (F.abs("onset") < 9e15) & (F.abs("duration") < 9e15)
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
