@@ -8,7 +8,7 @@ import unicodedata
 
 import numpy as np
 
-TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|\[/?[A-Za-z*]{1,12}(?:=[^\[\]\n]{0,200})?\]")
+TAG = re.compile(r"</?[A-Za-z!][^<>]*>|\[/?[A-Za-z*]{1,12}(?:=[^\[\]\n]*)?\]")
 HYPHEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t>|:]*(?=\w)")
 HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 SIGN = re.compile(r"[^\w\s]|_")

@@ -283,6 +283,14 @@ def test_hashes_equal_plain_words():
     assert bb.tolist() == [0, 600_000, 600_001] and len(set(hb.tolist())) == 3
 
 
+def test_markup_of_any_length_is_no_word():
+    h, b = words.word_hashes(['one <a href="' + "x" * 5000 + '">two</a> [url=' + "y" * 4000 + "]three[/url]", "one two three"])
+    assert b.tolist() == [0, 3, 6] and h[:3].tolist() == h[3:].tolist()
+    open_sign = "<a " * 50_000
+    h, b = words.word_hashes([open_sign])
+    assert b[1] == 50_000
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
