@@ -23,6 +23,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parsed.where("reason is not null").select("file_id", "line_no", "reason")
 
 
+# read from left to right, quoted spans of one word lose their quotes and others become a letter; then separators separate
+P1_SQL = r"""
+WITH f AS (SELECT file_id, nullif(sep, '') AS sep, header, coalesce(skiplines, 0) AS skip FROM column_files),
+l AS (SELECT DISTINCT file_id, line_no, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM column_lines WHERE line IS NOT NULL),
+h AS (SELECT f.*, coalesce(header, own.t) AS names, CASE WHEN header IS NULL THEN skip + 1 ELSE skip END AS top, CASE WHEN header IS NULL THEN sep ELSE ',' END AS hsep
+ FROM f LEFT JOIN l AS own ON own.file_id = f.file_id AND own.line_no = f.skip + 1 AND f.header IS NULL),
+n AS (SELECT *, list_transform(CASE WHEN hsep IS NULL THEN regexp_split_to_array(names, '[ \t]+') ELSE string_split(names, hsep) END, lambda x: trim(trim(x, ' ' || chr(9)), '"')) AS cols FROM h),
+b AS (SELECT l.file_id, line_no, t, sep, cols FROM l JOIN n USING (file_id) WHERE line_no > top AND t <> '' AND t NOT LIKE '#%'),
+q AS (SELECT *, CASE WHEN sep IS NULL THEN regexp_full_match(t, '("([^"]|"")*"|[^" \t]+)([ \t]+("([^"]|"")*"|[^" \t]+))*')
+  ELSE regexp_full_match(replace(t, sep, chr(1)), '[ \t]*("([^"]|"")*"|[^"\x01]*)[ \t]*(\x01[ \t]*("([^"]|"")*"|[^"\x01]*)[ \t]*)*') END AS closed,
+  array_to_string(list_transform(regexp_extract_all(replace(t, coalesce(sep, chr(2)), chr(1)), '"([^"]|"")*"|[^"]'), lambda x: CASE WHEN x[1] <> '"' THEN x WHEN regexp_full_match(x, '"[ ]*[^" \t\x01]+[ ]*"') THEN trim(trim(x, '"')) ELSE 'Q' END), '') AS bare FROM b),
+v AS (SELECT *, CASE WHEN sep IS NULL THEN regexp_split_to_array(bare, '[ \t]+') ELSE string_split(bare, chr(1)) END AS parts FROM q),
+w AS (SELECT *, trim(parts[list_position(cols, 'onset')], ' ' || chr(9)) AS onset, trim(parts[list_position(cols, 'duration')], ' ' || chr(9)) AS duration FROM v),
+x AS (SELECT *, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?' AS num FROM w),
+r AS (SELECT file_id, line_no, CASE WHEN NOT closed THEN 'quoting' WHEN len(parts) <> len(cols) THEN 'columns'
+  WHEN NOT (coalesce(regexp_full_match(onset, num), false) AND coalesce(regexp_full_match(duration, num), false)) THEN 'value'
+  WHEN NOT (isfinite(TRY_CAST(onset AS DOUBLE)) AND isfinite(TRY_CAST(duration AS DOUBLE)) AND TRY_CAST(duration AS DOUBLE) >= 0) THEN 'value' END AS reason,
+  TRY_CAST(onset AS DOUBLE) AS onset, TRY_CAST(duration AS DOUBLE) AS duration FROM x)
+"""
+P1_FOUND_SQL = P1_SQL + "SELECT file_id, CAST(line_no AS INT) AS line_no, reason FROM r WHERE reason IS NOT NULL"
+P1_RECORDS_SQL = P1_SQL + "SELECT file_id, CAST(line_no AS INT) AS line_no, onset, duration FROM r WHERE reason IS NULL"
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Continuous periods of the events of each run and trial type, and the gaps between them.
 
@@ -71,4 +94,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p3_found, p5_found, p5_flags)}
-SQL = {"p2_found": P2_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL}
