@@ -83,6 +83,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(table(spark, d, "niml_dsets"), ["dset_id"], ["labels", "stats"]).where("dset_id is not null").distinct()
 
 
+# one item after the other, with its delimiter: a quoted value, or any signs with parentheses and entities as one
+P3_SQL = r"""
+WITH t AS (SELECT DISTINCT dset_id, 'labels' AS field_name, labels AS x FROM niml_dsets UNION SELECT DISTINCT dset_id, 'stats', stats FROM niml_dsets),
+b AS (SELECT dset_id, field_name, CASE WHEN regexp_full_match(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(?s)\[.*\]') THEN regexp_replace(x, '(?s)^\s*\[(.*)\]\s*$', '\1') ELSE x END AS x FROM t WHERE x IS NOT NULL AND dset_id IS NOT NULL),
+i AS (SELECT dset_id, field_name, regexp_extract_all(x, '(?:[ \r]*(?:"(?:[^"]|"")*"|''(?:[^'']|'''')*'')[ \r]*|(?:\([^()]*\)|&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^;,|\t\n(&]|[(&])*)(?:[;,|\t\n]|$)') AS items FROM b),
+u AS (SELECT dset_id, field_name, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM i),
+v AS (SELECT dset_id, field_name, pos, regexp_replace(regexp_replace(item, '[;,|\t\n]$', ''), '^\s+|\s+$', '', 'g') AS v FROM u),
+q AS (SELECT dset_id, field_name, pos, CASE WHEN regexp_full_match(v, '"(?:[^"]|"")*"') THEN replace(v[2:-2], '""', '"') WHEN regexp_full_match(v, '''(?:[^'']|'''')*''') THEN replace(v[2:-2], '''''', '''') ELSE v END AS v FROM v),
+d AS (SELECT dset_id, field_name, pos, regexp_replace(replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS value FROM q)
+SELECT DISTINCT dset_id, field_name, CAST(pos AS INT) AS pos, value FROM d WHERE value <> ''
+"""
+
+
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     """Implausible readings with what is wrong with them."""
     return implausible(table(spark, d, "meg_data"), ["recording_id", "channel_id"], "sample_number", "data")
@@ -94,4 +107,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p3_found, p5_found, p5_flags)}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL}
