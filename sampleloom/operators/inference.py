@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sampleloom.functions.distributions import beta_ppf, chi2_sf, norm_cdf, norm_ppf, t_sf
 from sampleloom.operators.select import ranked
-from sampleloom.session import materialised
+from sampleloom.session import materialised, release
 
 
 def clipped(p: Column, n: Column) -> Column:
@@ -203,7 +203,10 @@ def stars(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         seen = both.join(least, "a")
         keep = seen.where("b > a") if larger else seen.where("b <= a").unionByName(seen.select("a", F.col("a").alias("b"), "m"))
-        edges = materialised(keep.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        closer = materialised(keep.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        if not larger:
+            release(edges)
+        edges = closer
     return edges
 
 
@@ -222,7 +225,8 @@ def connected(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
         open_ends = links.join(up, "a", "left_semi").select("a").unionByName(links.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a")).unionByName(links.where("b > a").select("a"))
         if not open_ends.limit(1).count():
             return nodes.join(links, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("cluster"))
-        links = stars(links)
+        before, links = links, stars(links)
+        release(before)
     raise RuntimeError(f"clusters are not joined after {most} rounds")
 
 

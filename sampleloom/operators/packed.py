@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.session import materialised
+from sampleloom.session import materialised, release
 
 DELIMITERS = ";,|\t\n"
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -310,7 +310,10 @@ def split_packed(df: DataFrame, key: list[str], fields: list[str], rounds: int =
         # three signs, three rows at most
         for r in soft.where("sign is not null").collect():
             protects[r["sign"]] = (r["w"] + LOOSE * FIRM) / (r["of"] + FIRM)
-        counts = materialised(fixed.unionByName(soft.where("value is not null").select("value", "w")).groupBy("value").agg(F.sum("w").alias("w")))
+        before, counts = counts, materialised(fixed.unionByName(soft.where("value is not null").select("value", "w")).groupBy("value").agg(F.sum("w").alias("w")))
+        for old in (soft, before):
+            if old is not fixed:
+                release(old)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

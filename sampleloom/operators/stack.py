@@ -77,3 +77,13 @@ def stack_by_feature_attribute(ds: Dataset, attr: str) -> DataFrame:
     cells = ds.long().join(ds.features.select("feature_id", attr), "feature_id")
     grouped = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
     return cells.groupBy(ID, *ds.sa, attr).agg(F.transform(grouped, lambda c: c["value"]).alias(VALUES))
+
+
+def hstack_padded(parts: list[DataFrame], key: str, filler: float = float("nan")) -> DataFrame:
+    """Features appended for samples of equal ``key``; a part that lacks a sample gives as many fillers as it has features."""
+    one = [p.select(F.col(key), F.col(VALUES).alias(f"_v{k}")) for k, p in enumerate(parts)]
+    out = reduce(lambda a, b: a.join(b, key, "full"), one)
+    # the size of each part's feature axis
+    width = [p.select(F.size(VALUES).alias("n")).agg(F.max("n")).scalar() for p in parts]
+    values = [F.coalesce(F.col(f"_v{k}"), F.array_repeat(F.lit(float(filler)), w)) for k, w in enumerate(width)]
+    return out.select(key, F.concat(*values).alias(VALUES))

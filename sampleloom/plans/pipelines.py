@@ -21,9 +21,34 @@ from sampleloom.operators.choose import ranks
 from sampleloom.session import materialised
 
 
-def repeated_measure(df: DataFrame, generator: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame, list[str]], DataFrame], key: str) -> DataFrame:
-    """A measure on every dataset that a generator makes: one plan keyed by the generator's column."""
-    return measure(generator(df), [key])
+def repeated_measure(df: DataFrame, generator: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame, list[str]], DataFrame], key: str, callback: Callable[[DataFrame, DataFrame], None] | None = None) -> DataFrame:
+    """A measure on every dataset that a generator makes: one plan keyed by the generator's column.
+
+    ``callback`` is called with what was generated and the results, keyed alike.
+    """
+    made = generator(df)
+    out = measure(made, [key])
+    if callback:
+        callback(made, out)
+    return out
+
+
+def combined_scores(parts: list[DataFrame], combine=F.avg, by: str = "feature_id", value: str = "value") -> DataFrame:
+    """Scores of several measures (by, value) put together by an aggregate."""
+    every = parts[0].select(by, value)
+    for p in parts[1:]:
+        every = every.unionByName(p.select(by, value))
+    return every.groupBy(by).agg(combine(value).alias(value))
+
+
+def static_measure(spark, rows: list[tuple], schema: str) -> Callable[..., DataFrame]:
+    """A measure whose results are given: whatever it is called with, it returns them."""
+    return lambda *_: spark.createDataFrame(rows, schema)
+
+
+def proxy_measure(measure: Callable[[DataFrame], DataFrame], before: Callable[[DataFrame], DataFrame] = lambda x: x, after: Callable[[DataFrame], DataFrame] = lambda x: x) -> Callable[[DataFrame], DataFrame]:
+    """A measure behind steps before and after it."""
+    return lambda df: after(measure(before(df)))
 
 
 def transfer(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

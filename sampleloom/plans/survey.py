@@ -778,3 +778,41 @@ def region_files(spark, d):
     lines = by.select("o", F.concat(F.lit("# <Node_ROI\n#  ni_type = \"x\" >\n"), F.concat_ws(" ", F.lit("1"), kind, F.size("ids").cast("string"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")), F.lit("\n# </Node_ROI>")).alias("value"))
     at = text.roi_file(spark, _lines(spark, lines, "o"))
     return at.select(F.col("roi").cast("long").alias("roi"), "kind", F.size("nodes").cast("long").alias("nodes"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT feature_id, round((avg(value) + stddev_pop(value) + corr(value, target)) / 3, 6) AS value FROM ({LONG}) GROUP BY 1")
+def combined_measures(spark, d):
+    """Scores of several measures averaged, one of them behind steps."""
+    c = cells(spark, d)
+    stat = lambda f: c.groupBy("feature_id").agg(f.alias("value"))
+    third = pl.proxy_measure(lambda x: me.corrcoef(x, "target"), lambda x: x.where("value is not null"), lambda x: x.withColumnRenamed("r", "value"))
+    return rounded(pl.combined_scores([stat(F.avg("value")), stat(F.stddev_pop("value")), third(c)]))
+
+
+@query("SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(c_acctbal, -1) AS a, coalesce(c_nationkey, -1) AS b, coalesce(s_acctbal, -1) AS c FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey")
+def padded_features(spark, d):
+    """Features of two tables side by side, padded where one lacks a sample."""
+    from sampleloom.operators.stack import hstack_padded
+
+    c = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double")).alias("features"))
+    s = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.array(F.col("s_acctbal").cast("double")).alias("features"))
+    return hstack_padded([c, s], "k", -1.0).select("k", *(F.col("features")[i].alias(n) for i, n in enumerate("abc")))
+
+
+@query(f"WITH g AS ({GRID_SQL}) SELECT CAST(t AS INT) AS t, CAST(x AS INT) AS i, CAST(y AS INT) AS j, CAST(f * 0.5 + t AS DOUBLE) AS value FROM g, generate_series(0, 2) s(t)")
+def image_volumes(spark, d):
+    """Volumes written as an image and read again."""
+    import os
+    import tempfile
+
+    from sampleloom.sources import images
+
+    grid = feature_grid(spark).select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(0).alias("k"), "feature_id")
+    voxels = grid.withColumn("t", F.explode(F.array(*map(F.lit, range(3))))).select("t", "i", "j", "k", (F.col("feature_id") * 0.5 + F.col("t")).alias("value"))
+    # an image is what the driver holds; its bytes travel as a table
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "volumes.nii.gz")
+        images.write_nifti(voxels, path, (8, 8, 1))
+        with open(path, "rb") as f:
+            raw = f.read()
+    return images.voxels(spark.createDataFrame([("volumes", bytearray(raw))], "path string, content binary")).select("t", "i", "j", "value")

@@ -46,12 +46,23 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table into the shared folder and read back.
 
     Columnar and compressed, so cheaper on disk than a checkpoint; partition
-    boundaries are not kept. The tables go with the folder.
+    boundaries are not kept. The tables go with the folder, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind :func:`materialised`'s result, for loops whose rounds each write one; no plan may read it any more."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions_for(spark: SparkSession) -> int:

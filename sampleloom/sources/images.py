@@ -1,10 +1,13 @@
-"""NIfTI-1 images as tables of voxels, read and written without further libraries."""
+"""Images and surfaces as tables: NIfTI-1 volumes and GIFTI data, read and written without further libraries."""
 
 from __future__ import annotations
 
+import base64
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -34,10 +37,15 @@ def _unpacked(raw: bytes) -> bytes:
 
 
 def nifti(spark: SparkSession, path: str, mask: DataFrame | None = None) -> DataFrame:
-    """(path, t, i, j, k, value) of .nii and .nii.gz images; ``mask`` (i, j, k) keeps its voxels.
+    """(path, t, i, j, k, value) of .nii and .nii.gz images; ``mask`` (i, j, k) keeps its voxels."""
+    return voxels(spark.read.format("binaryFile").load(path).select("path", "content"), mask)
 
-    A file is one task's; its volumes come out one after the other. Headers are
-    scaled values: slope and intercept are applied.
+
+def voxels(files: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+    """The same of images at hand (path, content).
+
+    A file is one task's; its volumes come out one after the other. The header's
+    slope and intercept are applied.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +60,6 @@ def nifti(spark: SparkSession, path: str, mask: DataFrame | None = None) -> Data
                     # the first coordinate runs fastest
                     yield pd.DataFrame({"path": name, "t": t, "i": at % ni, "j": at // ni % nj, "k": at // (ni * nj), "value": v})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = files.mapInPandas(run, "path string, t int, i int, j int, k int, value double")
     return out if mask is None else out.join(mask.select("i", "j", "k").distinct(), ["i", "j", "k"], "left_semi").select("path", "t", "i", "j", "k", "value")
 
@@ -101,3 +108,68 @@ def image_dataset(spark: SparkSession, path: str, mask: DataFrame | None = None,
     if attributes is not None:
         cells = cells.join(attributes, "sample_id", "left")
     return cells, features
+
+
+#: Fixed values of the surface format: types of values, and the code of arrays of numbers by intent.
+SURFACE_TYPES = {"NIFTI_TYPE_UINT8": "u1", "NIFTI_TYPE_INT32": "i4", "NIFTI_TYPE_FLOAT32": "f4", "NIFTI_TYPE_FLOAT64": "f8"}
+
+
+def gifti(spark: SparkSession, path: str) -> DataFrame:
+    """(path, array, intent, node, component, value) of GIFTI files: the arrays of a file in order, a row of one for each node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                for a, e in enumerate(ElementTree.fromstring(_unpacked(raw)).iter("DataArray")):
+                    text, kind = e.findtext("Data") or "", SURFACE_TYPES[e.get("DataType")]
+                    if e.get("Encoding") == "ASCII":
+                        v = np.array(text.split(), float)
+                    else:
+                        body = base64.b64decode(text)
+                        body = zlib.decompress(body) if e.get("Encoding") == "GZipBase64Binary" else body
+                        v = np.frombuffer(body, (">" if e.get("Endian") == "BigEndian" else "<") + kind).astype(float)
+                    n = int(e.get("Dim0"))
+                    order = "F" if e.get("ArrayIndexingOrder") == "ColumnMajorOrder" else "C"
+                    v = v.reshape((n, -1), order=order)
+                    node, part = np.divmod(np.arange(v.size), v.shape[1])
+                    yield pd.DataFrame({"path": name, "array": a, "intent": e.get("Intent"), "node": node, "component": part, "value": v.ravel()})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, array int, intent string, node int, component int, value double")
+
+
+def gifti_text(arrays: list[np.ndarray], intent: str = "NIFTI_INTENT_NONE") -> str:
+    """A GIFTI file of arrays of numbers, one value or row a node; of a surface that one machine holds."""
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<GIFTI Version="1.0" NumberOfDataArrays="{len(arrays)}">']
+    for x in arrays:
+        x = np.atleast_1d(np.asarray(x, float))
+        dims = " ".join(f'Dim{i}="{n}"' for i, n in enumerate(x.shape))
+        body = base64.b64encode(zlib.compress(x.astype("<f8").tobytes())).decode()
+        out.append(f'<DataArray Intent="{intent}" DataType="NIFTI_TYPE_FLOAT64" ArrayIndexingOrder="RowMajorOrder" Dimensionality="{x.ndim}" {dims} Encoding="GZipBase64Binary" Endian="LittleEndian"><Data>{body}</Data></DataArray>')
+    return "\n".join([*out, "</GIFTI>"])
+
+
+def component_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """A component analysis' folder: its images (component t, i, j, k, value) and time courses (path, values a time point)."""
+    from sampleloom.sources.text import numeric_rows
+
+    return nifti(spark, f"{root}/melodic_IC.nii*").drop("path"), numeric_rows(spark, f"{root}/melodic_mix")
+
+
+def any_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of a file by the suffix of its name: images, surfaces, NIML, archives of arrays, tables."""
+    from sampleloom.dataset import Dataset
+    from sampleloom.sources import text
+
+    name = path.lower().removesuffix(".gz")
+    if name.endswith(".nii"):
+        return nifti(spark, path)
+    if name.endswith(".gii"):
+        return gifti(spark, path)
+    if name.endswith(".niml.dset") or name.endswith(".niml"):
+        return text.niml_datasets(spark, path)
+    if name.endswith(".npz"):
+        return Dataset.from_npz(spark, path).samples
+    if name.endswith((".csv", ".tsv", ".txt")):
+        return text.inferred(spark, path, "\t" if name.endswith(".tsv") else ",")
+    raise ValueError(f"unknown kind of file: {path}")

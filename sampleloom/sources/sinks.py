@@ -63,3 +63,15 @@ def niml_text(df: DataFrame, labels: list[str], stats: list[str], node: str = "n
         f'<SPARSE_DATA data_type="Node_Bucket_data" ni_type="{len(labels)}*float" ni_dimen="{len(rows)}" >\n{data}\n</SPARSE_DATA>\n'
         f'<INDEX_LIST data_type="Node_Bucket_node_indices" ni_type="int" ni_dimen="{len(rows)}" >\n{index}\n</INDEX_LIST>\n' + atr("COLMS_LABS", labels) + atr("COLMS_STATSYM", stats) + "</AFNI_dataset>\n"
     )
+
+
+def safe_write(df: DataFrame, path: str) -> None:
+    """Parquet that is there as a whole or not at all: written beside its place and put there by renaming; what was there goes."""
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    beside, place = fs_path(path.rstrip("/") + ".part"), fs_path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(beside.toString())
+    fs.delete(place, True)
+    if not fs.rename(beside, place):
+        raise OSError(f"{beside} can't be renamed")

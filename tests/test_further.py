@@ -188,3 +188,43 @@ def test_command_line(spark, tmp_path):
     got = call("atlas", "-i", ds, "--atlas", str(tmp_path / "atlas"), "--attrs", "targets")
     assert got.where("label = 'one'").count() == 30 and got.count() == 60
     assert call("info").where("model = 'nu-svm'").count() == 1
+
+
+def test_surfaces_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    xyz, stat = rng.normal(size=(7, 3)), rng.normal(size=7)
+    (tmp_path / "a.gii").write_text(images.gifti_text([xyz, stat]))
+    got = images.gifti(spark, str(tmp_path / "a.gii")).collect()
+    assert all(abs((xyz[r.node, r.component] if r.array == 0 else stat[r.node]) - r.value) < 1e-12 for r in got) and len(got) == 28
+    text_form = '<GIFTI><DataArray Intent="x" DataType="NIFTI_TYPE_FLOAT32" ArrayIndexingOrder="ColumnMajorOrder" Dim0="2" Dim1="2" Encoding="ASCII"><Data>1 2 3 4</Data></DataArray></GIFTI>'
+    (tmp_path / "b.gii").write_text(text_form)
+    assert {(r.node, r.component): r.value for r in images.any_dataset(spark, str(tmp_path / "b.gii")).collect()} == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 4.0}
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert images.any_dataset(spark, str(tmp_path / "t.csv")).first() == (1, "x")
+    with pytest.raises(ValueError):
+        images.any_dataset(spark, "x.mat")
+
+
+def test_component_folder(spark, tmp_path):
+    (tmp_path / "melodic_IC.nii").write_bytes(images.nifti_bytes(np.arange(8.0).reshape(2, 2, 1, 2)))
+    (tmp_path / "melodic_mix").write_text("0.5 1.5\n2.5 3.5\n")
+    maps, mix = images.component_results(spark, str(tmp_path))
+    assert maps.count() == 8 and sorted(r["values"] for r in mix.collect()) == [[0.5, 1.5], [2.5, 3.5]]
+
+
+def test_safe_writes_and_released_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from sampleloom.session import materialised, release
+    from sampleloom.sources import sinks
+
+    path = str(tmp_path / "out")
+    for n in (3, 5):
+        sinks.safe_write(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n and not Path(path + ".part").exists()
+    df = materialised(spark.range(4))
+    place = df._written_to.removeprefix("file:")
+    assert Path(place).exists() and df.count() == 4
+    release(df)
+    assert not Path(place).exists()
+    release(spark.range(1))  # not a written table
