@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sampleloom.session import materialised, partitions_for
+from sampleloom.session import materialised, partitions_for, release
 
 WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 #: Levels of the hierarchy take this many partitions into one.
@@ -92,6 +92,7 @@ def components(edges: DataFrame, most_edges: int = 4_000_000) -> DataFrame:
         shrunk = materialised(_stars(forest).mapInPandas(_forest, "a string, b string").distinct())
         if not shrunk.exceptAll(forest).limit(1).count() and shrunk.count() == size:
             return shrunk.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        release(forest)
         forest = shrunk
     # every level has at most most_edges links in all, so one task can hold the last
     n = min(n, 64)
