@@ -90,9 +90,15 @@ ERRORS = {"mean_mismatch_error": mean_mismatch, "mismatch_error": mismatch, "mat
 
 
 def mean_tpr(df: DataFrame, p: str, t: str, by: list[str] | None = None) -> DataFrame:
-    """Mean over targets of the share predicted right, and its complement."""
+    """Mean over targets of the share predicted right, and its complement.
+
+    A label that is predicted but no target has no such share: it raises an error.
+    """
     by = by or []
     rate = df.groupBy(*by, t).agg(F.avg((F.col(p) == F.col(t)).cast("double")).alias("r"))
+    # labels by group, not rows
+    only = df.where(F.col(p).isNotNull()).select(*by, F.col(p).alias(t)).distinct().join(rate.select(*by, t), [*by, t], "left_anti")
+    rate = rate.unionByName(only.withColumn("r", F.raise_error(F.concat(F.lit("predicted, but no target: "), F.col(t).cast("string"))).cast("double")))
     return rate.groupBy(*by).agg(F.avg("r").alias("mean_tpr"), (1 - F.avg("r")).alias("mean_fnr"))
 
 

@@ -124,21 +124,42 @@ def fdr_curve(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> D
     return j.withColumn("fdr", F.least(F.lit(1.0), F.greatest(local, F.col("_top")))).drop("_q", "_pos", "_size", "_part", "_top")
 
 
-def empirical_null(z: np.ndarray, bins: int = 0) -> tuple[float, float, float]:
-    """Mean, deviation and weight of the normal null fitted to the centre of a histogram of z values."""
-    z = np.sort(np.asarray(z, float))
+def empirical_null(z: np.ndarray, low: float = 0.2, high: float = 0.8) -> tuple[float, float, float]:
+    """Mean, deviation and weight of the normal null that the central z values, from quantile ``low`` to ``high``, suggest.
+
+    The logarithm of a normal density is a parabola: one is fitted to the
+    logarithms of the central values' counts in bins, as many as Scott's rule
+    gives for the range of all.
+    """
+    z = np.sort(np.asarray(z, float).ravel())
     n = len(z)
-    med = z[n // 2]
-    step = bins or max(20, int(np.sqrt(n)))
-    hist, edge = np.histogram(z, step)
-    mid = (edge[1:] + edge[:-1]) / 2
-    spread = (z[int(n * 0.75)] - z[int(n * 0.25)]) or 1.0
-    use = (hist > 0) & (np.abs(mid - med) < spread)
-    c = np.polyfit(mid[use], np.log(hist[use]), 2) if use.sum() >= 3 else (-0.5 / spread**2, med / spread**2, 0.0)
-    sigma = np.sqrt(-1 / (2 * min(c[0], -1e-12)))
-    mu = c[1] * sigma**2
-    p0 = np.exp(c[2] + mu**2 / (2 * sigma**2)) * sigma * np.sqrt(2 * np.pi) / (n * (edge[1] - edge[0]))
-    return float(mu), float(sigma), float(min(p0, 1.0))
+    bins = max(10, int(np.ptp(z) * n ** (1 / 3) / (3.5 * (z.std() or 1.0))))
+    count, edge = np.histogram(z[int(n * low) : int(n * high)], bins)
+    some = count > 0
+    if some.sum() < 3:
+        return float(z[n // 2]), float(z.std()), 1.0
+    middle = (edge[1:] + edge[:-1]) / 2
+    bent, slope, top = np.polyfit(middle[some], np.log(count[some]), 2)
+    var = -0.5 / min(bent, -1e-12)
+    mu = slope * var
+    weight = np.exp(top + mu * mu / (2 * var)) * np.sqrt(2 * np.pi * var) / (n * (edge[1] - edge[0]))
+    return float(mu), float(np.sqrt(var)), float(min(weight, 1.0))
+
+
+def empirical_null_fdr(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The z values in order, and the false discovery rate of taking each and all above it, under the empirical null."""
+    z = np.sort(np.asarray(z, float).ravel())
+    mu, sd, weight = empirical_null(z)
+    return z, np.minimum(1.0, weight * (1 - norm_cdf((z - mu) / sd)) * len(z) / np.arange(len(z), 0, -1))
+
+
+def empirical_null_threshold(z: np.ndarray, alpha: float = 0.05) -> float:
+    """The value from which on the false discovery rate stays below ``alpha``, half way to the value before; infinity if none does."""
+    z, rate = empirical_null_fdr(z)
+    above = len(z) - int(np.argmax(np.append(rate[::-1] >= alpha, True)))
+    if above == len(z):
+        return float("inf")
+    return float(z[above] if above == 0 else (z[above] + z[above - 1]) / 2)
 
 
 def gaussian_mixture(x: np.ndarray, classes: int = 3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

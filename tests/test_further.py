@@ -228,3 +228,23 @@ def test_safe_writes_and_released_tables(spark, tmp_path):
     release(df)
     assert not Path(place).exists()
     release(spark.range(1))  # not a written table
+
+
+def test_empirical_null_and_its_rates():
+    rng = np.random.default_rng(9)
+    z = np.append(rng.normal(0.3, 1.4, 20_000), rng.normal(9, 1, 600))
+    mu, sd, weight = inf.empirical_null(z)
+    assert abs(mu - 0.3) < 0.1 and abs(sd - 1.4) < 0.1 and 0.9 < weight <= 1
+    order, rate = inf.empirical_null_fdr(z)
+    assert (np.diff(order) >= 0).all() and rate[0] > 0.9 and rate[-1] < 1e-6
+    cut = inf.empirical_null_threshold(z, 0.05)
+    false = (z[:20_000] > cut).sum() / max((z > cut).sum(), 1)
+    assert 4 < cut < 8 and false < 0.08
+    assert inf.empirical_null_threshold(rng.normal(size=3000), 1e-9) == math.inf
+
+
+def test_labels_only_predicted_raise(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "b")], "p string, t string")
+    assert abs(er.mean_tpr(df, "p", "t").first().mean_tpr - 0.75) < 1e-9
+    with pytest.raises(Exception, match="no target: c"):
+        er.mean_tpr(df.unionByName(spark.createDataFrame([("c", "a")], "p string, t string")), "p", "t").collect()

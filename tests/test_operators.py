@@ -303,7 +303,7 @@ def test_models_in_memory():
     assert set(mo.Binary(mo.PLR(), [0, 1], [2]).fit(x, three).predict(x)) == {"0+1", "2"}
     assert (mo.SameSign().predict(np.array([[1, 2], [1, -1], [0, 1]])) == [1, -1, 1]).all()
     assert (mo.Less1().predict(np.array([[1, 0], [2, 0]])) == [1, -1]).all()
-    assert mo.find_models("linear", "!regression", "has_sensitivity") == ["smlr", "plr", "svm"]
+    assert mo.find_models("linear", "!regression", "has_sensitivity") == ["smlr", "plr", "svm", "nu-svm"]
     with pytest.raises(NotImplementedError):
         mo.Multiclass(mo.PLR, "1-vs-all")
     assert mo.select_model([mo.GPR(length_scale=s) for s in (0.01, 2.0)], x, y - y.mean()).kernel[1]["length_scale"] == 2.0
