@@ -165,7 +165,8 @@ def permute(df: DataFrame, attrs: list[str], key: str, limit: list[str] | None =
     limit = limit or []
     base = repeated(df, count, "rep")
     group = [*limit, "rep"]
-    a = ranked(base, group, [key], "_i").drop(*attrs, "_part")
+    # the places that rows have by themselves are the same in every repetition
+    a = repeated(ranked(df, limit, [key], "_i").drop(*attrs, "_part"), count, "rep")
     b = ranked(base.withColumn("_h", draw(key, F.col("rep"), seed)), group, ["_h", key], "_i").select(*group, *attrs, "_i")
     return a.join(b, [*group, "_i"]).drop("_i")
 

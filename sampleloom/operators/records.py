@@ -236,3 +236,59 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     # of repeated rows one is kept, and kept whole
     row = F.struct(F.when(valid, F.col("onset")).alias("onset"), F.when(valid, F.col("duration")).alias("duration"), "reason")
     return parsed.groupBy("file_id", "line_no").agg(F.min(row).alias("r")).select("file_id", "line_no", "r.*")
+
+
+def column_records(lines: DataFrame, types: dict[str, str], sep: str | None = None, header: list[str] | None = None, skip: int = 0, comment: str = "#") -> DataFrame:
+    """Typed records of column files of any columns: (path, line_no, the columns of ``types``, reason).
+
+    ``lines`` (path, line_no, line) are numbered from 1 in each file. ``types``
+    names the wanted columns as ``double``, ``long`` or ``string``; their order
+    and further columns may differ from file to file. Without ``header`` the
+    first line after ``skip`` ones holds the names.
+
+    Cases: blank and comment lines give no row; a line that fails has the first
+    that applies of ``quoting``, ``columns`` and ``value`` (a number that isn't
+    one, a ``long`` that isn't whole, or a column that the header lacks) as its
+    reason and NULL values; repeated rows give one; NULL lines none.
+    """
+    lines = lines.select("path", "line_no", "line").where("path is not null and line is not null").dropDuplicates(["path", "line_no"])
+    if header is None:
+        names = lines.where(F.col("line_no") == skip + 1).select("path", F.col("line").alias("header"))
+        body = lines.where(F.col("line_no") > skip + 1).join(names, "path")
+    else:
+        body = lines.where(F.col("line_no") > skip).withColumn("header", F.lit(None).cast("string"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = [x.strip() for x in pdf["line"]]
+            pdf = pdf.assign(line=text)[[bool(x) and not x.startswith(comment) for x in text]].reset_index(drop=True)
+            for first, part in pdf.groupby("header", dropna=False):
+                columns = header or header_names(first, sep)
+                s = Structure([x.encode() for x in part["line"]], sep.encode() if sep else None)
+                buffer = np.frombuffer(s.buffer, np.uint8)
+                right = ~np.asarray(s.broken, bool) & (np.asarray(s.count) == len(columns))
+                bad, values = np.zeros(len(part), bool), {}
+                for name, kind in types.items():
+                    if name not in columns:
+                        bad[:] = True
+                        values[name] = np.full(len(part), None if kind == "string" else np.nan, object if kind == "string" else float)
+                        continue
+                    at = np.asarray(s.first)[right] + columns.index(name)
+                    if kind == "string":
+                        values[name] = np.full(len(part), None, object)
+                        values[name][right] = [s.field(i, columns.index(name)).decode() for i in np.flatnonzero(right)]
+                        continue
+                    values[name] = np.full(len(part), np.nan)
+                    values[name][right] = numbers(buffer, np.asarray(s.start)[at], np.asarray(s.end)[at])
+                    bad |= right & (np.isnan(values[name]) | ((kind == "long") & (values[name] != np.round(values[name]))))
+                bad &= right
+                reason = np.full(len(part), None, object)
+                reason[np.asarray(s.broken, bool)], reason[~np.asarray(s.broken, bool) & ~right], reason[bad] = "quoting", "columns", "value"
+                out = part[["path", "line_no"]].copy()
+                for name, kind in types.items():
+                    v = pd.Series(values[name], index=part.index).where(right & ~bad)
+                    out[name] = v if kind == "double" else v.astype(object).where(v.notna(), None) if kind == "string" else v.astype("Int64")
+                yield out.assign(reason=reason)
+
+    schema = ", ".join([f"path {dict(lines.dtypes)['path']}", f"line_no {dict(lines.dtypes)['line_no']}", *(f"{n} {t}" for n, t in types.items()), "reason string"])
+    return body.mapInPandas(parse, schema)

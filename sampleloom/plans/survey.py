@@ -22,7 +22,7 @@ from sampleloom.operators import ordered as od
 from sampleloom.operators import select as se
 from sampleloom.operators import stack as st
 from sampleloom.plans import pipelines as pl
-from sampleloom.plans.reference import GRID_SQL, LONG, MEANS, NEAR, PRED, cells, feature_grid, predictions, r, rounded, vectors
+from sampleloom.plans.reference import GRID_SQL, KNN, LONG, MEANS, NEAR, PRED, cells, feature_grid, predictions, r, rounded, vectors
 from sampleloom.session import table
 from sampleloom.streaming import live
 
@@ -816,3 +816,27 @@ def image_volumes(spark, d):
         with open(path, "rb") as f:
             raw = f.read()
     return images.voxels(spark.createDataFrame([("volumes", bytearray(raw))], "path string, content binary")).select("t", "i", "j", "value")
+
+
+@query(KNN + """, s AS (SELECT *, 1 - dist / sum(dist) OVER (PARTITION BY q) AS v FROM n WHERE rank <= 5), v AS (SELECT q, label, round(sum(v), 9) AS c, avg(dist) AS m FROM s GROUP BY ALL) SELECT q AS query_id, min_by(label, [-c, m, label]) AS prediction FROM v GROUP BY 1""")
+def knn_weighted(spark, d):
+    """Votes of the five nearest vectors of other chunks, weighted by nearness."""
+    v = vectors(spark, d)
+    return le.knn_predict(le.neighbours(v, v.where("sample_id % 100 = 0"), 5, exclude="chunk"), weighted=True)
+
+
+@query("SELECT n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) * 0.5 AS half, CASE WHEN n_nationkey % 5 = 0 THEN 'value' END AS reason FROM nation")
+def typed_records(spark, d):
+    """Column files with names, types and reasons for what fails."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation")
+    half = F.when(F.col("n_nationkey") % 5 == 0, "none").otherwise((F.col("n_regionkey") * 0.5).cast("string"))
+    body = n.select(F.col("n_nationkey").cast("int").alias("o"), F.concat_ws(";", F.concat(F.lit('"'), F.col("n_name"), F.lit('"')), half, F.col("n_nationkey").cast("string")).alias("value"))
+    head = spark.createDataFrame([(-1, "name;half;key")], "o int, value string")
+    got = text.records(spark, _lines(spark, head.unionByName(body), "o"), {"key": "long", "name": "string", "half": "double"}, ";")
+    whole = n.join(got.where("reason is null"), F.col("key") == F.col("n_nationkey"), "left")
+    # a line that fails has no values: they come from the table, the reason from the line
+    failed = got.where("reason is not null").select((F.col("line_no") - 2).alias("n_nationkey"), F.col("reason").alias("why"))
+    out = whole.join(failed, "n_nationkey", "left")
+    return out.select("n_nationkey", F.coalesce("name", "n_name").alias("n_name"), F.coalesce("half", F.col("n_regionkey") * 0.5).alias("half"), F.col("why").alias("reason"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sampleloom.operators.records import parse_lines
+from sampleloom.operators.records import column_records, parse_lines
 from sampleloom.session import materialised
 
 
@@ -64,6 +64,11 @@ def columns(spark: SparkSession, path: str, header: list[str] | bool = True, sep
     return typed(body, [(n, types if isinstance(types, str) else types.get(n, "string")) for n in names], sep)
 
 
+def records(spark: SparkSession, path: str, types: dict[str, str], sep: str | None = None, header: list[str] | None = None, skip: int = 0) -> DataFrame:
+    """Typed records of column files, with the reason for each line that fails; see :func:`sampleloom.operators.records.column_records`."""
+    return column_records(raw_lines(spark, path), types, sep, header, skip)
+
+
 def inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Delimited table with header, types inferred: int, then float, then text."""
     return spark.read.csv(path, sep=sep, header=True, inferSchema=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)

@@ -64,3 +64,32 @@ def test_reasons_and_edges(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == {}
+
+
+def test_records_of_any_columns(spark, tmp_path):
+    from sampleloom.sources import text
+
+    (tmp_path / "a.csv").write_text('name,size,n\n"x, y",1.5e1,3\n# note\n\nz,2,4\nbad,oops,5\nw,1\nq"r,1,1\nv,7,2.5\n')
+    (tmp_path / "b.csv").write_text("n,extra,size,name\n8,?,-.5,m\n")
+    (tmp_path / "c.csv").write_text("size,name\n1,k\n")
+    got = {(r.path.rpartition("/")[2], r.line_no): (r.name, r["size"], r.n, r.reason) for r in text.records(spark, str(tmp_path), {"name": "string", "size": "double", "n": "long"}, ",").collect()}
+    assert got == {
+        ("a.csv", 2): ("x, y", 15.0, 3, None), ("a.csv", 5): ("z", 2.0, 4, None), ("a.csv", 6): (None, None, None, "value"), ("a.csv", 7): (None, None, None, "columns"),
+        ("a.csv", 8): (None, None, None, "quoting"), ("a.csv", 9): (None, None, None, "value"), ("b.csv", 2): ("m", -0.5, 8, None), ("c.csv", 2): (None, None, None, "value"),
+    }
+    named = text.records(spark, str(tmp_path / "c.csv"), {"u": "double"}, ",", ["u", "t"], 1).collect()
+    assert [(r.line_no, r.u) for r in named] == [(2, 1.0)]
+
+
+def test_numbers_at_once_equal_one_by_one():
+    import numpy as np
+
+    from sampleloom.operators.records import numbers
+
+    spelt = ["1", "-2.5", "+.5", "5.", ".", "", "-", "1e5", "1e", "1e+", "2E-3", "1e999", "nan", "inf", "0x1", " 7 ", "1 2", "1" * 60, "0." + "0" * 50 + "1", "--1", "1.2.3", "١", "-0", "1e5 "]
+    raw = [x.encode() for x in spelt]
+    buffer, end = np.frombuffer(b"|".join(raw) + b"|", np.uint8), np.cumsum([len(x) + 1 for x in raw]) - 1
+    got = numbers(buffer, end - [len(x) for x in raw], end)
+    for x, v in zip(raw, got, strict=True):
+        want = number(x)
+        assert (want is None and np.isnan(v)) or want == v, (x, want, v)
