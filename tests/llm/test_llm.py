@@ -91,6 +91,16 @@ def test_texts_of_many_ranges_without_blanks(spark):
     assert set(by) == set(texts)
 
 
+def test_texts_of_one_range_are_cut_where_they_are_read(spark):
+    """The branch of texts of one range has no exchange; the other is empty here and has its own."""
+    import re
+
+    df = spark.createDataFrame([(1, "a word " * 2000)], "doc_id long, text string")
+    text = chunking.split_oversized(df, 128, 16)._jdf.queryExecution().optimizedPlan().toString()
+    first = text.split("\n")
+    assert first[0].startswith("Union") and not re.search(r"Join|Repartition|Aggregate|Sort", "\n".join(first[1:5]))
+
+
 def test_files_are_cut_by_seeking(spark, tmp_path):
     rng = random.Random(12)
     texts = {"long one.txt": text_of(rng, 200_000), "short.txt": text_of(rng, 20), "empty.txt": "", "mid.txt": text_of(rng, 400)}
