@@ -5,11 +5,11 @@ import re
 import pytest
 
 from __spark_entry__ import queries
-from sampleloom.plans import problems, reference
+from sampleloom.plans import problems, reference, survey
 
 SMALL = "/root/testdata/sf0.001"
 #: Results that are pairs by definition: of class means.
-PAIRS = {"pdist_euclidean", "pdist_correlation", "cdist", "target_similarity", "kernels", "dsm_regression"}
+PAIRS = {"pdist_euclidean", "pdist_correlation", "cdist", "target_similarity", "kernels", "dsm_regression", "kernels_stationary", "distances", "streamlines", "stored_kernel"}
 #: One side is one row: how many to keep.
 ONE_ROW = {"stack_by_sample_attribute"}
 
@@ -18,7 +18,7 @@ def plan(spark, name):
     return queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(problems.QUERIES) | set(reference.QUERIES)))
+@pytest.mark.parametrize("name", sorted(set(problems.QUERIES) | set(reference.QUERIES) | set(survey.QUERIES)))
 def test_no_products(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text
@@ -34,3 +34,34 @@ def test_scans_read_only_what_is_used(spark):
 
 def test_filters_reach_the_scan(spark):
     assert "In(o_orderpriority" in plan(spark, "select_match") and "EqualTo(o_orderstatus,O)" in plan(spark, "select_match").replace("'", "")
+
+
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|range|Round|Single)", text))
+
+
+def test_ranks_exchange_no_row_twice(spark):
+    from sampleloom.operators.select import ranked
+
+    df = spark.range(1000).selectExpr("id % 3 as g", "id as k", "cast(hash(id) as double) as v")
+    # the one exchange of rows lies before the checkpoint; what follows joins a small table
+    assert exchanges(ranked(df, ["g"], ["v", "k"])) == 0
+
+
+def test_models_are_no_column_of_rows(spark):
+    from sampleloom.functions import models as mo
+    from sampleloom.operators import learners as le
+
+    df = reference.vectors(spark, SMALL)
+    predicted = le.predict_folds(df, le.fit_folds(df, mo.LDA, "target", "chunk", most=50), "target", "chunk")
+    text = predicted._jdf.queryExecution().executedPlan().toString()
+    assert "model" not in text and "Join" not in text and exchanges(predicted) == 0
+
+
+def test_searchlights_exchange_errors_only(spark):
+    from sampleloom.operators import neighborhood as ne
+
+    near = ne.neighbours(reference.feature_grid(spark), ["x", "y"], 1.0)
+    # cells to one array a sample, and errors by centre and fold
+    assert exchanges(ne.gnb_searchlight(reference.cells(spark, SMALL), near, "target", "chunk")) == 2
