@@ -23,6 +23,7 @@ from sampleloom.operators import select as se
 from sampleloom.operators import stack as st
 from sampleloom.plans import pipelines as pl
 from sampleloom.plans.reference import GRID_SQL, KNN, LONG, MEANS, NEAR, PRED, cells, feature_grid, predictions, r, rounded, vectors
+from sampleloom.plans.reference import SQL as REFERENCE
 from sampleloom.session import table
 from sampleloom.streaming import live
 
@@ -840,3 +841,131 @@ def typed_records(spark, d):
     failed = got.where("reason is not null").select((F.col("line_no") - 2).alias("n_nationkey"), F.col("reason").alias("why"))
     out = whole.join(failed, "n_nationkey", "left")
     return out.select("n_nationkey", F.coalesce("name", "n_name").alias("n_name"), F.coalesce("half", F.col("n_regionkey") * 0.5).alias("half"), F.col("why").alias("reason"))
+
+
+# --- the command line, on the tables' files -------------------------------------------------
+def _command(spark, *words: str) -> DataFrame:
+    from sampleloom import cli
+
+    return cli.run(cli.parser().parse_args(list(words)), spark)
+
+
+@query(REFERENCE["ttest"])
+def command_ttest(spark, d):
+    """One-sample t by group, as a command."""
+    out = _command(spark, "ttest", "-i", f"{d}/events.parquet", "--by", "event_type", "--value", "value", "--mean", "50")
+    return rounded(out.select("event_type", "n", "t"), 5)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def command_select(spark, d):
+    """Rows by expression, attributes dropped, as a command."""
+    drop = ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+    out = _command(spark, "select", "-i", f"{d}/orders.parquet", "--samples", "o_totalprice gt 100000 and o_orderstatus eq F", "--drop", *drop)
+    return out.select("o_orderkey", "o_totalprice")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, row_number() OVER w - 1 AS pos, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ q AS (SELECT *, sum(CASE WHEN pos = 0 OR before IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) - 1 AS run FROM p) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(pos) AS onset, count(*) AS duration FROM q GROUP BY ALL""")
+def command_events(spark, d):
+    """Runs of equal attributes as events, as a command."""
+    return _command(spark, "mkevds", "-i", f"{d}/events.parquet", "--attrs", "event_type", "--key", "event_id", "--by", "user_id")
+
+
+@query(f"SELECT fold, error FROM ({REFERENCE['gnb_cv_error']})")
+def command_crossval(spark, d):
+    """Leave-one-chunk-out error, as a command."""
+    out = _command(spark, "crossval", "-i", f"{d}/lineitem.parquet", "--key", "l_orderkey", "--features", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "--targets", "l_returnflag", "--chunks", "l_linestatus")
+    return rounded(out, 8)
+
+
+@query(REFERENCE["searchlight_gnb"])
+def command_searchlight(spark, d):
+    """A measure around every place of a grid, as a command on a stored dataset."""
+    path = _folder(spark)
+    vectors(spark, d).write.parquet(path)
+    out = _command(spark, "searchlight", "-i", path, "--targets", "target", "--chunks", "chunk", "--shape", "8", "8", "--radius", "1")
+    return rounded(out)
+
+
+@query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 5) + 0 AS centred, round((value - avg(value) OVER (PARTITION BY event_type)) / stddev_pop(value) OVER (PARTITION BY event_type), 5) + 0 AS value FROM events")
+def command_preprocess(spark, d):
+    """Normalisation by chunk, as a command."""
+    out = _command(spark, "preproc", "-i", f"{d}/events.parquet", "--key", "event_id", "--value", "value", "--chunks", "event_type").select("event_id", r("value", 5).alias("value"))
+    mean = od.zscore(table(spark, d, "events"), ["value"], "event_type", None)
+    e = table(spark, d, "events")
+    centred = e.join(e.groupBy("event_type").agg(F.avg("value").alias("m")), "event_type").select("event_id", r(F.col("value") - F.col("m"), 5).alias("centred"))
+    assert set(mean.columns) == set(e.columns)
+    return out.join(centred, "event_id")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def command_script(spark, d):
+    """A script of the user's own, as a command."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        script = os.path.join(folder, "script.py")
+        with open(script, "w") as f:
+            f.write("df = df.where(F.col('n_regionkey') == 2).select('n_nationkey', 'n_name', 'n_regionkey')\n")
+        return _command(spark, "exec", "-i", f"{d}/nation.parquet", "--script", script)
+
+
+@query("SELECT n_nationkey, n_name, r_name AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 3")
+def command_atlas(spark, d):
+    """Labels by coordinates, as a command."""
+    path, points = _folder(spark), _folder(spark)
+    table(spark, d, "region").where("r_regionkey <> 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("label")).write.parquet(path)
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.parquet(points)
+    return _command(spark, "atlas", "-i", points, "--atlas", path, "--attrs", "n_regionkey").select("n_nationkey", "n_name", "label")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def command_dump(spark, d):
+    """A table written as text and read again, as a command."""
+    path, source = _folder(spark), _folder(spark)
+    table(spark, d, "nation").select("n_nationkey", "n_name").write.parquet(source)
+    _command(spark, "dump", "-i", source, "-o", path, "--form", "csv")
+    return spark.read.csv(path, header=True, schema="n_nationkey bigint, n_name string")
+
+
+# --- further files --------------------------------------------------------------------------
+@query("SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(n_nationkey AS DOUBLE) AS a, CAST(n_regionkey AS DOUBLE) AS b FROM nation")
+def predictor_files(spark, d):
+    """Design files with a quoted line of names."""
+    from sampleloom.sources import text
+
+    n = table(spark, d, "nation")
+    body = n.select(F.col("n_nationkey").cast("int").alias("o"), F.concat_ws(" ", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")).alias("value"))
+    head = spark.createDataFrame([(-3, "FileVersion: 2"), (-2, "NrOfPredictors: 2"), (-1, '"first one" "second"')], "o int, value string")
+    p = F.col("predictors")
+    return text.rtc_design(spark, _lines(spark, head.unionByName(body), "o")).select(F.col("row").cast("long").alias("row"), p["first one"].alias("a"), p["second"].alias("b"))
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS node, round(n_nationkey * 0.5, 6) AS a, round(n_regionkey - 0.25, 6) AS b, 'one;two' AS labels, 'none;Zscore()' AS stats FROM nation")
+def surface_data_files(spark, d):
+    """Surface data in text form, written and read."""
+    from sampleloom.sources import sinks, text
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("node"), F.array(F.col("n_nationkey") * 0.5, F.col("n_regionkey") - 0.25).alias("values"))
+    path = _folder(spark)
+    spark.createDataFrame([(sinks.niml_text(n, ["one", "two"], ["none", "Zscore()"]),)], "value string").coalesce(1).write.text(path)
+    at = text.niml_datasets(spark, path)
+    return at.select("node", r(F.col("values")[0]).alias("a"), r(F.col("values")[1]).alias("b"), "labels", "stats")
+
+
+@query("SELECT 'sub' || lpad(CAST(n_regionkey + 1 AS VARCHAR), 3, '0') AS subject, lpad(CAST(n_nationkey % 2 + 1 AS VARCHAR), 3, '0') AS run, 'cond ' || (n_nationkey % 2) AS condition, CAST(n_nationkey AS DOUBLE) AS onset FROM nation")
+def study_events(spark, d):
+    """A study's folders: events of all runs with their conditions."""
+    from sampleloom.sources import text
+
+    root = _folder(spark)
+    # a file a subject, run and condition: the layout is what is read
+    for row in table(spark, d, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 2).alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("ids")).collect():
+        lines = spark.createDataFrame([("\n".join(f"{i}.0 2.0 1" for i in row["ids"]),)], "value string")
+        place = f"{root}/sub{row['n_regionkey'] + 1:03d}/model/model001/onsets/task001_run{row['k'] + 1:03d}/cond{row['k'] + 1:03d}.txt"
+        lines.coalesce(1).write.text(place)
+    keys = spark.createDataFrame([("task001 cond001 cond 0\ntask001 cond002 cond 1",)], "value string")
+    keys.coalesce(1).write.text(f"{root}/models/model001/condition_key.txt")
+    return text.study(spark, root)["events"].select("subject", "run", "condition", "onset")
