@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from sampleloom.session import materialised, partitions_for, release
 
-WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: Signs of white space, which is trimmed.
+WHITE = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Levels of the hierarchy take this many partitions into one.
 FAN_IN = 8
 #: Members of a component that one part of the pairs' join holds.
@@ -36,13 +37,13 @@ SLOTS = 20
 
 def chunk_key(c: Column) -> Column:
     """A chunk's name without outer white space, in lower case, with ``-`` for each separator sign; NULL if nothing is left."""
-    x = F.translate(F.lower(F.regexp_replace(c, WHITE, "")), "_. ", "---")
+    x = F.translate(F.lower(F.btrim(c, F.lit(WHITE))), "_. ", "---")
     return F.when((x != "") & (x != "n/a"), x)
 
 
 def origin_key(c: Column) -> Column:
     """An origin's name, NULL if it is missing."""
-    x = F.regexp_replace(c, WHITE, "")
+    x = F.btrim(c, F.lit(WHITE))
     return F.when((x != "") & (F.lower(x) != "n/a"), x)
 
 
@@ -107,7 +108,8 @@ def components(edges: DataFrame, most_edges: int = 4_000_000) -> DataFrame:
 
 def tie_edges(samples: DataFrame, chunk: str, origin: str) -> DataFrame:
     """Links between chunks that hold samples of one origin: each to the smallest of the origin's chunks."""
-    pairs = samples.select(chunk_key(F.col(chunk)).alias("a"), origin_key(F.col(origin)).alias("o")).dropna().distinct()
+    # read twice below: written, so that names are worked out once
+    pairs = materialised(samples.select(chunk_key(F.col(chunk)).alias("a"), origin_key(F.col(origin)).alias("o")).dropna().distinct())
     shared = pairs.groupBy("o").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("o", "b")
     return pairs.join(shared, "o").where("a <> b").select("a", "b").distinct()
 
@@ -203,7 +205,7 @@ def split_records(samples: DataFrame, shares: dict[str, float], key: str = "samp
     columns are ignored.
     """
     spark = samples.sparkSession
-    base = samples.select(F.col(key).alias("id"), chunk_key(F.col(chunk)).alias("chunk"), origin_key(F.col(origin)).alias("o"), F.lower(F.regexp_replace(F.col(target), WHITE, "")).alias("kind")).distinct()
+    base = samples.select(F.col(key).alias("id"), chunk_key(F.col(chunk)).alias("chunk"), origin_key(F.col(origin)).alias("o"), F.lower(F.btrim(F.col(target), F.lit(WHITE))).alias("kind")).distinct()
     tree = materialised(components(tie_edges(samples, chunk, origin)))
     # a record without chunk goes with a chunk that holds its origin, else stands alone
     home = base.where("chunk is not null and o is not null").groupBy("o").agg(F.min("chunk").alias("home"))
