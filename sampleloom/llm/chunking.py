@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleloom.llm.tokens import SYNC, TOKENIZER, Cutter, count_tokens, strengths, token_sizes
+from sampleloom.llm.tokens import INSIDE, SYNC, TOKENIZER, WORD, Cutter, count_tokens, strengths, token_sizes
 from sampleloom.session import materialised
 
 PIECE = "piece int, start_byte long, end_byte long, n_tokens int, text string"
@@ -95,7 +95,9 @@ class Span:
         """The tokens that the piece open at the range's begin may begin with."""
         if self.fresh:
             return np.array([self.cutter.following(np.append(self.good, 0), 0, self.first)]) if self.first > self.cutter.overlap + 1 else np.array([self.first])
-        return np.arange(max(0, self.first - self.cutter.limit), self.first + 1)
+        at = np.arange(max(0, self.first - self.cutter.limit), self.first + 1)
+        # no piece begins inside a character
+        return at[np.append(self.good, WORD)[at] != INSIDE]
 
     def table(self) -> tuple[bool, bytes, bytes, bytes]:
         """For each entry: its offset, the offset of the piece open at the end, and the number of pieces that end here."""
