@@ -380,16 +380,23 @@ def label_points(points: DataFrame, atlas: DataFrame, coords: list[str], label:
 
 
 def nearest_reference(points: DataFrame, references: DataFrame, coords: list[str], distance: float, key: str, label: str = "label") -> DataFrame:
-    """Nearest reference within ``distance`` of each point, by cells of that size: an equality join on 3^d cells."""
-    cell = [F.floor(F.col(c) / distance) for c in coords]
-    around = list(itertools.product((-1, 0, 1), repeat=len(coords)))
-    each = F.array(*(F.array(*(c + o for c, o in zip(cell, offset, strict=True))) for offset in around))
-    p = points.withColumn("_cell", F.explode(each))
-    r = references.select(*(F.col(c).alias(f"_{c}") for c in coords), label).withColumn("_cell", F.array(*(F.floor(F.col(f"_{c}") / distance) for c in coords)))
-    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in coords), F.lit(0.0)))
-    hit = p.join(r, "_cell").withColumn("_d", d).where(F.col("_d") <= distance)
-    best = hit.groupBy(key).agg(F.min_by(F.struct(F.col(label).alias("label"), F.col("_d").alias("d")), F.struct("_d", label)).alias("_b"))
-    return points.join(best, key, "left").select(points["*"], F.col("_b.label").alias(label), F.col("_b.d").alias("distance"))
+    """Nearest reference within ``distance`` of each point, by cells of that size: an equality join on 3^d cells.
+
+    Only distinct coordinates are paired: references of equal ones stand by
+    their least label, and each point takes the answer of its coordinates, so
+    the ``key`` plays no part. Spark sizes exploded rows as if they were not
+    exploded, so the join is a merge and no such side is ever broadcast.
+    """
+    own = [f"_{c}" for c in coords]
+    places = points.select(*coords).distinct().withColumn("_cell", F.array(*(F.floor(F.col(c) / distance) for c in coords)))
+    least = references.groupBy(*(F.col(c).alias(o) for c, o in zip(coords, own, strict=True))).agg(F.min(F.struct(F.col(label).alias("l")))["l"].alias("_label"))
+    around = itertools.product((-1, 0, 1), repeat=len(coords))
+    # infinite coordinates lie at the end of the range: NULL beyond it
+    each = F.array(*(F.array(*(F.try_add(F.floor(F.col(c) / distance), F.lit(o)) for c, o in zip(own, offset, strict=True))) for offset in around))
+    d = F.sqrt(sum((F.pow(F.col(c) - F.col(o), 2) for c, o in zip(coords, own, strict=True)), F.lit(0.0)))
+    hit = places.join(least.withColumn("_cell", F.explode(each)).hint("merge"), "_cell").withColumn("_d", d).where(F.col("_d") <= distance)
+    best = hit.groupBy(*coords).agg(F.min_by(F.struct(F.col("_label").alias("label"), F.col("_d").alias("d")), F.struct("_d", "_label")).alias("_b"))
+    return points.join(best, coords, "left").select(points["*"], F.col("_b.label").alias(label), F.col("_b.d").alias("distance"))
 
 
 def probable_labels(points: DataFrame, atlas: DataFrame, coords: list[str], threshold: float = 0.0, strategy: str = "all", key: str = "point_id") -> DataFrame:

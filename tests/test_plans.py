@@ -65,3 +65,27 @@ def test_searchlights_exchange_errors_only(spark):
     near = ne.neighbours(reference.feature_grid(spark), ["x", "y"], 1.0)
     # cells to one array a sample, and errors by centre and fold
     assert exchanges(ne.gnb_searchlight(reference.cells(spark, SMALL), near, "target", "chunk")) == 2
+
+
+def test_nearest_references_pair_places_and_broadcast_no_cells(spark):
+    lines = plan(spark, "nearest_references").splitlines()
+    depth = [len(re.match(r"[ :+*-]*", x)[0]) for x in lines]
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin [_cell" in x]
+    (spread,) = (i for i, x in enumerate(lines) if "Generate explode" in x)
+    # by the tables' sizes Spark would broadcast the exploded rows, however many they are
+    assert len(joins) == 1 and joins[0] < spread
+    assert not any("Broadcast" in lines[i] for i in range(joins[0], spread) if depth[i] < depth[spread])
+    # distinct coordinates on either side
+    assert sum("HashAggregate" in x or "SortAggregate" in x for x in lines[joins[0] :]) >= 4
+
+
+def test_nearest_reference_of_repeated_coordinates(spark):
+    from sampleloom.operators import neighborhood as ne
+
+    inf = float("inf")
+    at = [(0.0, 0.0), (-0.0, 0.0), (5.0, 5.0), (inf, 0.0), (None, 0.0), (0.4, 0.0)]
+    points = spark.createDataFrame([(i, *at[i % 6]) for i in range(600)], "k int, x double, y double")
+    ref = [("c", 0.5, 0.0), ("b", 0.5, 0.0), ("a", 0.0, 0.9), ("e", -inf, 0.0), ("d", -0.5, 0.0)] * 40
+    got = ne.nearest_reference(points, spark.createDataFrame(ref, "label string, x double, y double"), ["x", "y"], 1.0, "k").collect()
+    want = [("b", 0.5), ("b", 0.5), (None, None), (None, None), (None, None), ("b", 0.1)]
+    assert len(got) == 600 and all((r.label, r.distance and round(r.distance, 9)) == want[r.k % 6] and (r.x, r.y) == at[r.k % 6] for r in got)
